@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +26,20 @@ def texts(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors unless their PYTHONPATH has it."""
+    package = Path(__file__).resolve().parents[1]
+    context = spark.sparkContext
+    if str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_lodestrata", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="lodestrata-")) / "lodestrata.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in package.rglob("*.py"):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._lodestrata = True
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterable[dict]]]) -> DataFrame:
     """Arrow map. ``make()`` runs once per task and gives a function from a batch to column dicts."""
 
@@ -32,6 +49,7 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordB
             for columns in work(batch):
                 yield pa.RecordBatch.from_pydict(columns)
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -1,4 +1,4 @@
-"""The subpackage's queries for ``__spark_entry__``: one per operator, and the pipeline."""
+"""The subpackage's queries for ``__spark_entry__``: one per operator."""
 
 from __future__ import annotations
 
@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import byte_bpe, token_counts
+from lodestrata.llm import byte_bpe, langid, secrets, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op6_secret_scans": secrets.op6_secret_scans,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op9_language_id": langid.op9_language_id,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
 
