@@ -17,6 +17,27 @@ from pyspark.sql import functions as F
 WS = " \t\n\x0b\x0c\r"
 
 
+class Recent:
+    """Results of ``make`` by key, of about the last ``most`` keys: two generations, the older dropped when the newer is half full. ``new.get`` first, then ``miss``."""
+
+    def __init__(self, make: Callable, most: int):
+        self.make, self.half = make, max(1, most // 2)
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def miss(self, key: str):
+        got = self.new.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is None:
+                got = self.make(key)
+            if len(key) <= 48:  # long ones seldom come back
+                if len(self.new) >= self.half:
+                    self.old, self.new = self.new, {}
+                self.new[key] = got
+        return got
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -84,12 +84,11 @@ class ByteBpe:
     itself and what came out is kept (up to ``memo`` fields).
     """
 
-    def __init__(self, ranks: dict[str, int], pattern: str, memo: int = 250_000):
+    def __init__(self, ranks: dict[str, int], pattern: str, memo: int = 600_000):
         self.ranks = ranks
-        self.fst = BpeFst(ranks)
+        self.fst = BpeFst(ranks, max_states=250_000)
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{SPACES}").replace(r"\s", f"[{SPACES}]").replace(r"\S", f"[^{SPACES}]"))
-        self.memo: dict[str, bytes] = {}
-        self.most = memo
+        self.memo = C.Recent(lambda word: self._field(" " + word), memo)
         self.table: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for t, r in ranks.items():
             self.table[r] = t.encode("latin-1")
@@ -99,22 +98,12 @@ class ByteBpe:
         ids = [ranks[t] for piece in self.pattern.findall(field) for t in encode(piece.encode("utf-8").decode("latin-1"))]
         return np.array(ids, "<u4").tobytes()
 
-    def _kept(self, word: str) -> bytes:
-        got = self._field(" " + word)
-        if len(word) <= 48:
-            if len(self.memo) >= self.most:
-                self.memo.clear()
-            self.memo[word] = got
-        return got
-
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         words = _CUT.split(text) if _SPACE_AFTER_SPACE.search(text) else text.split(" ")
-        get, kept = self.memo.get, self._kept
+        get, miss = self.memo.new.get, self.memo.miss
         out = [self._field(words[0])] if words[0] else []
-        for w in words[1:]:
-            ids = get(w)
-            out.append(kept(w) if ids is None else ids)
+        out += [get(w) or miss(w) for w in words[1:]]
         return b"".join(out)
 
     def decode(self, ids: bytes, step: int = 1 << 16) -> Iterator[tuple[bytes, str]]:

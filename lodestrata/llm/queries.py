@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import byte_bpe, langid, secrets, token_counts, toxicity
+from lodestrata.llm import byte_bpe, decontamination, langid, quality, secrets, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_rules": quality.op1_quality_rules,
     "op3_toxicity": toxicity.op3_toxicity,
     "op6_secret_scans": secrets.op6_secret_scans,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_decontamination": decontamination.op8_decontamination,
     "op9_language_id": langid.op9_language_id,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_quality_rules": quality.ORACLE}

@@ -48,19 +48,11 @@ def read_model(path: str) -> dict[str, int]:
 
 
 class Counter:
-    def __init__(self, rank: dict[str, int], memo: int = 300_000, chunk: int = 1 << 16):
-        self.rank, self.most, self.chunk = rank, memo, chunk
-        self.fst = BpeFst(rank, lambda token: 1 if token in rank else len(token.encode("utf-8")))
+    def __init__(self, rank: dict[str, int], memo: int = 600_000, chunk: int = 1 << 16):
+        self.rank, self.chunk = rank, chunk
+        self.fst = BpeFst(rank, lambda token: 1 if token in rank else len(token.encode("utf-8")), max_states=250_000)
         self.word = self.fst.count  # tokens of a stretch that starts at the start state
-        self.memo: dict[str, int] = {}
-
-    def _kept(self, word: str) -> int:
-        n = self.word(MARK + word)
-        if len(word) <= 48:
-            if len(self.memo) >= self.most:
-                self.memo.clear()
-            self.memo[word] = n
-        return n
+        self.memo = C.Recent(lambda word: self.word(MARK + word), memo)
 
     def chunk_map(self, part: str) -> ChunkMap:
         """``part``: of a text whose spaces are marks."""
@@ -73,10 +65,8 @@ class Counter:
             tail = words.pop()
             return ChunkMap(True, head, sum(map(self.word, words)), tail)
         words = body.split(MARK)
-        get, kept, count = self.memo.get, self._kept, 0
-        for w in words[1:-1]:
-            n = get(w)
-            count += kept(w) if n is None else n
+        get, miss = self.memo.new.get, self.memo.miss
+        count = sum([get(w) or miss(w) for w in words[1:-1]])
         return ChunkMap(True, head, count, MARK + words[-1])
 
     def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
