@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import _common as C
 
-_WS = r"[\x20\x09-\x0D]"
+_WS = "[ \t-\r]"  # the characters themselves: SQL literals read backslashes too
 
 
 def _repeat_words(d: DataFrame) -> DataFrame:
@@ -35,10 +35,10 @@ def base_rules(docs: DataFrame) -> DataFrame:
     d = C.texts(docs).select(
         "doc_id",
         F.xxhash64("text").alias("text_hash"),
-        F.expr(rf"split(btrim(text, ' \t\n\u000B\f\r'), '{_WS}+')").alias("w"),
+        F.expr(f"split(btrim(text, '{C.WS}'), '{_WS}+')").alias("w"),
         F.length(F.regexp_replace("text", f"{_WS}++", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", "[^#*$%&|<>]++", "")).cast("long").alias("n_symbols"),
-        F.expr(rf"filter(split(text, '\n'), l -> l RLIKE '[^\\x20\\x09-\\x0D]')").alias("lines"),
+        F.expr("filter(split(text, '\n'), l -> l RLIKE '[^ \t-\r]')").alias("lines"),
     )
     d = d.select("doc_id", "text_hash", "w", "word_chars", "n_symbols", F.when(F.col("word_chars") == 0, 0).otherwise(F.size("w")).cast("long").alias("n_words"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"))
     d = _repeat_words(d)
@@ -47,7 +47,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash and ``lines``, those with a word, normalised."""
-    return C.texts(docs, F.col("source").alias("host")).select("doc_id", "host", F.xxhash64("text").alias("text_hash"), F.expr(rf"filter(transform(split(lower(text), '\n'), l -> btrim(regexp_replace(l, '{_WS}++', ' '))), l -> l <> '')").alias("lines"))
+    return C.texts(docs, F.col("source").alias("host")).select("doc_id", "host", F.xxhash64("text").alias("text_hash"), F.expr(f"filter(transform(split(lower(text), '\n'), l -> btrim(regexp_replace(l, '{_WS}++', ' '))), l -> l <> '')").alias("lines"))
 
 
 def frequent_lines(docs: DataFrame, limit: int) -> DataFrame:
