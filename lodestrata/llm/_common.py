@@ -61,14 +61,17 @@ def ship(spark: SparkSession) -> None:
     context._lodestrata = True
 
 
-def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterable[dict]]]) -> DataFrame:
-    """Arrow map. ``make()`` runs once per task and gives a function from a batch to column dicts."""
+def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch | None], Iterable[dict]]], last: bool = False) -> DataFrame:
+    """Arrow map. ``make()`` runs once per task and gives a function from a batch to column dicts. With ``last`` the function is called with None behind the last batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             for columns in work(batch):
                 yield pa.RecordBatch.from_pydict(columns)
+        if last:
+            for columns in work(None):
+                yield pa.RecordBatch.from_pydict(columns)
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import byte_bpe, decontamination, langid, quality, secrets, token_counts, toxicity
+from lodestrata.llm import byte_bpe, decontamination, langid, line_dedup, quality, secrets, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_secret_scans": secrets.op6_secret_scans,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_decontamination": decontamination.op8_decontamination,
@@ -20,4 +21,4 @@ QUERIES: dict[str, Query] = {
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {"op1_quality_rules": quality.ORACLE}
+ORACLES: dict[str, str] = {"op1_quality_rules": quality.ORACLE, "op5_line_dedup": line_dedup.ORACLE}
