@@ -105,5 +105,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     return out.select("doc_id", F.size(items).cast("long").alias("n_items"), items.alias("items"), (F.size(items) > 0).alias("contaminated"))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, as they are."""
+    bad = contaminated_pairs(docs, benchmark, **options).select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long") == bad["_bad"], "left_anti")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(C.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -267,6 +267,14 @@ def drop_lines(docs: DataFrame, least: int = 10) -> DataFrame:
     return C.map_rows(d, schema, make)
 
 
+def keep_first_lines(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` without the lines that an earlier document holds; a column n_chars follows the text."""
+    out = drop_lines(docs, **options).drop("_n_lines", "_n_dropped")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.documents(spark, sf_dir).select("doc_id", "text")
     return drop_lines(docs).select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

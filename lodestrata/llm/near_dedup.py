@@ -290,5 +290,11 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 24, r
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), group.alias("group_id"), F.coalesce(F.col("doc_id") == group, F.lit(True)).alias("kept"))
 
 
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """One document of each near-duplicate group, that of the smallest doc_id; columns as they are."""
+    others = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("_other")).distinct()
+    return docs.join(others, docs["doc_id"].cast("long") == others["_other"], "left_anti")
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(C.documents(spark, sf_dir))

@@ -8,7 +8,7 @@ the smallest doc_id; a document left with too little is depleted and rejected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import _common as C
@@ -78,6 +78,13 @@ def quality_rules(docs: DataFrame, limit: int = 64, min_share: float = 0.3, min_
     )
 
 
+def keep_documents(docs: DataFrame, **limits) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, as they are."""
+    good = quality_rules(docs, **limits).filter("kept").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"))
+    text = F.coalesce(docs["text"], F.lit(""))
+    return docs.join(good, docs["doc_id"].cast("long").eqNullSafe(good["_d"]) & (F.xxhash64(text) == good["_t"]), "left_semi")
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(C.documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "removed_lines", "base_failed", "kept")
 
