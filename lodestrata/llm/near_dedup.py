@@ -120,7 +120,7 @@ def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, c1, c2 (the class: a hash of the words), bands; documents with a word."""
+    """doc_id, c1, c2 (the class: a hash of the words), bands (empty without words)."""
 
     def make():
         shingler = Shingler()
@@ -132,7 +132,7 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 doc, cls, bags, size = [], [], [], 0
                 while a < len(texts) and size < 1_000_000:
                     words = shingler.words(texts[a])
-                    if words and ids[a] is not None:
+                    if ids[a] is not None:
                         doc.append(ids[a])
                         cls.append(xxhash.xxh3_128_digest(" ".join(words)))
                         bags.append(shingler.hashes(words))
@@ -140,7 +140,7 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     a += 1
                 c = np.frombuffer(b"".join(cls), np.int64).reshape(-1, 2)
                 h = band_hashes(signatures(bags, bands * rows), bands, rows)
-                yield {"doc_id": pa.array(doc, pa.int64()), "c1": pa.array(c[:, 0]), "c2": pa.array(c[:, 1]), "bands": pa.array([r.tobytes() for r in h], pa.binary())}
+                yield {"doc_id": pa.array(doc, pa.int64()), "c1": pa.array(c[:, 0]), "c2": pa.array(c[:, 1]), "bands": pa.array([r.tobytes() if len(b) else b"" for r, b in zip(h, bags, strict=True)], pa.binary())}
 
         return work
 
@@ -238,15 +238,15 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 24, r
     """doc_id, class_id (smallest doc_id of equal words), group_id (smallest doc_id linked), kept (doc_id = group_id); one row per row of ``docs``.
 
     A pair of that similarity shares no band once in 300,000 cases. Documents
-    without a word (null and empty ones too) and rows with a null doc_id are
-    alone and kept. Rows that share a doc_id share its group. Ties don't
+    without a word (null and empty ones too) are one class; rows with a null
+    doc_id are alone and kept. Rows that share a doc_id share its group. Ties don't
     matter: the smallest doc_id stands. Other columns aren't read.
     """
     space = C.Workspace(docs.sparkSession, "near")
     signed = space.table(_signed(docs, bands, rows), "signed")
     classes = signed.groupBy("c1", "c2").agg(F.min("doc_id").alias("class_id"), F.min("bands").alias("bands"))
     classes = space.table(classes, "classes")
-    reps = classes.groupBy(F.col("class_id").alias("doc")).agg(F.min(F.struct("c1", "c2", "bands")).alias("x")).select("doc", "x.*")
+    reps = classes.groupBy(F.col("class_id").alias("doc")).agg(F.min(F.struct("c1", "c2", "bands")).alias("x")).select("doc", "x.*").filter(F.length("bands") > 0)
     every = space.table(_buckets(reps, bands), "every")
     shared = every.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     buckets = space.table(every.join(shared, "bucket"), "buckets-0")

@@ -16,6 +16,11 @@ from lodestrata.llm import _common as C
 _WS = "[ \t-\r]"  # the characters themselves: SQL literals read backslashes too
 
 
+def _settled(d: DataFrame, name: str, value) -> DataFrame:
+    """``value`` as a column that later filters and lambdas read and never compute again: the optimizer moves nothing through a generator."""
+    return d.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _repeat_words(d: DataFrame) -> DataFrame:
     """Adds n_repeat_words to rows with ``w`` (words) and ``n_words``.
 
@@ -23,10 +28,8 @@ def _repeat_words(d: DataFrame) -> DataFrame:
     one primitive sort brings equal windows together and tells where they are.
     """
     d = d.withColumn("pb", F.ceil(F.log2(F.col("n_words") + F.lit(1))).cast("int"))
-    d = d.withColumn("s", F.expr("CASE WHEN n_words >= 3 THEN sort_array(transform(sequence(0, cast(n_words AS int) - 3), i -> shiftleft(xxhash64(w[i], w[i + 1], w[i + 2]), pb) | cast(i AS bigint))) ELSE array() END")).drop("w")
-    d = d.withColumn(
-        "s", F.expr("sort_array(transform(filter(s, (x, i) -> (i > 0 AND shiftrightunsigned(x ^ s[greatest(i - 1, 0)], pb) = 0) OR (i < size(s) - 1 AND shiftrightunsigned(x ^ s[least(i + 1, size(s) - 1)], pb) = 0)), x -> x & (shiftleft(1L, pb) - 1)))")
-    )
+    d = _settled(d, "s", F.expr("CASE WHEN n_words >= 3 THEN sort_array(transform(sequence(0, cast(n_words AS int) - 3), i -> shiftleft(xxhash64(w[i], w[i + 1], w[i + 2]), pb) | cast(i AS bigint))) ELSE array() END")).drop("w")
+    d = _settled(d.withColumnRenamed("s", "all"), "s", F.expr("sort_array(transform(filter(all, (x, i) -> (i > 0 AND shiftrightunsigned(x ^ all[greatest(i - 1, 0)], pb) = 0) OR (i < size(all) - 1 AND shiftrightunsigned(x ^ all[least(i + 1, size(all) - 1)], pb) = 0)), x -> x & (shiftleft(1L, pb) - 1)))")).drop("all")
     return d.withColumn("n_repeat_words", F.expr("CASE WHEN size(s) = 0 THEN 0L ELSE aggregate(zip_with(slice(s, 1, size(s) - 1), slice(s, 2, size(s) - 1), (a, b) -> least(3L, b - a)), 3L, (t, x) -> t + x) END")).drop("s", "pb")
 
 
