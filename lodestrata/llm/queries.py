@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import byte_bpe, decontamination, langid, line_dedup, near_dedup, quality, secrets, token_counts, toxicity
+from lodestrata.llm import byte_bpe, decontamination, langid, line_dedup, near_dedup, quality, secrets, suffix_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_line_dedup": line_dedup.op5_line_dedup,
