@@ -5,8 +5,455 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestrata.functions import text as T
+from lodestrata.operators import assembly, clustering, linking, matching, reports, store
+from lodestrata.params import DEFAULTS
+from lodestrata.sources import tables as S
+from lodestrata.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+_SEG = r"""c AS (SELECT *, CASE WHEN text IS NULL OR trim(text) = '' THEN 0 ELSE len(string_split_regex(trim(text), '\s+')) END AS n_words FROM conversations),
+t AS (SELECT *, sum(n_words) OVER (PARTITION BY conv_id ORDER BY turn) AS t FROM c),
+seg AS (SELECT conv_id AS meeting_id, turn AS seg_idx, n_words::BIGINT AS n_words, (t - n_words) * 0.4::DOUBLE AS start_s, t * 0.4::DOUBLE AS end_s, floor((t - n_words) * 0.4::DOUBLE / 30)::BIGINT AS win,
+  CASE role WHEN 'user' THEN 'S01' WHEN 'assistant' THEN 'S02' ELSE 'S03' END AS local_label, CASE role WHEN 'user' THEN 'G00' WHEN 'assistant' THEN 'G01' ELSE 'G02' END AS gid, text FROM t)"""
+_ATOM = """atom AS (SELECT (vec_id % 25)::BIGINT AS meeting_id, floor(floor(vec_id / 25.0) / 3)::BIGINT AS win, 'S0' || (floor(vec_id / 25.0)::BIGINT % 3 + 1) AS local_label,
+  (1 + (vec_id * 7) % 60)::DOUBLE AS sec, embedding::DOUBLE[] AS v, label, vec_id FROM embeddings),
+bank AS (SELECT label AS person, v AS bv, k FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM atom)),
+score AS (SELECT meeting_id, win, local_label, sec, label, vec_id, person, max(CASE WHEN label = person THEN 0.65 ELSE 0 END::DOUBLE + 0.35::DOUBLE * list_inner_product(v, bv)) AS sim FROM atom, bank WHERE k = 1 GROUP BY ALL)"""
+_SPAN = "span AS (SELECT user_id AS meeting_id, event_id AS seg_idx, epoch_us(ts) / 1e6 AS start_s, epoch_us(ts) / 1e6 + value * 600 AS end_s, event_type AS local_label FROM events)"
+_STORE = """spk AS (SELECT DISTINCT label::BIGINT AS id, 'Speaker_' || label AS name FROM embeddings WHERE label % 2 = 0),
+grp AS (SELECT DISTINCT label::BIGINT AS group_id, CASE WHEN label % 2 = 0 THEN label END::BIGINT AS speaker_id FROM embeddings),
+clu AS (SELECT meeting_id, label::BIGINT AS group_id, sum(sec) AS seconds, count(*) AS n_atoms, 'G0' || label AS cluster FROM atom GROUP BY meeting_id, label),
+exe AS (SELECT label::BIGINT AS speaker_id, CASE WHEN k = 1 THEN 'room' ELSE 'phone' END AS condition, v, sec AS seconds FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM atom) WHERE k <= 2 AND label % 2 = 0)"""
+_LINES = "line AS (SELECT doc_id AS meeting_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seg_idx, unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL)"
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+# --- segments ---
+
+
+@query("segments", f"WITH {_SEG} SELECT meeting_id, seg_idx, n_words, round(start_s, 3) AS start_s, round(end_s, 3) AS end_s, win, local_label, gid FROM seg")
+def _(spark, d):
+    return S.segments(spark, d).select("meeting_id", "seg_idx", "n_words", F.round("start_s", 3).alias("start_s"), F.round("end_s", 3).alias("end_s"), "win", "local_label", "gid")
+
+
+@query("rebase_core", f"WITH {_SEG} SELECT meeting_id, win, count(*) FILTER (WHERE (start_s + end_s) / 2 < win * 30 + 30) AS owned, count(*) FILTER (WHERE (start_s + end_s) / 2 >= win * 30 + 30) AS orphans FROM seg GROUP BY ALL")
+def _(spark, d):
+    s = S.segments(spark, d).withColumn("start_in", F.col("start_s") - F.col("win") * 30.0).withColumn("end_in", F.col("end_s") - F.col("win") * 30.0)
+    o = assembly.core_owned(assembly.rebase(s), F.col("win") * 30.0, F.col("win") * 30.0 + 30)
+    return o.groupBy("meeting_id", "win").agg(F.count(F.when(F.col("owned"), 1)).alias("owned"), F.count(F.when(~F.col("owned"), 1)).alias("orphans"))
+
+
+@query("well_formed_clamped", f"WITH {_SEG}, m AS (SELECT meeting_id, max(end_s) - 1 AS dur FROM seg GROUP BY 1) SELECT meeting_id, seg_idx, round(least(end_s, round(dur, 2)), 3) AS end_s FROM seg JOIN m USING (meeting_id) WHERE start_s >= 0 AND start_s < end_s AND end_s <= dur + 0.5")
+def _(spark, d):
+    s = S.segments(spark, d)
+    m = s.groupBy("meeting_id").agg((F.max("end_s") - 1).alias("dur"))
+    x = assembly.clamp_ends(assembly.well_formed(s.join(m, "meeting_id"), F.col("dur")), F.col("dur"))
+    return x.select("meeting_id", "seg_idx", F.round("end_s", 3).alias("end_s"))
+
+
+@query("speaker_totals", f"WITH {_SEG} SELECT meeting_id, gid, sum(n_words)::BIGINT AS words, count(*) AS n, min(seg_idx) AS first_idx FROM seg GROUP BY ALL")
+def _(spark, d):
+    return reports.speaker_totals(S.segments(spark, d))
+
+
+@query("speaker_ordinals", f"WITH {_SEG}, a AS (SELECT meeting_id, gid, sum(n_words)::BIGINT AS words, min(seg_idx) AS f FROM seg GROUP BY ALL) SELECT meeting_id, gid, 'Speaker ' || row_number() OVER (PARTITION BY meeting_id ORDER BY words DESC, f) AS shown, words FROM a")
+def _(spark, d):
+    return reports.speaker_ordinals(S.segments(spark, d))
+
+
+@query("dense_labels", f"WITH {_SEG}, a AS (SELECT meeting_id, gid, min(seg_idx) AS f FROM seg GROUP BY ALL) SELECT meeting_id, gid, dense_rank() OVER (PARTITION BY meeting_id ORDER BY f) - 1 AS k FROM a")
+def _(spark, d):
+    return reports.dense_labels(S.segments(spark, d))
+
+
+@query("longest_turns", f"WITH {_SEG}, a AS (SELECT *, end_s - start_s AS dur FROM seg), b AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, gid ORDER BY dur DESC, seg_idx) AS k FROM a WHERE dur >= 1.5) SELECT meeting_id, gid, seg_idx, round(least(dur, 12.0), 3) AS clip_s FROM b WHERE k <= 3")
+def _(spark, d):
+    return reports.longest_turns(S.segments(spark, d))
+
+
+@query("transcript_text", f"WITH {_SEG}, a AS (SELECT *, gid IS DISTINCT FROM lag(gid) OVER (PARTITION BY meeting_id ORDER BY seg_idx) AS head FROM seg) SELECT meeting_id, string_agg(CASE WHEN head THEN chr(10) || gid || ':' || chr(10) ELSE '' END || text, chr(10) ORDER BY seg_idx) AS text FROM a GROUP BY meeting_id")
+def _(spark, d):
+    return reports.transcript(S.segments(spark, d))
+
+
+@query("text_samples", f"WITH {_SEG}, a AS (SELECT meeting_id, gid, left(string_agg(text, ' ' ORDER BY seg_idx), 200) AS sample FROM seg GROUP BY ALL) SELECT * FROM a WHERE length(sample) > 60")
+def _(spark, d):
+    return reports.text_samples(S.segments(spark, d))
+
+
+@query("coverage", f"WITH {_SEG}, e AS (SELECT meeting_id, max(end_s) + 5 AS speech_end FROM seg GROUP BY 1) SELECT meeting_id, round(coalesce(least(max(end_s) / greatest(speech_end, 1.0), 1.0), 0), 4) AS coverage FROM e LEFT JOIN (SELECT * FROM seg WHERE seg_idx > 0) USING (meeting_id) GROUP BY meeting_id, speech_end")
+def _(spark, d):
+    s = S.segments(spark, d)
+    return assembly.coverage(s.filter("seg_idx > 0"), s.groupBy("meeting_id").agg((F.max("end_s") + 5).alias("speech_end")))
+
+
+@query("confusion", f"WITH {_SEG} SELECT meeting_id, sum(n_words) FILTER (WHERE gid = 'G00')::BIGINT AS G00, sum(n_words) FILTER (WHERE gid = 'G01')::BIGINT AS G01, sum(n_words) FILTER (WHERE gid = 'G02')::BIGINT AS G02 FROM seg GROUP BY meeting_id")
+def _(spark, d):
+    return reports.confusion(S.segments(spark, d), ["G00", "G01", "G02"])
+
+
+@query("repetition_guard", f"WITH {_LINES}, a AS (SELECT *, lower(trim(text)) AS k FROM line), b AS (SELECT *, sum(CASE WHEN k IS NOT DISTINCT FROM p THEN 0 ELSE 1 END) OVER (PARTITION BY meeting_id ORDER BY seg_idx) AS run FROM (SELECT *, lag(k) OVER (PARTITION BY meeting_id ORDER BY seg_idx) AS p FROM a)), r AS (SELECT *, count(*) OVER (PARTITION BY meeting_id, run) AS n, row_number() OVER (PARTITION BY meeting_id, run ORDER BY seg_idx) AS i FROM b) SELECT meeting_id, seg_idx::BIGINT AS seg_idx, text FROM r WHERE n < 4 OR i = 1")
+def _(spark, d):
+    return assembly.repetition_guard(S.lines(spark, d)).select("meeting_id", "seg_idx", "text")
+
+
+@query(
+    "seam_overlap",
+    r"""WITH w AS (SELECT doc_id, string_split_regex(trim(text), '\s+') AS ws FROM documents), c AS (SELECT doc_id AS meeting_id, k AS win, ws[k * 20 + 1:k * 20 + 25] AS words FROM (SELECT *, unnest(range(0, greatest(((len(ws) - 6) // 20) + 1, 1))) AS k FROM w)),
+f AS (SELECT meeting_id, win, list_transform(words, lambda x: lower(regexp_replace(x, '^[.,?!]+|[.,?!]+$', '', 'g'))) AS b FROM c), p AS (SELECT *, lag(b) OVER (PARTITION BY meeting_id ORDER BY win) AS a FROM f)
+SELECT meeting_id, win, CASE WHEN a IS NULL THEN 0 ELSE coalesce(list_max(list_filter(range(3, 11), lambda n: n <= least(len(a), len(b) - 1) AND a[len(a) - n + 1:len(a)] = b[1:n])), 0) END::INT AS overlap FROM p""",
+)
+def _(spark, d):
+    ws = S.table(spark, d, "documents").select(F.col("doc_id").alias("meeting_id"), F.split(F.trim("text"), r"\s+").alias("ws"))
+    top = F.greatest(F.floor((F.size("ws") - 6) / 20), F.lit(0)).cast("long")
+    c = ws.withColumn("win", F.explode(F.sequence(F.lit(0).cast("long"), top))).withColumn("words", F.slice("ws", (F.col("win") * 20 + 1).cast("int"), F.lit(25)))
+    return assembly.seams(c.drop("ws")).select("meeting_id", "win", F.col("overlap").cast("int").alias("overlap"))
+
+
+@query("scalar_text", r"""SELECT s_suppkey, regexp_replace(lower(s_name), '[^a-z0-9]+', '', 'g') AS folded, regexp_replace(s_name, '[^\p{L}\p{N}._-]', '_', 'g') AS safe, (s_suppkey * 37 // 3600) || ':' || lpad(((s_suppkey * 37 % 3600) // 60)::VARCHAR, 2, '0') || ':' || lpad((s_suppkey * 37 % 60)::VARCHAR, 2, '0') AS hms, 'G' || lpad(s_suppkey::VARCHAR, greatest(2, length(s_suppkey::VARCHAR))::INT, '0') AS tag FROM supplier""")
+def _(spark, d):
+    s = S.table(spark, d, "supplier")
+    return s.select("s_suppkey", T.fold(F.col("s_name")).alias("folded"), T.safe(F.col("s_name")).alias("safe"), T.hms(F.col("s_suppkey") * 37).alias("hms"), T.tagged(F.col("s_suppkey")).alias("tag"))
+
+
+@query(
+    "slug",
+    r"""WITH a AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(lower(string_split(text, chr(10))[1]), '[^\p{L}\p{N}\p{M}_\s-]+', ' ', 'g'), '[\s_-]+'), lambda x: x <> '')[1:5] AS w FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, w, coalesce(w[1], 'meeting') AS s1 FROM a),
+c AS (SELECT *, len(w) >= 2 AND length(s1 || '-' || w[2]) <= 40 AS g2 FROM b), e AS (SELECT *, CASE WHEN g2 THEN s1 || '-' || w[2] ELSE s1 END AS s2 FROM c),
+f AS (SELECT *, g2 AND len(w) >= 3 AND length(s2 || '-' || w[3]) <= 40 AS g3 FROM e), g AS (SELECT *, CASE WHEN g3 THEN s2 || '-' || w[3] ELSE s2 END AS s3 FROM f),
+h AS (SELECT *, g3 AND len(w) >= 4 AND length(s3 || '-' || w[4]) <= 40 AS g4 FROM g), i AS (SELECT *, CASE WHEN g4 THEN s3 || '-' || w[4] ELSE s3 END AS s4 FROM h)
+SELECT doc_id, CASE WHEN g4 AND len(w) >= 5 AND length(s4 || '-' || w[5]) <= 40 THEN s4 || '-' || w[5] ELSE s4 END AS slug FROM i""",
+)
+def _(spark, d):
+    return S.table(spark, d, "documents").filter("text is not null").select("doc_id", T.slug(F.split("text", "\n")[0]).alias("slug"))
+
+
+# --- intervals ---
+
+
+@query("other_speakers", f"WITH {_SPAN} SELECT a.meeting_id, a.seg_idx, b.seg_idx AS other_idx, round(least(a.end_s, b.end_s) - greatest(a.start_s, b.start_s), 3) AS seconds FROM span a JOIN span b ON a.meeting_id = b.meeting_id AND a.local_label <> b.local_label AND a.start_s < b.end_s AND b.start_s < a.end_s")
+def _(spark, d):
+    return assembly.other_speakers(S.intervals(spark, d)).withColumn("seconds", F.round("seconds", 3))
+
+
+@query("orphan_cover", f"WITH {_SPAN}, j AS (SELECT a.meeting_id, a.seg_idx, a.end_s - a.start_s AS dur, least(a.end_s, b.end_s) - greatest(a.start_s, b.start_s) AS s FROM span a JOIN span b ON a.meeting_id = b.meeting_id AND a.local_label <> b.local_label AND a.start_s < b.end_s AND b.start_s < a.end_s) SELECT meeting_id, seg_idx, count(*) AS touched, round(sum(s), 3) AS covered, sum(s) >= 0.5 * max(dur) AS enough FROM j GROUP BY ALL")
+def _(spark, d):
+    s = S.intervals(spark, d)
+    j = assembly.other_speakers(s).join(s.select("meeting_id", "seg_idx", (F.col("end_s") - F.col("start_s")).alias("dur")), ["meeting_id", "seg_idx"])
+    return j.groupBy("meeting_id", "seg_idx").agg(F.count("*").alias("touched"), F.round(F.sum("seconds"), 3).alias("covered"), (F.sum("seconds") >= DEFAULTS.covered_enough * F.max("dur")).alias("enough"))
+
+
+@query("speaker_seconds", f"WITH {_SPAN} SELECT a.meeting_id, a.local_label, b.local_label AS reference, round(sum(least(a.end_s, b.end_s) - greatest(a.start_s, b.start_s)), 2) AS seconds FROM span a JOIN span b ON a.meeting_id = b.meeting_id AND a.local_label <> b.local_label AND a.start_s < b.end_s AND b.start_s < a.end_s GROUP BY ALL")
+def _(spark, d):
+    s = S.intervals(spark, d)
+    label = s.select("meeting_id", "seg_idx", "local_label")
+    j = assembly.other_speakers(s).join(label, ["meeting_id", "seg_idx"]).join(label.select("meeting_id", F.col("seg_idx").alias("other_idx"), F.col("local_label").alias("reference")), ["meeting_id", "other_idx"])
+    return j.groupBy("meeting_id", "local_label", "reference").agg(F.round(F.sum("seconds"), 2).alias("seconds"))
+
+
+@query("turns", f"WITH {_SPAN}, a AS (SELECT *, sum(CASE WHEN local_label IS NOT DISTINCT FROM p THEN 0 ELSE 1 END) OVER (PARTITION BY meeting_id ORDER BY start_s, seg_idx) AS turn FROM (SELECT *, lag(local_label) OVER (PARTITION BY meeting_id ORDER BY start_s, seg_idx) AS p FROM span)) SELECT meeting_id, turn::BIGINT AS turn, local_label, round(min(start_s), 3) AS start_s, round(max(end_s), 3) AS end_s, count(*) AS n FROM a GROUP BY meeting_id, turn, local_label")
+def _(spark, d):
+    return assembly.turns(S.intervals(spark, d)).withColumn("start_s", F.round("start_s", 3)).withColumn("end_s", F.round("end_s", 3))
+
+
+@query("free_gaps", f"WITH {_SPAN} SELECT meeting_id, seg_idx, round(greatest(start_s - max(end_s) OVER (PARTITION BY meeting_id ORDER BY start_s, seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 3) AS gap_s FROM span")
+def _(spark, d):
+    return assembly.free_run(S.intervals(spark, d)).withColumn("gap_s", F.round("gap_s", 3))
+
+
+@query("embed_spans", f"WITH {_SPAN}, a AS (SELECT *, start_s + 0.2::DOUBLE AS a, end_s - 0.2::DOUBLE AS b FROM span), c AS (SELECT *, CASE WHEN b - a > 20 THEN (a + b) / 2 - 10 ELSE a END AS f, CASE WHEN b - a > 20 THEN (a + b) / 2 + 10 ELSE b END AS t FROM a) SELECT meeting_id, seg_idx, round(f, 3) AS from_s, round(t, 3) AS to_s FROM c WHERE t - f >= 0.5")
+def _(spark, d):
+    return assembly.embed_spans(S.intervals(spark, d)).select("meeting_id", "seg_idx", F.round("from_s", 3).alias("from_s"), F.round("to_s", 3).alias("to_s"))
+
+
+@query("hop_windows", f"WITH {_SPAN}, a AS (SELECT *, unnest(range(greatest(floor((start_s - 7200) / 3600) + 1, 0)::BIGINT, floor(start_s / 3600)::BIGINT + 1)) AS k FROM span) SELECT meeting_id, k, count(*) AS n FROM a GROUP BY ALL")
+def _(spark, d):
+    return assembly.windows_of(S.intervals(spark, d), 7200.0, 3600.0).groupBy("meeting_id", "k").agg(F.count("*").alias("n"))
+
+
+@query("silence_gate", f"WITH {_SPAN}, fr AS (SELECT meeting_id, floor(start_s / 600)::BIGINT AS frame, count(*) AS level FROM span GROUP BY ALL) SELECT meeting_id, seg_idx FROM span s WHERE EXISTS (SELECT 1 FROM fr WHERE fr.meeting_id = s.meeting_id AND level >= 1 AND frame >= floor(s.start_s / 600) AND frame < floor(s.end_s / 600))")
+def _(spark, d):
+    s = S.intervals(spark, d)
+    frames = s.groupBy("meeting_id", F.floor(F.col("start_s") / 600).cast("long").alias("frame")).agg(F.count("*").alias("level"))
+    return assembly.silence_gate(s, frames, 1, 600.0).select("meeting_id", "seg_idx")
+
+
+@query("tumbling_counts", "SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def _(spark, d):
+    return windows.tumbling(S.table(spark, d, "events")).withColumn("total", F.round("total", 4))
+
+
+@query("hopping_counts", "WITH a AS (SELECT time_bucket(INTERVAL 10 MINUTE, ts) - unnest(range(0, 3)) * INTERVAL 10 MINUTE AS start FROM events) SELECT start, count(*) AS n FROM a GROUP BY ALL")
+def _(spark, d):
+    return windows.hopping(S.table(spark, d, "events"))
+
+
+@query("session_counts", 'WITH a AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM events), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 10 MINUTE AS "end", count(*) AS n FROM b GROUP BY user_id, s')
+def _(spark, d):
+    return windows.sessions(S.table(spark, d, "events"))
+
+
+@query("channel_vote", "WITH a AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS k, sum(n) OVER (PARTITION BY user_id) AS al FROM a), m AS (SELECT user_id, quantile_cont(value, 0.5) AS m FROM events GROUP BY 1) SELECT user_id, event_type AS kind, round(n / al, 6) AS agreement, round(m, 6) AS median_value FROM b JOIN m USING (user_id) WHERE k = 1")
+def _(spark, d):
+    return reports.channel_vote(S.table(spark, d, "events"))
+
+
+# --- voices ---
+
+
+@query("named_share", f"WITH {_ATOM}, b AS (SELECT meeting_id, vec_id, sec, max(sim) AS s FROM score GROUP BY ALL) SELECT meeting_id, count(*) AS n_atoms, round(sum(CASE WHEN s >= 0.62 THEN sec ELSE 0 END) / sum(sec), 4) AS named_share FROM b GROUP BY meeting_id")
+def _(spark, d):
+    return matching.named_share(matching.scores(S.atoms(spark, d), S.bank(spark, d)))
+
+
+@query("voice_margins", f"WITH {_ATOM}, a AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, person) AS k, lead(sim) OVER (PARTITION BY vec_id ORDER BY sim DESC, person) AS nx FROM score) SELECT vec_id, person, round(sim, 6) AS sim, round(sim - nx, 6) AS margin FROM a WHERE k = 1")
+def _(spark, d):
+    m = matching.margins(matching.scores(S.atoms(spark, d), S.bank(spark, d)))
+    return m.withColumn("sim", F.round("sim", 6)).withColumn("margin", F.round("margin", 6))
+
+
+@query("suggested_people", f"WITH {_ATOM}, a AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, person) AS rank FROM score) SELECT vec_id, rank::INT AS rank, person, round(sim, 6) AS sim FROM a WHERE rank <= 4")
+def _(spark, d):
+    return matching.top_people(matching.scores(S.atoms(spark, d), S.bank(spark, d))).select("vec_id", F.col("rank").cast("int").alias("rank"), "person", F.round("sim", 6).alias("sim"))
+
+
+_POOLED = f"WITH {_ATOM}, e AS (SELECT meeting_id, label, i, sum(v[i] * w) / sum(w) AS x FROM (SELECT meeting_id, label, v, WEIGHT AS w, unnest(range(1, 65)) AS i FROM atom) GROUP BY ALL), n AS (SELECT meeting_id, label, sqrt(sum(x * x)) AS nrm FROM e GROUP BY ALL) SELECT meeting_id, label, i::INT - 1 AS i, round(x / nrm, 5) AS x FROM e JOIN n USING (meeting_id, label) WHERE i <= 4"
+
+
+def _flat(p: DataFrame) -> DataFrame:
+    return p.select("meeting_id", "label", F.posexplode(F.slice("v", 1, 4)).alias("i", "x")).withColumn("x", F.round("x", 5))
+
+
+@query("pooled_atoms", _POOLED.replace("WEIGHT", "1"))
+def _(spark, d):
+    return _flat(matching.pool(S.atoms(spark, d), "meeting_id", "label"))
+
+
+@query("weighted_centroids", _POOLED.replace("WEIGHT", "sec"))
+def _(spark, d):
+    return _flat(matching.pool(S.atoms(spark, d), "meeting_id", "label", weight="sec"))
+
+
+_PAIRS = "pair AS (SELECT a.vec_id AS a, b.vec_id AS b, CASE WHEN a.label = b.label THEN 0.65 ELSE 0 END::DOUBLE + 0.35::DOUBLE * list_inner_product(a.v, b.v) AS sim FROM atom a JOIN atom b ON a.vec_id < b.vec_id)"
+
+
+def _vectors(spark, d):
+    return S.atoms(spark, d).select(F.col("vec_id").alias("id"), "label", "v")
+
+
+@query("similar_pairs", f"WITH {_ATOM}, {_PAIRS} SELECT a, b, round(sim, 6) AS sim FROM pair WHERE sim >= 0.72")
+def _(spark, d):
+    return linking.similar_pairs(_vectors(spark, d), DEFAULTS.keep_exemplar).withColumn("sim", F.round("sim", 6))
+
+
+@query("linked_groups", f"WITH RECURSIVE {_ATOM}, {_PAIRS}, e AS (SELECT a, b FROM pair WHERE sim >= 0.75 UNION SELECT b, a FROM pair WHERE sim >= 0.75), r AS (SELECT a AS node, a AS cur FROM e UNION SELECT r.node, e.b AS cur FROM r JOIN e ON r.cur = e.a) SELECT node, min(cur) AS label FROM r GROUP BY node")
+def _(spark, d):
+    return linking.connected(linking.similar_pairs(_vectors(spark, d), DEFAULTS.link_accept))
+
+
+@query("weakest_link", f"WITH {_ATOM}, {_PAIRS} SELECT count(*) AS n, round(min(sim), 6) AS weakest FROM pair WHERE sim >= 0.75")
+def _(spark, d):
+    return linking.similar_pairs(_vectors(spark, d), DEFAULTS.link_accept).agg(F.count("*").alias("n"), F.round(F.min("sim"), 6).alias("weakest"))
+
+
+@query("corroboration", f"WITH {_ATOM}, {_PAIRS}, e AS (SELECT a, b FROM pair WHERE sim >= 0.72 UNION ALL SELECT b, a FROM pair WHERE sim >= 0.72) SELECT a AS vec_id, count(*) AS agreeing FROM e GROUP BY a HAVING count(*) >= 3")
+def _(spark, d):
+    p = linking.similar_pairs(_vectors(spark, d), DEFAULTS.keep_exemplar)
+    e = p.select(F.explode(F.array("a", "b")).alias("vec_id"))
+    return e.groupBy("vec_id").agg(F.count("*").alias("agreeing")).filter(F.col("agreeing") >= DEFAULTS.min_corroboration - 1)
+
+
+@query("cannot_link", f"WITH {_ATOM}, w AS (SELECT meeting_id, win FROM atom GROUP BY ALL HAVING count(DISTINCT local_label) <= 10), x AS (SELECT * FROM atom JOIN w USING (meeting_id, win) WHERE sec >= 6) SELECT x.meeting_id, x.win, x.vec_id AS a, y.vec_id AS b FROM x JOIN x y ON x.meeting_id = y.meeting_id AND x.win = y.win AND x.vec_id < y.vec_id AND x.local_label <> y.local_label")
+def _(spark, d):
+    return linking.cannot_link(S.atoms(spark, d), DEFAULTS.durable_s, DEFAULTS.guard)
+
+
+@query("min_k", f"WITH {_ATOM}, k AS (SELECT meeting_id, win, count(DISTINCT local_label) AS k FROM atom WHERE sec >= 6 GROUP BY ALL HAVING count(DISTINCT local_label) <= 10) SELECT meeting_id, coalesce(max(k), 1) AS min_k FROM (SELECT DISTINCT meeting_id FROM atom) LEFT JOIN k USING (meeting_id) GROUP BY meeting_id")
+def _(spark, d):
+    return linking.min_k(S.atoms(spark, d), DEFAULTS.durable_s, DEFAULTS.guard)
+
+
+@query("core_set", f"WITH {_ATOM}, a AS (SELECT *, max(CASE WHEN sec >= 50 THEN 1 ELSE 0 END) OVER w AS p, max(CASE WHEN sec > 0 THEN 1 ELSE 0 END) OVER w AS q, row_number() OVER (PARTITION BY meeting_id, win ORDER BY sec DESC, vec_id) AS k FROM atom WINDOW w AS (PARTITION BY meeting_id, win)) SELECT meeting_id, win, vec_id FROM a WHERE CASE WHEN p = 1 THEN sec >= 50 WHEN q = 1 THEN sec > 0 ELSE k = 1 END")
+def _(spark, d):
+    return linking.core_set(S.atoms(spark, d), 50.0, "meeting_id", "win").select("meeting_id", "win", "vec_id")
+
+
+@query("nearest_centre", f"WITH {_ATOM}, s AS (SELECT atom.vec_id, c.vec_id AS centre, CASE WHEN atom.label = c.label THEN 0.65 ELSE 0 END::DOUBLE + 0.35::DOUBLE * list_inner_product(atom.v, c.v) AS sim FROM atom, atom c WHERE c.vec_id < 12) SELECT vec_id, centre, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, centre) AS k FROM s) WHERE k = 1")
+def _(spark, d):
+    a = S.atoms(spark, d)
+    c = a.filter("vec_id < 12").select(F.col("vec_id").alias("centre"), F.col("label").alias("clabel"), F.col("v").alias("cv"))
+    return matching.nearest(a, c).withColumn("sim", F.round("sim", 6))
+
+
+@query("window_assignment")
+def _(spark, d):
+    return matching.one_to_one(matching.scores(S.atoms(spark, d), S.bank(spark, d))).withColumn("sim", F.round("sim", 6))
+
+
+@query("meeting_clusters")
+def _(spark, d):
+    return clustering.cluster_meetings(S.atoms(spark, d))
+
+
+@query("linkage_merges")
+def _(spark, d):
+    return clustering.merge_steps(S.atoms(spark, d))
+
+
+@query("cluster_violations", f"WITH {_ATOM} SELECT meeting_id, vec_id AS a, vec_id AS b FROM atom WHERE false")
+def _(spark, d):
+    a = S.atoms(spark, d)
+    return clustering.violations(clustering.cluster_meetings(a), linking.cannot_link(a, DEFAULTS.durable_s, DEFAULTS.guard))
+
+
+@query("covering_sets")
+def _(spark, d):
+    return clustering.covering_sets(S.atoms(spark, d), "label")
+
+
+# --- store and reports ---
+
+
+@query("review_queue", f"WITH {_ATOM}, {_STORE} SELECT group_id, count(*) AS n_clusters, count(DISTINCT meeting_id) AS meetings, sum(seconds) AS seconds FROM clu JOIN grp USING (group_id) WHERE speaker_id IS NULL GROUP BY group_id HAVING sum(seconds) >= 60 ORDER BY meetings DESC, seconds DESC, group_id LIMIT 15")
+def _(spark, d):
+    return reports.review_queue(S.clusters(spark, d), S.groups(spark, d))
+
+
+@query("group_report", f"WITH {_ATOM}, {_STORE} SELECT group_id, name, count(cluster) AS n_clusters, count(DISTINCT meeting_id) AS meetings, coalesce(sum(seconds), 0) AS seconds FROM grp LEFT JOIN clu USING (group_id) LEFT JOIN spk ON speaker_id = id GROUP BY group_id, name")
+def _(spark, d):
+    return reports.group_report(S.groups(spark, d), S.clusters(spark, d), S.speakers(spark, d))
+
+
+@query("speaker_list", f"WITH {_ATOM}, {_STORE} SELECT id, name, count(condition) AS conditions, coalesce(sum(seconds), 0) AS seconds FROM spk LEFT JOIN exe ON speaker_id = id GROUP BY id, name")
+def _(spark, d):
+    return reports.speaker_list(S.speakers(spark, d), S.exemplars(spark, d))
+
+
+@query("named_bank", f"WITH {_ATOM}, {_STORE} SELECT name, condition, seconds, round(v[1], 6) AS v0 FROM exe JOIN spk ON speaker_id = id WHERE name <> 'Speaker_4'")
+def _(spark, d):
+    s = S.speakers(spark, d).filter("name <> 'Speaker_4'")
+    e = S.exemplars(spark, d)
+    return e.join(s, e["speaker_id"] == s["id"]).select("name", "condition", "seconds", F.round(F.col("v")[0], 6).alias("v0"))
+
+
+@query("inherited_names", f"WITH {_ATOM}, {_STORE}, a AS (SELECT meeting_id, speaker_id, sum(seconds) AS s FROM clu JOIN grp USING (group_id) GROUP BY ALL), b AS (SELECT *, s / sum(s) OVER (PARTITION BY meeting_id) AS share FROM a), c AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY s DESC, speaker_id DESC) AS k FROM b WHERE speaker_id IS NOT NULL) SELECT meeting_id, speaker_id, round(share, 6) AS share FROM c WHERE k = 1 AND share >= 0.15")
+def _(spark, d):
+    return reports.inherited_names(S.clusters(spark, d), S.groups(spark, d), 0.15)
+
+
+@query("names_from_groups", f"WITH {_ATOM}, {_STORE} SELECT meeting_id, cluster, name FROM clu JOIN grp USING (group_id) JOIN spk ON speaker_id = id")
+def _(spark, d):
+    g = S.groups(spark, d).join(S.speakers(spark, d).withColumnRenamed("id", "speaker_id"), "speaker_id")
+    return S.clusters(spark, d).join(g, "group_id").select("meeting_id", "cluster", "name")
+
+
+@query("weak_suspects", f"WITH {_ATOM}, {_STORE}, f AS (SELECT vec_id, label, sec, max(sim) AS fit FROM score WHERE person = label GROUP BY ALL) SELECT vec_id, label, round(fit, 6) AS fit FROM f WHERE fit < 0.62 AND sec >= 10 ORDER BY fit, vec_id LIMIT 10")
+def _(spark, d):
+    s = matching.scores(S.atoms(spark, d), S.bank(spark, d)).filter("person = label")
+    f = s.groupBy("vec_id", "label", "sec").agg(F.max("sim").alias("fit")).filter((F.col("fit") < 0.62) & (F.col("sec") >= DEFAULTS.min_enroll_sec))
+    return f.orderBy("fit", "vec_id").limit(10).select("vec_id", "label", F.round("fit", 6).alias("fit"))
+
+
+@query("cluster_stats", f"WITH {_ATOM}, {_STORE} SELECT meeting_id, count(*) AS n, count(*) FILTER (WHERE seconds >= 60) AS linkable, median(seconds) AS median_s, sum(seconds) AS total_s FROM clu GROUP BY meeting_id")
+def _(spark, d):
+    return S.clusters(spark, d).groupBy("meeting_id").agg(F.count("*").alias("n"), F.count_if(F.col("seconds") >= DEFAULTS.min_link_sec).alias("linkable"), F.median("seconds").alias("median_s"), F.sum("seconds").alias("total_s"))
+
+
+@query("height_gaps", f"WITH {_ATOM}, {_STORE}, a AS (SELECT meeting_id, seconds, lead(seconds) OVER (PARTITION BY meeting_id ORDER BY seconds, group_id) - seconds AS gap FROM clu), b AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY gap DESC, seconds) AS k FROM a WHERE gap IS NOT NULL) SELECT meeting_id, seconds AS at, gap FROM b WHERE k = 1")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    a = S.clusters(spark, d).withColumn("gap", F.lead("seconds").over(Window.partitionBy("meeting_id").orderBy("seconds", "group_id")) - F.col("seconds")).filter("gap is not null")
+    b = a.withColumn("k", F.row_number().over(Window.partitionBy("meeting_id").orderBy(F.desc("gap"), "seconds")))
+    return b.filter("k = 1").select("meeting_id", F.col("seconds").alias("at"), "gap")
+
+
+def _store(spark, d) -> store.Store:
+    return store.Store(S.speakers(spark, d), S.groups(spark, d), S.clusters(spark, d), S.exemplars(spark, d))
+
+
+@query("forget_speaker", f"WITH {_ATOM}, {_STORE} SELECT group_id, CASE WHEN speaker_id = 4 THEN NULL ELSE speaker_id END AS speaker_id, (SELECT count(*) FROM exe WHERE exe.speaker_id = grp.speaker_id AND exe.speaker_id <> 4) AS exemplars FROM grp")
+def _(spark, d):
+    s = store.forget_speaker(_store(spark, d), 4)
+    n = s.exemplars.groupBy("speaker_id").agg(F.count("*").alias("exemplars"))
+    return s.groups.join(n, "speaker_id", "left").select("group_id", "speaker_id", F.coalesce("exemplars", F.lit(0)).cast("long").alias("exemplars"))
+
+
+@query("insert_speakers", f"WITH {_ATOM}, {_STORE}, n AS (SELECT 100 + label::BIGINT AS id, 'Speaker_' || label AS name FROM (SELECT DISTINCT label FROM embeddings)) SELECT * FROM spk UNION ALL SELECT * FROM n WHERE name NOT IN (SELECT name FROM spk)")
+def _(spark, d):
+    new = S.table(spark, d, "embeddings").select("label").distinct().select((100 + F.col("label")).cast("long").alias("id"), F.concat(F.lit("Speaker_"), F.col("label").cast("string")).alias("name"))
+    return store.insert_speakers(_store(spark, d), new).speakers
+
+
+@query("upsert_clusters", f"WITH {_ATOM}, {_STORE} SELECT n.meeting_id, n.cluster, n.seconds, CASE WHEN n.n_atoms = o.n_atoms THEN o.group_id END AS group_id FROM (SELECT meeting_id, 'G0' || label AS cluster, sum(sec) AS seconds, count(*) AS n_atoms FROM atom WHERE win <> 1 AND meeting_id < 20 GROUP BY ALL) n LEFT JOIN clu o ON n.meeting_id = o.meeting_id AND n.cluster = o.cluster")
+def _(spark, d):
+    new = S.atoms(spark, d).filter("win <> 1 and meeting_id < 20").groupBy("meeting_id", F.concat(F.lit("G0"), F.col("label").cast("string")).alias("cluster")).agg(F.sum("sec").alias("seconds"), F.count("*").alias("digest"))
+    old = S.clusters(spark, d).select("meeting_id", "cluster", "seconds", F.col("n_atoms").alias("digest"), "group_id")
+    return store.upsert_clusters(old, new).select("meeting_id", "cluster", "seconds", "group_id")
+
+
+@query("pooled_exemplars", f"WITH {_ATOM}, {_STORE}, b AS (SELECT speaker_id, condition, v, seconds FROM exe UNION ALL SELECT speaker_id, condition, list_reverse(v), 10.0 FROM exe WHERE condition = 'room'), e AS (SELECT speaker_id, condition, i, sum(v[i] * seconds) / sum(seconds) AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM b) GROUP BY ALL), n AS (SELECT speaker_id, condition, sqrt(sum(x * x)) AS nrm FROM e GROUP BY ALL) SELECT e.speaker_id, e.condition, round(x / nrm, 5) AS v0, s AS seconds FROM e JOIN n USING (speaker_id, condition) JOIN (SELECT speaker_id, condition, sum(seconds) AS s FROM b GROUP BY ALL) USING (speaker_id, condition) WHERE i = 1")
+def _(spark, d):
+    e = S.exemplars(spark, d)
+    new = e.filter("condition = 'room'").select("speaker_id", "condition", F.reverse("v").alias("v"), F.lit(10.0).alias("seconds"))
+    return store.pool_exemplars(e, new).select("speaker_id", "condition", F.round(F.col("v")[0], 5).alias("v0"), "seconds")
+
+
+@query("store_integrity", "SELECT unnest(['groups.speaker', 'exemplars.speaker', 'clusters.group', 'speakers.name', 'clusters.key', 'exemplars.key']) AS problem, 0::BIGINT AS n")
+def _(spark, d):
+    return store.integrity(_store(spark, d))
+
+
+@query("near_names", "WITH a AS (SELECT DISTINCT s_name AS n, regexp_replace(lower(s_name), '[^a-z0-9]+', '', 'g') AS f FROM supplier) SELECT x.n AS a_name, y.n AS b_name FROM a x JOIN a y ON x.n <> y.n AND levenshtein(x.f, y.f) <= 1")
+def _(spark, d):
+    n = S.table(spark, d, "supplier").select(F.col("s_name").alias("name"))
+    return store.near_names(n, n, 1)
+
+
+@query("resolve_meetings", "WITH m AS (SELECT page_id AS meeting_id, url AS title FROM pages), r AS (SELECT unnest(['7', 'http', 'zzz', '42', '.com']) AS ref), j AS (SELECT ref, meeting_id, CASE WHEN meeting_id::VARCHAR = ref THEN 1 WHEN starts_with(title, ref) THEN 2 WHEN contains(title, ref) THEN 3 END AS tier FROM m, r), g AS (SELECT ref, tier, count(*) AS n, min(meeting_id) AS meeting_id FROM j WHERE tier IS NOT NULL GROUP BY ALL), f AS (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY tier) AS k FROM g) SELECT r.ref, CASE WHEN n = 1 THEN meeting_id END AS meeting_id FROM r LEFT JOIN (SELECT * FROM f WHERE k = 1) USING (ref)")
+def _(spark, d):
+    m = S.table(spark, d, "pages").select(F.col("page_id").alias("meeting_id"), F.col("url").alias("title"))
+    return reports.resolve(m, spark.createDataFrame([(x,) for x in ("7", "http", "zzz", "42", ".com")], "ref string"))
+
+
+_LABELLED = "SELECT doc_id, source FROM documents WHERE doc_id {} IN (SELECT doc_id FROM labels)"
+
+
+@query("unlabelled_meetings", _LABELLED.format("NOT"))
+def _(spark, d):
+    return S.table(spark, d, "documents").join(S.table(spark, d, "labels"), "doc_id", "left_anti").select("doc_id", "source")
+
+
+@query("labelled_meetings", _LABELLED.format(""))
+def _(spark, d):
+    return S.table(spark, d, "documents").join(S.table(spark, d, "labels"), "doc_id", "left_semi").select("doc_id", "source")
+
+
+@query("manifest_lookup", "WITH f AS (SELECT doc_id, source || '/' || doc_id AS name, source AS stem FROM documents), m AS (SELECT 'src' || (doc_id % 20) || '/' || doc_id AS key, CASE WHEN quality = 1 THEN 'good' ELSE '' END AS glossary FROM labels UNION ALL SELECT 'src3', 'stem') SELECT f.name, coalesce(nullif(a.glossary, ''), nullif(b.glossary, ''), 'none') AS glossary FROM f LEFT JOIN m a ON a.key = f.name LEFT JOIN m b ON b.key = f.stem")
+def _(spark, d):
+    f = S.table(spark, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("name"), F.col("source").alias("stem"))
+    m = S.table(spark, d, "labels").select(F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string"), F.lit("/"), F.col("doc_id").cast("string")).alias("key"), F.when(F.col("quality") == 1, "good").otherwise("").alias("glossary"))
+    return reports.manifest_lookup(f, m.unionByName(spark.createDataFrame([("src3", "stem")], "key string, glossary string")), "none")
+
+
+@query("name_diff", "WITH b AS (SELECT doc_id AS key, quality AS name FROM labels WHERE doc_id % 3 <> 0), a AS (SELECT doc_id AS key, toxic AS name FROM labels WHERE doc_id % 3 <> 1) SELECT key, CASE WHEN b.name IS NULL THEN 'gained' WHEN a.name IS NULL THEN 'lost' ELSE 'changed' END AS change FROM b FULL JOIN a USING (key) WHERE b.name IS DISTINCT FROM a.name")
+def _(spark, d):
+    x = S.table(spark, d, "labels")
+    return reports.name_diff(x.filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("key"), F.col("quality").alias("name")), x.filter("doc_id % 3 <> 1").select(F.col("doc_id").alias("key"), F.col("toxic").alias("name")))
