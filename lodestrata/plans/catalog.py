@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
-from lodestrata.operators import assembly, clustering, linking, matching, reports, store
+from lodestrata.operators import assembly, clustering, linking, matching, recovery, reports, store
 from lodestrata.params import DEFAULTS
 from lodestrata.sources import tables as S
 from lodestrata.streaming import windows
@@ -457,3 +457,34 @@ def _(spark, d):
 def _(spark, d):
     x = S.table(spark, d, "labels")
     return reports.name_diff(x.filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("key"), F.col("quality").alias("name")), x.filter("doc_id % 3 <> 1").select(F.col("doc_id").alias("key"), F.col("toxic").alias("name")))
+
+
+# --- sequential rules ---
+
+
+@query("meeting_labels")
+def _(spark, d):
+    return recovery.label_meetings(S.atoms(spark, d), S.bank(spark, d, 2).filter("person % 2 = 0"))
+
+
+@query("recovered_orphans")
+def _(spark, d):
+    s = S.segments(spark, d)
+    return recovery.recover_orphans(assembly.core_owned(s, F.col("win") * 30.0, F.col("win") * 30.0 + 30))
+
+
+@query("trimmed_seams")
+def _(spark, d):
+    ws = S.table(spark, d, "documents").filter("text is not null").select(F.col("doc_id").cast("long").alias("meeting_id"), F.split(F.trim("text"), r"\s+").alias("ws"))
+    top = F.greatest(F.floor((F.size("ws") - 6) / 20), F.lit(0)).cast("long")
+    c = ws.withColumn("win", F.explode(F.sequence(F.lit(0).cast("long"), top))).select("meeting_id", "win", F.array_join(F.slice("ws", (F.col("win") * 20 + 1).cast("int"), F.lit(25)), " ").alias("text"))
+    return recovery.trim_seams_of(c)
+
+
+@query("tagged_pieces", r"""WITH a AS (SELECT meeting_id, regexp_extract_all(t, '\[(\d+(?:\.\d+)?)\]\[(S\d+)\]([^\[]*)\[(\d+(?:\.\d+)?)\]', 2) AS l, regexp_extract_all(t, '\[(\d+(?:\.\d+)?)\]\[(S\d+)\]([^\[]*)\[(\d+(?:\.\d+)?)\]', 1) AS s FROM (SELECT conv_id AS meeting_id, string_agg('[' || turn || ']' || CASE role WHEN 'user' THEN '[S01]' WHEN 'assistant' THEN '[S02]' ELSE '[S03]' END || replace(text, '[', '(') || '[' || (turn + 1) || ']', '' ORDER BY turn) AS t FROM conversations GROUP BY conv_id)) SELECT meeting_id, unnest(s)::DOUBLE AS start_in, unnest(l) AS local_label FROM a""")
+def _(spark, d):
+    c = S.table(spark, d, "conversations")
+    tag = F.when(F.col("role") == "user", "[S01]").when(F.col("role") == "assistant", "[S02]").otherwise("[S03]")
+    t = F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("]"), tag, F.replace("text", F.lit("["), F.lit("(")), F.lit("["), (F.col("turn") + 1).cast("string"), F.lit("]"))
+    m = c.withColumn("t", t).groupBy(F.col("conv_id").alias("meeting_id")).agg(F.expr("listagg(t, '') WITHIN GROUP (ORDER BY turn)").alias("t"))
+    return m.select("meeting_id", F.explode(recovery.parse_tagged(F.col("t"))).alias("x")).select("meeting_id", "x.start_in", "x.local_label")
