@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.runtime import shared_folder, ship
+
 #: Code points that the contracts call white space.
 WS = " \t\n\x0b\x0c\r"
 
@@ -47,20 +45,6 @@ def texts(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send the package to the executors unless their PYTHONPATH has it."""
-    package = Path(__file__).resolve().parents[1]
-    context = spark.sparkContext
-    if str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_lodestrata", False):
-        return
-    archive = Path(tempfile.mkdtemp(prefix="lodestrata-")) / "lodestrata.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in package.rglob("*.py"):
-            z.write(f, f.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    context._lodestrata = True
-
-
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch | None], Iterable[dict]]], last: bool = False) -> DataFrame:
     """Arrow map. ``make()`` runs once per task and gives a function from a batch to column dicts. With ``last`` the function is called with None behind the last batch."""
 
@@ -86,11 +70,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:  # unset only in local tests, where every task shares this machine
-            root = tempfile.mkdtemp(prefix="lodestrata-")
-            spark.conf.set("spark.checkpoint.dir", root)
-        self.root = f"{root.rstrip('/')}/lodestrata/{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
