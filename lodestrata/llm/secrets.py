@@ -89,7 +89,7 @@ class Markov:
 
 
 def _weak_labels(text: str) -> Iterable[tuple[str, int]]:
-    """Samples of one text: what the rules find is random, its other words are ordinary."""
+    """Samples of one text: what the rules find is random, its other words short of a candidate's length are ordinary."""
     spans = base_spans(text)
     for s, kind, e in spans:
         if kind:
@@ -97,7 +97,7 @@ def _weak_labels(text: str) -> Iterable[tuple[str, int]]:
         else:
             yield _ASSIGN.match(text, s)[2], 1
     for m in _WORD.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, _, e in spans):
+        if m.end() - m.start() < 20 and not any(s < m.end() and m.start() < e for s, _, e in spans):
             yield m[0], 0
 
 

@@ -126,9 +126,11 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, min_docs: in
         space.drop("sample")
         return OrdinalModel({}, [50.0])
     n = good + bad
-    chi2 = F.lit(n) * F.pow(F.col("bad") * good - F.col("good") * bad, F.lit(2.0)) / ((F.col("good") + F.col("bad")) * (F.lit(n) - F.col("good") - F.col("bad")) * good * bad)
+    # chi-squared = above / below; a feature that every text has tells nothing
+    above = F.lit(n) * F.pow(F.col("bad") * good - F.col("good") * bad, F.lit(2.0))
+    below = (F.col("good") + F.col("bad")) * (F.lit(n) - F.col("good") - F.col("bad")) * good * bad
     counts = C.map_rows(sample, "f string, good long, bad long", make).groupBy("f").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    picked = {r["f"]: r["bad"] / bad > r["good"] / good for r in counts.filter((F.col("good") + F.col("bad") >= min_docs) & (chi2 >= min_chi2)).collect()}
+    picked = {r["f"]: r["bad"] / bad > r["good"] / good for r in counts.filter((F.col("good") + F.col("bad") >= min_docs) & (below > 0) & (above >= min_chi2 * below)).collect()}
     blank = OrdinalModel(dict.fromkeys(picked, 0.0), [0.0])
     names, index = blank.names, blank.index
 
