@@ -11,10 +11,10 @@ of smaller doc_id. Texts are packed into blocks; matches never cross texts.
   the anchor, are sorted within the block, front-coded (length of the prefix
   shared with the one before, and the rest) and merged by prefix-aware loser
   trees. Equal contexts show as shared prefixes of full length: all but those
-  of the first document are repeats as a whole. Where suffixes with one anchor
-  string have several contexts, each context's first document goes on.
-* Windows. All windows of these anchors are sorted, front-coded and merged in
-  the same way; equal ones in a smaller document are repeats.
+  of the first document are repeats as a whole.
+* Windows. Where suffixes with one anchor string have several contexts, these
+  are compared window by window, and each context learns which of its windows
+  a smaller document has.
 
 Blocks collapse equal strings before they send them, so a passage in a third
 of all documents is sent once a block.
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,14 @@ GRAM = 16
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _zip(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def _unzip(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
 class LoserTree:
     """Merges sorted runs of distinct strings of one length, given front-coded.
 
@@ -83,11 +92,11 @@ class LoserTree:
         shared[b if win else a] = lcp
         return win
 
-    def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        """The runs' numbers in merged order, and the prefix each string shares with the one before."""
+    def merge(self) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """The runs' numbers in merged order, the prefix each string shares with the one before, and the distinct strings."""
         k = len(self.runs)
         if k == 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), []
         size = 1
         while size < k:
             size *= 2
@@ -105,11 +114,13 @@ class LoserTree:
             return win
 
         winner = play(1)
-        order, lcps = [], []
-        shared, less, step = self.shared, self._less, self._next
+        order, lcps, distinct = [], [], []
+        shared, less, step, whole = self.shared, self._less, self._next, self.size
         while shared[winner] >= 0:
             order.append(winner)
             lcps.append(shared[winner])
+            if shared[winner] < whole or len(order) == 1:
+                distinct.append(self.head[winner])
             step(winner)
             node = (winner + size) >> 1
             while node:
@@ -117,7 +128,7 @@ class LoserTree:
                 if other >= 0 and less(other, winner):
                     loser[node], winner = winner, other
                 node >>= 1
-        return np.array(order, np.int64), np.array(lcps, np.int64)
+        return np.array(order, np.int64), np.array(lcps, np.int64), distinct
 
 
 def front_code(keys: np.ndarray) -> tuple[np.ndarray, bytes]:
@@ -131,7 +142,7 @@ def front_code(keys: np.ndarray) -> tuple[np.ndarray, bytes]:
 
 def pack(block: int, part: int, keys: np.ndarray, docs: np.ndarray) -> dict:
     lcp, tails = front_code(keys)
-    return {"block": block, "part": part, "n": len(keys), "lcps": lcp.tobytes(), "tails": tails, "docs": docs.astype("<i8").tobytes()}
+    return {"block": block, "part": part, "n": len(keys), "lcps": lcp.tobytes(), "tails": _zip(tails), "docs": docs.astype("<i8").tobytes()}
 
 
 def collapse(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,12 +159,23 @@ def collapse(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s[first], np.minimum.reduceat(docs[order], np.flatnonzero(first)), which
 
 
-def answers(runs: list[dict], size: int, stem: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each run, by key: the smallest document of all runs' equal keys, and whether another key begins with the same ``stem`` bytes."""
-    order, lcps = LoserTree([(list(r["lcps"]), r["tails"]) for r in runs], size).merge()
-    own = [np.frombuffer(r["docs"], "<i8") for r in runs]
-    if not len(order):
-        return [(o, np.zeros(0, bool)) for o in own]
+def repeated_windows(keys: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
+    """For distinct contexts and each one's first document, as bits: is the window that begins ``o`` bytes before the anchor also in a smaller document?"""
+    out = np.zeros(len(keys), np.uint64)
+    right, left = keys[:, -2].astype(int) - 1, keys[:, -1].astype(int) - 1
+    for o in range(length - GRAM + 1):
+        rows = np.flatnonzero((left >= o) & (right >= length - o))
+        if len(rows):
+            windows = np.concatenate([keys[rows, length : length + o][:, ::-1], keys[rows, : length - o]], axis=1)
+            _, least, which = collapse(windows, docs[rows])
+            out[rows[docs[rows] > least[which]]] |= np.uint64(1 << o)
+    return out
+
+
+def answers(runs: list[dict], size: int, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each run, by context: the smallest document of all runs' equal contexts, and that document's ``repeated_windows``."""
+    order, lcps, distinct = LoserTree([(list(r["lcps"]), _unzip(r["tails"])) for r in runs], size).merge()
+    own = [_split(r["docs"], "<i8") for r in runs]
     # the k-th time that a run comes up it brings its k-th key
     by_run = np.argsort(order, kind="stable")
     docs = np.empty(len(order), np.int64)
@@ -161,15 +183,16 @@ def answers(runs: list[dict], size: int, stem: int) -> list[tuple[np.ndarray, np
     new = lcps < size
     new[0] = True
     group = np.cumsum(new) - 1
-    first = np.minimum.reduceat(docs, np.flatnonzero(new))[group]
-    stems = lcps < stem
-    stems[0] = True
-    family = np.cumsum(stems) - 1
-    several = (np.bincount(family, new) > 1)[family]
+    first = np.minimum.reduceat(docs, np.flatnonzero(new))
+    family = np.cumsum((lcps < GRAM) | (np.arange(len(lcps)) == 0))[new] - 1
+    several = np.flatnonzero((np.bincount(family) > 1)[family])
+    keys = np.frombuffer(b"".join(distinct), np.uint8).reshape(-1, size)
+    masks = np.zeros(len(first), np.uint64)
+    masks[several] = repeated_windows(keys[several], first[several], length)
     out, at = [], 0
     for o in own:
-        rows = by_run[at : at + len(o)]
-        out.append((first[rows], several[rows]))
+        rows = group[by_run[at : at + len(o)]]
+        out.append((first[rows], masks[rows]))
         at += len(o)
     return out
 
@@ -180,7 +203,7 @@ class Block:
     def __init__(self, ids: bytes, sizes: bytes, data: bytes):
         self.ids = np.frombuffer(ids, "<i8")
         self.start = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<i8"))]).astype(np.int64)
-        self.data = data
+        self.data = _unzip(data)
 
     def anchors(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each anchor: place, text, first window, number of windows, hash. Windows of one anchor are neighbours."""
@@ -228,14 +251,14 @@ def _split(values: bytes | None, kind: str) -> np.ndarray:
 
 
 class SuffixDedup:
-    """The operator's steps over one table. ``length`` may be 20 to 200."""
+    """The operator's steps over one table. ``length`` may be 20 to 79."""
 
     def __init__(self, docs: DataFrame, length: int = 50, block_bytes: int = 2 << 20):
         self.spark, self.docs, self.length, self.block_bytes = docs.sparkSession, docs, length, block_bytes
         self.space = C.Workspace(self.spark, "suffixes")
 
     def blocks(self) -> DataFrame:
-        """block, ids, sizes, data."""
+        """block, ids, sizes, data (compressed)."""
         most = self.block_bytes
 
         def make():
@@ -252,7 +275,7 @@ class SuffixDedup:
                 def full():
                     block = base + made[0]
                     made[0] += 1
-                    return {"block": pa.array([block], pa.int64()), "ids": pa.array([np.array(keep, "<i8").tobytes()], pa.binary()), "sizes": pa.array([np.array([len(x) for x in held], "<i8").tobytes()], pa.binary()), "data": pa.array([b"".join(held)], pa.binary())}
+                    return {"block": pa.array([block], pa.int64()), "ids": pa.array([np.array(keep, "<i8").tobytes()], pa.binary()), "sizes": pa.array([np.array([len(x) for x in held], "<i8").tobytes()], pa.binary()), "data": pa.array([_zip(b"".join(held))], pa.binary())}
 
                 size = 0
                 for i, t in zip(ids, texts, strict=True):
@@ -376,25 +399,6 @@ class SuffixDedup:
                     h = mix(h * _GOLD + np.ascontiguousarray(keys[:, a : a + 8]).view("<u8").ravel())
             return part_of(h)
 
-        def merge(stem: int, size: int):
-            def make():
-                def answer(rows: list[dict]):
-                    for r, (first, several) in zip(rows, answers(rows, size, stem), strict=True):
-                        yield {"block": r["block"], "part": r["part"], "firsts": first.astype("<i8").tobytes(), "several": np.packbits(several).tobytes()}
-
-                return answer
-
-            return make
-
-        def collect(part: np.ndarray, n: int, replies: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-            """Replies by key, in the keys' own order."""
-            first, several = np.zeros(n, np.int64), np.zeros(n, bool)
-            for r in replies:
-                rows = np.flatnonzero(part == r["part"])
-                first[rows] = _split(r["firsts"], "<i8")
-                several[rows] = np.unpackbits(_split(r["several"], "u1"), count=len(rows)).astype(bool)
-            return first, several
-
         # 2. contexts
         width = 2 * length - GRAM + 2
 
@@ -410,50 +414,41 @@ class SuffixDedup:
 
         asked = blocks.join(self._by_block(shared, "shared", "bits"), "block")
         runs = "block long, part int, lcps binary, tails binary, docs binary"
-        contexts = self._reply(C.map_rows(asked, runs, send_contexts), "firsts several", merge(GRAM, width), "contexts")
-        space.free_shuffles()
 
-        def doubtful(block: Block, b: dict):
-            """Which windows repeat for sure (in runs: first, count), and the windows still to be compared (place, text)."""
-            place, text, window, count, _ = candidates(block, b["shared"] or [])
-            keys, _, which = collapse(block.contexts(place, text, length), block.ids[text])
-            first, several = collect(key_part(keys, GRAM), len(keys), b["contexts"] or [])
-            sure = block.ids[text] > first[which]
-            open_ = ~sure & several[which]
-            k = count[open_]
-            at = np.arange(k.sum()) + np.repeat(window[open_] - (np.cumsum(k) - k), k)
-            return window[sure], count[sure], at, np.repeat(text[open_], k)
-
-        def window_keys(block: Block, at: np.ndarray) -> np.ndarray:
-            return np.frombuffer(block.data, np.uint8)[at[:, None] + np.arange(length)]
-
-        # 3. windows
-        def send_windows():
-            def work(batch: pa.RecordBatch):
-                for b in batch.to_pylist():
-                    block = Block(b["ids"], b["sizes"], b["data"])
-                    _, _, at, text = doubtful(block, b)
-                    keys, docs, _ = collapse(window_keys(block, at), block.ids[text])
-                    yield send(b["block"], keys, docs, key_part(keys, length))
+        def merge():
+            def answer(rows: list[dict]):
+                for r, (first, masks) in zip(rows, answers(rows, width, length), strict=True):
+                    yield {"block": r["block"], "part": r["part"], "firsts": first.astype("<i8").tobytes(), "masks": masks.astype("<u8").tobytes()}
 
-            return work
+            return answer
 
-        asked = asked.join(self._by_block(contexts, "contexts", "firsts", "several"), "block", "left")
-        windows = self._reply(C.map_rows(asked, runs, send_windows), "firsts several", merge(length, length), "windows")
+        contexts = self._reply(C.map_rows(asked, runs, send_contexts), "firsts masks", merge, "contexts")
         space.free_shuffles()
 
-        # 4. what goes
+        # 3. what goes
+        def repeated(block: Block, b: dict) -> np.ndarray:
+            """Where repeated windows begin."""
+            place, text, window, count, _ = candidates(block, b["shared"] or [])
+            keys, _, which = collapse(block.contexts(place, text, length), block.ids[text])
+            part = key_part(keys, GRAM)
+            first, masks = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.uint64)
+            for r in b["contexts"] or []:
+                rows = np.flatnonzero(part == r["part"])
+                first[rows], masks[rows] = _split(r["firsts"], "<i8"), _split(r["masks"], "<u8")
+            at = np.arange(count.sum()) + np.repeat(window - (np.cumsum(count) - count), count)
+            anchor = np.repeat(np.arange(len(place)), count)
+            later = block.ids[text] > first[which]
+            bit = (masks[which][anchor] >> (place[anchor] - at).astype(np.uint64)) & np.uint64(1)
+            return at[later[anchor] | (bit == 1)]
+
         def finish():
             def work(batch: pa.RecordBatch):
                 for b in batch.to_pylist():
                     block = Block(b["ids"], b["sizes"], b["data"])
-                    first, count, at, text = doubtful(block, b)
-                    keys, _, which = collapse(window_keys(block, at), block.ids[text])
-                    least, _ = collect(key_part(keys, length), len(keys), b["windows"] or [])
-                    more = at[block.ids[text] > least[which]]
+                    at = repeated(block, b)
                     cover = np.zeros(len(block.data) + length + 1, np.int32)
-                    np.add.at(cover, np.concatenate([first, more]), 1)
-                    np.add.at(cover, np.concatenate([first + count - 1, more]) + length, -1)
+                    cover[at] += 1  # no window begins twice
+                    cover[at + length] -= 1
                     gone = np.cumsum(cover)[: len(block.data)] > 0
                     data = np.frombuffer(block.data, np.uint8)
                     edge = np.concatenate([gone[:1], gone[1:] & ~gone[:-1]])
@@ -468,7 +463,7 @@ class SuffixDedup:
 
             return work
 
-        asked = asked.join(self._by_block(windows, "windows", "firsts", "several"), "block", "left")
+        asked = asked.join(self._by_block(contexts, "contexts", "firsts", "masks"), "block", "left")
         return C.map_rows(asked, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", finish)
 
 

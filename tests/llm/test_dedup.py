@@ -108,10 +108,10 @@ def test_loser_tree():
     for x in runs:
         lcp, tails = suffix_dedup.front_code(np.frombuffer(b"".join(x), np.uint8).reshape(-1, 8))
         coded.append((list(lcp), tails))
-    order, lcps = suffix_dedup.LoserTree(coded, 8).merge()
+    order, lcps, distinct = suffix_dedup.LoserTree(coded, 8).merge()
     at = [iter(x) for x in runs]
     got = [next(at[i]) for i in order]
-    assert got == sorted(sum(runs, []))
+    assert got == sorted(sum(runs, [])) and distinct == sorted(set(got))
     assert all(lcps[i] == next((j for j in range(8) if got[i][j] != got[i - 1][j]), 8) for i in range(1, len(got)))
 
 
