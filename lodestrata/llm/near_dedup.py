@@ -10,8 +10,8 @@ points lie behind all components' values.
 
 Documents of equal words are one class, for which its smallest doc_id stands.
 Classes that share a band are compared through leaders: in each bucket leaders
-of the smallest component are compared with all members of other components,
-and more leaders follow until the bucket lies in one component or all of its
+from all components but the largest are compared with all members of other
+components, and more leaders follow until the bucket lies in one component or all of its
 pairs between components were compared. So no group's pairs are all listed, and
 no candidate link between components goes unverified.
 """
@@ -259,19 +259,20 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 24, r
     for upto in [1, 3, 8, *[bands] * 1000]:
         # members by bucket, with their components
         b = buckets.withColumn("c", F.col("doc")) if labels is None else buckets.join(labels, buckets["doc"] == labels["node"], "left").select("bucket", "band", "doc", F.coalesce("label", "doc").alias("c"))
-        sizes = b.groupBy("bucket", "band", "c").agg(F.count("*").alias("n"))
-        split = sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.min(F.struct("n", "c")).alias("x")).filter("k > 1").select("bucket", F.col("x.c").alias("lc"))
-        open_ = b.join(split, "bucket")
+        sizes = b.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+        split = sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("n", "c")).alias("x")).filter("k > 1").select("bucket", F.col("x.c").alias("largest"))
+        open_ = b.join(sizes, ["bucket", "c"]).join(split, "bucket")
         n += 1
         round_ = space.table(open_, f"round-{n}")
         if round_.isEmpty():
             break
         now = round_.filter(F.col("band") < upto)
-        # leaders of the smallest component; twice as many each round, so that a bucket is done after few
-        most = 1 << max(0, n - 3)
-        order = Window.partitionBy("bucket").orderBy("doc")
-        leaders = space.table(now.filter("c = lc").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most).select("bucket", F.col("doc").alias("lead")), f"leaders-{n}")
-        pairs = now.filter("c <> lc").join(leaders, "bucket").select(F.least("lead", "doc").alias("a"), F.greatest("lead", "doc").alias("b")).distinct()
+        # leaders from all components but the largest; four times as many each round, so that a bucket is done after few
+        most = 4 ** max(0, n - 3)
+        order = Window.partitionBy("bucket").orderBy("n", "c", "doc")
+        leaders = now.filter("c <> largest").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most)
+        leaders = space.table(leaders.select("bucket", F.col("doc").alias("lead"), F.col("c").alias("lc")), f"leaders-{n}")
+        pairs = now.join(leaders, "bucket").filter("c <> lc").select(F.least("lead", "doc").alias("a"), F.greatest("lead", "doc").alias("b")).distinct()
         if failed is not None:
             pairs = pairs.join(failed, ["a", "b"], "left_anti")
         pairs = space.table(pairs, f"pairs-{n}")
@@ -281,7 +282,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 24, r
         old = None if labels is None else labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
         if not links.isEmpty():
             labels = components(space, links if old is None else links.unionByName(old), f"labels-{n}")
-        buckets = round_.join(leaders.withColumnRenamed("lead", "doc"), ["bucket", "doc"], "left_anti").select("bucket", "band", "doc")
+        buckets = round_.join(leaders.select("bucket", F.col("lead").alias("doc")), ["bucket", "doc"], "left_anti").select("bucket", "band", "doc")
         space.free_shuffles()
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     classed = signed.select("doc_id", "c1", "c2").join(classes.select("c1", "c2", "class_id"), ["c1", "c2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
