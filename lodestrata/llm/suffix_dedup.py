@@ -412,7 +412,7 @@ class SuffixDedup:
 
             return work
 
-        asked = blocks.join(self._by_block(shared, "shared", "bits"), "block")
+        asked = blocks.join(self._by_block(shared, "shared", "bits"), "block", "left")  # blocks of short texts sent no hashes
         runs = "block long, part int, lcps binary, tails binary, docs binary"
 
         def merge():

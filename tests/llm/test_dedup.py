@@ -102,6 +102,15 @@ def test_substrings_of_one_id_stay(spark):
     assert [r.n_removed for r in suffix_dedup.remove_repeats(table(spark, rows)).collect()] == [0, 0]
 
 
+@pytest.mark.parametrize("texts", [["short", "", None, "x" * 49, "short"], ["short", "p" * 30 + "qrst" * 20, "p" * 30 + "qrst" * 20]])
+def test_substrings_of_short_blocks(spark, texts):
+    """Blocks without a window have rows too: each text is a partition, and so a block, of its own."""
+    rows = list(enumerate(texts))
+    docs = table(spark, rows).repartitionByRange(len(rows), "doc_id")
+    got = by_id(suffix_dedup.remove_repeats(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == spans_brute(rows)
+
+
 def test_loser_tree():
     runs = [sorted({bytes(R.choices(b"ab", k=8)) for _ in range(40)}) for _ in range(7)] + [[]]
     coded = []
