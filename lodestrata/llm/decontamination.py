@@ -23,9 +23,9 @@ _UNIT = rf"(_n ?)(?i:%|€|£|\$|{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}_])"
 
 
 def _template(text: Column) -> tuple[Column, Column]:
-    """Template words, and the text in which names were looked for."""
-    named = F.regexp_replace(F.regexp_replace(text, _NUMBER, "_n"), _UNIT, "$1_u")
-    plain = F.lower(F.regexp_replace(named, _NAME, "$1_p"))
+    """Template words, and the text in which names were looked for. Each placeholder is a word of its own; the text's underscores become hyphens, so no other word looks like one."""
+    named = F.regexp_replace(F.regexp_replace(F.translate(text, "_", "-"), _NUMBER, "_n"), _UNIT, "$1_u")
+    plain = F.lower(F.regexp_replace(F.regexp_replace(named, _NAME, "$1_p"), "_([nup])", " _$1 "))
     return F.split(F.btrim(F.regexp_replace(plain, r"[^\p{L}\p{N}_]++", " ")), " "), named
 
 

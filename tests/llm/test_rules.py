@@ -76,6 +76,15 @@ def test_decontamination(spark):
     assert decontamination.decontaminate(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("before", ["see section B7 of it.", "the 3rd of them.", "after 5km of road.", "a snake _n and _p and x_n.", "told by Anna7 to us."])
+def test_placeholders_keep_their_values(spark, before):
+    """An exact copy is found whatever numbers and names are glued to before it."""
+    question = "if a train with Anna Smith moves 12 km in 12 minutes then how far does Anna Smith with that train move within one whole hour of time"
+    bench = spark.createDataFrame([(1, question)], "item_id long, text string")
+    docs = table(spark, [(1, f"{before} {question}"), (2, f"{before} {question.replace('12 km', '47 km').replace('12 min', '99 min')}"), (3, f"{before} {question.replace('12', '8th')}")])
+    assert by_id(decontamination.decontaminate(docs, bench), "n_items") == {1: (1,), 2: (0,), 3: (0,)}
+
+
 def secrets_brute(text):
     out = []
     for k, p in enumerate((r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"AKIA[A-Z0-9]+", r"[0-9a-f]+")):
