@@ -11,7 +11,7 @@ from lodestrata.llm import _common, byte_bpe, decontamination, line_dedup, near_
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Rejected documents go, and lines over the limit from the others."""
     return quality.keep_documents(docs)
 
 

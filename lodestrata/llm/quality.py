@@ -35,9 +35,9 @@ def _repeat_words(d: DataFrame) -> DataFrame:
 
 def base_rules(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
-    d = C.texts(docs).select(
+    d = C.texts(docs, "source").select(
         "doc_id",
-        F.xxhash64("text").alias("text_hash"),
+        F.xxhash64("text", "source").alias("text_hash"),
         F.expr(f"split(btrim(text, '{C.WS}'), '{_WS}+')").alias("w"),
         F.length(F.regexp_replace("text", f"{_WS}++", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", "[^#*$%&|<>]++", "")).cast("long").alias("n_symbols"),
@@ -49,28 +49,28 @@ def base_rules(docs: DataFrame) -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash and ``lines``, those with a word, normalised."""
-    return C.texts(docs, F.col("source").alias("host")).select("doc_id", "host", F.xxhash64("text").alias("text_hash"), F.expr(f"filter(transform(split(lower(text), '\n'), l -> btrim(regexp_replace(l, '{_WS}++', ' '))), l -> l <> '')").alias("lines"))
+    """doc_id, host, text_hash and ``lines``, those with a word: i (place in the text) and l (normalised)."""
+    return C.texts(docs, F.col("source").alias("host")).select("doc_id", "host", F.xxhash64("text", "host").alias("text_hash"), F.expr(f"filter(transform(split(lower(text), '\n'), (l, i) -> struct(i AS i, btrim(regexp_replace(l, '{_WS}++', ' ')) AS l)), x -> x.l <> '')").alias("lines"))
 
 
 def frequent_lines(docs: DataFrame, limit: int) -> DataFrame:
     """h (hash of host and line), first (smallest doc_id) of the lines in more than ``limit`` documents of a host. A document adds one to a line's count, a repeated row one more."""
-    held = _lines(docs).select("doc_id", F.explode(F.expr("array_distinct(transform(lines, l -> xxhash64(host, l)))")).alias("h"))
+    held = _lines(docs).select("doc_id", F.explode(F.expr("array_distinct(transform(lines, x -> xxhash64(host, x.l)))")).alias("h"))
     return held.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter(F.col("n") > limit).select("h", "first")
 
 
 def quality_rules(docs: DataFrame, limit: int = 64, min_share: float = 0.3, min_words: int = 20) -> DataFrame:
-    """The base rules' columns, removed_words, removed_lines, depleted, kept; one row per row of ``docs``.
+    """The base rules' columns, removed_words, removed_lines, removed_at (the removed lines' places), depleted, kept; one row per row of ``docs``.
 
     Null text counts as empty and fails; a null host is a host; a null doc_id
     is never a line's first holder. A table without rows gives none. Other
     columns aren't read. Equal lines tie by the smallest doc_id.
     """
     frequent = frequent_lines(docs, limit)
-    every = _lines(docs).select("doc_id", "text_hash", F.posexplode(F.expr("transform(lines, l -> struct(xxhash64(host, l) AS h, size(split(l, ' ')) AS n))")).alias("pos", "line")).select("doc_id", "text_hash", "pos", F.col("line.h").alias("h"), F.col("line.n").alias("n"))
+    every = _lines(docs).select("doc_id", "text_hash", F.explode(F.expr("transform(lines, x -> struct(x.i AS pos, xxhash64(host, x.l) AS h, size(split(x.l, ' ')) AS n))")).alias("line")).select("doc_id", "text_hash", "line.pos", F.col("line.h").alias("h"), F.col("line.n").alias("n"))
     gone = every.join(frequent, "h").filter(~F.coalesce(F.col("doc_id") == F.col("first"), F.lit(False)))
-    gone = gone.select("doc_id", "text_hash", "pos", "n").distinct().groupBy("doc_id", "text_hash").agg(F.sum("n").alias("removed_words"), F.count("*").alias("removed_lines"))
-    gone = gone.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "removed_words", "removed_lines")
+    gone = gone.select("doc_id", "text_hash", "pos", "n").distinct().groupBy("doc_id", "text_hash").agg(F.sum("n").alias("removed_words"), F.count("*").alias("removed_lines"), F.collect_list("pos").alias("removed_at"))
+    gone = gone.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "removed_words", "removed_lines", "removed_at")
     base = base_rules(docs)
     out = base.join(gone, base["doc_id"].eqNullSafe(gone["d"]) & (base["text_hash"] == gone["t"]), "left").drop("d", "t")
     left = F.col("n_words") - F.col("removed_words")
@@ -82,10 +82,14 @@ def quality_rules(docs: DataFrame, limit: int = 64, min_share: float = 0.3, min_
 
 
 def keep_documents(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of ``docs`` that ``quality_rules`` keeps, as they are."""
-    good = quality_rules(docs, **limits).filter("kept").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"))
-    text = F.coalesce(docs["text"], F.lit(""))
-    return docs.join(good, docs["doc_id"].cast("long").eqNullSafe(good["_d"]) & (F.xxhash64(text) == good["_t"]), "left_semi")
+    """The rows of ``docs`` that ``quality_rules`` keeps, without their frequent lines (n_chars follows); other columns as they are."""
+    good = quality_rules(docs, **limits).filter("kept").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.col("removed_at").alias("_gone")).dropDuplicates(["_d", "_t"])
+    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")), docs["source"])
+    out = docs.join(good, docs["doc_id"].cast("long").eqNullSafe(good["_d"]) & (key == good["_t"])).drop("_d", "_t")
+    out = out.withColumn("text", F.expr("CASE WHEN _gone IS NULL THEN text ELSE array_join(filter(split(text, '\n'), (l, i) -> NOT array_contains(_gone, i)), '\n') END"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(docs.columns)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,19 @@ def test_quality_line_frequency(spark):
     assert quality.quality_rules(table(spark, rows).limit(0)).count() == 0
 
 
+def test_frequent_lines_go(spark):
+    own = lambda i: " ".join(f"own{i}w{j}" for j in range(60))
+    rows = [(i, "\n Ok \n" + own(i) + "\n\nCOMMON  line\n", "en", "h1", 1) for i in range(5)]
+    rows += [(7, "ok\n" + own(7), "en", "h2", 1), (None, "ok\n" + own(8), "en", "h1", 1), (None, "ok\n" + own(8), "en", "h2", 1)]
+    docs = table(spark, rows)
+    kept = quality.keep_documents(docs, limit=3)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.source, r.text, r.n_chars) for r in kept.collect()), key=str)
+    want = [(0, "h1", rows[0][1], 1), (7, "h2", rows[5][1], 1), (None, "h1", own(8), len(own(8))), (None, "h2", rows[7][1], 1)]
+    want += [(i, "h1", "\n" + own(i) + "\n\n", len(own(i)) + 3) for i in range(1, 5)]
+    assert got == sorted(want, key=str)
+
+
 def test_decontamination(spark):
     w = lambda n, s: [R.choice("abcdefgh") * 2 + str(R.randint(100, 999)).translate(str.maketrans("0123456789", "qwertyuiop")) for _ in range(n)]
     a, b = w(30, 1), w(40, 2)
