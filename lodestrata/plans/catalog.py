@@ -406,7 +406,8 @@ def _(spark, d):
 def _(spark, d):
     new = S.atoms(spark, d).filter("win <> 1 and meeting_id < 20").groupBy("meeting_id", F.concat(F.lit("G0"), F.col("label").cast("string")).alias("cluster")).agg(F.sum("sec").alias("seconds"), F.count("*").alias("digest"))
     old = S.clusters(spark, d).select("meeting_id", "cluster", "seconds", F.col("n_atoms").alias("digest"), "group_id")
-    return store.upsert_clusters(old, new).select("meeting_id", "cluster", "seconds", "group_id")
+    # the SQL states the decoded meetings only; the others stay in the store as they are
+    return store.upsert_clusters(old, new).filter("meeting_id < 20").select("meeting_id", "cluster", "seconds", "group_id")
 
 
 @query("pooled_exemplars", f"WITH {_ATOM}, {_STORE}, b AS (SELECT speaker_id, condition, v, seconds FROM exe UNION ALL SELECT speaker_id, condition, list_reverse(v), 10.0 FROM exe WHERE condition = 'room'), e AS (SELECT speaker_id, condition, i, sum(v[i] * seconds) / sum(seconds) AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM b) GROUP BY ALL), n AS (SELECT speaker_id, condition, sqrt(sum(x * x)) AS nrm FROM e GROUP BY ALL) SELECT e.speaker_id, e.condition, round(x / nrm, 5) AS v0, s AS seconds FROM e JOIN n USING (speaker_id, condition) JOIN (SELECT speaker_id, condition, sum(seconds) AS s FROM b GROUP BY ALL) USING (speaker_id, condition) WHERE i = 1")

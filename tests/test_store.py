@@ -44,6 +44,15 @@ def test_snapshots(small, spark, tmp_path):
     assert S.Store.load(spark, str(tmp_path), 1).speakers.count() == 2
 
 
+def test_upsert_leaves_other_meetings(spark):
+    schema = "meeting_id long, cluster string, seconds double, digest long"
+    old = spark.createDataFrame([(1, "G00", 9.0, 5, 10), (1, "G01", 9.0, 6, 11), (1, "G02", 9.0, 7, 12), (2, "G00", 4.0, 8, 13)], schema + ", group_id long")
+    new = spark.createDataFrame([(1, "G00", 8.0, 5), (1, "G01", 8.0, 66), (3, "G00", 1.0, 9)], schema)
+    want = {(1, "G00", 8.0, 5, 10), (1, "G01", 8.0, 66, None), (3, "G00", 1.0, 9, None), (2, "G00", 4.0, 8, 13)}
+    assert set(map(tuple, S.upsert_clusters(old, new).select("meeting_id", "cluster", "seconds", "digest", "group_id").collect())) == want
+    assert set(map(tuple, S.upsert_clusters(old, new.limit(0)).select(old.columns).collect())) == set(map(tuple, old.collect()))
+
+
 @pytest.mark.parametrize("edits", [1, 2])
 def test_near_names_finds_all(spark, edits):
     names = ["Anna Berg", "Ana Berg", "AnnaBerg", "Hanna Bergh", "Anna Burg", "Otto", "Oto", "O", "Karl-Heinz", "Karlheinz", "Karl Hein"]
