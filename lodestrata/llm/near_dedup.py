@@ -9,11 +9,19 @@ component. A component holds the least point it got. A process stops once its
 points lie behind all components' values.
 
 Documents of equal words are one class, for which its smallest doc_id stands.
-Classes that share a band are compared through leaders: in each bucket leaders
-from all components but the largest are compared with all members of other
-components, and more leaders follow until the bucket lies in one component or all of its
-pairs between components were compared. So no group's pairs are all listed, and
-no candidate link between components goes unverified.
+Classes that share a band are linked in two rounds, and a group's pairs are
+never listed:
+
+1. Stars. Each bucket's smallest document is its centre. A document is verified
+   against the most similar of its centres and the smallest of those that its
+   signature doesn't rule out. Verified links give components.
+2. Seams. In every bucket that still has several components, signatures tell
+   which documents may have a link into which larger component. Each such
+   document is probed against all members of that component at once, through an
+   index from shingles to members; big components are probed by chunks.
+
+A candidate pair is in one component after round 1, or its smaller side is
+probed in round 2, so no candidate link between components goes unverified.
 """
 
 from __future__ import annotations
@@ -29,6 +37,8 @@ from pyspark.sql import functions as F
 from lodestrata.llm import _common as C
 
 SHINGLE = 5
+#: Members of one chunk of a probed component (shingles), documents of one block of a bucket, and probing documents of one task's share.
+CHUNK, BLOCK, SHARE = 500_000, 512, 1024
 _WORDS = re.compile("[^ \t-\r]+")
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -41,7 +51,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    def __init__(self, memo: int = 400_000):
+    def __init__(self, memo: int = 200_000):
         self.memo = C.Recent(lambda w: xxhash.xxh64_intdigest(w) or 1, memo)
 
     def words(self, text: str) -> list[str]:
@@ -120,8 +130,22 @@ def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
+def prints(sig: np.ndarray) -> np.ndarray:
+    """A byte of each signature component: equal where components are, and by chance once in 256."""
+    return (mix(sig.view(np.uint64)) >> np.uint64(56)).astype(np.uint8)
+
+
+def enough_prints(m: int, similarity: float) -> int:
+    """How many of ``m`` components a pair of that similarity shares but for once in 200,000 cases (4.4 standard deviations)."""
+    return max(1, int(m * similarity - 4.4 * (m * similarity * (1 - similarity)) ** 0.5))
+
+
+def _rows(batch: pa.RecordBatch, column: str, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(column).to_pylist()), np.uint8).reshape(-1, width)
+
+
 def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, c1, c2 (the class: a hash of the words), bands (empty without words)."""
+    """doc_id, c1, c2 (the class: a hash of the words), bands and prints (empty without words)."""
 
     def make():
         shingler = Shingler()
@@ -140,30 +164,66 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                         size += len(words)
                     a += 1
                 c = np.frombuffer(b"".join(cls), np.int64).reshape(-1, 2)
-                h = band_hashes(signatures(bags, bands * rows), bands, rows)
-                yield {"doc_id": pa.array(doc, pa.int64()), "c1": pa.array(c[:, 0]), "c2": pa.array(c[:, 1]), "bands": pa.array([r.tobytes() if len(b) else b"" for r, b in zip(h, bags, strict=True)], pa.binary())}
+                sig = signatures(bags, bands * rows)
+                columns = {k: pa.array([r.tobytes() if len(b) else b"" for r, b in zip(v, bags, strict=True)], pa.binary()) for k, v in (("bands", band_hashes(sig, bands, rows)), ("prints", prints(sig)))}
+                yield {"doc_id": pa.array(doc, pa.int64()), "c1": pa.array(c[:, 0]), "c2": pa.array(c[:, 1])} | columns
 
         return work
 
-    return C.map_rows(C.texts(docs), "doc_id long, c1 long, c2 long, bands binary", make)
+    return C.map_rows(C.texts(docs), "doc_id long, c1 long, c2 long, bands binary, prints binary", make)
 
 
 def _buckets(reps: DataFrame, bands: int) -> DataFrame:
-    """bucket, band, doc."""
+    """bucket, doc, centre (the bucket's smallest doc) of all buckets with two documents or more."""
 
     def make():
         def work(batch: pa.RecordBatch):
             h = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64).reshape(-1, bands)
-            doc = batch.column("doc").to_numpy()
-            yield {"bucket": pa.array(h.ravel()), "band": pa.array(np.tile(np.arange(bands, dtype=np.int32), len(h))), "doc": pa.array(np.repeat(doc, bands))}
+            yield {"bucket": pa.array(h.ravel()), "doc": pa.array(np.repeat(batch.column("doc").to_numpy(), bands))}
+
+        return work
+
+    every = C.map_rows(reps.select("doc", "bands"), "bucket long, doc long", make)
+    return every.repartition("bucket").sortWithinPartitions("bucket", "doc").transform(lambda d: C.map_rows(d, "bucket long, doc long, centre long", _shared_buckets))
+
+
+def _shared_buckets():
+    held: dict = {"bucket": None, "centre": 0, "told": False}  # the bucket that the next batch may go on with
+
+    def work(batch: pa.RecordBatch):
+        if not batch.num_rows:
+            return
+        b, d = batch.column("bucket").to_numpy(), batch.column("doc").to_numpy()
+        told = False
+        if held["bucket"] is not None:
+            b, d, told = np.concatenate([[held["bucket"]], b]), np.concatenate([[held["centre"]], d]), held["told"]
+        start = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+        size = np.diff(np.concatenate([start, [len(b)]]))
+        out = np.repeat(size > 1, size)
+        held.update(bucket=b[-1], centre=d[start[-1]], told=bool(size[-1] > 1 or (told and len(start) == 1)))
+        if told:
+            out[0] = False
+        yield {"bucket": pa.array(b[out]), "doc": pa.array(d[out]), "centre": pa.array(np.repeat(d[start], size)[out])}
+
+    return work
+
+
+def _likely(pairs: DataFrame, m: int, least: int) -> DataFrame:
+    """centre, doc, same (equal prints) of the pairs whose signatures agree in ``least`` components or more; rows with centre, doc and both prints come in."""
+
+    def make():
+        def work(batch: pa.RecordBatch):
+            same = (_rows(batch, "p", m) == _rows(batch, "q", m)).sum(axis=1)
+            on = same >= least
+            yield {"centre": pa.array(batch.column("centre").to_numpy()[on]), "doc": pa.array(batch.column("doc").to_numpy()[on]), "same": pa.array(same[on].astype(np.int32))}
 
         return work
 
-    return C.map_rows(reps, "bucket long, band int, doc long", make)
+    return C.map_rows(pairs, "centre long, doc long, same int", make)
 
 
 def _bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc, bag (sorted 64-bit) of the rows of ``docs`` that stand for a class in ``wanted`` (doc, c1, c2)."""
+    """doc, bag (sorted 64-bit), n of the rows of ``docs`` that stand for a class in ``wanted`` (doc, c1, c2)."""
     d = C.texts(docs).join(wanted, F.col("doc_id") == F.col("doc"))
 
     def make():
@@ -176,39 +236,85 @@ def _bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 if np.frombuffer(xxhash.xxh3_128_digest(" ".join(words)), np.int64).tolist() == [c1, c2]:
                     doc.append(i)
                     bag.append(shingler.bag(words).tobytes())
-            yield {"doc": pa.array(doc, pa.int64()), "bag": pa.array(bag, pa.binary())}
+            yield {"doc": pa.array(doc, pa.int64()), "bag": pa.array(bag, pa.binary()), "n": pa.array([len(x) // 8 for x in bag], pa.int64())}
 
         return work
 
-    return C.map_rows(d.select("doc", "text", "c1", "c2"), "doc long, bag binary", make)
+    # rows that share a doc_id and its words would stand twice
+    return C.map_rows(d.select("doc", "text", "c1", "c2"), "doc long, bag binary, n long", make).dropDuplicates(["doc"])
+
+
+class Probe:
+    """An index from shingles to the members of a chunk, which answers which member a bag is similar to."""
+
+    def __init__(self, docs: list[int], bags: list[np.ndarray]):
+        self.docs, self.sizes = np.array(docs, np.int64), np.array([len(b) for b in bags], np.int64)
+        every = np.concatenate(bags)
+        owner = np.repeat(np.arange(len(bags)), self.sizes)
+        order = np.argsort(every, kind="stable")
+        self.tokens, self.start = np.unique(every[order], return_index=True)
+        self.start = np.concatenate([self.start, [len(every)]])
+        self.owner = owner[order]
+
+    def first(self, bag: np.ndarray, similarity: float, own: int) -> int | None:
+        """The smallest member of that similarity, but for ``own``."""
+        at = np.searchsorted(self.tokens, bag)
+        hit = at[self.tokens[np.minimum(at, len(self.tokens) - 1)] == bag]
+        if not len(hit):
+            return None
+        a, n = self.start[hit], self.start[hit + 1] - self.start[hit]
+        rows = np.arange(n.sum()) + np.repeat(a - (np.cumsum(n) - n), n)
+        both = np.bincount(self.owner[rows], minlength=len(self.docs))
+        ok = (both >= similarity * (self.sizes + len(bag) - both)) & (self.docs != own)
+        return int(self.docs[ok].min()) if ok.any() else None
 
 
-def _verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose multisets are that similar. a's bag is read once for up to 256 of its partners; a's pairs spread over as many tasks as that takes."""
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("parts"))
-    left = parts.join(bags.withColumnRenamed("doc", "a"), "a").select("a", F.explode(F.expr("sequence(0L, parts - 1L)")).alias("part"), F.lit(None).cast("long").alias("b"), "bag")
-    right = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b").join(bags.withColumnRenamed("doc", "b"), "b").select("a", "part", "b", "bag")
-    both = left.unionByName(right).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+def _linked(members: DataFrame, asks: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """a, b: for each ask (g, q) and chunk of the group's ``members`` (g, m) a member similar to q, if there is one.
+
+    A group's members are dealt to chunks of about ``CHUNK`` shingles, its asks
+    to shares of about ``SHARE``; every chunk meets every share in a task.
+    """
+    held = members.join(bags.withColumnRenamed("doc", "m"), "m").select("g", "m", "bag", "n")
+    size = members.join(bags.select(F.col("doc").alias("m"), "n"), "m").groupBy("g").agg(F.ceil(F.sum("n") / CHUNK).alias("chunks"))
+    plan = size.join(asks.groupBy("g").agg(F.ceil(F.count("*") / SHARE).alias("shares")), "g")
+    spread = lambda n, name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(name)
+    left = held.join(plan, "g").select("g", F.pmod(F.xxhash64("m"), "chunks").alias("chunk"), spread("shares", "share"), F.lit(0).alias("role"), F.col("m").alias("doc"), "bag")
+    right = asks.join(plan, "g").select("g", spread("chunks", "chunk"), F.pmod(F.xxhash64("q"), "shares").alias("share"), F.col("q").alias("doc"))
+    right = right.join(bags.select("doc", "bag"), "doc").select("g", "chunk", "share", F.lit(1).alias("role"), "doc", "bag")
+    both = left.unionByName(right).repartition("g", "chunk", "share").sortWithinPartitions("g", "chunk", "share", "role")
 
     def make():
-        held: dict = {"a": None}
+        held: dict = {"at": None}
 
         def work(batch: pa.RecordBatch):
             a_out, b_out = [], []
-            for a, part, b, bag in zip(batch.column("a").to_pylist(), batch.column("part").to_pylist(), batch.column("b").to_pylist(), batch.column("bag"), strict=True):
+            cols = [batch.column(c).to_pylist() for c in ("g", "chunk", "share", "role", "doc")]
+            for g, chunk, share, role, doc, bag in zip(*cols, batch.column("bag"), strict=True):
                 h = np.frombuffer(bag.as_buffer(), np.uint64)
-                if b is None:
-                    held["a"], held["bag"] = (a, part), h.copy()
-                elif held["a"] == (a, part):
-                    own = held["bag"]
+                if held["at"] != (g, chunk, share):
+                    held.update(at=(g, chunk, share), docs=[], bags=[], probe=None)
+                if role == 0:
+                    held["docs"].append(doc)
+                    held["bags"].append(h.copy())
+                    continue
+                if not held["docs"]:
+                    continue
+                if len(held["docs"]) == 1:
+                    own = held["bags"][0]
                     small, large = (h, own) if len(h) < len(own) else (own, h)
-                    if len(small) < similarity * len(large):
+                    if held["docs"][0] == doc or len(small) < similarity * len(large):
                         continue
                     at = np.searchsorted(large, small)
                     both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                    if both >= similarity * (len(small) + len(large) - both):
-                        a_out.append(a)
-                        b_out.append(b)
+                    found = held["docs"][0] if both >= similarity * (len(small) + len(large) - both) else None
+                else:
+                    if held["probe"] is None:
+                        held["probe"] = Probe(held["docs"], held["bags"])
+                    found = held["probe"].first(h, similarity, doc)
+                if found is not None:
+                    a_out.append(doc)
+                    b_out.append(found)
             yield {"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())}
 
         return work
@@ -216,6 +322,70 @@ def _verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame
     return C.map_rows(both, "a long, b long", make)
 
 
+def _seams(rows: DataFrame, m: int, least: int) -> DataFrame:
+    """q, g: documents that may be similar to a member of the larger component g, of rows (bucket, doc, comp, size, prints) of buckets that have several components.
+
+    A bucket's documents are dealt to blocks of about ``BLOCK``; each two
+    blocks meet in a task. Rows of a task lie by component size, and row r is
+    compared with row r + k, for all r at once.
+    """
+    wide = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("bucket", "blocks")
+    dealt = rows.join(wide, "bucket").withColumn("own", F.pmod(F.xxhash64("doc"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "size", "comp", "doc", "prints").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "size", "comp")
+
+    def make():
+        held: list[pa.RecordBatch] = []
+
+        def compare(batch: pa.RecordBatch):
+            col = {c: batch.column(c).to_numpy() for c in ("bucket", "lo", "hi", "own", "comp", "doc")}
+            p = _rows(batch, "prints", m)
+            new = np.zeros(len(p), bool)
+            for c in ("bucket", "lo", "hi"):
+                new[1:] |= col[c][1:] != col[c][:-1]
+            group = np.cumsum(new)
+            size = np.bincount(group)[group]
+            place = np.arange(len(p)) - np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))
+            left = size - place  # rows of the group from here on
+            across = col["lo"] != col["hi"]
+            q, g = [], []
+            live, k = np.arange(len(p)), 0
+            while True:
+                k += 1
+                live = live[left[live] > k]
+                if not len(live):
+                    break
+                r = live[(col["comp"][live] != col["comp"][live + k]) & ~(across[live] & (col["own"][live] == col["own"][live + k]))]
+                for a in range(0, len(r), 1 << 16):
+                    x = r[a : a + (1 << 16)]
+                    x = x[(p[x] == p[x + k]).sum(axis=1) >= least]
+                    q.append(col["doc"][x])
+                    g.append(col["comp"][x + k])
+            pairs = np.unique(np.stack([np.concatenate(q), np.concatenate(g)], axis=1), axis=0) if q else np.zeros((0, 2), np.int64)
+            return {"q": pa.array(pairs[:, 0]), "g": pa.array(pairs[:, 1])}
+
+        def work(batch: pa.RecordBatch | None):
+            if batch is not None and batch.num_rows:
+                held.append(batch)
+            if not held:
+                return
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held.clear()
+            if batch is None:
+                yield compare(whole)
+                return
+            # the last group may go on in the next batch
+            last = [whole.column(c).to_numpy() for c in ("bucket", "lo", "hi")]
+            open_ = np.logical_and.reduce([c == c[-1] for c in last])
+            cut = int(np.flatnonzero(~open_)[-1]) + 1 if not open_.all() else 0
+            held.append(whole.slice(cut))
+            if cut:
+                yield compare(whole.slice(0, cut))
+
+        return work
+
+    return C.map_rows(dealt, "q long, g long", make, last=True).distinct()
+
+
 def components(space: C.Workspace, edges: DataFrame, name: str) -> DataFrame:
     """node, label: the smallest node of each node's component. Alternating large-star and small-star steps; each is a minimum by node and a join."""
     e = space.table(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u <> v").distinct(), f"{name}-0")
@@ -238,58 +408,56 @@ def components(space: C.Workspace, edges: DataFrame, name: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 24, rows: int = 4) -> DataFrame:
     """doc_id, class_id (smallest doc_id of equal words), group_id (smallest doc_id linked), kept (doc_id = group_id); one row per row of ``docs``.
 
-    A pair of that similarity shares no band once in 300,000 cases. Documents
-    without a word (null and empty ones too) are one class; rows with a null
-    doc_id are alone and kept. Rows that share a doc_id share its group. Ties don't
-    matter: the smallest doc_id stands. Other columns aren't read.
+    A pair of that similarity shares no band once in 300,000 cases, and its
+    signatures rule it out once in 200,000. Documents without a word (null and
+    empty ones too) are one class; rows with a null doc_id are alone and kept.
+    Rows that share a doc_id share its group. Ties don't matter: the smallest
+    doc_id stands. An empty table gives none. Other columns aren't read.
     """
     space = C.Workspace(docs.sparkSession, "near")
+    m = bands * rows
+    least = enough_prints(m, similarity)
     signed = space.table(_signed(docs, bands, rows), "signed")
-    classes = signed.groupBy("c1", "c2").agg(F.min("doc_id").alias("class_id"), F.min("bands").alias("bands"))
+    classes = signed.groupBy("c1", "c2").agg(F.min("doc_id").alias("class_id"), F.min("bands").alias("bands"), F.min("prints").alias("prints"))
     classes = space.table(classes, "classes")
-    reps = classes.groupBy(F.col("class_id").alias("doc")).agg(F.min(F.struct("c1", "c2", "bands")).alias("x")).select("doc", "x.*").filter(F.length("bands") > 0)
-    every = space.table(_buckets(reps, bands), "every")
-    shared = every.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    buckets = space.table(every.join(shared, "bucket"), "buckets-0")
-    space.drop("every")
-    wanted = buckets.select("doc").distinct().join(reps.select("doc", "c1", "c2"), "doc")
-    bags = space.table(_bags(docs, wanted), "bags")
-    space.free_shuffles()
-    labels, failed, n = None, None, 0
-    for upto in [1, 3, 8, *[bands] * 1000]:
-        # members by bucket, with their components
-        b = buckets.withColumn("c", F.col("doc")) if labels is None else buckets.join(labels, buckets["doc"] == labels["node"], "left").select("bucket", "band", "doc", F.coalesce("label", "doc").alias("c"))
-        sizes = b.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-        split = sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("n", "c")).alias("x")).filter("k > 1").select("bucket", F.col("x.c").alias("largest"))
-        open_ = b.join(sizes, ["bucket", "c"]).join(split, "bucket")
-        n += 1
-        round_ = space.table(open_, f"round-{n}")
-        if round_.isEmpty():
-            break
-        now = round_.filter(F.col("band") < upto)
-        # leaders from all components but the largest; four times as many each round, so that a bucket is done after few
-        most = 4 ** max(0, n - 3)
-        order = Window.partitionBy("bucket").orderBy("n", "c", "doc")
-        leaders = now.filter("c <> largest").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most)
-        leaders = space.table(leaders.select("bucket", F.col("doc").alias("lead"), F.col("c").alias("lc")), f"leaders-{n}")
-        pairs = now.join(leaders, "bucket").filter("c <> lc").select(F.least("lead", "doc").alias("a"), F.greatest("lead", "doc").alias("b")).distinct()
-        if failed is not None:
-            pairs = pairs.join(failed, ["a", "b"], "left_anti")
-        pairs = space.table(pairs, f"pairs-{n}")
-        links = space.table(_verified(pairs, bags, similarity), f"links-{n}")
-        lost = pairs.join(links, ["a", "b"], "left_anti")
-        failed = lost if failed is None else failed.unionByName(lost)
-        old = None if labels is None else labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-        if not links.isEmpty():
-            labels = components(space, links if old is None else links.unionByName(old), f"labels-{n}")
-        buckets = round_.join(leaders.select("bucket", F.col("lead").alias("doc")), ["bucket", "doc"], "left_anti").select("bucket", "band", "doc")
-        space.free_shuffles()
+    reps = classes.groupBy(F.col("class_id").alias("doc")).agg(F.min(F.struct("c1", "c2", "bands", "prints")).alias("x")).select("doc", "x.*").filter(F.length("bands") > 0)
+    reps = space.table(reps, "reps")
+    marks = reps.select("doc", "prints")
+    buckets = space.table(_buckets(reps, bands), "buckets")
+
+    # 1. stars
+    stars = buckets.filter("doc <> centre").select("centre", "doc").distinct()
+    stars = stars.join(marks.withColumnRenamed("prints", "p"), "doc").join(marks.select(F.col("doc").alias("centre"), F.col("prints").alias("q")), "centre")
+    likely = _likely(stars, m, least).groupBy("doc").agg(F.max(F.struct("same", -F.col("centre"))).alias("x"), F.min("centre").alias("least"))
+    asks = likely.select(F.col("doc").alias("q"), F.explode(F.array_distinct(F.array(-F.col("x.col2"), "least"))).alias("g"))
+    asks = space.table(asks, "stars")
+    near = lambda d: d.join(reps.select("doc", "c1", "c2"), "doc")
+    bags = space.table(_bags(docs, near(asks.select(F.explode(F.array("q", "g")).alias("doc")).distinct())), "bags")
+    links = space.table(_linked(asks.select("g", F.col("g").alias("m")).distinct(), asks, bags, similarity), "links")
+    space.drop("stars")
+
+    # 2. seams
+    labels = components(space, links, "labels")
+    comps = marks.join(buckets.select("doc").distinct(), "doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "prints", F.coalesce("label", "doc").alias("comp"))
+    comps = space.table(comps, "comps")
+    sizes = comps.groupBy("comp").agg(F.count("*").alias("size"))
+    seams = space.table(_seams(buckets.select("bucket", "doc").join(comps.join(sizes, "comp"), "doc"), m, least), "seams")
+    space.drop("buckets")
+    if not seams.isEmpty():
+        members = comps.select(F.col("comp").alias("g"), F.col("doc").alias("m")).join(seams.select("g").distinct(), "g")
+        new = seams.select(F.col("q").alias("doc")).unionByName(members.select(F.col("m").alias("doc"))).distinct().join(bags.select("doc"), "doc", "left_anti")
+        more = space.table(_bags(docs, near(new)), "more")
+        found = _linked(members, seams, bags.unionByName(more), similarity).unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        found = space.table(found, "links-2")
+        labels = components(space, found, "all-labels")
+        for name in ("more", "links-2"):
+            space.drop(name)
+    for name in ("bags", "links", "comps", "seams", "reps"):
+        space.drop(name)
+
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     classed = signed.select("doc_id", "c1", "c2").join(classes.select("c1", "c2", "class_id"), ["c1", "c2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    if labels is not None:
-        classed = classed.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
-    else:
-        classed = classed.withColumn("label", F.lit(None).cast("long"))
+    classed = classed.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
     out = ids.join(classed, "doc_id", "left")
     group = F.coalesce("label", "class_id", "doc_id")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), group.alias("group_id"), F.coalesce(F.col("doc_id") == group, F.lit(True)).alias("kept"))
