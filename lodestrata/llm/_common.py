@@ -15,6 +15,18 @@ from lodestrata.runtime import shared_folder, ship
 WS = " \t\n\x0b\x0c\r"
 
 
+def give_back() -> None:
+    """Return a finished task's memory to the machine: workers stay alive between tasks, and the C library would keep what they freed."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class Recent:
     """Results of ``make`` by key, of about the last ``most`` keys: two generations, the older dropped when the newer is half full. ``new.get`` first, then ``miss``."""
 
@@ -45,17 +57,26 @@ def texts(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
 
 
+def settled(d: DataFrame, name: str, value) -> DataFrame:
+    """``value`` as a column that later filters and lambdas read and never compute again: the optimizer moves nothing through a generator."""
+    return d.select("*", F.explode(F.array(value)).alias(name))
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch | None], Iterable[dict]]], last: bool = False) -> DataFrame:
     """Arrow map. ``make()`` runs once per task and gives a function from a batch to column dicts. With ``last`` the function is called with None behind the last batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
-        for batch in batches:
-            for columns in work(batch):
-                yield pa.RecordBatch.from_pydict(columns)
-        if last:
-            for columns in work(None):
-                yield pa.RecordBatch.from_pydict(columns)
+        try:
+            work = make()
+            for batch in batches:
+                for columns in work(batch):
+                    yield pa.RecordBatch.from_pydict(columns)
+            if last:
+                for columns in work(None):
+                    yield pa.RecordBatch.from_pydict(columns)
+        finally:
+            work = batch = columns = None
+            give_back()
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
@@ -81,10 +102,3 @@ class Workspace:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def free_shuffles(self) -> None:
-        """Let the driver notice that finished steps' shuffle files are unused."""
-        import gc
-
-        gc.collect()
-        self.spark._jvm.System.gc()

@@ -1,93 +1,131 @@
 """Benchmark decontamination by template windows. Only DataFrame functions.
 
-Numbers, units and names become typed placeholders, so a question whose
-parameters were changed keeps its template. Windows of five template words of
-the documents are hash-joined with those of the benchmark. A document holds an
-item if it has at least 0.8 of the item's windows and the slots agree: along
-the best alignment, each value of the item's placeholders stands for one value
-in the document.
+A text is tokenised once: numbers, words, and the marks that end sentences or
+stand for units. Each token is its own word of the template, or a typed
+placeholder (number, unit behind a number, name), and keeps its value, so
+values can't shift. There are two templates: ``a`` keeps all words in lower
+case, ``p`` has a placeholder for each run of capitalised words. Windows of
+five template words of the documents are hash-joined with those of the
+benchmark, and a document holds an item if, in either template, it has at
+least 0.8 of the item's windows and the slots agree along some alignment:
+each value of the item's placeholders stands for one value in the document.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import _common as C
 
 #: Unit names that become a placeholder behind a number. Fixed values.
 UNITS = "mm cm dm m km ft in mi yd mg g kg lb oz ml cl l s sec min h hr hrs hours minutes seconds days weeks months years percent usd eur dollars euros cents k c f w kw v a hz mb gb tb kb mph kmh".split()
-_NUMBER = r"\d+(?:[.,:/]\d+)*"
-_NAME = r"([\p{Ll}\p{N},;] )(\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)*)"
-_UNIT = rf"(_n ?)(?i:%|€|£|\$|{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}_])"
-
-
-def _template(text: Column) -> tuple[Column, Column]:
-    """Template words, and the text in which names were looked for. Each placeholder is a word of its own; the text's underscores become hyphens, so no other word looks like one."""
-    named = F.regexp_replace(F.regexp_replace(F.translate(text, "_", "-"), _NUMBER, "_n"), _UNIT, "$1_u")
-    plain = F.lower(F.regexp_replace(F.regexp_replace(named, _NAME, "$1_p"), "_([nup])", " _$1 "))
-    return F.split(F.btrim(F.regexp_replace(plain, r"[^\p{L}\p{N}_]++", " ")), " "), named
-
-
-def _slots(df: DataFrame, key: str) -> DataFrame:
-    """key, pos (of the word), value: the placeholders' values, of rows with key and text."""
-    words, named = _template(F.col("text"))
-    # the k-th placeholder of a kind is the k-th match of its pattern
-    d = df.select(key, words.alias("words"), F.regexp_extract_all("text", F.lit(_NUMBER), F.lit(0)).alias("numbers"), F.regexp_extract_all(named, F.lit(_NAME), F.lit(2)).alias("names"))
-    d = d.select(key, "numbers", "names", F.expr("filter(transform(words, (w, i) -> struct(i AS pos, w AS w)), x -> x.w = '_n' OR x.w = '_p')").alias("found"))
-    d = d.select(key, *(F.expr(f"zip_with(transform(filter(found, x -> x.w = '{w}'), x -> x.pos), {v}, (p, v) -> struct(p AS pos, '{w}' || lower(v) AS value))").alias(v) for w, v in (("_n", "numbers"), ("_p", "names"))))
-    return d.select(key, F.explode(F.concat("numbers", "names")).alias("s")).select(key, F.col("s.pos").alias("pos"), F.col("s.value").alias("value")).filter("pos is not null and value is not null")
-
-
-def _windows(df: DataFrame, key: str, lengths: list[int]) -> DataFrame:
-    """key, pos, h: a hash for each window of ``lengths`` template words."""
-    words = df.select(key, _template(F.col("text"))[0].alias("words"))
-    each = [f"CASE WHEN size(words) >= {n} THEN transform(sequence(1, size(words) - {n - 1}), i -> xxhash64({n}, slice(words, i, {n}))) ELSE array() END" for n in lengths]
-    parts = [words.select(key, F.posexplode(F.expr(e)).alias("pos", "h")) for e in each]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+#: Marks that are a unit behind a number, and marks that part sentences.
+SIGNS, STOPS = "%€£$", ".!?"
+TOKEN = rf"[0-9](?:[0-9.,:/]*[0-9])?|\p{{L}}+|[{SIGNS}]|[{STOPS}]"
+_LIST = lambda words: ", ".join(f"'{w}'" for w in words)
+
+
+def _templates(df: DataFrame, *keys: str) -> DataFrame:
+    """keys, a and p: the templates' words (w) with their values (v), of rows with keys and text. ``C.settled``: nothing is computed twice."""
+    d = C.settled(df.select(*keys, "text"), "t", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).drop("text")
+    digit = "({0} >= '0' AND {0} < ':')"
+    unit = f"(i > 0 AND {digit.format('t[greatest(i - 1, 0)]')} AND lower(w) IN ({_LIST([*UNITS, *SIGNS])}))"
+    word = f"CASE WHEN {digit.format('w')} THEN '_n' WHEN {unit} THEN '_u' WHEN w IN ({_LIST(SIGNS + STOPS)}) THEN '' ELSE lower(w) END"
+    d = C.settled(d, "x", F.expr(f"transform(t, (w, i) -> named_struct('w', {word}, 'v', lower(w), 'p', NOT {unit} AND substr(w, 1, 1) <> lower(substr(w, 1, 1))))")).drop("t")
+    run = "aggregate(slice(x, i + 1, 8), named_struct('v', '', 'on', true), (r, e) -> CASE WHEN r.on AND e.p THEN named_struct('v', concat(r.v, ' ', e.v), 'on', true) ELSE named_struct('v', r.v, 'on', false) END, r -> r.v)"
+    name = f"CASE WHEN NOT e.p THEN named_struct('w', e.w, 'v', e.v) WHEN i > 0 AND x[greatest(i - 1, 0)].p THEN named_struct('w', '', 'v', '') ELSE named_struct('w', '_p', 'v', {run}) END"
+    return d.select(*keys, F.expr("transform(filter(x, e -> e.w <> ''), e -> named_struct('w', e.w, 'v', e.v))").alias("a"), F.expr(f"filter(transform(x, (e, i) -> {name}), e -> e.w <> '')").alias("p"))
+
+
+def _hashed(df: DataFrame, *keys: str) -> DataFrame:
+    """keys, a and p: a hash of each template word; cheaper than ``_templates``, as it keeps no values."""
+    d = C.settled(df.select(*keys, "text"), "t", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).drop("text")
+    digit = "({0} >= '0' AND {0} < ':')"
+    unit = f"(i > 0 AND {digit.format('t[greatest(i - 1, 0)]')} AND lower(w) IN ({_LIST([*UNITS, *SIGNS])}))"
+    # the hash of a word; 0 for a mark; names have their lowest bit set, other words don't
+    word = f"CASE WHEN {digit.format('w')} THEN shiftleft(xxhash64('_n'), 1) WHEN {unit} THEN shiftleft(xxhash64('_u'), 1) WHEN w IN ({_LIST(SIGNS + STOPS)}) THEN 0L ELSE shiftleft(xxhash64(lower(w)), 1) | CASE WHEN substr(w, 1, 1) <> lower(substr(w, 1, 1)) THEN 1L ELSE 0L END END"
+    d = C.settled(d, "x", F.expr(f"transform(t, (w, i) -> {word})")).drop("t")
+    a = "transform(filter(x, e -> e <> 0), e -> e & -2L)"
+    p = "filter(transform(x, (e, i) -> CASE WHEN (e & 1) = 0 THEN e WHEN i > 0 AND (x[greatest(i - 1, 0)] & 1) = 1 THEN 0L ELSE shiftleft(xxhash64('_p'), 1) END), e -> e <> 0)"
+    return C.settled(C.settled(d, "a", F.expr(a)), "p", F.expr(p)).drop("x")
+
+
+def _windows_of(kind: str, n: int) -> str:
+    """SQL: the hashes of all windows of n words of template ``kind``."""
+    at = ", ".join(f"{kind}[i + {k}]" for k in range(n))
+    return f"CASE WHEN size({kind}) >= {n} THEN transform(sequence(0, size({kind}) - {n}), i -> xxhash64('{kind}', {n}, {at})) ELSE array() END"
 
 
 def item_windows(benchmark: DataFrame, window: int = 5) -> tuple[DataFrame, list[int]]:
-    """item, ipos, h, of of each window (of: windows of the item), and the lengths in use. An item of fewer words is one window of its length; null and empty items have none. Of repeated item_ids every row counts."""
-    items = benchmark.select(F.col("item_id").alias("item"), "text").filter("text is not null and item_id is not null")
-    words = items.select("item", _template(F.col("text"))[0].alias("words")).filter("words[0] <> '' or size(words) > 1").withColumn("n", F.least(F.size("words"), F.lit(window)))
-    found = words.select("item", "n", F.posexplode(F.expr("transform(sequence(1, size(words) - n + 1), i -> xxhash64(n, slice(words, i, n)))")).alias("ipos", "h"))
-    lengths = sorted(r["n"] for r in words.select("n").distinct().collect())
-    total = found.groupBy("item").agg(F.count_distinct("h").alias("of"))
-    return found.join(total, "item").select("item", "ipos", "h", "of"), lengths
+    """item, kind, h, ipos (of the window's first place), of (the item's windows) and the lengths in use.
+
+    An item of fewer words is one window of its length; null and empty items,
+    and such as have no word of their own besides placeholders, have none.
+    Template ``p`` is used for items with a name and at least ``window`` other
+    words. Of repeated item_ids every row counts.
+    """
+    items = benchmark.select(F.col("item_id").cast("long").alias("item"), "text").filter("text is not null and item_id is not null")
+    own = {k: f"size(filter({k}, e -> NOT startswith(e.w, '_')))" for k in "ap"}
+    t = _templates(items.withColumn("raw", F.col("text")), "item", "raw").filter(F.expr(f"{own['a']} > 0"))
+    t = t.select("item", F.col("raw").alias("text"), F.expr("size(a)").alias("na"), F.expr(f"CASE WHEN exists(p, e -> e.w = '_p') AND {own['p']} >= {window} THEN size(p) ELSE 0 END").alias("np"))
+    lengths = sorted(r["n"] for r in t.select(F.least("na", F.lit(window)).alias("n")).distinct().collect())
+    hashed = _hashed(t, "item", "na", "np")
+    parts = [hashed.filter(F.least("na", F.lit(window)) == n).select("item", F.lit("a").alias("kind"), F.posexplode(F.expr(_windows_of("a", n))).alias("ipos", "h")) for n in lengths]
+    parts.append(hashed.filter(F.col("np") > 0).select("item", F.lit("p").alias("kind"), F.posexplode(F.expr(_windows_of("p", window))).alias("ipos", "h")))
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.unionByName(more)
+    found = found.groupBy("item", "kind", "h").agg(F.min("ipos").alias("ipos"))
+    return found.join(found.groupBy("item", "kind").agg(F.count("*").alias("of")), ["item", "kind"]), lengths
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = 5, share: float = 0.8, broadcast_rows: int = 500_000) -> DataFrame:
     """doc_id, item: the items each document holds.
 
-    The benchmark's windows are broadcast up to ``broadcast_rows`` rows (24
-    bytes each); beyond, both sides are shuffled by hash. Candidate pairs are
-    written first; texts are read again only for their documents.
+    The benchmark's windows are broadcast up to ``broadcast_rows`` rows (40
+    bytes each); beyond, both sides are shuffled by hash. A document's
+    distinct windows decide which items it may hold; places are looked at for
+    these documents only, and texts are read again for them. An alignment
+    counts if it has half of the windows that an item must have.
     """
     space = C.Workspace(docs.sparkSession, "decontamination")
     items, lengths = item_windows(benchmark, window)
     items = space.table(items, "items")
     few = (lambda n, df: F.broadcast(df) if n <= broadcast_rows else df)
-    known = C.texts(docs).filter("doc_id is not null")
-    pairs_schema = "doc_id long, item long"
+    pair = ["doc_id", "th", "item", "kind"]
+    known = C.texts(docs).filter("doc_id is not null").withColumn("th", F.xxhash64("text"))
     if not lengths:
-        return docs.sparkSession.createDataFrame([], pairs_schema)
-    hits = _windows(known, "doc_id", lengths).join(few(items.count(), items), "h")
-    # windows of a document that recur in it or in an item count once towards the share
-    diagonal = hits.groupBy("doc_id", "item", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.max("of").alias("of"), F.count("*").alias("n"), F.collect_set("h").alias("hs"))
-    best = diagonal.groupBy("doc_id", "item").agg(F.max("of").alias("of"), F.min_by("shift", F.struct(-F.col("n"), "shift")).alias("shift"), F.size(F.array_distinct(F.flatten(F.collect_list("hs")))).alias("had"))
-    pairs = space.table(best.filter(F.col("had") >= share * F.col("of")).select("doc_id", F.col("item").cast("long").alias("item"), "shift"), "pairs")
-    n = pairs.count()
-    ids = pairs.select("doc_id").distinct()
-    docs_again = known.join(few(n, ids), "doc_id", "left_semi")
-    slots_d = _slots(docs_again, "doc_id").select("doc_id", "pos", F.col("value").alias("dvalue")).distinct()
-    slots_i = _slots(benchmark.select(F.col("item_id").cast("long").alias("item"), "text").filter("text is not null"), "item").select("item", F.col("pos").alias("ipos"), F.col("value").alias("ivalue"))
-    aligned = pairs.join(slots_i, "item").withColumn("pos", F.col("ipos") + F.col("shift")).join(slots_d, ["doc_id", "pos"])
-    bad = aligned.groupBy("doc_id", "item", "ivalue").agg(F.min("dvalue").alias("a"), F.max("dvalue").alias("b")).filter("a <> b").select("doc_id", "item").distinct()
-    return pairs.select("doc_id", "item").join(bad, ["doc_id", "item"], "left_anti")
+        return docs.sparkSession.createDataFrame([], "doc_id long, item long")
+    n_items = items.count()
+    every = ", ".join([*(_windows_of("a", n) for n in lengths), _windows_of("p", window)])
+    held = _hashed(known, "doc_id", "th").select("doc_id", "th", F.explode(F.expr(f"array_distinct(concat({every}))")).alias("h"))
+    had = held.join(few(n_items, items.select("item", "kind", "h", "of")), "h").groupBy(*pair).agg(F.max("of").alias("of"), F.count_distinct("h").alias("had"))
+    pairs = space.table(had.filter(F.col("had") >= share * F.col("of")).select(*pair, "of"), "pairs")
+    n_pairs = pairs.count()
+    again = known.join(few(n_pairs, pairs.select("doc_id", "th").distinct()), ["doc_id", "th"], "left_semi")
+
+    # alignments
+    hashed = _hashed(again, "doc_id", "th")
+    placed = [hashed.select("doc_id", "th", F.posexplode(F.expr(_windows_of(k, n))).alias("pos", "h")) for k, n in [*(("a", n) for n in lengths), ("p", window)]]
+    where = placed[0]
+    for more in placed[1:]:
+        where = where.unionByName(more)
+    at = where.join(few(n_items, items.select("item", "kind", "h", "ipos")), "h").join(few(n_pairs, pairs), pair)
+    lines = at.groupBy(*pair, (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.max("of").alias("of"), F.count("*").alias("n"))
+    best = lines.groupBy(*pair).agg(F.max("n").alias("most"))
+    lines = lines.join(best, pair).filter(F.col("n") >= F.least("most", share * F.col("of") / 2)).select(*pair, "shift")
+
+    # slots
+    slots = lambda d, *keys: d.select(*keys, F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.expr(f"filter(transform({k}, (e, i) -> named_struct('pos', i, 'w', e.w, 'v', e.v)), e -> e.w IN ('_n', '_p'))").alias("s")) for k in "ap"))).alias("k")).select(*keys, "k.kind", F.explode("k.s").alias("s")).select(*keys, "kind", F.col("s.pos").alias("pos"), F.concat("s.w", "s.v").alias("v"))
+    named = benchmark.select(F.col("item_id").cast("long").alias("item"), "text").filter("text is not null and item_id is not null")
+    slots_i = slots(_templates(named, "item"), "item").select("item", "kind", F.col("pos").alias("ipos"), F.col("v").alias("ivalue"))
+    slots_d = slots(_templates(again, "doc_id", "th"), "doc_id", "th").select("doc_id", "th", "kind", "pos", F.col("v").alias("dvalue"))
+    slots_i, slots_d = space.table(slots_i, "slots_i"), space.table(slots_d, "slots_d")
+    lines = space.table(lines, "lines")
+    met = lines.join(slots_i, ["item", "kind"]).withColumn("pos", F.col("ipos") + F.col("shift")).join(slots_d.distinct(), ["doc_id", "th", "kind", "pos"])
+    bad = met.groupBy(*pair, "shift", "ivalue").agg(F.min("dvalue").alias("x"), F.max("dvalue").alias("y")).filter("x <> y").select(*pair, "shift").distinct()
+    return lines.join(bad, [*pair, "shift"], "left_anti").select("doc_id", "item").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
