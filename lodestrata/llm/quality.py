@@ -16,9 +16,8 @@ from lodestrata.llm import _common as C
 _WS = "[ \t-\r]"  # the characters themselves: SQL literals read backslashes too
 
 
-def _settled(d: DataFrame, name: str, value) -> DataFrame:
-    """``value`` as a column that later filters and lambdas read and never compute again: the optimizer moves nothing through a generator."""
-    return d.select("*", F.explode(F.array(value)).alias(name))
+#: Texts of this many words or more have their repeated windows confirmed by a second hash.
+LONG = 1 << 14
 
 
 def _repeat_words(d: DataFrame) -> DataFrame:
@@ -26,10 +25,18 @@ def _repeat_words(d: DataFrame) -> DataFrame:
 
     Window hashes are shifted to make room for the window's position, so that
     one primitive sort brings equal windows together and tells where they are.
+    In a long text so few bits are left that windows meet by chance: there the
+    windows found are sorted once more by another hash.
     """
+
+    def equal_neighbours(name: str) -> str:
+        return f"sort_array(transform(filter({name}, (x, i) -> (i > 0 AND shiftrightunsigned(x ^ {name}[greatest(i - 1, 0)], pb) = 0) OR (i < size({name}) - 1 AND shiftrightunsigned(x ^ {name}[least(i + 1, size({name}) - 1)], pb) = 0)), x -> x & (shiftleft(1L, pb) - 1)))"
+
     d = d.withColumn("pb", F.ceil(F.log2(F.col("n_words") + F.lit(1))).cast("int"))
-    d = _settled(d, "s", F.expr("CASE WHEN n_words >= 3 THEN sort_array(transform(sequence(0, cast(n_words AS int) - 3), i -> shiftleft(xxhash64(w[i], w[i + 1], w[i + 2]), pb) | cast(i AS bigint))) ELSE array() END")).drop("w")
-    d = _settled(d.withColumnRenamed("s", "all"), "s", F.expr("sort_array(transform(filter(all, (x, i) -> (i > 0 AND shiftrightunsigned(x ^ all[greatest(i - 1, 0)], pb) = 0) OR (i < size(all) - 1 AND shiftrightunsigned(x ^ all[least(i + 1, size(all) - 1)], pb) = 0)), x -> x & (shiftleft(1L, pb) - 1)))")).drop("all")
+    d = C.settled(d, "every", F.expr("CASE WHEN n_words >= 3 THEN sort_array(transform(sequence(0, cast(n_words AS int) - 3), i -> shiftleft(xxhash64(w[i], w[i + 1], w[i + 2]), pb) | cast(i AS bigint))) ELSE array() END"))
+    d = C.settled(d, "once", F.expr(equal_neighbours("every"))).drop("every")
+    d = C.settled(d, "again", F.expr(f"CASE WHEN n_words >= {LONG} THEN sort_array(transform(once, i -> shiftleft(xxhash64(1, w[cast(i AS int)], w[cast(i AS int) + 1], w[cast(i AS int) + 2]), pb) | i)) ELSE array() END")).drop("w")
+    d = C.settled(d, "s", F.expr(f"CASE WHEN n_words >= {LONG} THEN {equal_neighbours('again')} ELSE once END")).drop("once", "again")
     return d.withColumn("n_repeat_words", F.expr("CASE WHEN size(s) = 0 THEN 0L ELSE aggregate(zip_with(slice(s, 1, size(s) - 1), slice(s, 2, size(s) - 1), (a, b) -> least(3L, b - a)), 3L, (t, x) -> t + x) END")).drop("s", "pb")
 
 
@@ -54,21 +61,29 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(docs: DataFrame, limit: int) -> DataFrame:
-    """h (hash of host and line), first (smallest doc_id) of the lines in more than ``limit`` documents of a host. A document adds one to a line's count, a repeated row one more."""
+    """h (hash of host and line), first (smallest doc_id) of the lines in more than ``limit`` documents of a host. Rows of one doc_id are one document; a null doc_id is none."""
     held = _lines(docs).select("doc_id", F.explode(F.expr("array_distinct(transform(lines, x -> xxhash64(host, x.l)))")).alias("h"))
-    return held.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter(F.col("n") > limit).select("h", "first")
+    return held.groupBy("h").agg(F.count_distinct("doc_id").alias("n"), F.min("doc_id").alias("first")).filter(F.col("n") > limit).select("h", "first")
 
 
-def quality_rules(docs: DataFrame, limit: int = 64, min_share: float = 0.3, min_words: int = 20) -> DataFrame:
+def quality_rules(docs: DataFrame, limit: int = 64, min_share: float = 0.3, min_words: int = 20, broadcast_rows: int = 500_000) -> DataFrame:
     """The base rules' columns, removed_words, removed_lines, removed_at (the removed lines' places), depleted, kept; one row per row of ``docs``.
 
     Null text counts as empty and fails; a null host is a host; a null doc_id
     is never a line's first holder. A table without rows gives none. Other
     columns aren't read. Equal lines tie by the smallest doc_id.
+
+    The frequent lines are broadcast up to ``broadcast_rows`` (16 bytes each);
+    beyond, lines and frequent lines are joined by hash and one of 16 salts.
     """
-    frequent = frequent_lines(docs, limit)
+    frequent = C.Workspace(docs.sparkSession, "quality").table(frequent_lines(docs, limit), "frequent")
     every = _lines(docs).select("doc_id", "text_hash", F.explode(F.expr("transform(lines, x -> struct(x.i AS pos, xxhash64(host, x.l) AS h, size(split(x.l, ' ')) AS n))")).alias("line")).select("doc_id", "text_hash", "line.pos", F.col("line.h").alias("h"), F.col("line.n").alias("n"))
-    gone = every.join(frequent, "h").filter(~F.coalesce(F.col("doc_id") == F.col("first"), F.lit(False)))
+    if frequent.count() <= broadcast_rows:
+        met = every.join(F.broadcast(frequent), "h")
+    else:
+        salted = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
+        met = every.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(16))).join(salted, ["h", "salt"])
+    gone = met.filter(~F.coalesce(F.col("doc_id") == F.col("first"), F.lit(False)))
     gone = gone.select("doc_id", "text_hash", "pos", "n").distinct().groupBy("doc_id", "text_hash").agg(F.sum("n").alias("removed_words"), F.count("*").alias("removed_lines"), F.collect_list("pos").alias("removed_at"))
     gone = gone.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "removed_words", "removed_lines", "removed_at")
     base = base_rules(docs)

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from helpers import EDGE, by_id, table
 
 from lodestrata.llm import decontamination, langid, quality, secrets, toxicity
@@ -178,3 +179,22 @@ def test_toxicity(spark):
     none = toxicity.train(docs, labels.limit(0))
     assert max(r.expected_severity for r in toxicity.grade_documents(docs, none).collect()) < 1e-9
     assert toxicity.grade_documents(docs.limit(0), model).count() == 0
+
+
+def test_repeats_in_a_very_long_text(spark):
+    """Position bits take room from the hash; no window may repeat by chance."""
+    n = 1_500_000
+    d = spark.range(1).select(F.lit(1).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.expr(f"array_join(transform(sequence(1, {n}), i -> cast(i AS string)), ' ') || ' 7 8 9'").alias("text"))
+    r = quality.base_rules(d).select("n_words", "n_repeat_words").collect()[0]
+    assert tuple(r) == (n + 3, 6)
+
+
+def test_repeated_rows_are_one_document(spark):
+    own = lambda i: " ".join(f"own{i}w{j}" for j in range(60))
+    rows = [(i % 2, "a common line\n" + own(i % 2), "en", "h", 1) for i in range(6)] + [(None, "a common line\n" + own(9), "en", "h", 1)] * 4
+    got = quality.quality_rules(table(spark, rows), limit=2).collect()
+    assert len(got) == 10 and all(r.removed_lines == 0 for r in got)
+    rows += [(2, "A common  line\n" + own(2), "en", "h", 1)]
+    for most in (500_000, 0):
+        got = quality.quality_rules(table(spark, rows), limit=2, broadcast_rows=most).collect()
+        assert len(got) == 11 and all(r.removed_lines == (r.doc_id != 0) for r in got)
