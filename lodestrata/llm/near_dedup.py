@@ -18,7 +18,8 @@ never listed:
 2. Seams. In every bucket that still has several components, signatures tell
    which documents may have a link into which larger component. Each such
    document is probed against all members of that component at once, through an
-   index from shingles to members; big components are probed by chunks.
+   index from shingles to members; big components are probed by chunks. First
+   each asks the largest and the most similar one, then all that remain.
 
 A candidate pair is in one component after round 1, or its smaller side is
 probed in round 2, so no candidate link between components goes unverified.
@@ -144,7 +145,7 @@ def _rows(batch: pa.RecordBatch, column: str, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column(column).to_pylist()), np.uint8).reshape(-1, width)
 
 
-def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+def _signed(docs: DataFrame, bands: int, rows: int, extra: int) -> DataFrame:
     """doc_id, c1, c2 (the class: a hash of the words), bands and prints (empty without words)."""
 
     def make():
@@ -164,8 +165,8 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                         size += len(words)
                     a += 1
                 c = np.frombuffer(b"".join(cls), np.int64).reshape(-1, 2)
-                sig = signatures(bags, bands * rows)
-                columns = {k: pa.array([r.tobytes() if len(b) else b"" for r, b in zip(v, bags, strict=True)], pa.binary()) for k, v in (("bands", band_hashes(sig, bands, rows)), ("prints", prints(sig)))}
+                sig = signatures(bags, bands * rows + extra)
+                columns = {k: pa.array([r.tobytes() if len(b) else b"" for r, b in zip(v, bags, strict=True)], pa.binary()) for k, v in (("bands", band_hashes(np.ascontiguousarray(sig[:, : bands * rows]), bands, rows)), ("prints", prints(sig)))}
                 yield {"doc_id": pa.array(doc, pa.int64()), "c1": pa.array(c[:, 0]), "c2": pa.array(c[:, 1])} | columns
 
         return work
@@ -323,7 +324,7 @@ def _linked(members: DataFrame, asks: DataFrame, bags: DataFrame, similarity: fl
 
 
 def _seams(rows: DataFrame, m: int, least: int) -> DataFrame:
-    """q, g: documents that may be similar to a member of the larger component g, of rows (bucket, doc, comp, size, prints) of buckets that have several components.
+    """q, g, same (most equal prints), size (of g): documents that may be similar to a member of the larger component g, of rows (bucket, doc, comp, size, prints) of buckets that have several components.
 
     A bucket's documents are dealt to blocks of about ``BLOCK``; each two
     blocks meet in a task. Rows of a task lie by component size, and row r is
@@ -337,17 +338,17 @@ def _seams(rows: DataFrame, m: int, least: int) -> DataFrame:
         held: list[pa.RecordBatch] = []
 
         def compare(batch: pa.RecordBatch):
-            col = {c: batch.column(c).to_numpy() for c in ("bucket", "lo", "hi", "own", "comp", "doc")}
+            col = {c: batch.column(c).to_numpy() for c in ("bucket", "lo", "hi", "own", "comp", "doc", "size")}
             p = _rows(batch, "prints", m)
             new = np.zeros(len(p), bool)
             for c in ("bucket", "lo", "hi"):
                 new[1:] |= col[c][1:] != col[c][:-1]
             group = np.cumsum(new)
-            size = np.bincount(group)[group]
+            count = np.bincount(group)[group]
             place = np.arange(len(p)) - np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))
-            left = size - place  # rows of the group from here on
+            left = count - place  # rows of the group from here on
             across = col["lo"] != col["hi"]
-            q, g = [], []
+            out = []
             live, k = np.arange(len(p)), 0
             while True:
                 k += 1
@@ -357,11 +358,15 @@ def _seams(rows: DataFrame, m: int, least: int) -> DataFrame:
                 r = live[(col["comp"][live] != col["comp"][live + k]) & ~(across[live] & (col["own"][live] == col["own"][live + k]))]
                 for a in range(0, len(r), 1 << 16):
                     x = r[a : a + (1 << 16)]
-                    x = x[(p[x] == p[x + k]).sum(axis=1) >= least]
-                    q.append(col["doc"][x])
-                    g.append(col["comp"][x + k])
-            pairs = np.unique(np.stack([np.concatenate(q), np.concatenate(g)], axis=1), axis=0) if q else np.zeros((0, 2), np.int64)
-            return {"q": pa.array(pairs[:, 0]), "g": pa.array(pairs[:, 1])}
+                    same = (p[x] == p[x + k]).sum(axis=1)
+                    x, same = x[same >= least], same[same >= least]
+                    out.append(np.stack([col["doc"][x], col["comp"][x + k], same, col["size"][x + k]], axis=1))
+            pairs = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
+            # of a document and a component the most similar member tells
+            pairs = pairs[np.lexsort((-pairs[:, 2], pairs[:, 1], pairs[:, 0]))]
+            first = np.ones(len(pairs), bool)
+            first[1:] = (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)
+            return {k: pa.array(pairs[first, i]) for i, k in enumerate(("q", "g", "same", "size"))}
 
         def work(batch: pa.RecordBatch | None):
             if batch is not None and batch.num_rows:
@@ -383,7 +388,8 @@ def _seams(rows: DataFrame, m: int, least: int) -> DataFrame:
 
         return work
 
-    return C.map_rows(dealt, "q long, g long", make, last=True).distinct()
+    told = C.map_rows(dealt, "q long, g long, same long, size long", make, last=True)
+    return told.groupBy("q", "g").agg(F.max("same").alias("same"), F.max("size").alias("size"))
 
 
 def components(space: C.Workspace, edges: DataFrame, name: str) -> DataFrame:
@@ -405,7 +411,7 @@ def components(space: C.Workspace, edges: DataFrame, name: str) -> DataFrame:
             return e.select(F.col("v").alias("node"), F.col("u").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 24, rows: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 24, rows: int = 4, extra: int = 96) -> DataFrame:
     """doc_id, class_id (smallest doc_id of equal words), group_id (smallest doc_id linked), kept (doc_id = group_id); one row per row of ``docs``.
 
     A pair of that similarity shares no band once in 300,000 cases, and its
@@ -415,9 +421,9 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 24, r
     doc_id stands. An empty table gives none. Other columns aren't read.
     """
     space = C.Workspace(docs.sparkSession, "near")
-    m = bands * rows
+    m = bands * rows + extra  # ``extra`` components sharpen the estimate only
     least = enough_prints(m, similarity)
-    signed = space.table(_signed(docs, bands, rows), "signed")
+    signed = space.table(_signed(docs, bands, rows, extra), "signed")
     classes = signed.groupBy("c1", "c2").agg(F.min("doc_id").alias("class_id"), F.min("bands").alias("bands"), F.min("prints").alias("prints"))
     classes = space.table(classes, "classes")
     reps = classes.groupBy(F.col("class_id").alias("doc")).agg(F.min(F.struct("c1", "c2", "bands", "prints")).alias("x")).select("doc", "x.*").filter(F.length("bands") > 0)
@@ -443,16 +449,30 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 24, r
     sizes = comps.groupBy("comp").agg(F.count("*").alias("size"))
     seams = space.table(_seams(buckets.select("bucket", "doc").join(comps.join(sizes, "comp"), "doc"), m, least), "seams")
     space.drop("buckets")
-    if not seams.isEmpty():
-        members = comps.select(F.col("comp").alias("g"), F.col("doc").alias("m")).join(seams.select("g").distinct(), "g")
-        new = seams.select(F.col("q").alias("doc")).unionByName(members.select(F.col("m").alias("doc"))).distinct().join(bags.select("doc"), "doc", "left_anti")
-        more = space.table(_bags(docs, near(new)), "more")
-        found = _linked(members, seams, bags.unionByName(more), similarity).unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        found = space.table(found, "links-2")
-        labels = components(space, found, "all-labels")
-        for name in ("more", "links-2"):
-            space.drop(name)
-    for name in ("bags", "links", "comps", "seams", "reps"):
+    label = lambda d, c: d.join(labels.select(F.col("node").alias(c), "label"), c, "left").withColumn("now", F.coalesce("label", c)).drop("label")
+    now = comps.select("doc", F.col("comp").alias("now"))
+    # most links show at the largest and at the most similar component; what is left asks the components that these make
+    best = seams.groupBy("q").agg(F.max(F.struct("size", "g")).alias("x"), F.max(F.struct("same", "g")).alias("y"))
+    asks = space.table(best.select("q", F.explode(F.array_distinct(F.array("x.g", "y.g"))).alias("g")), "asks-1")
+    for turn in (1, 2):
+        if asks.isEmpty():
+            break
+        members = now.select(F.col("now").alias("g"), F.col("doc").alias("m")).join(asks.select("g").distinct(), "g")
+        new = asks.select(F.col("q").alias("doc")).unionByName(members.select(F.col("m").alias("doc"))).distinct().join(bags.select("doc"), "doc", "left_anti")
+        bags = bags.unionByName(space.table(_bags(docs, near(new)), f"bags-{turn}"))
+        found = _linked(members, asks, bags, similarity).unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        found = space.table(found, f"links-{turn}")
+        labels = components(space, found, f"labels-{turn}")
+        if turn == 1:
+            before = now.groupBy("now").agg(F.count("*").alias("k"))
+            tried = asks.join(before.withColumnRenamed("now", "g"), "g").select("q", "g", "k")
+            now = space.table(label(comps.select("doc"), "doc"), "now")
+            after = now.groupBy("now").agg(F.count("*").alias("k"))
+            rest = label(seams.select("q", "g"), "g").select("q", F.col("now").alias("g")).join(now.withColumnRenamed("doc", "q"), "q").filter("now <> g").select("q", "g").distinct()
+            # a component that hasn't grown since it was asked has no more to tell
+            rest = rest.join(after.withColumnRenamed("now", "g"), "g").join(tried, ["q", "g", "k"], "left_anti").select("q", "g")
+            asks = space.table(rest, "asks-2")
+    for name in ("bags", "bags-1", "bags-2", "links", "links-1", "links-2", "asks-1", "asks-2", "now", "comps", "seams", "reps"):
         space.drop(name)
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
