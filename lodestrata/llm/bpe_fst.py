@@ -37,9 +37,9 @@ def merge_by_rank(symbols: Iterable[str], rank: Mapping[str, int]) -> list[str]:
 
 
 class _State(dict):
-    """Next state by symbol. ``gain``: what entering adds to the count; ``ends``: the token that ends here, "" if none; ``rest``: what ending here adds."""
+    """Next state by symbol. ``gain``: what entering adds to the count; ``ends``: the token that ends here, "" if none; ``rest``: what ending here adds; ``flush``: whether a token ends here in the only run left."""
 
-    __slots__ = ("runs", "gain", "ends", "rest", "sure")
+    __slots__ = ("runs", "gain", "ends", "rest", "flush")
 
 
 class BpeFst:
@@ -63,7 +63,7 @@ class BpeFst:
         found = self.states.get(key)
         if found is None:
             found = self.states[key] = _State()
-            found.runs, found.gain, found.ends, found.rest, found.sure = runs, gain, ends, rest, len(runs) == 1
+            found.runs, found.gain, found.ends, found.rest, found.flush = runs, gain, ends, rest, len(runs) == 1 and ends != ""
         return found
 
     def compatible(self, a: str, b: str) -> bool:
@@ -113,8 +113,11 @@ class BpeFst:
             to = state.get(c)
             state = to if to is not None else self.step(state, c)
             ends.append(state.ends)
-            if state.sure and state.ends:
-                out += _back(ends)
+            if state.flush:
+                if len(ends) == len(state.ends):  # one token since the last flush
+                    out.append(state.ends)
+                else:
+                    out += _back(ends)
                 ends.clear()
         if ends:
             out += _back(ends)

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -95,8 +96,8 @@ class ByteBpe:
 
     def _field(self, field: str) -> bytes:
         ranks, encode = self.ranks, self.fst.encode
-        ids = [ranks[t] for piece in self.pattern.findall(field) for t in encode(piece.encode("utf-8").decode("latin-1"))]
-        return np.array(ids, "<u4").tobytes()
+        ids = [ranks[t] for piece in self.pattern.findall(field) for t in encode(piece if piece.isascii() else piece.encode("utf-8").decode("latin-1"))]
+        return pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -122,14 +123,9 @@ class ByteBpe:
         return self.closed
 
 
-_LOADED: dict[tuple, ByteBpe] = {}
-
-
 def load(path: str, pattern: str) -> ByteBpe:
-    """One encoder per Python worker."""
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = ByteBpe(read_ranks(path), pattern)
-    return _LOADED[path, pattern]
+    """An encoder for one task. Its states and memo end with the task: a Python worker that waits or does other work holds nothing."""
+    return ByteBpe(read_ranks(path), pattern)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:

@@ -7,7 +7,6 @@ word falls back to the longest character n-grams of it (bounded by ``^`` and
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 import re
 from collections import Counter
@@ -119,9 +118,6 @@ def train(docs: DataFrame, max_docs: int = 1500, max_units: int = 10_000) -> tup
     return langs, tables, totals
 
 
-_LOADED: dict[str, Model] = {}
-
-
 def identify(docs: DataFrame, parts: tuple) -> DataFrame:
     """doc_id, lang_pred, score (the posterior of the language under equal priors).
 
@@ -131,13 +127,9 @@ def identify(docs: DataFrame, parts: tuple) -> DataFrame:
     stays null, other columns aren't read. Texts count whole.
     """
     packed = pickle.dumps(parts)
-    digest = hashlib.sha256(packed).hexdigest()
 
     def make():
-        if digest not in _LOADED:
-            _LOADED.clear()
-            _LOADED[digest] = Model(*pickle.loads(packed))
-        model = _LOADED[digest]
+        model = Model(*pickle.loads(packed))
 
         def work(batch: pa.RecordBatch):
             got = [model.predict(t) for t in batch.column("text").to_pylist()]

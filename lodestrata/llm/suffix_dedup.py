@@ -372,7 +372,6 @@ class SuffixDedup:
 
         sent = C.map_rows(blocks, "block long, part int, hashes binary", send_hashes)
         shared = self._reply(sent, "bits", find_shared, "shared")
-        space.free_shuffles()
 
         def candidates(block: Block, replies: list[dict]):
             """Anchors whose string another document has too, and their order of sending."""
@@ -423,7 +422,6 @@ class SuffixDedup:
             return answer
 
         contexts = self._reply(C.map_rows(asked, runs, send_contexts), "firsts masks", merge, "contexts")
-        space.free_shuffles()
 
         # 3. what goes
         def repeated(block: Block, b: dict) -> np.ndarray:

@@ -105,14 +105,9 @@ class Counter:
         return (self.word(whole.head) if whole.head else 0) + whole.count + self.word(whole.tail)
 
 
-_LOADED: dict[str, Counter] = {}
-
-
 def load(path: str) -> Counter:
-    """One counter per Python worker."""
-    if path not in _LOADED:
-        _LOADED[path] = Counter(read_model(path))
-    return _LOADED[path]
+    """A counter for one task; its states and memo end with it."""
+    return Counter(read_model(path))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
