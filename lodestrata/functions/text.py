@@ -46,5 +46,10 @@ def tagged(label: Column, prefix: str = "G") -> Column:
     return F.concat(F.lit(prefix), F.lpad(label.cast("string"), F.greatest(F.lit(2), F.length(label.cast("string"))), F.lit("0")))
 
 
+#: What counts as white space at a line's ends. Fixed values.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def normal_line(text: Column) -> Column:
-    return F.lower(F.trim(text))
+    """Lower case, without white space of any kind at the ends."""
+    return F.lower(F.btrim(text, F.lit(SPACES)))

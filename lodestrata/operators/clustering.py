@@ -88,65 +88,136 @@ def labels_at(n: int, merges: list[tuple[int, int, float]], least: float) -> np.
 
 
 def gap_threshold(heights: list[float]) -> tuple[float, float, float]:
-    """Middle of the largest gap of the sorted heights (the first of equals), the gap, and how far it leads the second."""
+    """Middle of the largest gap of the sorted heights (the first of equals), the span of the heights, and how many times the second gap the largest is."""
     if len(heights) < 3:
         return DEFAULTS.fallback_thr, 0.0, 0.0
     h = np.sort(heights)
     gaps = np.diff(h)
     at = int(gaps.argmax())
-    rest = np.delete(gaps, at)
-    return float((h[at] + h[at + 1]) / 2), float(gaps[at]), float(gaps[at] / rest.max()) if rest.max() > 0 else float("inf")
+    second = max(float(np.delete(gaps, at).max()), 1e-9)
+    return float((h[at] + h[at + 1]) / 2), float(h[-1] - h[0]), float(gaps[at] / second)
+
+
+def low_separation(span: float, dominance: float, p=DEFAULTS) -> bool:
+    """Heights so close, or a gap so little above the next, that the cut may not part speakers."""
+    return span < p.low_span or dominance < p.low_dominance
+
+
+def towards(s: np.ndarray, rows: np.ndarray, cluster: np.ndarray) -> float:
+    """Cosine of the unit centroids of two sets of unit vectors, from the vectors' dot products ``s``."""
+    inner, a, b = s[np.ix_(rows, cluster)].sum(), s[np.ix_(rows, rows)].sum(), s[np.ix_(cluster, cluster)].sum()
+    return float(inner / np.sqrt(a * b)) if a > 1e-18 and b > 1e-18 else -np.inf
 
 
 def absorb(labels: np.ndarray, s: np.ndarray, sec: np.ndarray, block: np.ndarray, least: float) -> np.ndarray:
-    """Clusters under ``least`` seconds join the most similar legal cluster, the smallest that can first, until none can."""
+    """Clusters under ``least`` seconds join the legal cluster whose unit centroid is nearest (ties: the first), the smallest that can first, until none can."""
     labels = labels.copy()
     while True:
         ids = np.unique(labels)
         weight = {c: sec[labels == c].sum() for c in ids}
         for c in sorted((c for c in ids if weight[c] < least), key=lambda c: (weight[c], c)):
-            own = labels == c
-            best = max(((s[np.ix_(own, labels == o)].mean(), -o) for o in ids if o != c and not block[np.ix_(own, labels == o)].any()), default=None)
-            if best is not None:
-                labels[own] = -best[1]
+            own = np.flatnonzero(labels == c)
+            near = [(towards(s, own, np.flatnonzero(labels == o)), -o) for o in ids if o != c and not block[np.ix_(own, labels == o)].any()]
+            if near:
+                labels[own] = -max(near)[1]
                 break
         else:
             return labels
 
 
 def refine(labels: np.ndarray, s: np.ndarray, block: np.ndarray, sweeps: int = 3) -> np.ndarray:
-    """Each atom moves to the legal cluster it is most similar to, itself left out; members of single clusters stay."""
+    """Each atom moves to the cluster whose unit centroid, the atom itself left out, it is nearest to.
+
+    Members of single clusters stay. What is legal is told at the start of a
+    sweep; a move that has become illegal meanwhile isn't made, nor another.
+    """
     labels = labels.copy()
     for _ in range(sweeps):
-        moved = False
+        start, moved = labels.copy(), False
         for i in range(len(labels)):
-            if (labels == labels[i]).sum() == 1:
+            own = labels[i]
+            if (labels == own).sum() == 1:
                 continue
-            score = {}
+            best, at = -np.inf, own
             for c in np.unique(labels):
-                m = labels == c
-                m[i] = False
-                if m.any() and not block[i, m].any():
-                    score[c] = s[i, m].mean()
-            if score:
-                best = min(score, key=lambda c: (-score[c], c))
-                if best != labels[i] and score[best] > score.get(labels[i], -np.inf):
-                    labels[i] = best
-                    moved = True
+                if c != own and block[i, start == c].any():
+                    continue
+                m = np.flatnonzero(labels == c)
+                m = m[m != i]
+                length = s[np.ix_(m, m)].sum()
+                if length > 1e-18 and s[i, m].sum() / np.sqrt(length) > best:
+                    best, at = s[i, m].sum() / np.sqrt(length), c
+            if at != own and not block[i, labels == at].any():
+                labels[i] = at
+                moved = True
         if not moved:
             break
     return labels
 
 
 def repair(labels: np.ndarray, sec: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """No two parted atoms share a cluster: of such a pair the shorter gets a cluster of its own."""
+    """No two parted atoms share a cluster: of such a pair, the first in row order each time, the shorter (of equals the earlier) gets a cluster of its own."""
     labels = labels.copy()
     for i, j in np.argwhere(np.triu(block, 1)):
         if labels[i] == labels[j]:
-            labels[i if sec[i] < sec[j] else j] = labels.max() + 1
+            labels[i if sec[i] <= sec[j] else j] = labels.max() + 1
     return labels
 
 
+def core_rows(sec: np.ndarray, least: float) -> np.ndarray:
+    """Rows of at least ``least`` seconds; else all with any; else the longest."""
+    for rows in (np.flatnonzero(sec >= least), np.flatnonzero(sec > 0)):
+        if len(rows):
+            return rows
+    return np.array([int(sec.argmax())]) if len(sec) else np.zeros(0, int)
+
+
+def attach_weak(labels: np.ndarray, weak: np.ndarray, s: np.ndarray, win: np.ndarray, local: np.ndarray, least: float) -> np.ndarray:
+    """Weak atoms (label -1 so far) join the nearest centroid of the others' clusters that holds no other label of their window, if that one reaches ``least``; else they stay -1."""
+    out = labels.copy()
+    sure = {int(c): np.flatnonzero(labels == c) for c in np.unique(labels[labels >= 0])}
+    for i in weak:
+        if s[i, i] <= 0:
+            continue
+        near = sorted(((-towards(s, np.array([i]), m), -c) for c, m in sure.items()))
+        for score, c in near:
+            m = sure[-c]
+            if ((win[m] == win[i]) & (local[m] != local[i])).any():
+                continue
+            if -score >= least:
+                out[i] = -c
+            break
+    return out
+
+
+def cluster(s: np.ndarray, win: np.ndarray, local: np.ndarray, sec: np.ndarray, p=DEFAULTS) -> tuple[np.ndarray, dict]:
+    """Labels of one meeting's atoms (-1: nobody's), and k, floor, floor_ok, threshold, low_separation.
+
+    The core set is linked and cut at the largest gap of its heights (at a
+    fixed height where no two atoms are parted), small clusters are absorbed,
+    atoms refined, parted pairs repaired; then weak atoms are attached.
+    """
+    core = core_rows(sec, p.min_core)
+    sc, wc, lc, dc = s[np.ix_(core, core)], win[core], local[core], sec[core]
+    block = cannot(wc, lc, dc, p.durable_s, p.guard)
+    merges = linkage(sc, block)
+    thr, low = p.fallback_thr, False
+    if block.any():
+        thr, span, dominance = gap_threshold([h for *_, h in merges])
+        low = low_separation(span, dominance, p)
+    got = absorb(labels_at(len(core), merges, thr), sc, dc, block, p.min_cluster_sec)
+    got = dense(repair(refine(got, sc, block), dc, block))
+    labels = np.full(len(sec), -1)
+    labels[core] = got
+    labels = attach_weak(labels, np.setdiff1d(np.flatnonzero(sec < p.min_core), core), s, win, local, p.weak_min)
+    durable = {}
+    for w, name in zip(wc[dc >= p.durable_s].tolist(), lc[dc >= p.durable_s].tolist(), strict=True):
+        durable.setdefault(w, set()).add(name)
+    floor = max([len(x) for x in durable.values() if len(x) <= p.guard], default=1)
+    k = len(np.unique(got))
+    return labels, {"k": k, "floor": floor, "floor_ok": k >= floor, "threshold": thr, "low_separation": low}
+
+
 def dense(labels: np.ndarray) -> np.ndarray:
     seen: dict[int, int] = {}
     return np.array([seen.setdefault(int(x), len(seen)) for x in labels], int)
@@ -169,20 +240,15 @@ def cover(v: np.ndarray, label: np.ndarray, sec: np.ndarray, reach: float = DEFA
 
 
 def cluster_meetings(atoms: DataFrame, p=DEFAULTS) -> DataFrame:
-    """meeting_id, vec_id, cluster: linkage cut at the largest gap (a fixed cut without constraints), absorb, refine, repair."""
+    """meeting_id, vec_id, cluster (-1: nobody's), k, floor, floor_ok, low_separation: see ``cluster``."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("vec_id")
-        v, label, sec = np.stack(g.v.to_numpy()), g.label.to_numpy(), g.sec.to_numpy()
-        s, block = similarity(label, v), cannot(g.win.to_numpy(), g.local_label.to_numpy(), sec, p.durable_s, p.guard)
-        merges = linkage(s, block)
-        cut = gap_threshold([h for *_, h in merges])[0] if block.any() else p.fallback_thr
-        labels = labels_at(len(g), merges, cut)
-        labels = repair(refine(absorb(labels, s, sec, block, p.min_cluster_sec), s, block), sec, block)
-        return pd.DataFrame({"meeting_id": g.meeting_id, "vec_id": g.vec_id, "cluster": dense(labels)})
+        labels, info = cluster(similarity(g.label.to_numpy(), np.stack(g.v.to_numpy())), g.win.to_numpy(), g.local_label.to_numpy(), g.sec.to_numpy(), p)
+        return pd.DataFrame({"meeting_id": g.meeting_id, "vec_id": g.vec_id, "cluster": labels, **{k: info[k] for k in ("k", "floor", "floor_ok", "low_separation")}})
 
     ship(atoms.sparkSession)
-    return atoms.groupBy("meeting_id").applyInPandas(run, "meeting_id long, vec_id long, cluster long")
+    return atoms.groupBy("meeting_id").applyInPandas(run, "meeting_id long, vec_id long, cluster long, k long, floor long, floor_ok boolean, low_separation boolean")
 
 
 def merge_steps(atoms: DataFrame, p=DEFAULTS) -> DataFrame:

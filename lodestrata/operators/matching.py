@@ -65,8 +65,10 @@ def top_people(scored: DataFrame, n: int = 4) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= n)
 
 
-def nearest(points: DataFrame, centres: DataFrame) -> DataFrame:
-    """vec_id, centre, sim: the most similar centre; ties take the smallest id."""
+def nearest(points: DataFrame, centres: DataFrame, most_centres: int = 20_000) -> DataFrame:
+    """vec_id, centre, sim: the most similar centre; ties take the smallest id. The centres are broadcast, up to ``most_centres``; more are an error."""
+    if centres.limit(most_centres + 1).count() > most_centres:
+        raise ValueError("more centres than may be broadcast; pool them first")
     s = points.crossJoin(F.broadcast(centres)).withColumn("sim", blended(F.col("label") == F.col("clabel"), F.col("v"), F.col("cv")))
     best = s.groupBy("vec_id").agg(F.min(F.struct((-F.col("sim")).alias("m"), F.col("centre"))).alias("x"))
     return best.select("vec_id", F.col("x.centre").alias("centre"), (-F.col("x.m")).alias("sim"))

@@ -25,6 +25,8 @@ class Params:
     min_cluster_sec: float = 10.0
     weak_min: float = 0.35
     fallback_thr: float = 0.2656
+    low_span: float = 0.25
+    low_dominance: float = 2.0
     covered_enough: float = 0.5
     words_enough: float = 0.8
     coverage_min: float = 0.95

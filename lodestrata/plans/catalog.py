@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
-from lodestrata.operators import assembly, clustering, linking, matching, recovery, reports, store
+from lodestrata.operators import assembly, clustering, identity, linking, matching, recovery, reports, store
 from lodestrata.params import DEFAULTS
 from lodestrata.sources import tables as S
 from lodestrata.streaming import windows
@@ -108,7 +108,7 @@ def _(spark, d):
     return reports.confusion(S.segments(spark, d), ["G00", "G01", "G02"])
 
 
-@query("repetition_guard", f"WITH {_LINES}, a AS (SELECT *, lower(trim(text)) AS k FROM line), b AS (SELECT *, sum(CASE WHEN k IS NOT DISTINCT FROM p THEN 0 ELSE 1 END) OVER (PARTITION BY meeting_id ORDER BY seg_idx) AS run FROM (SELECT *, lag(k) OVER (PARTITION BY meeting_id ORDER BY seg_idx) AS p FROM a)), r AS (SELECT *, count(*) OVER (PARTITION BY meeting_id, run) AS n, row_number() OVER (PARTITION BY meeting_id, run ORDER BY seg_idx) AS i FROM b) SELECT meeting_id, seg_idx::BIGINT AS seg_idx, text FROM r WHERE n < 4 OR i = 1")
+@query("repetition_guard", f"WITH {_LINES}, a AS (SELECT *, lower(trim(text, '{T.SPACES}')) AS k FROM line), b AS (SELECT *, sum(CASE WHEN k IS NOT DISTINCT FROM p THEN 0 ELSE 1 END) OVER (PARTITION BY meeting_id ORDER BY seg_idx) AS run FROM (SELECT *, lag(k) OVER (PARTITION BY meeting_id ORDER BY seg_idx) AS p FROM a)), r AS (SELECT *, count(*) OVER (PARTITION BY meeting_id, run) AS n, row_number() OVER (PARTITION BY meeting_id, run ORDER BY seg_idx) AS i FROM b) SELECT meeting_id, seg_idx::BIGINT AS seg_idx, text FROM r WHERE n < 4 OR i = 1")
 def _(spark, d):
     return assembly.repetition_guard(S.lines(spark, d)).select("meeting_id", "seg_idx", "text")
 
@@ -317,10 +317,12 @@ def _(spark, d):
     return clustering.merge_steps(S.atoms(spark, d))
 
 
-@query("cluster_violations", f"WITH {_ATOM} SELECT meeting_id, vec_id AS a, vec_id AS b FROM atom WHERE false")
+# every parted pair must end up in two clusters, so the pairs themselves are what is left of them
+@query("parted_pairs", f"WITH {_ATOM}, w AS (SELECT meeting_id, win FROM atom WHERE sec >= 2 GROUP BY ALL HAVING count(DISTINCT local_label) <= 10), x AS (SELECT * FROM atom JOIN w USING (meeting_id, win) WHERE sec >= 6) SELECT x.meeting_id, x.vec_id AS a, y.vec_id AS b FROM x JOIN x y ON x.meeting_id = y.meeting_id AND x.win = y.win AND x.vec_id < y.vec_id AND x.local_label <> y.local_label")
 def _(spark, d):
     a = S.atoms(spark, d)
-    return clustering.violations(clustering.cluster_meetings(a), linking.cannot_link(a, DEFAULTS.durable_s, DEFAULTS.guard))
+    apart = linking.cannot_link(a.filter(F.col("sec") >= DEFAULTS.min_core), DEFAULTS.durable_s, DEFAULTS.guard).select("meeting_id", "a", "b")
+    return apart.join(clustering.violations(clustering.cluster_meetings(a), apart), ["meeting_id", "a", "b"], "left_anti")
 
 
 @query("covering_sets")
@@ -422,10 +424,31 @@ def _(spark, d):
     return store.integrity(_store(spark, d))
 
 
-@query("near_names", "WITH a AS (SELECT DISTINCT s_name AS n, regexp_replace(lower(s_name), '[^a-z0-9]+', '', 'g') AS f FROM supplier) SELECT x.n AS a_name, y.n AS b_name FROM a x JOIN a y ON x.n <> y.n AND levenshtein(x.f, y.f) <= 1")
+def _linkable(spark, d):
+    a = S.atoms(spark, d)
+    c = S.clusters(spark, d).select("meeting_id", F.col("group_id").alias("label"), "seconds")
+    v = matching.pool(a.withColumn("label", F.col("label").cast("long")), "meeting_id", "label", weight="sec")
+    # labels 0 and 2 are named in the first five meetings, the bank knows 0, 2 and 4
+    named = F.when(F.col("label").isin(0, 2) & (F.col("meeting_id") < 5), F.col("label")).alias("speaker_id")
+    return c.join(v, ["meeting_id", "label"]).select((F.col("meeting_id") * 100 + F.col("label")).alias("id"), "meeting_id", "label", "v", "seconds", named), S.bank(spark, d, 2).filter("person in (0, 2, 4)")
+
+
+@query("identity_groups")
+def _(spark, d):
+    return identity.link_groups(*_linkable(spark, d)).select("id", "meeting_id", "grp", "speaker_id", "how")
+
+
+@query("identities_per_meeting", f"WITH {_ATOM}, {_STORE} SELECT meeting_id, count(*) AS n_clusters, count(*) AS n_identities FROM clu WHERE seconds >= 60 GROUP BY meeting_id")
 def _(spark, d):
-    n = S.table(spark, d, "supplier").select(F.col("s_name").alias("name"))
-    return store.near_names(n, n, 1)
+    g = identity.link_groups(*_linkable(spark, d))
+    return g.groupBy("meeting_id").agg(F.count("*").alias("n_clusters"), F.count_distinct("grp").alias("n_identities"))
+
+
+@query("near_names", "WITH b AS (SELECT DISTINCT s_name AS n, regexp_replace(lower(s_name), '[^a-z0-9]+', '', 'g') AS f FROM supplier), a AS (SELECT n2 AS n, regexp_replace(lower(n2), '[^a-z0-9]+', '', 'g') AS f FROM (SELECT CASE WHEN s_suppkey % 2 = 0 THEN replace(s_name, '#', ' ') ELSE s_name END AS n2 FROM supplier) WHERE n2 NOT IN (SELECT n FROM b)) SELECT DISTINCT x.n AS a_name, y.n AS b_name FROM a x JOIN b y ON x.f <> '' AND y.f <> '' AND levenshtein(x.f, y.f) <= 1")
+def _(spark, d):
+    s = S.table(spark, d, "supplier")
+    new = s.select(F.when(F.col("s_suppkey") % 2 == 0, F.replace("s_name", F.lit("#"), F.lit(" "))).otherwise(F.col("s_name")).alias("name"))
+    return store.near_names(new, s.select(F.col("s_name").alias("name")), 1)
 
 
 @query("resolve_meetings", "WITH m AS (SELECT page_id AS meeting_id, url AS title FROM pages), r AS (SELECT unnest(['7', 'http', 'zzz', '42', '.com']) AS ref), j AS (SELECT ref, meeting_id, CASE WHEN meeting_id::VARCHAR = ref THEN 1 WHEN starts_with(title, ref) THEN 2 WHEN contains(title, ref) THEN 3 END AS tier FROM m, r), g AS (SELECT ref, tier, count(*) AS n, min(meeting_id) AS meeting_id FROM j WHERE tier IS NOT NULL GROUP BY ALL), f AS (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY tier) AS k FROM g) SELECT r.ref, CASE WHEN n = 1 THEN meeting_id END AS meeting_id FROM r LEFT JOIN (SELECT * FROM f WHERE k = 1) USING (ref)")

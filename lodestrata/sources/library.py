@@ -57,24 +57,25 @@ def merge_fields(old: Column, new: Column) -> Column:
     return F.map_concat(F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k)), new)
 
 
-def new_folders(titles: DataFrame, taken: DataFrame, alphabet: str = "abcdefghjkmnpqrstuvwxyz23456789", length: int = 8) -> DataFrame:
-    """title, meeting_id, folder: ids derived from the title and a counter; those in ``taken`` (meeting_id) or given twice are tried again."""
+def new_folders(titles: DataFrame, taken: DataFrame, alphabet: str = "abcdefghjkmnpqrstuvwxyz23456789", length: int = 8, most_rounds: int = 50) -> DataFrame:
+    """title, meeting_id, folder, one row for each row of ``titles``: ids derived from the title, its number among equal titles, and a counter; those in ``taken`` (meeting_id) or given twice are tried again. If ids run out, an error."""
 
     def derived(n: int) -> Column:
-        h = [F.pmod(F.xxhash64("title", F.lit(n), F.lit(i)), F.lit(len(alphabet))).cast("int") + 1 for i in range(length)]
+        h = [F.pmod(F.xxhash64("title", "copy", F.lit(n), F.lit(i)), F.lit(len(alphabet))).cast("int") + 1 for i in range(length)]
         return F.concat(*(F.substring(F.lit(alphabet), x, F.lit(1)) for x in h))
 
-    left, done = titles.select("title").distinct(), None
-    for n in range(20):
+    rows = titles.select("title", F.row_number().over(Window.partitionBy("title").orderBy(F.lit(1))).alias("copy"))
+    left, done = rows, None
+    for n in range(most_rounds):
         d = left.withColumn("meeting_id", derived(n))
-        d = d.withColumn("k", F.row_number().over(Window.partitionBy("meeting_id").orderBy("title")))
+        d = d.withColumn("k", F.row_number().over(Window.partitionBy("meeting_id").orderBy("title", "copy")))
         known = taken.select("meeting_id") if done is None else taken.select("meeting_id").unionByName(done.select("meeting_id"))
-        ok = d.filter("k = 1").join(known, "meeting_id", "left_anti").select("title", "meeting_id")
+        ok = d.filter("k = 1").join(known, "meeting_id", "left_anti").select("title", "copy", "meeting_id")
         done = ok if done is None else done.unionByName(ok)
-        left = titles.select("title").distinct().join(done, "title", "left_anti")
+        left = rows.join(done, ["title", "copy"], "left_anti")
         if left.isEmpty():
-            break
-    return done.withColumn("folder", F.concat(slug(F.col("title")), F.lit("-"), "meeting_id"))
+            return done.select("title", "meeting_id", F.concat(slug(F.col("title")), F.lit("-"), "meeting_id").alias("folder"))
+    raise ValueError(f"no free id for some titles in {most_rounds} rounds")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

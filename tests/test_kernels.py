@@ -60,12 +60,51 @@ def test_repair_moves_the_shorter():
     b = np.zeros((3, 3), bool)
     b[0, 1] = b[1, 0] = True
     assert C.dense(C.repair(np.array([0, 0, 0]), np.array([9.0, 3.0, 5.0]), b)).tolist() == [0, 1, 0]
+    assert C.repair(np.array([0, 0, 0]), np.full(3, 5.0), b).tolist() == [1, 0, 0]  # of equals the earlier
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_absorb_and_refine_go_by_unit_centroids(seed):
+    """Held against the rule stated with vectors instead of dot products."""
+    r = np.random.default_rng(seed)
+    v = r.normal(size=(14, 6))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    s, labels, sec, none = v @ v.T, r.integers(0, 4, 14), r.uniform(1, 6, 14), np.zeros((14, 14), bool)
+    unit = lambda x: x / np.linalg.norm(x)
+    want = labels.copy()
+    while True:
+        tot = {c: sec[want == c].sum() for c in np.unique(want)}
+        small = sorted((t, c) for c, t in tot.items() if t < 12)
+        if not small or len(tot) < 2:
+            break
+        c = small[0][1]
+        want[want == c] = max((o for o in tot if o != c), key=lambda o: unit(v[want == c].mean(0)) @ unit(v[want == o].mean(0)))
+    assert C.absorb(labels, s, sec, none, 12).tolist() == want.tolist()
+    want = labels.copy()
+    for _ in range(3):
+        for i in range(14):
+            if (want == want[i]).sum() > 1:
+                others = np.arange(14) != i
+                want[i] = max(np.unique(want), key=lambda c: v[i] @ unit(v[(want == c) & others].sum(0)))
+    assert C.refine(labels, s, none).tolist() == want.tolist()
+
+
+def test_weak_atoms():
+    v = np.eye(3)[[0, 1, 0, 2]] * 1.0
+    v[3] = [0.9, 0.1, np.sqrt(1 - 0.82)]
+    s, win, local = v @ v.T, np.array([0, 0, 1, 0]), np.array(["A", "B", "A", "C"])
+    labels, info = C.cluster(s, win, local, np.array([20.0, 20.0, 20.0, 1.0]))
+    assert labels.tolist() == [0, 1, 0, -1] and info["floor"] == 2 and info["floor_ok"]  # its window has A's voice under another label; B isn't near
+    labels, _ = C.cluster(s, np.array([0, 0, 1, 2]), local, np.array([20.0, 20.0, 20.0, 1.0]))
+    assert labels.tolist() == [0, 1, 0, 0]
+    assert C.cluster(s, win, local, np.zeros(4))[0].tolist().count(-1) == 2  # only the longest is core; another window has its voice
 
 
 def test_gap_threshold():
     assert C.gap_threshold([0.5])[0] == 0.2656
-    cut, gap, lead = C.gap_threshold([0.9, 0.8, 0.2, 0.1])
-    assert (round(cut, 6), round(gap, 6), round(lead, 6)) == (0.5, 0.6, 6.0)
+    cut, span, lead = C.gap_threshold([0.9, 0.8, 0.2, 0.1])
+    assert (round(cut, 6), round(span, 6), round(lead, 6)) == (0.5, 0.8, 6.0)
+    assert C.low_separation(0.2, 9.0) and C.low_separation(0.9, 1.5) and not C.low_separation(0.3, 2.0)
 
 
 def test_cover_starts_at_longest_and_reaches():
@@ -81,6 +120,9 @@ def test_recovery_rules():
     assert R.recover([(0, 10, 20)], [(2, 4, 5)]) == ([], [])  # covered in seconds and words
     assert R.recover([(0, 10, 2)], [(2, 9, 15)]) == ([0], [0])  # seconds but not words: replaces
     assert R.recover([], [(9.5, 11, 3), (9.6, 11.2, 3)]) == ([0], [])  # the earlier of two
+    assert R.recover([], [(5, 3, 2), (4, 4, 1), (-1, 2, 3), (9, 12, 3)], duration=10.0) == ([], [])
+    kept = [(float(i), i + 1.5, 3) for i in range(50)]
+    assert R.recover(kept, [(20.2, 21.0, 30)]) == ([0], [19, 20])
 
 
 def test_seams_trim_against_the_trimmed():
