@@ -22,6 +22,8 @@ from lodestrata.llm import _common as C
 UNITS = "mm cm dm m km ft in mi yd mg g kg lb oz ml cl l s sec min h hr hrs hours minutes seconds days weeks months years percent usd eur dollars euros cents k c f w kw v a hz mb gb tb kb mph kmh".split()
 #: Marks that are a unit behind a number, and marks that part sentences.
 SIGNS, STOPS = "%€£$", ".!?"
+NUMBER = "[0-9](?:[0-9.,:/]*[0-9])?"
+LETTERS = r"\\p{L}+"  # as an SQL literal reads it
 TOKEN = rf"[0-9](?:[0-9.,:/]*[0-9])?|\p{{L}}+|[{SIGNS}]|[{STOPS}]"
 _LIST = lambda words: ", ".join(f"'{w}'" for w in words)
 
@@ -32,33 +34,33 @@ def _templates(df: DataFrame, *keys: str) -> DataFrame:
     digit = "({0} >= '0' AND {0} < ':')"
     unit = f"(i > 0 AND {digit.format('t[greatest(i - 1, 0)]')} AND lower(w) IN ({_LIST([*UNITS, *SIGNS])}))"
     word = f"CASE WHEN {digit.format('w')} THEN '_n' WHEN {unit} THEN '_u' WHEN w IN ({_LIST(SIGNS + STOPS)}) THEN '' ELSE lower(w) END"
-    d = C.settled(d, "x", F.expr(f"transform(t, (w, i) -> named_struct('w', {word}, 'v', lower(w), 'p', NOT {unit} AND substr(w, 1, 1) <> lower(substr(w, 1, 1))))")).drop("t")
+    d = C.settled(d, "x", F.expr(f"transform(t, (w, i) -> named_struct('w', {word}, 'v', lower(w), 'p', NOT {unit} AND w RLIKE '^\\\\p{{Lu}}'))")).drop("t")
     run = "aggregate(slice(x, i + 1, 8), named_struct('v', '', 'on', true), (r, e) -> CASE WHEN r.on AND e.p THEN named_struct('v', concat(r.v, ' ', e.v), 'on', true) ELSE named_struct('v', r.v, 'on', false) END, r -> r.v)"
     name = f"CASE WHEN NOT e.p THEN named_struct('w', e.w, 'v', e.v) WHEN i > 0 AND x[greatest(i - 1, 0)].p THEN named_struct('w', '', 'v', '') ELSE named_struct('w', '_p', 'v', {run}) END"
     return d.select(*keys, F.expr("transform(filter(x, e -> e.w <> ''), e -> named_struct('w', e.w, 'v', e.v))").alias("a"), F.expr(f"filter(transform(x, (e, i) -> {name}), e -> e.w <> '')").alias("p"))
 
 
 def _hashed(df: DataFrame, *keys: str) -> DataFrame:
-    """keys, a and p: a hash of each template word; cheaper than ``_templates``, as it keeps no values."""
-    d = C.settled(df.select(*keys, "text"), "t", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).drop("text")
-    digit = "({0} >= '0' AND {0} < ':')"
-    unit = f"(i > 0 AND {digit.format('t[greatest(i - 1, 0)]')} AND lower(w) IN ({_LIST([*UNITS, *SIGNS])}))"
-    # the hash of a word; 0 for a mark; names have their lowest bit set, other words don't
-    word = f"CASE WHEN {digit.format('w')} THEN shiftleft(xxhash64('_n'), 1) WHEN {unit} THEN shiftleft(xxhash64('_u'), 1) WHEN w IN ({_LIST(SIGNS + STOPS)}) THEN 0L ELSE shiftleft(xxhash64(lower(w)), 1) | CASE WHEN substr(w, 1, 1) <> lower(substr(w, 1, 1)) THEN 1L ELSE 0L END END"
-    d = C.settled(d, "x", F.expr(f"transform(t, (w, i) -> {word})")).drop("t")
-    a = "transform(filter(x, e -> e <> 0), e -> e & -2L)"
-    p = "filter(transform(x, (e, i) -> CASE WHEN (e & 1) = 0 THEN e WHEN i > 0 AND (x[greatest(i - 1, 0)] & 1) = 1 THEN 0L ELSE shiftleft(xxhash64('_p'), 1) END), e -> e <> 0)"
-    return C.settled(C.settled(d, "a", F.expr(a)), "p", F.expr(p)).drop("x")
+    """keys, a and p: a hash of each template word, at the places of ``_templates``.
+
+    Cheaper than that, as values are lost: 0 stands for a number (no other
+    digit is left), 1 for a unit, 2 for a run of names, put in by patterns.
+    """
+    stop = rf"\p{{L}}01{STOPS}{SIGNS}"
+    plain = F.regexp_replace(F.regexp_replace("text", NUMBER, " 0 "), rf" 0 [^{stop}]*(?:(?i:{'|'.join(UNITS)})(?!\p{{L}})|[{SIGNS}])", " 0 1 ")
+    d = C.settled(df.select(*keys, plain.alias("plain")), "a", F.expr(f"transform(regexp_extract_all(plain, '[01]|{LETTERS}', 0), w -> xxhash64(lower(w)))"))
+    named = F.regexp_replace(F.regexp_replace("plain", r"(?<!\p{L})\p{Lu}\p{L}*", "2"), f"2[^2{stop}]+(?=2)", "")
+    d = C.settled(d.select(*keys, "a", named.alias("named")), "p", F.expr(f"transform(regexp_extract_all(named, '[012]|{LETTERS}', 0), w -> xxhash64(lower(w)))"))
+    return d.drop("named")
 
 
 def _windows_of(kind: str, n: int) -> str:
     """SQL: the hashes of all windows of n words of template ``kind``."""
-    at = ", ".join(f"{kind}[i + {k}]" for k in range(n))
-    return f"CASE WHEN size({kind}) >= {n} THEN transform(sequence(0, size({kind}) - {n}), i -> xxhash64('{kind}', {n}, {at})) ELSE array() END"
+    return f"CASE WHEN size({kind}) >= {n} THEN transform(sequence(1, size({kind}) - {n - 1}), i -> xxhash64('{kind}', slice({kind}, i, {n}))) ELSE array() END"
 
 
-def item_windows(benchmark: DataFrame, window: int = 5) -> tuple[DataFrame, list[int]]:
-    """item, kind, h, ipos (of the window's first place), of (the item's windows) and the lengths in use.
+def item_windows(benchmark: DataFrame, window: int = 5) -> tuple[DataFrame, list[tuple[str, int]]]:
+    """item, kind, h, ipos (of the window's first place), of (the item's windows) and the kinds and lengths in use.
 
     An item of fewer words is one window of its length; null and empty items,
     and such as have no word of their own besides placeholders, have none.
@@ -70,14 +72,15 @@ def item_windows(benchmark: DataFrame, window: int = 5) -> tuple[DataFrame, list
     t = _templates(items.withColumn("raw", F.col("text")), "item", "raw").filter(F.expr(f"{own['a']} > 0"))
     t = t.select("item", F.col("raw").alias("text"), F.expr("size(a)").alias("na"), F.expr(f"CASE WHEN exists(p, e -> e.w = '_p') AND {own['p']} >= {window} THEN size(p) ELSE 0 END").alias("np"))
     lengths = sorted(r["n"] for r in t.select(F.least("na", F.lit(window)).alias("n")).distinct().collect())
+    used = [("a", n) for n in lengths] + ([] if t.filter("np > 0").isEmpty() else [("p", window)])
     hashed = _hashed(t, "item", "na", "np")
     parts = [hashed.filter(F.least("na", F.lit(window)) == n).select("item", F.lit("a").alias("kind"), F.posexplode(F.expr(_windows_of("a", n))).alias("ipos", "h")) for n in lengths]
     parts.append(hashed.filter(F.col("np") > 0).select("item", F.lit("p").alias("kind"), F.posexplode(F.expr(_windows_of("p", window))).alias("ipos", "h")))
-    found = parts[0]
+    found = parts[0]  # at least that of template p
     for more in parts[1:]:
         found = found.unionByName(more)
     found = found.groupBy("item", "kind", "h").agg(F.min("ipos").alias("ipos"))
-    return found.join(found.groupBy("item", "kind").agg(F.count("*").alias("of")), ["item", "kind"]), lengths
+    return found.join(found.groupBy("item", "kind").agg(F.count("*").alias("of")), ["item", "kind"]), used
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = 5, share: float = 0.8, broadcast_rows: int = 500_000) -> DataFrame:
@@ -90,15 +93,15 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = 5, s
     counts if it has half of the windows that an item must have.
     """
     space = C.Workspace(docs.sparkSession, "decontamination")
-    items, lengths = item_windows(benchmark, window)
+    items, used = item_windows(benchmark, window)
     items = space.table(items, "items")
     few = (lambda n, df: F.broadcast(df) if n <= broadcast_rows else df)
     pair = ["doc_id", "th", "item", "kind"]
     known = C.texts(docs).filter("doc_id is not null").withColumn("th", F.xxhash64("text"))
-    if not lengths:
+    if not used:
         return docs.sparkSession.createDataFrame([], "doc_id long, item long")
     n_items = items.count()
-    every = ", ".join([*(_windows_of("a", n) for n in lengths), _windows_of("p", window)])
+    every = ", ".join(_windows_of(k, n) for k, n in used)
     held = _hashed(known, "doc_id", "th").select("doc_id", "th", F.explode(F.expr(f"array_distinct(concat({every}))")).alias("h"))
     had = held.join(few(n_items, items.select("item", "kind", "h", "of")), "h").groupBy(*pair).agg(F.max("of").alias("of"), F.count_distinct("h").alias("had"))
     pairs = space.table(had.filter(F.col("had") >= share * F.col("of")).select(*pair, "of"), "pairs")
@@ -107,7 +110,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = 5, s
 
     # alignments
     hashed = _hashed(again, "doc_id", "th")
-    placed = [hashed.select("doc_id", "th", F.posexplode(F.expr(_windows_of(k, n))).alias("pos", "h")) for k, n in [*(("a", n) for n in lengths), ("p", window)]]
+    placed = [hashed.select("doc_id", "th", F.posexplode(F.expr(_windows_of(k, n))).alias("pos", "h")) for k, n in used]
     where = placed[0]
     for more in placed[1:]:
         where = where.unionByName(more)

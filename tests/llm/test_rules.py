@@ -198,3 +198,28 @@ def test_repeated_rows_are_one_document(spark):
     for most in (500_000, 0):
         got = quality.quality_rules(table(spark, rows), limit=2, broadcast_rows=most).collect()
         assert len(got) == 11 and all(r.removed_lines == (r.doc_id != 0) for r in got)
+
+
+def test_template_places(spark):
+    """The hashed templates have the words of the valued ones at the same places."""
+    parts = ["Anna", "Smith", "iPhone", "B7", "3rd", "5km", "5 KM", "5, m", "5% m", "%", "$ 5", "x", "The", "the", ". ", "! ", "_n", "_p", " ", "\n", "1,2..3", "É", "été", "12:30", "²", "日本", "-", "9"]
+    docs = table(spark, [(i, "".join(R.choice(parts) + R.choice([" ", "", ", "]) for _ in range(R.randint(0, 25)))) for i in range(150)] + [(900, "A " * 5000), (901, "1,2," * 5000), (902, "")])
+    t = decontamination._templates(docs, "doc_id")
+    hashes = lambda k: F.expr(f"transform({k}, e -> xxhash64(CASE e.w WHEN '_n' THEN '0' WHEN '_u' THEN '1' WHEN '_p' THEN '2' ELSE e.w END)) AS {k}")
+    assert by_id(t.select("doc_id", hashes("a"), hashes("p")), "a", "p") == by_id(decontamination._hashed(docs, "doc_id"), "a", "p")
+
+
+def test_decontamination_of_changed_copies(spark):
+    q = "when Tom buys 12 red apples and eats 5 of them at 7 in the morning, then Tom has so many of the red apples left"
+    numbers = " ".join(str(i) for i in range(500))
+    bench = spark.createDataFrame([(1, q), (2, numbers), (3, "the crate holds 7 small boxes and then 7 large boxes and then 5 spare boxes for the shop")], "item_id long, text string")
+    crooked = q.replace("12", "3").replace("Tom has", "Ann has")
+    rows = [
+        (1, "Some words before. " + q.upper()), (2, q.lower()), (3, q.title()), (4, q.replace("Tom", "Mary Ann").replace("12", "80")), (5, crooked),
+        (6, crooked + " . And once more: " + q), (7, numbers + " " + numbers + " 7" * 2000), (8, "model x12 launched here. the crate holds 7 small boxes and then 7 large boxes and then 5 spare boxes for the shop"),
+        (9, "about 5km away now. the crate holds 9 small boxes and then 9 large boxes and then 4 spare boxes for the shop"), (10, "the crate holds 9 small boxes and then 8 large boxes and then 4 spare boxes for the shop"), (1, "clean words only"),
+    ]
+    got = {}
+    for r in decontamination.decontaminate(table(spark, rows), bench).collect():
+        got.setdefault(r.doc_id, set()).add(tuple(r["items"]))
+    assert got == {1: {(1,)}, 2: {(1,)}, 3: {(1,)}, 4: {(1,)}, 5: {()}, 6: {(1,)}, 7: {()}, 8: {(3,)}, 9: {(3,)}, 10: {()}}
