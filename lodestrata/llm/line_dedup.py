@@ -223,53 +223,59 @@ def shared_lines(docs: DataFrame, space: C.Workspace, least: int) -> DataFrame:
     return C.map_rows(both, "doc_id long, h1 long, h2 long", probe)
 
 
-def drop_lines(docs: DataFrame, least: int = 10) -> DataFrame:
-    """All columns of ``docs`` with the kept text, and ``_n_lines``, ``_n_dropped``.
-
-    Null text is one empty line and stays null unless something is dropped
-    from it (nothing can be). Empty lines and keys of fewer than ``least`` code
-    points stay. Rows that share a doc_id are one document: what a line is
-    dropped for counts ids, so lines repeated within an id stay. A null doc_id
-    neither holds nor loses lines. An empty table gives none; the columns'
-    names don't matter but for doc_id and text.
-    """
+def _dropped(docs: DataFrame, least: int) -> DataFrame:
+    """``docs`` by place (c0, c1, ...), with the kept text, and n_lines, n_dropped. No name of ``docs`` can clash."""
     space = C.Workspace(docs.sparkSession, "lines")
-    gone = shared_lines(docs, space, least).groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("_gone")).select(F.col("doc_id").alias("_gone_id"), "_gone")
-    d = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone_id"], "left").drop("_gone_id")
-    fields = [f for f in docs.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", _n_lines long, _n_dropped long"
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    gone = shared_lines(docs.select("doc_id", "text"), space, least).groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("gone"))
+    placed = docs.toDF(*names)
+    d = placed.join(gone, placed[doc_id].cast("long") == gone["doc_id"], "left").drop("doc_id")
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True)) + ", n_lines long, n_dropped long"
 
     def make():
         digest = xxhash.xxh3_128_digest
 
         def work(batch: pa.RecordBatch):
             n, lost, kept = [], [], []
-            at = batch.column("_gone")
-            for text, gone in zip(batch.column("text").to_pylist(), at, strict=True):
+            for raw_text, gone in zip(batch.column(text).to_pylist(), batch.column("gone"), strict=True):
                 if not gone.is_valid:
-                    n.append((text or "").count("\n") + 1)
+                    n.append((raw_text or "").count("\n") + 1)
                     lost.append(0)
-                    kept.append(text)
+                    kept.append(raw_text)
                     continue
                 pairs = gone.values
                 out = {p.tobytes() for p in np.stack([pairs.field("h1").to_numpy(), pairs.field("h2").to_numpy()], 1)}
-                raw, keys = line_keys(text)
+                raw, keys = line_keys(raw_text)
                 stay = [r for r, k in zip(raw, keys, strict=True) if not (len(k) >= least and digest(k) in out)]
                 n.append(len(raw))
                 lost.append(len(raw) - len(stay))
                 kept.append(b"\n".join(stay).decode("utf-8"))
-            columns = {f.name: batch.column(f.name) for f in fields}
-            columns["text"] = pa.array(kept, pa.string())
-            yield columns | {"_n_lines": pa.array(n, pa.int64()), "_n_dropped": pa.array(lost, pa.int64())}
+            columns = {c: batch.column(c) for c in names}
+            columns[text] = pa.array(kept, pa.string())
+            yield columns | {"n_lines": pa.array(n, pa.int64()), "n_dropped": pa.array(lost, pa.int64())}
 
         return work
 
     return C.map_rows(d, schema, make)
 
 
-def keep_first_lines(docs: DataFrame, **options) -> DataFrame:
+def drop_lines(docs: DataFrame, least: int = 10) -> DataFrame:
+    """All columns of ``docs`` with the kept text, and ``_n_lines``, ``_n_dropped``.
+
+    Null text is one empty line and stays null unless something is dropped
+    from it (nothing can be). Empty lines and keys of fewer than ``least`` code
+    points stay. Rows that share a doc_id are one document: what a line is
+    dropped for counts ids, so lines repeated within an id stay. A null doc_id
+    neither holds nor loses lines. An empty table gives none; the columns'
+    names don't matter but for doc_id and text.
+    """
+    return _dropped(docs, least).toDF(*docs.columns, "_n_lines", "_n_dropped")
+
+
+def keep_first_lines(docs: DataFrame, least: int = 10) -> DataFrame:
     """``docs`` without the lines that an earlier document holds; a column n_chars follows the text."""
-    out = drop_lines(docs, **options).drop("_n_lines", "_n_dropped")
+    out = _dropped(docs, least).drop("n_lines", "n_dropped").toDF(*docs.columns)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

@@ -48,6 +48,13 @@ def test_lines(spark):
     assert line_dedup.drop_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_with_clashing_names(spark):
+    docs = table(spark, [(1, "the same long line"), (2, "The same long line \nx")]).selectExpr("*", "1 AS _gone", "2 AS _gone_id", "3 AS _n_lines", "4 AS n_dropped", "5 AS c0", "6 AS gone")
+    kept = line_dedup.keep_first_lines(docs)
+    assert kept.columns == docs.columns
+    assert {(r.doc_id, r.text, r._gone, r._gone_id, r._n_lines, r.n_dropped, r.c0, r.gone) for r in kept.collect()} == {(1, "the same long line", 1, 2, 3, 4, 5, 6), (2, "x", 1, 2, 3, 4, 5, 6)}
+
+
 def test_lines_of_one_id_stay(spark):
     got = line_dedup.drop_lines(table(spark, [(1, "the same long line"), (1, "the same long line"), (2, "x")])).collect()
     assert sorted((r.doc_id, r._n_dropped) for r in got) == [(1, 0), (1, 0), (2, 0)]
