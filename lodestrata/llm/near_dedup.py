@@ -323,12 +323,13 @@ def _linked(members: DataFrame, asks: DataFrame, bags: DataFrame, similarity: fl
     return C.map_rows(both, "a long, b long", make)
 
 
-def _seams(rows: DataFrame, m: int, least: int) -> DataFrame:
+def _seams(rows: DataFrame, m: int, least: int, best: bool) -> DataFrame:
     """q, g, same (most equal prints), size (of g): documents that may be similar to a member of the larger component g, of rows (bucket, doc, comp, size, prints) of buckets that have several components.
 
     A bucket's documents are dealt to blocks of about ``BLOCK``; each two
     blocks meet in a task. Rows of a task lie by component size, and row r is
-    compared with row r + k, for all r at once.
+    compared with row r + k, for all r at once. With ``best`` a task tells of
+    each document the largest and the most similar component only.
     """
     wide = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("bucket", "blocks")
     dealt = rows.join(wide, "bucket").withColumn("own", F.pmod(F.xxhash64("doc"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -366,7 +367,12 @@ def _seams(rows: DataFrame, m: int, least: int) -> DataFrame:
             pairs = pairs[np.lexsort((-pairs[:, 2], pairs[:, 1], pairs[:, 0]))]
             first = np.ones(len(pairs), bool)
             first[1:] = (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)
-            return {k: pa.array(pairs[first, i]) for i, k in enumerate(("q", "g", "same", "size"))}
+            pairs = pairs[first]
+            if best and len(pairs):
+                last = np.append(pairs[1:, 0] != pairs[:-1, 0], True)
+                orders = (np.lexsort((pairs[:, 2], pairs[:, 0])), np.lexsort((pairs[:, 1], pairs[:, 3], pairs[:, 0])))
+                pairs = pairs[np.unique(np.concatenate([o[last] for o in orders]))]
+            return {k: pa.array(pairs[:, i]) for i, k in enumerate(("q", "g", "same", "size"))}
 
         def work(batch: pa.RecordBatch | None):
             if batch is not None and batch.num_rows:
@@ -446,10 +452,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 24, r
     labels = components(space, links, "labels")
     comps = marks.join(buckets.select("doc").distinct(), "doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "prints", F.coalesce("label", "doc").alias("comp"))
     comps = space.table(comps, "comps")
-    sizes = comps.groupBy("comp").agg(F.count("*").alias("size"))
-    seams = space.table(_seams(buckets.select("bucket", "doc").join(comps.join(sizes, "comp"), "doc"), m, least), "seams")
-    space.drop("buckets")
-    label = lambda d, c: d.join(labels.select(F.col("node").alias(c), "label"), c, "left").withColumn("now", F.coalesce("label", c)).drop("label")
+    sized = lambda d: d.join(d.groupBy("comp").agg(F.count("*").alias("size")), "comp")
+    seams = space.table(_seams(buckets.join(sized(comps), "doc").select("bucket", "doc", "comp", "size", "prints"), m, least, True), "seams")
     now = comps.select("doc", F.col("comp").alias("now"))
     # most links show at the largest and at the most similar component; what is left asks the components that these make
     best = seams.groupBy("q").agg(F.max(F.struct("size", "g")).alias("x"), F.max(F.struct("same", "g")).alias("y"))
@@ -466,13 +470,15 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 24, r
         if turn == 1:
             before = now.groupBy("now").agg(F.count("*").alias("k"))
             tried = asks.join(before.withColumnRenamed("now", "g"), "g").select("q", "g", "k")
-            now = space.table(label(comps.select("doc"), "doc"), "now")
+            new_comps = comps.select("doc", "prints").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "prints", F.coalesce("label", "doc").alias("comp"))
+            new_comps = space.table(new_comps, "comps-1")
+            now = new_comps.select("doc", F.col("comp").alias("now"))
             after = now.groupBy("now").agg(F.count("*").alias("k"))
-            rest = label(seams.select("q", "g"), "g").select("q", F.col("now").alias("g")).join(now.withColumnRenamed("doc", "q"), "q").filter("now <> g").select("q", "g").distinct()
+            rest = _seams(buckets.join(sized(new_comps), "doc").select("bucket", "doc", "comp", "size", "prints"), m, least, False).select("q", "g")
             # a component that hasn't grown since it was asked has no more to tell
             rest = rest.join(after.withColumnRenamed("now", "g"), "g").join(tried, ["q", "g", "k"], "left_anti").select("q", "g")
             asks = space.table(rest, "asks-2")
-    for name in ("bags", "bags-1", "bags-2", "links", "links-1", "links-2", "asks-1", "asks-2", "now", "comps", "seams", "reps"):
+    for name in ("bags", "bags-1", "bags-2", "links", "links-1", "links-2", "asks-1", "asks-2", "comps", "comps-1", "buckets", "seams", "reps"):
         space.drop(name)
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
