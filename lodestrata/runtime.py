@@ -26,9 +26,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder where it is unset, as in tests, in which all tasks share one machine."""
+    """spark.checkpoint.dir; where it is unset, a local folder if all tasks share one machine, as in tests, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="lodestrata-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/lodestrata"
