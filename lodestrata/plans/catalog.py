@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
-from lodestrata.operators import assembly, clustering, identity, linking, matching, recovery, reports, store
+from lodestrata.operators import assembly, clustering, identity, linking, matching, recovery, reports, selection, store
 from lodestrata.params import DEFAULTS
 from lodestrata.sources import tables as S
 from lodestrata.streaming import windows
@@ -483,6 +483,115 @@ def _(spark, d):
     return reports.name_diff(x.filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("key"), F.col("quality").alias("name")), x.filter("doc_id % 3 <> 1").select(F.col("doc_id").alias("key"), F.col("toxic").alias("name")))
 
 
+# --- selection ---
+
+
+@query("roster_bank", f"WITH {_ATOM} SELECT label AS person, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM atom) WHERE k <= 2 AND label % 3 = 0")
+def _(spark, d):
+    roster = S.table(spark, d, "embeddings").filter("label % 3 = 0").select(F.col("label").alias("person"))
+    return selection.in_roster(S.bank(spark, d, 2), roster, "person").select("person", "vec_id")
+
+
+@query("channel_hints", "WITH a AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS k, sum(n) OVER (PARTITION BY user_id) AS al FROM a) SELECT 'auto-' || user_id AS name, event_type AS kind, round(n / al, 6) AS share FROM b WHERE k = 1 AND user_id % 2 = 0 AND n / al >= 0.23 AND event_type = 'click'")
+def _(spark, d):
+    v = reports.channel_vote(S.table(spark, d, "events"))
+    name = F.concat(F.when(F.col("user_id") % 2 == 0, "auto-").otherwise("person-"), F.col("user_id").cast("string"))
+    return selection.channel_hint(v.select(name.alias("name"), "kind", F.col("agreement").alias("share")), "click", 0.23)
+
+
+_TURN = "CASE WHEN turn % 3 = 0 THEN text ELSE '[' || turn || '][S01]' || replace(text, '[', '(') || '[' || (turn + 1) || ']' END"
+
+
+@query("retried_generations", f"SELECT conv_id AS meeting_id, turn AS win FROM conversations WHERE trim({_TURN}) <> '' AND NOT regexp_matches({_TURN}, " + r"'\[\d+(\.\d+)?\]\[S\d+\][^\[]*\[\d+(\.\d+)?\]')")
+def _(spark, d):
+    tag = F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("][S01]"), F.replace("text", F.lit("["), F.lit("(")), F.lit("["), (F.col("turn") + 1).cast("string"), F.lit("]"))
+    g = S.table(spark, d, "conversations").select(F.col("conv_id").alias("meeting_id"), F.col("turn").alias("win"), F.when(F.col("turn") % 3 == 0, F.col("text")).otherwise(tag).alias("text"))
+    return selection.to_retry(g).select("meeting_id", "win")
+
+
+@query("capped_windows", f"WITH {_SEG} SELECT meeting_id, array_to_string(list_sort(list(DISTINCT win)), ',') AS windows FROM seg WHERE n_words > 20 GROUP BY meeting_id")
+def _(spark, d):
+    g = S.segments(spark, d).withColumn("finish_reason", F.when(F.col("n_words") > 20, "length").otherwise("stop"))
+    return selection.capped_windows(g).select("meeting_id", F.array_join(F.col("windows").cast("array<string>"), ",").alias("windows"))
+
+
+@query("recording_paths", "SELECT page_id, url AS path FROM pages")
+def _(spark, d):
+    return S.table(spark, d, "pages").select("page_id", selection.refuse_clips(F.col("url")).alias("path"))
+
+
+@query("labelled_segments", f"WITH {_SEG} SELECT meeting_id, seg_idx, CASE WHEN win % 2 = 0 THEN gid END AS label FROM seg")
+def _(spark, d):
+    s = S.segments(spark, d)
+    labels = s.filter("win % 2 = 0").groupBy("meeting_id", "win", "local_label").agg(F.first("gid").alias("label"), F.count("*").alias("n_segments"))
+    return selection.labels_to_segments(s, labels).select("meeting_id", "seg_idx", "label")
+
+
+_SEGVEC = f"{_SEG}, vec AS (SELECT meeting_id, seg_idx, n_words * 0.4::DOUBLE AS dur_used, [n_words, seg_idx + 1]::DOUBLE[] AS v FROM seg WHERE seg_idx % 2 = 1)"
+
+
+def _segment_vectors(spark, d):
+    s = S.segments(spark, d)
+    return s, s.filter("seg_idx % 2 = 1").select("meeting_id", "seg_idx", (F.col("n_words") * 0.4).alias("dur_used"), F.array(F.col("n_words").cast("double"), (F.col("seg_idx") + 1).cast("double")).alias("v"))
+
+
+@query("segment_vectors", f"WITH {_SEGVEC} SELECT meeting_id, seg_idx, gid, round(dur_used, 3) AS dur_used, v[1] AS v0 FROM seg JOIN vec USING (meeting_id, seg_idx)")
+def _(spark, d):
+    return selection.vectors_to_segments(*_segment_vectors(spark, d)).select("meeting_id", "seg_idx", "gid", F.round("dur_used", 3).alias("dur_used"), F.col("v")[0].alias("v0"))
+
+
+@query("pooled_keys", f"WITH {_SEGVEC}, a AS (SELECT meeting_id, win, local_label, sum(dur_used) AS s, count(dur_used) AS n, avg(v[1]) AS x, avg(v[2]) AS y FROM seg LEFT JOIN vec USING (meeting_id, seg_idx) GROUP BY ALL) SELECT meeting_id, win, local_label, round(coalesce(s, 0), 3) AS seconds, n, round(coalesce(x / sqrt(x * x + y * y), 0), 5) AS v0 FROM a")
+def _(spark, d):
+    return selection.pool_all(*_segment_vectors(spark, d), "meeting_id", "win", "local_label").select("meeting_id", "win", "local_label", F.round("seconds", 3).alias("seconds"), "n", F.round(F.col("v")[0], 5).alias("v0"))
+
+
+_LEVEL = "lv AS (SELECT user_id AS meeting_id, frame, greatest(10 * log10(greatest(avg(value * value), 1e-12)), -120.0) AS db FROM (SELECT *, floor(event_id / 50)::BIGINT AS frame FROM events) GROUP BY ALL)"
+
+
+def _levels(spark, d):
+    return selection.frame_levels(S.table(spark, d, "events").select(F.col("user_id").alias("meeting_id"), F.col("event_id").alias("i"), F.col("value").cast("double").alias("x")), 50)
+
+
+@query("frame_levels", f"WITH {_LEVEL} SELECT meeting_id, frame, round(db, 5) AS db FROM lv")
+def _(spark, d):
+    return _levels(spark, d).withColumn("db", F.round("db", 5))
+
+
+@query("speech_ends", f"WITH {_LEVEL} SELECT meeting_id, round(coalesce(max(frame) FILTER (WHERE db >= 20), 0) * 0.01::DOUBLE, 3) AS speech_end FROM lv GROUP BY meeting_id")
+def _(spark, d):
+    return selection.speech_end(_levels(spark, d), silence_db=20.0).withColumn("speech_end", F.round("speech_end", 3))
+
+
+@query("busy_shares", "SELECT event_type AS phase, round(sum(value), 3) AS busy_s, round(sum(value) / sum(sum(value)) OVER (), 6) AS share FROM events GROUP BY event_type")
+def _(spark, d):
+    p = S.table(spark, d, "events").select(F.col("user_id").alias("meeting_id"), F.col("event_type").alias("phase"), F.col("value").alias("seconds"))
+    return selection.busy_shares(p).select("phase", F.round("busy_s", 3).alias("busy_s"), F.round("share", 6).alias("share"))
+
+
+@query("top_segments", f"WITH {_SEG} SELECT meeting_id, seg_idx FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id, win, local_label ORDER BY n_words DESC, seg_idx) AS k FROM seg) WHERE k <= 2")
+def _(spark, d):
+    return selection.top_segments(S.segments(spark, d).withColumn("dur", F.col("n_words")), 2).select("meeting_id", "seg_idx")
+
+
+@query("next_auto_index", 'SELECT max(s_suppkey) + 1 AS "next" FROM supplier WHERE s_suppkey % 2 = 0')
+def _(spark, d):
+    s = S.table(spark, d, "supplier")
+    return selection.next_auto_index(s.select(F.concat(F.when(F.col("s_suppkey") % 2 == 0, "auto-").otherwise("person-"), F.col("s_suppkey").cast("string")).alias("name")))
+
+
+@query("weak_atoms", f"WITH {_ATOM}, a AS (SELECT *, max(CASE WHEN sec >= 20 THEN 1 ELSE 0 END) OVER w AS p, row_number() OVER (PARTITION BY meeting_id, win ORDER BY sec DESC, vec_id) AS k, max(CASE WHEN sec > 0 THEN 1 ELSE 0 END) OVER w AS q FROM atom WINDOW w AS (PARTITION BY meeting_id, win)) SELECT vec_id FROM a WHERE sec < 20 AND NOT CASE WHEN p = 1 THEN sec >= 20 WHEN q = 1 THEN sec > 0 ELSE k = 1 END")
+def _(spark, d):
+    a = S.atoms(spark, d)
+    return selection.weak_atoms(a, linking.core_set(a, 20.0, "meeting_id", "win"), 20.0).select("vec_id")
+
+
+@query("sql_functions", "WITH a AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT vec_id, round(list_inner_product(v, v), 5) AS square, round(v[1] / sqrt(list_inner_product(v, v)), 5) AS v0, (vec_id // 3600) || ':' || lpad((vec_id % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((vec_id % 60)::VARCHAR, 2, '0') AS clock, 'speaker' || vec_id AS folded FROM a")
+def _(spark, d):
+    selection.register_functions(spark)
+    S.table(spark, d, "embeddings").selectExpr("vec_id", "cast(embedding AS array<double>) AS v").createOrReplaceTempView("lodestrata_vectors")
+    return spark.sql("SELECT vec_id, round(dot(v, v), 5) AS square, round(unit_vector(v)[0], 5) AS v0, hms(vec_id) AS clock, fold_name(concat('Speaker #', vec_id)) AS folded FROM lodestrata_vectors")
+
+
 # --- sequential rules ---
 
 
