@@ -110,12 +110,10 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = 5, s
 
     # alignments
     hashed = _hashed(again, "doc_id", "th")
-    placed = [hashed.select("doc_id", "th", F.posexplode(F.expr(_windows_of(k, n))).alias("pos", "h")) for k, n in used]
-    where = placed[0]
-    for more in placed[1:]:
-        where = where.unionByName(more)
+    placed = ", ".join(f"transform({_windows_of(k, n)}, (h, i) -> named_struct('pos', i, 'h', h))" for k, n in used)
+    where = hashed.select("doc_id", "th", F.explode(F.expr(f"concat({placed})")).alias("w")).select("doc_id", "th", "w.pos", "w.h")
     at = where.join(few(n_items, items.select("item", "kind", "h", "ipos")), "h").join(few(n_pairs, pairs), pair)
-    lines = at.groupBy(*pair, (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.max("of").alias("of"), F.count("*").alias("n"))
+    lines = space.table(at.groupBy(*pair, (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.max("of").alias("of"), F.count("*").alias("n")), "alignments")
     best = lines.groupBy(*pair).agg(F.max("n").alias("most"))
     lines = lines.join(best, pair).filter(F.col("n") >= F.least("most", share * F.col("of") / 2)).select(*pair, "shift")
 
