@@ -81,6 +81,31 @@ def windows_of(spans: DataFrame, size: float, step: float) -> DataFrame:
     return spans.withColumn("k", F.explode(F.sequence(first, last)))
 
 
+def slide_windows(recordings: DataFrame, shared: float, size: float = DEFAULTS.window_s) -> DataFrame:
+    """meeting_id, win, audio_lo, audio_hi, core_lo: windows of ``size`` seconds that share ``shared`` with the one before, which owns them. recordings: meeting_id, duration. A rest under a second is no window."""
+    if not 0 <= shared < size:
+        raise ValueError("windows can't share all their seconds")
+    step = F.lit(size - shared)
+    last = F.floor((F.col("duration") - 1) / step)
+    d = recordings.filter("duration >= 1").select("meeting_id", "duration", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("win"))
+    lo = F.col("win") * step
+    return d.select("meeting_id", "win", lo.alias("audio_lo"), F.least(lo + size, "duration").alias("audio_hi"), (lo + F.when(F.col("win") == 0, 0.0).otherwise(shared)).alias("core_lo"))
+
+
+def single_window(recordings: DataFrame, most: float = DEFAULTS.single_pass_s, none: float = DEFAULTS.window_s) -> DataFrame:
+    """window_s: one window for the longest recording, at most ``most``; ``none`` if no duration is known."""
+    longest = F.max(F.when(F.col("duration") > 0, F.col("duration")))
+    return recordings.agg(F.when(longest.isNull(), none).otherwise(F.least(longest, F.lit(most))).alias("window_s"))
+
+
+def complete_recordings(decoded: DataFrame, planned: DataFrame) -> DataFrame:
+    """meeting_id, n_windows, n_decoded, complete: a recording is complete when all its planned windows (meeting_id, win) are back, whatever batch brought them."""
+    have = decoded.select("meeting_id", "win", F.lit(1).alias("_d")).distinct()
+    j = planned.select("meeting_id", "win").distinct().join(have, ["meeting_id", "win"], "left")
+    d = j.groupBy("meeting_id").agg(F.count("*").alias("n_windows"), F.count("_d").alias("n_decoded"))
+    return d.withColumn("complete", F.col("n_windows") == F.col("n_decoded"))
+
+
 def turns(segments: DataFrame) -> DataFrame:
     """Neighbouring segments of one speaker as one turn: meeting_id, turn, local_label, start_s, end_s, n."""
     changed = (~F.col("local_label").eqNullSafe(F.lag("local_label").over(_by("start_s", "seg_idx")))).cast("int")
@@ -115,3 +140,20 @@ def embed_spans(spans: DataFrame, p=DEFAULTS) -> DataFrame:
     mid, long_ = (a + b) / 2, (b - a) > p.max_dur
     out = spans.withColumn("_a", F.when(long_, mid - p.max_dur / 2).otherwise(a)).withColumn("_b", F.when(long_, mid + p.max_dur / 2).otherwise(b))
     return out.filter(F.col("_b") - F.col("_a") >= p.min_dur).withColumn("from_s", F.col("_a")).withColumn("to_s", F.col("_b")).drop("_a", "_b")
+
+
+def reference_overlap(segments: DataFrame, reference: DataFrame, *keys: str, bucket_s: float = 600.0) -> DataFrame:
+    """keys, speaker, seconds: how long segments (meeting_id, start_s, end_s and ``keys``) and a reference's turns (meeting_id, speaker, start_s, end_s) overlap; speaker is null for seconds in no turn.
+
+    Both are dealt by meeting and time bucket; an overlap counts in the bucket where it begins.
+    """
+    cut = lambda d: d.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start_s") / bucket_s).cast("long"), F.floor(F.col("end_s") / bucket_s).cast("long"))))
+    s = segments.filter("end_s > start_s").select("meeting_id", "start_s", "end_s", *(k for k in keys if k != "meeting_id"))
+    t = cut(reference.filter("end_s > start_s")).select("meeting_id", "_b", "speaker", F.col("start_s").alias("_lo"), F.col("end_s").alias("_hi"))
+    lo, hi = F.greatest("start_s", "_lo"), F.least("end_s", "_hi")
+    found = cut(s).join(t, ["meeting_id", "_b"]).filter((lo < hi) & (F.floor(lo / bucket_s) == F.col("_b")))
+    by = found.groupBy(*keys, "speaker").agg(F.sum(hi - lo).alias("seconds"))
+    heard = by.groupBy(*keys).agg(F.sum("seconds").alias("_in"))
+    total = s.groupBy(*keys).agg(F.sum(F.col("end_s") - F.col("start_s")).alias("_all"))
+    off = total.join(heard, list(keys), "left").select(*keys, F.lit(None).cast("string").alias("speaker"), F.greatest(F.col("_all") - F.coalesce("_in", F.lit(0.0)), F.lit(0.0)).alias("seconds"))
+    return by.unionByName(off.filter("seconds > 1e-9"))

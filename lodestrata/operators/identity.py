@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.operators import linking, matching
+from lodestrata.operators import linking, matching, recovery, selection
 from lodestrata.operators.clustering import labels_at, linkage, similarity
-from lodestrata.operators.store import Store, near_names, pool_exemplars
+from lodestrata.operators.store import Store, near_names, pool_exemplars, upsert_clusters
 from lodestrata.params import DEFAULTS
 from lodestrata.runtime import settled, ship
 
@@ -124,3 +124,29 @@ def name_group(store: Store, group_id: int, name: str, speaker_id: int, conditio
         new = centroid.select(F.lit(found[0]).cast("long").alias("speaker_id"), F.lit(condition).alias("condition"), "v", "seconds")
         exemplars = pool_exemplars(exemplars.select("speaker_id", "condition", "v", "seconds"), new)
     return replace(store, speakers=s, groups=groups, exemplars=exemplars)
+
+
+def relabel(store: Store, segments: DataFrame, atoms: DataFrame, bank: DataFrame, p=DEFAULTS) -> tuple[DataFrame, Store]:
+    """Whole meetings labelled anew from the bank: their segments, and the store with their clusters.
+
+    segments: meeting_id, win, local_label; they get ``gid`` (G00, G01, ... by
+    the voice's first atom; null: nobody's) and ``person`` (null: unknown).
+    atoms: meeting_id, vec_id, win, local_label, label, sec, v, n_segments;
+    an atom whose n_segments isn't the number of its segments is an error.
+    Clusters are the seconds-weighted units by meeting and gid; one that is
+    in no group goes to its person's smallest group. Other meetings stay.
+    """
+    found = recovery.label_meetings(atoms, bank, p).filter("person is not null").withColumnRenamed("person", "_who")
+    d = atoms.join(found, ["meeting_id", "vec_id"])
+    voices = d.groupBy("meeting_id", "_who").agg(F.min(F.struct("win", "vec_id")).alias("_first"), F.sum("sec").alias("seconds"))
+    k = F.row_number().over(Window.partitionBy("meeting_id").orderBy("_first")) - 1
+    person = F.when(F.startswith("_who", F.lit("K")), F.substring("_who", 2, 20).cast("long"))
+    voices = settled(voices.select("meeting_id", "_who", "seconds", F.concat(F.lit("G"), F.lpad(k.cast("string"), 2, "0")).alias("gid"), person.alias("person")))
+    d = settled(d.join(voices.drop("seconds"), ["meeting_id", "_who"]))
+    named = selection.labels_to_segments(segments.drop("gid", "person", "label"), d.select("meeting_id", "win", "local_label", F.struct("gid", "person").alias("label"), "n_segments"))
+    named = named.select("*", "label.gid", "label.person").drop("label")
+    centres = matching.pool(d, "meeting_id", "gid", weight="sec")
+    new = voices.join(centres, ["meeting_id", "gid"]).select("meeting_id", F.col("gid").alias("cluster"), "seconds", "v", F.xxhash64("v").cast("string").alias("digest"), "person")
+    own = store.groups.filter("speaker_id is not null").groupBy(F.col("speaker_id").alias("person")).agg(F.min("group_id").alias("_own"))
+    merged = upsert_clusters(store.clusters, new).join(own, "person", "left").withColumn("group_id", F.coalesce("group_id", "_own")).drop("_own", "person")
+    return named, replace(store, clusters=settled(merged))

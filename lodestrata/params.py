@@ -32,6 +32,7 @@ class Params:
     coverage_min: float = 0.95
     silence_db: float = -70.0
     window_s: float = 30.0
+    single_pass_s: float = (131072 - 512) / (12.5 + 20)
     inset_s: float = 0.20
     min_dur: float = 0.50
     max_dur: float = 20.0

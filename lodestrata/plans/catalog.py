@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
-from lodestrata.operators import assembly, clustering, identity, linking, matching, recovery, reports, selection, store
+from lodestrata.operators import assembly, clustering, identity, linking, matching, profiles, recovery, reports, selection, store
 from lodestrata.params import DEFAULTS
 from lodestrata.sources import tables as S
 from lodestrata.streaming import windows
@@ -592,6 +593,98 @@ def _(spark, d):
     return spark.sql("SELECT vec_id, round(dot(v, v), 5) AS square, round(unit_vector(v)[0], 5) AS v0, hms(vec_id) AS clock, fold_name(concat('Speaker #', vec_id)) AS folded FROM lodestrata_vectors")
 
 
+# --- profiles ---
+
+_MEMBER = f"WITH {_ATOM}, mem AS (SELECT label::BIGINT AS speaker_id, vec_id::BIGINT AS id, sec AS seconds, v FROM atom WHERE label % 2 = 0), ex AS (SELECT *, row_number() OVER (PARTITION BY speaker_id ORDER BY seconds DESC, condition) AS o FROM (SELECT label::BIGINT AS speaker_id, CASE WHEN k = 1 THEN 'room' ELSE 'phone' END AS condition, v AS ev, sec AS seconds FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM atom) WHERE k <= 2 AND label % 2 = 0))"
+_NEAR = "sims AS (SELECT m.speaker_id, m.id, m.seconds, condition, o, list_inner_product(m.v, ev) AS sim FROM mem m JOIN ex USING (speaker_id))"
+_FAR = f"{_NEAR}, far AS (SELECT speaker_id, id, v FROM mem WHERE id NOT IN (SELECT id FROM sims WHERE sim >= 0.2)), agree AS (SELECT a.id, count(*) AS n FROM far a JOIN far b ON a.speaker_id = b.speaker_id AND a.id <> b.id AND list_inner_product(a.v, b.v) >= 0.2 GROUP BY a.id)"
+
+
+def _members(spark, d):
+    return S.atoms(spark, d).filter("label % 2 = 0").select(F.col("label").cast("long").alias("speaker_id"), F.col("vec_id").alias("id"), F.col("sec").alias("seconds"), "v")
+
+
+@query("profile_members", f"{_MEMBER}, {_NEAR} SELECT speaker_id, id, seconds, arg_max(condition, (sim, -o)) AS condition, round(max(sim), 5) AS sim FROM sims GROUP BY ALL")
+def _(spark, d):
+    return profiles.membership(_members(spark, d), S.exemplars(spark, d)).withColumn("sim", F.round("sim", 5))
+
+
+@query("far_agreement", f"{_MEMBER}, {_FAR} SELECT far.id, coalesce(n, 0)::BIGINT AS agree FROM far LEFT JOIN agree USING (id)")
+def _(spark, d):
+    far = _members(spark, d).join(profiles.membership(_members(spark, d), S.exemplars(spark, d)).filter("sim < 0.2").select("id"), "id", "left_semi")
+    return profiles.agreement(far, 0.2)
+
+
+@query("confident_members", f"{_MEMBER}, {_FAR} SELECT speaker_id, id FROM mem WHERE id NOT IN (SELECT id FROM far) OR id IN (SELECT id FROM agree WHERE n >= 3)")
+def _(spark, d):
+    return profiles.confident(_members(spark, d), S.exemplars(spark, d), 0.2, 4).select("speaker_id", "id")
+
+
+@query("covered_members")
+def _(spark, d):
+    return profiles.cover_members(_members(spark, d), -0.05).select("speaker_id", "id", "owner", "pick")
+
+
+@query("refreshed_profiles", f"{_MEMBER}, {_FAR} SELECT speaker_id, sum(seconds) AS seconds FROM mem WHERE id NOT IN (SELECT id FROM far) OR id IN (SELECT id FROM agree WHERE n >= 3) GROUP BY speaker_id")
+def _(spark, d):
+    a = _members(spark, d)
+    c = a.select(F.col("speaker_id").alias("group_id"), "id", "seconds", "v")
+    named = a.select(F.col("speaker_id").alias("group_id"), "speaker_id").distinct()
+    new = profiles.refresh(store.Store(S.speakers(spark, d), named, c, S.exemplars(spark, d)), replace(DEFAULTS, keep_exemplar=0.2, cover=-0.05)).exemplars
+    return new.filter(F.startswith("condition", F.lit("auto-"))).groupBy("speaker_id").agg(F.sum("seconds").alias("seconds"))
+
+
+@query("merged_profile", f"{_MEMBER}, w AS (SELECT speaker_id, condition, seconds, unnest(ev) AS x, generate_subscripts(ev, 1) AS i FROM ex WHERE speaker_id = 2), s AS (SELECT speaker_id, i, sum(x * seconds) AS x, sum(seconds) AS seconds FROM w GROUP BY ALL) SELECT speaker_id, 'study' AS condition, max(seconds) AS seconds, round(max(x) FILTER (WHERE i = 1) / sqrt(sum(x * x)), 5) AS v0 FROM s GROUP BY speaker_id UNION ALL SELECT speaker_id, condition, seconds, round(ev[1], 5) FROM ex WHERE speaker_id <> 2")
+def _(spark, d):
+    return profiles.merge_profiles(S.exemplars(spark, d), 2, "room", "phone", "study").select("speaker_id", "condition", "seconds", F.round(F.col("v")[0], 5).alias("v0"))
+
+
+@query("split_profile", f"{_MEMBER}, {_NEAR}, own AS (SELECT id, seconds, arg_max(condition, (sim, -o)) AS condition FROM sims WHERE speaker_id = 2 GROUP BY ALL) SELECT condition, seconds FROM ex WHERE speaker_id = 2 AND condition <> 'room' UNION ALL SELECT 'auto', sum(seconds) FROM own WHERE condition = 'room'")
+def _(spark, d):
+    e = profiles.split_profile(_members(spark, d), S.exemplars(spark, d), 2, "room", 3).filter("speaker_id = 2")
+    return e.groupBy(F.regexp_replace("condition", r"-\d+$", "").alias("condition")).agg(F.sum("seconds").alias("seconds"))
+
+
+@query("group_samples", f"WITH {_SEG}, a AS (SELECT meeting_id, gid AS cluster, left(string_agg(text, ' ' ORDER BY seg_idx), 200) AS sample, sum(n_words)::DOUBLE AS seconds FROM seg GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY meeting_id % 7, cluster ORDER BY seconds DESC, meeting_id) AS k FROM a) SELECT meeting_id % 7 * 10 + right(cluster, 1)::BIGINT AS group_id, arg_min(sample, k) AS sample FROM b WHERE k <= 3 AND length(sample) > 60 GROUP BY 1")
+def _(spark, d):
+    s = S.segments(spark, d)
+    c = s.groupBy("meeting_id", F.col("gid").alias("cluster")).agg(F.sum("n_words").cast("double").alias("seconds")).withColumn("group_id", (F.col("meeting_id") % 7 * 10 + F.substring("cluster", 3, 1).cast("long")).cast("long"))
+    return profiles.group_samples(c, reports.text_samples(s).withColumnRenamed("gid", "cluster"))
+
+
+# --- windows and references ---
+
+
+@query("slide_windows", f"WITH {_SEG}, m AS (SELECT meeting_id, max(end_s) AS dur FROM seg GROUP BY 1), w AS (SELECT meeting_id, dur, unnest(range(0, 1 + floor((dur - 1) / 25)::BIGINT)) AS win FROM m WHERE dur >= 1) SELECT meeting_id, win, win * 25.0::DOUBLE AS audio_lo, round(least(win * 25 + 30, dur), 3) AS audio_hi, win * 25.0::DOUBLE + CASE WHEN win > 0 THEN 5 ELSE 0 END AS core_lo FROM w")
+def _(spark, d):
+    m = S.segments(spark, d).groupBy("meeting_id").agg(F.max("end_s").alias("duration"))
+    return assembly.slide_windows(m, 5.0).withColumn("audio_hi", F.round("audio_hi", 3))
+
+
+@query("single_window", f"WITH {_SEG} SELECT round(least(max(end_s), 130560 / 32.5::DOUBLE), 3) AS window_s FROM seg")
+def _(spark, d):
+    m = S.segments(spark, d).groupBy("meeting_id").agg(F.max("end_s").alias("duration"))
+    return assembly.single_window(m).select(F.round("window_s", 3).alias("window_s"))
+
+
+@query("complete_recordings", f"WITH {_SEG}, p AS (SELECT DISTINCT meeting_id, win FROM seg) SELECT meeting_id, count(*) AS n_windows, count(*) FILTER (WHERE win % 3 <> 2) AS n_decoded, count(*) = count(*) FILTER (WHERE win % 3 <> 2) AS complete FROM p GROUP BY meeting_id")
+def _(spark, d):
+    s = S.segments(spark, d)
+    return assembly.complete_recordings(s.filter("win % 3 <> 2"), s)
+
+
+@query("snapped_windows")
+def _(spark, d):
+    return recovery.snapped_windows(_levels(spark, d), snap=5.0, size=30.0, hop=2.0)
+
+
+@query("reference_overlap", f"WITH {_SEG}, rt AS (SELECT meeting_id, gid AS speaker, start_s + 1 AS lo, end_s + 1 AS hi FROM seg WHERE end_s > start_s AND seg_idx % 2 = 0), o AS (SELECT s.meeting_id, local_label, speaker, sum(least(end_s, hi) - greatest(start_s, lo)) AS seconds FROM seg s JOIN rt ON s.meeting_id = rt.meeting_id AND start_s < hi AND lo < end_s GROUP BY ALL), al AS (SELECT meeting_id, local_label, sum(end_s - start_s) AS a FROM seg GROUP BY ALL), f AS (SELECT meeting_id, local_label, NULL AS speaker, greatest(a - coalesce((SELECT sum(seconds) FROM o WHERE o.meeting_id = al.meeting_id AND o.local_label = al.local_label), 0), 0) AS seconds FROM al) SELECT meeting_id, local_label, speaker, round(seconds, 3) AS seconds FROM o WHERE seconds > 1e-6 UNION ALL SELECT meeting_id, local_label, speaker, round(seconds, 3) FROM f WHERE seconds > 1e-6")
+def _(spark, d):
+    s = S.segments(spark, d)
+    t = s.filter("seg_idx % 2 = 0").select("meeting_id", F.col("gid").alias("speaker"), (F.col("start_s") + 1).alias("start_s"), (F.col("end_s") + 1).alias("end_s"))
+    return assembly.reference_overlap(s, t, "meeting_id", "local_label", bucket_s=60.0).filter("seconds > 1e-6").withColumn("seconds", F.round("seconds", 3))
+
+
 # --- sequential rules ---
 
 

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.functions.text import slug
+from lodestrata.functions.text import safe, slug
 from lodestrata.functions.vectors import norm, unit
 
 SEGMENT = "struct<start:double,end:double,window:int,local_speaker:string,speaker:string,text:string,global:string,speaker_name:string>"
@@ -102,6 +102,42 @@ def read_glossary(spark: SparkSession, path: str, comments: bool = False) -> str
     return t.agg(F.coalesce(F.expr("listagg(t, ', ')"), F.lit("")).alias("g")).first().g
 
 
+def glossary_union(*terms: Column) -> Column:
+    """Terms (arrays) of several glossaries one behind another, repeated ones too; null counts as empty."""
+    return F.concat(*(F.coalesce(t, F.array().cast("array<string>")) for t in terms))
+
+
+def read_titles(spark: SparkSession, path: str) -> DataFrame:
+    """stem, title of a JSON object."""
+    m = F.from_json("value", "map<string,string>")
+    return spark.read.option("wholetext", True).text(path).select(F.explode(m).alias("stem", "title"))
+
+
+def titled(files: DataFrame, titles: DataFrame) -> DataFrame:
+    """path, title: by the file's stem, made safe; without an entry the stem itself."""
+    name = F.element_at(F.split("path", "/"), -1)
+    d = files.select("path", F.regexp_replace(name, r"(?<=.)\.[^.]*$", "").alias("_stem")).withColumn("stem", safe(F.col("_stem")))
+    return d.join(titles.select("stem", "title"), "stem", "left").select("path", F.coalesce("title", "_stem").alias("title"))
+
+
+def read_reference(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """meeting_id, speaker, start_s, end_s: turns of reference transcripts, a JSON array in each meeting's folder."""
+    d = spark.read.schema("speaker string, start double, end double").option("multiLine", True).json(paths)
+    return d.select(meeting_id(F.col("_metadata.file_path")).alias("meeting_id"), "speaker", F.col("start").alias("start_s"), F.col("end").alias("end_s"))
+
+
+def transcript_path(spark: SparkSession, given: str) -> str:
+    """The JSON document meant by its own name, its text's name, or the bare stem; an error if there is none."""
+    jvm = spark.sparkContext._jvm
+    there = lambda p: (x := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(x)
+    path = given[:-4] + ".json" if given.lower().endswith(".txt") else given
+    if not path.endswith(".json") and not there(path):
+        path += ".json"
+    if not there(path):
+        raise FileNotFoundError(f"no transcript at {path}")
+    return path
+
+
 def name_map(labels: DataFrame) -> DataFrame:
     """meeting_id, names: map of G00, G01, ... to full names."""
     return labels.filter("person is not null").select("meeting_id", "gid", "person").distinct().groupBy("meeting_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("gid", "person")))).alias("names"))

@@ -141,7 +141,9 @@ def test_window_plan():
     assert R.plan_windows(60.0, overlap=5)[1] == (25.0, 60.0, 30.0, 60.0)
     levels = np.ones(5000)
     levels[1450] = 0
-    assert R.plan_windows(60.0, levels=levels, snap=2.0)[0][3] == 29.0
+    first, second, *_ = R.plan_windows(60.0, levels=levels, snap=2.0)
+    assert first == pytest.approx((0.0, 30.0, 0.0, 29.01))  # a full window, cut in the middle of the frame
+    assert second[:3:2] == pytest.approx((29.01, 29.01))
 
 
 def test_batches():
