@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import byte_bpe, decontamination, exact_dedup, langid, line_dedup, near_dedup, quality, secrets, suffix_dedup, token_counts, toxicity
+from lodestrata.llm import byte_bpe, centroids, decontamination, exact_dedup, langid, line_dedup, near_dedup, quality, secrets, suffix_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,7 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_language_id": langid.op9_language_id,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
+    "op11_centroids": centroids.op11_centroids,
     "op13_exact_dedup": exact_dedup.op13_exact_dedup,
 }
 
