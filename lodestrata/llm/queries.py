@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import byte_bpe, centroids, decontamination, exact_dedup, langid, line_dedup, near_dedup, quality, secrets, suffix_dedup, token_counts, toxicity
+from lodestrata.llm import byte_bpe, centroids, decontamination, exact_dedup, hard_negatives, langid, line_dedup, near_dedup, quality, secrets, suffix_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,7 @@ QUERIES: dict[str, Query] = {
     "op9_language_id": langid.op9_language_id,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     "op11_centroids": centroids.op11_centroids,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_exact_dedup": exact_dedup.op13_exact_dedup,
 }
 
