@@ -66,14 +66,6 @@ def coverage(segments: DataFrame, speech_end: DataFrame) -> DataFrame:
     return speech_end.join(last, "meeting_id", "left").select("meeting_id", F.round(F.coalesce(share, F.lit(0.0)), 4).alias("coverage"))
 
 
-def silence_gate(segments: DataFrame, frames: DataFrame, floor: float, hop: float) -> DataFrame:
-    """Segments that span a frame of at least ``floor``. frames: meeting_id, frame, level."""
-    first, last = F.floor(F.col("start_s") / hop).cast("long"), F.floor(F.col("end_s") / hop).cast("long")
-    loud = frames.filter(F.col("level") >= floor).select(F.col("meeting_id").alias("_m"), F.col("frame").alias("_f"))
-    s = segments.withColumn("_a", first).withColumn("_b", last)
-    return s.join(loud, (F.col("meeting_id") == F.col("_m")) & (F.col("_f") >= F.col("_a")) & (F.col("_f") < F.col("_b")), "left_semi").drop("_a", "_b")
-
-
 def windows_of(spans: DataFrame, size: float, step: float) -> DataFrame:
     """Hopping windows (tumbling if step = size): a row for each window [k*step, k*step + size) a span's start lies in."""
     first = F.greatest(F.floor((F.col("start_s") - F.lit(size)) / step) + 1, F.lit(0)).cast("long")

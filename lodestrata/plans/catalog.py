@@ -2,49 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
 from lodestrata.operators import assembly, clustering, identity, linking, matching, profiles, recovery, reports, selection, store
 from lodestrata.params import DEFAULTS
+from lodestrata.plans import timeline  # noqa: F401  its queries
+from lodestrata.plans.registry import ATOM as _ATOM
+from lodestrata.plans.registry import LINES as _LINES
+from lodestrata.plans.registry import ORACLES, QUERIES, query  # noqa: F401
+from lodestrata.plans.registry import SEG as _SEG
+from lodestrata.plans.registry import SPAN as _SPAN
+from lodestrata.plans.registry import STORE as _STORE
 from lodestrata.sources import tables as S
 from lodestrata.streaming import windows
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-_SEG = r"""c AS (SELECT *, CASE WHEN text IS NULL OR trim(text) = '' THEN 0 ELSE len(string_split_regex(trim(text), '\s+')) END AS n_words FROM conversations),
-t AS (SELECT *, sum(n_words) OVER (PARTITION BY conv_id ORDER BY turn) AS t FROM c),
-seg AS (SELECT conv_id AS meeting_id, turn AS seg_idx, n_words::BIGINT AS n_words, (t - n_words) * 0.4::DOUBLE AS start_s, t * 0.4::DOUBLE AS end_s, floor((t - n_words) * 0.4::DOUBLE / 30)::BIGINT AS win,
-  CASE role WHEN 'user' THEN 'S01' WHEN 'assistant' THEN 'S02' ELSE 'S03' END AS local_label, CASE role WHEN 'user' THEN 'G00' WHEN 'assistant' THEN 'G01' ELSE 'G02' END AS gid, text FROM t)"""
-_ATOM = """atom AS (SELECT (vec_id % 25)::BIGINT AS meeting_id, floor(floor(vec_id / 25.0) / 3)::BIGINT AS win, 'S0' || (floor(vec_id / 25.0)::BIGINT % 3 + 1) AS local_label,
-  (1 + (vec_id * 7) % 60)::DOUBLE AS sec, embedding::DOUBLE[] AS v, label, vec_id FROM embeddings),
-bank AS (SELECT label AS person, v AS bv, k FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM atom)),
-score AS (SELECT meeting_id, win, local_label, sec, label, vec_id, person, max(CASE WHEN label = person THEN 0.65 ELSE 0 END::DOUBLE + 0.35::DOUBLE * list_inner_product(v, bv)) AS sim FROM atom, bank WHERE k = 1 GROUP BY ALL)"""
-_SPAN = "span AS (SELECT user_id AS meeting_id, event_id AS seg_idx, epoch_us(ts) / 1e6 AS start_s, epoch_us(ts) / 1e6 + value * 600 AS end_s, event_type AS local_label FROM events)"
-_STORE = """spk AS (SELECT DISTINCT label::BIGINT AS id, 'Speaker_' || label AS name FROM embeddings WHERE label % 2 = 0),
-grp AS (SELECT DISTINCT label::BIGINT AS group_id, CASE WHEN label % 2 = 0 THEN label END::BIGINT AS speaker_id FROM embeddings),
-clu AS (SELECT meeting_id, label::BIGINT AS group_id, sum(sec) AS seconds, count(*) AS n_atoms, 'G0' || label AS cluster FROM atom GROUP BY meeting_id, label),
-exe AS (SELECT label::BIGINT AS speaker_id, CASE WHEN k = 1 THEN 'room' ELSE 'phone' END AS condition, v, sec AS seconds FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM atom) WHERE k <= 2 AND label % 2 = 0)"""
-_LINES = "line AS (SELECT doc_id AS meeting_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seg_idx, unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL)"
-
-
-def query(name: str, sql: str | None = None):
-    def keep(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return keep
-
-
 # --- segments ---
 
 
@@ -189,13 +164,6 @@ def _(spark, d):
     return assembly.windows_of(S.intervals(spark, d), 7200.0, 3600.0).groupBy("meeting_id", "k").agg(F.count("*").alias("n"))
 
 
-@query("silence_gate", f"WITH {_SPAN}, fr AS (SELECT meeting_id, floor(start_s / 600)::BIGINT AS frame, count(*) AS level FROM span GROUP BY ALL) SELECT meeting_id, seg_idx FROM span s WHERE EXISTS (SELECT 1 FROM fr WHERE fr.meeting_id = s.meeting_id AND level >= 1 AND frame >= floor(s.start_s / 600) AND frame < floor(s.end_s / 600))")
-def _(spark, d):
-    s = S.intervals(spark, d)
-    frames = s.groupBy("meeting_id", F.floor(F.col("start_s") / 600).cast("long").alias("frame")).agg(F.count("*").alias("level"))
-    return assembly.silence_gate(s, frames, 1, 600.0).select("meeting_id", "seg_idx")
-
-
 @query("tumbling_counts", "SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def _(spark, d):
     return windows.tumbling(S.table(spark, d, "events")).withColumn("total", F.round("total", 4))
@@ -693,12 +661,6 @@ def _(spark, d):
     return recovery.label_meetings(S.atoms(spark, d), S.bank(spark, d, 2).filter("person % 2 = 0"))
 
 
-@query("recovered_orphans")
-def _(spark, d):
-    s = S.segments(spark, d)
-    return recovery.recover_orphans(assembly.core_owned(s, F.col("win") * 30.0, F.col("win") * 30.0 + 30))
-
-
 @query("trimmed_seams")
 def _(spark, d):
     ws = S.table(spark, d, "documents").filter("text is not null").select(F.col("doc_id").cast("long").alias("meeting_id"), F.split(F.trim("text"), r"\s+").alias("ws"))

@@ -115,16 +115,6 @@ def test_cover_starts_at_longest_and_reaches():
     assert C.cover(v[:0], np.zeros(0), np.zeros(0)) == []
 
 
-def test_recovery_rules():
-    assert R.recover([(0, 10, 20)], [(10.2, 11.0, 2)]) == ([0], [])  # a hole
-    assert R.recover([(0, 10, 20)], [(2, 4, 5)]) == ([], [])  # covered in seconds and words
-    assert R.recover([(0, 10, 2)], [(2, 9, 15)]) == ([0], [0])  # seconds but not words: replaces
-    assert R.recover([], [(9.5, 11, 3), (9.6, 11.2, 3)]) == ([0], [])  # the earlier of two
-    assert R.recover([], [(5, 3, 2), (4, 4, 1), (-1, 2, 3), (9, 12, 3)], duration=10.0) == ([], [])
-    kept = [(float(i), i + 1.5, 3) for i in range(50)]
-    assert R.recover(kept, [(20.2, 21.0, 30)]) == ([0], [19, 20])
-
-
 def test_seams_trim_against_the_trimmed():
     assert R.trim_seams(["a b c d", "b c d e f g"], [0, 1]) == ["a b c d", "e f g"]
     assert R.trim_seams(["a b c d", "b c d e"], [0, 0]) == ["a b c d", "b c d e"]
