@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.functions.text import SPACES
+from lodestrata.operators import assembly
 from lodestrata.params import DEFAULTS
 
 
@@ -71,11 +73,11 @@ def inherited_names(clusters: DataFrame, groups: DataFrame, share: float = DEFAU
 
 
 def channel_vote(events: DataFrame) -> DataFrame:
-    """user_id, kind (majority; ties: the one that sorts first), agreement, median value."""
-    by = events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    top = by.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "event_type"))).withColumn("all", F.sum("n").over(Window.partitionBy("user_id"))).filter("k = 1")
-    mid = events.groupBy("user_id").agg(F.percentile("value", F.lit(0.5)).alias("m"))
-    return top.join(mid, "user_id").select("user_id", F.col("event_type").alias("kind"), F.round(F.col("n") / F.col("all"), 6).alias("agreement"), F.round("m", 6).alias("median_value"))
+    """user_id, kind (majority; ties: the one that sorts first), agreement, median value of the majority's rows."""
+    by = events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.percentile("value", F.lit(0.5)).alias("m"))
+    w = Window.partitionBy("user_id")
+    top = by.withColumn("k", F.row_number().over(w.orderBy(F.desc("n"), "event_type"))).withColumn("all", F.sum("n").over(w)).filter("k = 1")
+    return top.select("user_id", F.col("event_type").alias("kind"), F.round(F.col("n") / F.col("all"), 6).alias("agreement"), F.round("m", 6).alias("median_value"))
 
 
 def confusion(labelled: DataFrame, values: list[str]) -> DataFrame:
@@ -83,18 +85,70 @@ def confusion(labelled: DataFrame, values: list[str]) -> DataFrame:
     return labelled.groupBy("meeting_id").pivot("gid", values).agg(F.sum("n_words"))
 
 
-def resolve(meetings: DataFrame, wanted: DataFrame) -> DataFrame:
-    """ref, meeting_id: by exact id, then by a title's beginning, then by a part of it; only if the first tier that matches matches once.
+def voices_against(segments: DataFrame, reference: DataFrame, bucket_s: float = 600.0) -> DataFrame:
+    """meeting_id, win, local_label, gid, speaker, top_s, ref_s, off_s: each voice of a window, the reference speaker it overlaps longest (of equals the one that sorts first), how long, how long any, and how long none.
 
-    wanted is a list of references typed by a user, so it is broadcast after a check of its size.
+    segments: meeting_id, win, local_label, start_s, end_s, gid (null: UNASSIGNED).
+    reference: meeting_id, speaker, start_s, end_s.
     """
-    if wanted.limit(10_001).count() > 10_000:
+    key = ["meeting_id", "win", "local_label"]
+    over = assembly.reference_overlap(segments, reference, *key, bucket_s=bucket_s)
+    best = F.min(F.when(F.col("speaker").isNotNull(), F.struct((-F.col("seconds")).alias("s"), "speaker")))
+    by = over.groupBy(*key).agg(best.alias("x"), F.coalesce(F.sum(F.when(F.col("speaker").isNotNull(), F.col("seconds"))), F.lit(0.0)).alias("ref_s"), F.coalesce(F.sum(F.when(F.col("speaker").isNull(), F.col("seconds"))), F.lit(0.0)).alias("off_s"))
+    own = segments.groupBy(*key).agg(F.coalesce(F.max("gid"), F.lit("UNASSIGNED")).alias("gid"))
+    return own.join(by, key).select(*key, "gid", "x.speaker", F.coalesce(-F.col("x.s"), F.lit(0.0)).alias("top_s"), "ref_s", "off_s")
+
+
+def confusion_cells(voices: DataFrame) -> DataFrame:
+    """meeting_id, gid, speaker, seconds, off_s: reference seconds of clusters by the speaker each of their voices is, with margins (null gid: all clusters; null speaker: all speakers, and there the seconds off the reference)."""
+    d = voices.groupingSets([["meeting_id", "gid", "speaker"], ["meeting_id", "gid"], ["meeting_id", "speaker"], ["meeting_id"]], "meeting_id", "gid", "speaker")
+    d = d.agg(F.sum("ref_s").alias("seconds"), F.sum("off_s").alias("off"), F.grouping("speaker").alias("_all"))
+    return d.filter("_all = 1 OR speaker IS NOT NULL").select("meeting_id", "gid", "speaker", "seconds", F.when(F.col("_all") == 1, F.col("off")).alias("off_s"))
+
+
+def cluster_purity(cells: DataFrame) -> DataFrame:
+    """meeting_id, gid, ref_s, off_s, purity, top: of each cluster the share and name of its main speaker; null without reference seconds."""
+    own = cells.filter("gid IS NOT NULL AND speaker IS NULL").select("meeting_id", "gid", F.col("seconds").alias("ref_s"), "off_s").filter("ref_s > 0 OR off_s > 0")
+    top = cells.filter("gid IS NOT NULL AND speaker IS NOT NULL AND seconds > 0").groupBy("meeting_id", "gid").agg(F.min(F.struct((-F.col("seconds")).alias("s"), "speaker")).alias("x"))
+    return own.join(top, ["meeting_id", "gid"], "left").select("meeting_id", "gid", "ref_s", "off_s", (-F.col("x.s") / F.col("ref_s")).alias("purity"), F.col("x.speaker").alias("top"))
+
+
+def speaker_recall(cells: DataFrame, reference: DataFrame) -> DataFrame:
+    """meeting_id, speaker, ref_s, captured, best_cluster, best_frac: how much of each reference speaker's captured seconds went to the cluster that holds most (of equals the first; UNASSIGNED is last); null and 0 if nothing was captured."""
+    total = reference.groupBy("meeting_id", "speaker").agg(F.sum(F.col("end_s") - F.col("start_s")).alias("ref_s"))
+    own = cells.filter("gid IS NOT NULL AND speaker IS NOT NULL AND seconds > 0")
+    best = own.groupBy("meeting_id", "speaker").agg(F.sum("seconds").alias("captured"), F.min(F.struct((-F.col("seconds")).alias("s"), (F.col("gid") == "UNASSIGNED").alias("last"), "gid")).alias("x"))
+    d = total.join(best, ["meeting_id", "speaker"], "left")
+    return d.select("meeting_id", "speaker", "ref_s", F.coalesce("captured", F.lit(0.0)).alias("captured"), F.col("x.gid").alias("best_cluster"), F.coalesce(-F.col("x.s") / F.col("captured"), F.lit(0.0)).alias("best_frac"))
+
+
+def local_purity(voices: DataFrame, low: float = 0.8) -> DataFrame:
+    """meeting_id, mean, median, below: how pure the voices of single windows are, and the share of those under ``low``."""
+    d = voices.filter("ref_s > 0").withColumn("_p", F.col("top_s") / F.col("ref_s"))
+    return d.groupBy("meeting_id").agg(F.avg("_p").alias("mean"), F.median("_p").alias("median"), F.avg((F.col("_p") < low).cast("double")).alias("below"))
+
+
+def resolve(meetings: DataFrame, wanted: DataFrame, most: int = 10_000) -> DataFrame:
+    """ref, meeting_id: the meeting meant by each reference, null if none is or several may be.
+
+    meetings: meeting_id, folder (``stem-id``), title and, if known, path. By
+    the folder's path; else by exact id or folder name; else by the stem, which
+    recordings of one title share; else by a part of folder or title in any
+    case. The first of these that fits decides, even if it fits several;
+    blank ends and a closing slash don't count.
+
+    wanted is a list of references typed by users, broadcast after a check of its size.
+    """
+    if wanted.limit(most + 1).count() > most:
         raise ValueError("too many references")
-    tier = F.when(F.col("meeting_id").cast("string") == F.col("ref"), 1).when(F.col("title").startswith(F.col("ref")), 2).when(F.col("title").contains(F.col("ref")), 3)
-    d = meetings.join(F.broadcast(wanted), tier.isNotNull()).withColumn("tier", tier)
-    best = d.groupBy("ref", "tier").agg(F.count("*").alias("n"), F.min("meeting_id").alias("meeting_id"))
-    first = best.groupBy("ref").agg(F.min(F.struct("tier", "n", "meeting_id")).alias("x"))
-    return wanted.join(first, "ref", "left").select("ref", F.when(F.col("x.n") == 1, F.col("x.meeting_id")).alias("meeting_id"))
+    m = meetings.select(F.col("meeting_id").cast("string").alias("id"), "folder", F.regexp_replace("folder", "-[^-]*$", "").alias("stem"), F.lower("folder").alias("low"), F.lower("title").alias("low_title"), (F.col("path") if "path" in meetings.columns else F.lit(None).cast("string")).alias("path"), F.col("meeting_id"))
+    w = wanted.select("ref", F.regexp_replace(F.btrim("ref", F.lit(SPACES)), "/+$", "").alias("r"))
+    tier = F.when(F.col("path") == F.col("r"), 0).when((F.col("id") == F.col("r")) | (F.col("folder") == F.col("r")), 1).when(F.col("stem") == F.col("r"), 2).when(F.contains("low", F.lower("r")) | F.contains("low_title", F.lower("r")), 3)
+    hits = m.join(F.broadcast(w), tier.isNotNull()).withColumn("tier", tier)
+    by = hits.groupBy("ref", "tier").agg(F.count("*").alias("n"), F.min(F.struct("folder", "meeting_id")).alias("first"))
+    best = by.groupBy("ref").agg(F.min(F.struct("tier", "n", "first")).alias("x"))
+    one = F.when((F.col("x.n") == 1) | (F.col("x.tier") <= 1), F.col("x.first.meeting_id"))
+    return wanted.join(best, "ref", "left").select("ref", one.alias("meeting_id"))
 
 
 def manifest_lookup(files: DataFrame, manifest: DataFrame, default: str) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestrata.functions.text import SPACES
 from lodestrata.operators.matching import pool
-from lodestrata.operators.recovery import parse_tagged
+from lodestrata.operators.recovery import parse_tagged, repair_tags
 from lodestrata.params import DEFAULTS
 
 
@@ -23,8 +24,8 @@ def channel_hint(voices: DataFrame, kind: str, min_share: float = 0.8) -> DataFr
 
 
 def to_retry(generations: DataFrame) -> DataFrame:
-    """Generations with text that parse to no tagged piece."""
-    return generations.filter((F.trim("text") != "") & (F.size(parse_tagged(F.col("text"))) == 0))
+    """Generations with text that parse to no tagged piece even when their tags are repaired."""
+    return generations.filter((F.btrim("text", F.lit(SPACES)) != "") & (F.size(parse_tagged(repair_tags(F.col("text"))["text"])) == 0))
 
 
 def capped_windows(generations: DataFrame) -> DataFrame:
@@ -41,14 +42,15 @@ def labels_to_segments(segments: DataFrame, labels: DataFrame) -> DataFrame:
     """Each segment's label by (meeting_id, win, local_label), null where there is none.
 
     Both sides must agree on the number of segments: ``labels`` carries
-    n_segments, and a key whose count differs raises an error.
+    n_segments, and a key whose count differs raises an error, as does one
+    that no segment has.
     """
     key = ["meeting_id", "win", "local_label"]
-    s = segments.withColumn("_n", F.count("*").over(Window.partitionBy(*key)))
-    ok = F.col("n_segments").isNull() | (F.col("n_segments") == F.col("_n"))
+    held = segments.groupBy(*key).agg(F.count("*").alias("_n"))
+    j = segments.withColumn("_here", F.lit(True)).join(labels.join(held, key, "left"), key, "full")
+    wrong = F.col("_here").isNull() | (F.col("n_segments") != F.col("_n"))
     where = F.concat_ws(" ", F.lit("segments and labels differ in number at"), *(F.col(k).cast("string") for k in key))
-    j = s.join(labels, key, "left").withColumn("label", F.when(ok, F.col("label")).otherwise(F.raise_error(where)))
-    return j.drop("_n", "n_segments")
+    return j.filter(F.when(wrong, F.raise_error(where).cast("boolean")).otherwise(True)).drop("_here", "_n", "n_segments")
 
 
 def vectors_to_segments(segments: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -73,9 +75,15 @@ def frame_levels(samples: DataFrame, hop: int) -> DataFrame:
     return e.select("meeting_id", "frame", F.greatest(10 * F.log10(F.greatest("_p", F.lit(1e-12))), F.lit(-120.0)).alias("db"))
 
 
-def speech_end(frames: DataFrame, frame_s: float = 0.01, silence_db: float = DEFAULTS.silence_db) -> DataFrame:
-    """meeting_id, speech_end: where the last frame of at least ``silence_db`` begins; 0 if none reaches it."""
-    return frames.groupBy("meeting_id").agg((F.coalesce(F.max(F.when(F.col("db") >= silence_db, F.col("frame"))), F.lit(0)) * F.lit(frame_s)).alias("speech_end"))
+def speech_end(frames: DataFrame, frame_s: float = 0.01, silence_db: float = DEFAULTS.silence_db, durations: DataFrame | None = None) -> DataFrame:
+    """meeting_id, speech_end: where the last frame of at least ``silence_db`` begins; the whole duration if none reaches it.
+
+    durations: meeting_id, duration; without it a recording ends with its last frame.
+    """
+    d = frames.groupBy("meeting_id").agg(F.max(F.when(F.col("db") >= silence_db, F.col("frame"))).alias("_last"), ((F.max("frame") + 1) * F.lit(frame_s)).alias("duration"))
+    if durations is not None:
+        d = durations.select("meeting_id", "duration").join(d.drop("duration"), "meeting_id", "left")
+    return d.select("meeting_id", F.coalesce(F.col("_last") * F.lit(frame_s), F.col("duration")).alias("speech_end"))
 
 
 def busy_shares(phases: DataFrame) -> DataFrame:

@@ -179,7 +179,7 @@ def _(spark, d):
     return windows.sessions(S.table(spark, d, "events"))
 
 
-@query("channel_vote", "WITH a AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS k, sum(n) OVER (PARTITION BY user_id) AS al FROM a), m AS (SELECT user_id, quantile_cont(value, 0.5) AS m FROM events GROUP BY 1) SELECT user_id, event_type AS kind, round(n / al, 6) AS agreement, round(m, 6) AS median_value FROM b JOIN m USING (user_id) WHERE k = 1")
+@query("channel_vote", "WITH a AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS k, sum(n) OVER (PARTITION BY user_id) AS al FROM a), m AS (SELECT user_id, event_type, quantile_cont(value, 0.5) AS m FROM events GROUP BY ALL) SELECT user_id, event_type AS kind, round(n / al, 6) AS agreement, round(m, 6) AS median_value FROM b JOIN m USING (user_id, event_type) WHERE k = 1")
 def _(spark, d):
     return reports.channel_vote(S.table(spark, d, "events"))
 
@@ -420,12 +420,6 @@ def _(spark, d):
     return store.near_names(new, s.select(F.col("s_name").alias("name")), 1)
 
 
-@query("resolve_meetings", "WITH m AS (SELECT page_id AS meeting_id, url AS title FROM pages), r AS (SELECT unnest(['7', 'http', 'zzz', '42', '.com']) AS ref), j AS (SELECT ref, meeting_id, CASE WHEN meeting_id::VARCHAR = ref THEN 1 WHEN starts_with(title, ref) THEN 2 WHEN contains(title, ref) THEN 3 END AS tier FROM m, r), g AS (SELECT ref, tier, count(*) AS n, min(meeting_id) AS meeting_id FROM j WHERE tier IS NOT NULL GROUP BY ALL), f AS (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY tier) AS k FROM g) SELECT r.ref, CASE WHEN n = 1 THEN meeting_id END AS meeting_id FROM r LEFT JOIN (SELECT * FROM f WHERE k = 1) USING (ref)")
-def _(spark, d):
-    m = S.table(spark, d, "pages").select(F.col("page_id").alias("meeting_id"), F.col("url").alias("title"))
-    return reports.resolve(m, spark.createDataFrame([(x,) for x in ("7", "http", "zzz", "42", ".com")], "ref string"))
-
-
 _LABELLED = "SELECT doc_id, source FROM documents WHERE doc_id {} IN (SELECT doc_id FROM labels)"
 
 
@@ -468,16 +462,6 @@ def _(spark, d):
     return selection.channel_hint(v.select(name.alias("name"), "kind", F.col("agreement").alias("share")), "click", 0.23)
 
 
-_TURN = "CASE WHEN turn % 3 = 0 THEN text ELSE '[' || turn || '][S01]' || replace(text, '[', '(') || '[' || (turn + 1) || ']' END"
-
-
-@query("retried_generations", f"SELECT conv_id AS meeting_id, turn AS win FROM conversations WHERE trim({_TURN}) <> '' AND NOT regexp_matches({_TURN}, " + r"'\[\d+(\.\d+)?\]\[S\d+\][^\[]*\[\d+(\.\d+)?\]')")
-def _(spark, d):
-    tag = F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("][S01]"), F.replace("text", F.lit("["), F.lit("(")), F.lit("["), (F.col("turn") + 1).cast("string"), F.lit("]"))
-    g = S.table(spark, d, "conversations").select(F.col("conv_id").alias("meeting_id"), F.col("turn").alias("win"), F.when(F.col("turn") % 3 == 0, F.col("text")).otherwise(tag).alias("text"))
-    return selection.to_retry(g).select("meeting_id", "win")
-
-
 @query("capped_windows", f"WITH {_SEG} SELECT meeting_id, array_to_string(list_sort(list(DISTINCT win)), ',') AS windows FROM seg WHERE n_words > 20 GROUP BY meeting_id")
 def _(spark, d):
     g = S.segments(spark, d).withColumn("finish_reason", F.when(F.col("n_words") > 20, "length").otherwise("stop"))
@@ -526,9 +510,9 @@ def _(spark, d):
     return _levels(spark, d).withColumn("db", F.round("db", 5))
 
 
-@query("speech_ends", f"WITH {_LEVEL} SELECT meeting_id, round(coalesce(max(frame) FILTER (WHERE db >= 20), 0) * 0.01::DOUBLE, 3) AS speech_end FROM lv GROUP BY meeting_id")
+@query("speech_ends", f"WITH {_LEVEL} SELECT meeting_id, round(coalesce(max(frame) FILTER (WHERE db >= 40) * 0.01::DOUBLE, (max(frame) + 1) * 0.01::DOUBLE), 3) AS speech_end FROM lv GROUP BY meeting_id")
 def _(spark, d):
-    return selection.speech_end(_levels(spark, d), silence_db=20.0).withColumn("speech_end", F.round("speech_end", 3))
+    return selection.speech_end(_levels(spark, d), silence_db=40.0).withColumn("speech_end", F.round("speech_end", 3))
 
 
 @query("busy_shares", "SELECT event_type AS phase, round(sum(value), 3) AS busy_s, round(sum(value) / sum(sum(value)) OVER (), 6) AS share FROM events GROUP BY event_type")

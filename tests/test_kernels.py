@@ -121,13 +121,10 @@ def test_seams_trim_against_the_trimmed():
     assert R.trim_seams(["x A, b. c", "a b c"], [0, 1])[1] == "a b c"  # the whole text never goes
 
 
-def test_tags():
-    assert R.repair_tags("[0]hi[1][1][S02]yo[2][2]so[3]") == "[0][S01]hi[1][1][S02]yo[2][2][S02]so[3]"
-
-
 def test_window_plan():
     assert [w[2:] for w in R.plan_windows(65.0)] == [(0.0, 30.0), (30.0, 60.0), (60.0, 65.0)]
     assert [w[2:] for w in R.plan_windows(60.5)] == [(0.0, 30.0), (30.0, 60.0)]
+    assert R.plan_windows(0.9) == [] and len(R.plan_windows(1.0)) == 1
     assert R.plan_windows(60.0, overlap=5)[1] == (25.0, 60.0, 30.0, 60.0)
     levels = np.ones(5000)
     levels[1450] = 0

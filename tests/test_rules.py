@@ -1,0 +1,190 @@
+"""Rules of single operators against plain statements of them."""
+
+import random
+import re
+import statistics
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from lodestrata.operators import clustering as C
+from lodestrata.operators import cuts, recovery, reports, selection
+from lodestrata.sources import tables as S
+
+DATA = "/root/testdata/sf0.001"
+
+
+def repaired(text, default="S01"):
+    """Token by token."""
+    out, last, at, n = "", None, 0, 0
+    for m in re.finditer(r"\[([^\]]*)\]", text):
+        out += text[at : m.end()]
+        at = m.end()
+        if re.fullmatch(r"S\d+", m[1]):
+            last = m[1]
+        elif re.fullmatch(r"\d+(?:\.\d+)?", m[1]):
+            last = last or default
+            rest = text[at:].lstrip()
+            if rest and rest[0] != "[":
+                out, n = f"{out}[{last}]", n + 1
+    return out + text[at:], n
+
+
+TEXTS = ["[0]hi[1][1][S02]yo[2][2]so[3]", "", " ", "no tags", "[0.5] hi [1]", "[0]hi[1] and on", "[0][S3] a [x] b [1]\n[1.5]  c[2", "[[0]a]b[1]", "[0] [1]", "[S01][0]a[1][0.]b[1]", "a[", "[S02]", "[1]x[S04][2]y", "[٣]z[4]", "[0]日本[1][S10] ["]
+
+
+def test_tags(spark):
+    r = random.Random(1)
+    texts = TEXTS + ["".join(r.choice(["[", "]", "[1]", "[2.5]", "[S01]", "[S22]", " ", "a", "bc", "\n", "[x]"]) for _ in range(r.randrange(14))) for _ in range(300)]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, text string")
+    got = {x.i: (x.text, x.n_repaired) for x in recovery.repair_generations(d).collect()}
+    assert got == {i: repaired(t) for i, t in enumerate(texts)} | {len(texts): (None, None)}
+
+
+def test_retry_repairs_first(spark):
+    d = spark.createDataFrame([(0, "[0.5]hello there[1.5]"), (1, "hello"), (2, " \n"), (3, "[1][S01]a[2]"), (4, None), (5, "[S01] a [1]")], "win int, text string")
+    assert sorted(x.win for x in selection.to_retry(d).collect()) == [1, 5]
+
+
+def test_speech_end_of_silence(spark):
+    f = spark.createDataFrame([(0, 10, -20.0), (0, 30, -90.0), (1, 4, -90.0), (1, 199, -80.0)], "meeting_id int, frame long, db double")
+    assert {x.meeting_id: round(x.speech_end, 2) for x in selection.speech_end(f).collect()} == {0: 0.1, 1: 2.0}
+    known = spark.createDataFrame([(0, 0.5), (1, 2.004), (2, 9.0)], "meeting_id int, duration double")
+    assert {x.meeting_id: round(x.speech_end, 3) for x in selection.speech_end(f, durations=known).collect()} == {0: 0.1, 1: 2.004, 2: 9.0}
+
+
+def test_the_speech_end_query_holds_both_cases(spark):
+    from lodestrata.plans import catalog
+
+    loud = {x.meeting_id for x in catalog._levels(spark, DATA).filter("db >= 40").select("meeting_id").distinct().collect()}
+    assert 0 < len(loud) < spark.read.parquet(f"{DATA}/events.parquet").select("user_id").distinct().count()
+
+
+def test_channel_median_is_the_majoritys(spark):
+    rows = [(1, "narrowband", 1.0), (1, "narrowband", 3.0), (1, "wideband", 100.0), (2, "wideband", 5.0), (2, "narrowband", 7.0)]
+    got = {x.user_id: (x.kind, x.agreement, x.median_value) for x in reports.channel_vote(spark.createDataFrame(rows, "user_id int, event_type string, value double")).collect()}
+    assert got == {1: ("narrowband", 0.666667, 2.0), 2: ("narrowband", 0.5, 7.0)}
+
+
+def test_resolve(spark):
+    m = spark.createDataFrame([("ab12", "one-trust-ab12", "One Trust"), ("cd34", "one-trust-cd34", "One Trust"), ("ef56", "board-ef56", "Board Talk"), ("board", "other-board", "x")], "meeting_id string, folder string, title string").withColumn("path", F.concat(F.lit("/lib/"), "folder"))
+    want = {"ab12": "ab12", "one-trust-cd34": "cd34", "one-trust": None, "TRUST-AB": "ab12", "board": "board", "Board T": "ef56", "talk": "ef56", "one": None, "nothing": None, " ef56/ ": "ef56", "/lib/board-ef56/": "ef56", "": None}
+    got = reports.resolve(m, spark.createDataFrame([(k,) for k in want], "ref string"))
+    assert {x.ref: x.meeting_id for x in got.collect()} == want
+
+
+def test_labels_need_their_segments(spark):
+    s = spark.createDataFrame([(1, 0, "S01", 0)], "meeting_id int, win int, local_label string, seg_idx int")
+    labels = spark.createDataFrame([(1, 0, "S01", "G00", 1), (1, 7, "S02", "G01", 2)], "meeting_id int, win int, local_label string, label string, n_segments int")
+    with pytest.raises(PySparkException, match="differ in number at 1 7 S02"):
+        selection.labels_to_segments(s, labels).collect()
+    with pytest.raises(PySparkException, match="differ in number"):
+        selection.labels_to_segments(s.filter("false"), labels).collect()
+
+
+def assigner(v, win, sec):
+    v = np.array(v, float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    a = recovery.Assigner(v @ v.T, np.zeros((len(v), 0)), np.array(win), np.array(sec, float), np.arange(len(v)), v, v[:0], np.zeros(0, int))
+    a.rep = np.arange(len(v))
+    return a
+
+
+def test_merged_identities_keep_their_windows():
+    """o takes x in, which speaks in window 2; n, of window 2 too, may not take o from it."""
+    o, x, n = [1, 0, 0], [0.8, 0.6, 0], [0.8, -0.3, 0.52]
+    a = assigner([o, x, n], [1, 2, 2], [30, 20, 10])
+    a.pooled_merging()
+    assert a.rep.tolist() == [0, 0, 2]
+    a = assigner([o, x, n], [1, 2, 3], [30, 20, 10])  # without the clash o takes both
+    a.sim[:] = 1
+    a.pooled_merging()
+    assert a.rep.tolist() == [0, 0, 0]
+
+
+@pytest.fixture(scope="module")
+def linked(spark):
+    """Real merges of every meeting, and each meeting's ids and heights."""
+    atoms = S.atoms(spark, DATA)
+    merges = C.merge_steps(atoms).cache()
+    rows = sorted((r.meeting_id, r.step, r.a, r.b, r.height) for r in merges.collect())
+    ids = defaultdict(list)
+    for r in atoms.select("meeting_id", "vec_id").collect():
+        ids[r.meeting_id].append(r.vec_id)
+    return atoms.select("meeting_id", F.col("vec_id").alias("node")), merges, rows, {m: sorted(v) for m, v in ids.items()}
+
+
+def test_gap_cuts_equal_the_kernel(spark, linked):
+    _, merges, rows, _ = linked
+    for r in cuts.gap_cuts(merges).collect():
+        want = C.gap_threshold([h for m, *_, h in rows if m == r.meeting_id])
+        assert (r.threshold, r.span, r.dominance) == pytest.approx(want) and r.low_separation == C.low_separation(*want[1:])
+    few = spark.createDataFrame([(1, 0, 0.9), (1, 1, 0.1)], "meeting_id int, step int, height double")
+    assert tuple(cuts.gap_cuts(few).first()) == (1, 0.2656, 0.0, 0.0, True)
+
+
+@pytest.mark.parametrize("cut", [None, 2.0, 0.3, -5.0])
+def test_labels_at_equal_the_kernel(spark, linked, cut):
+    nodes, merges, rows, ids = linked
+    at = cuts.gap_cuts(merges) if cut is None else nodes.select("meeting_id", F.lit(cut).alias("threshold")).distinct()
+    thr = {r.meeting_id: r.threshold for r in at.collect()}
+    got = {(r.meeting_id, r.node): r.label for r in cuts.labels_at(nodes, merges, at).collect()}
+    for m, nodes_ in ids.items():
+        place = {n: k for k, n in enumerate(nodes_)}
+        want = C.labels_at(len(nodes_), [(place[a], place[b], h) for m2, _, a, b, h in rows if m2 == m], thr[m])
+        assert [got[m, n] for n in nodes_] == want.tolist()
+
+
+def test_replay_stops_at_the_first_lower_merge(spark):
+    nodes = spark.createDataFrame([(1, k) for k in range(200)] + [(2, 5)], "meeting_id int, node int")
+    merges = spark.createDataFrame([(1, k, 198 - k, 199 - k, 0.9 if k != 100 else 0.1) for k in range(199)], "meeting_id int, step int, a int, b int, height double")
+    at = spark.createDataFrame([(1, 0.5), (2, 0.5)], "meeting_id int, threshold double")
+    got = {(r.meeting_id, r.node): r.label for r in cuts.labels_at(nodes, merges, at).collect()}
+    assert got == {(1, k): min(k, 99) for k in range(200)} | {(2, 5): 0}
+
+
+def test_confusion(spark):
+    r = random.Random(4)
+    seg = [(m := r.randrange(2), i // 6, f"S0{r.randrange(3)}", a := float(r.randrange(100)), a + r.randrange(1, 12)) for i in range(50)]
+    gids = {k: r.choice(["G00", "G01", None]) for k in sorted({s[:3] for s in seg})}
+    ref = [(r.randrange(2), r.choice("ABC"), a := float(r.randrange(90)), a + r.randrange(1, 15)) for _ in range(14)]
+    over, time = defaultdict(lambda: defaultdict(float)), defaultdict(float)
+    for m, w, loc, a, b in seg:
+        time[m, w, loc] += b - a
+        for m2, sp, x, y in ref:
+            if m == m2 and min(b, y) > max(a, x):
+                over[m, w, loc][sp] += min(b, y) - max(a, x)
+    cell, off, pure = defaultdict(float), defaultdict(float), defaultdict(list)
+    for k, gid in gids.items():
+        o, row = over[k], (k[0], gid or "UNASSIGNED")
+        if o:
+            best = min(o, key=lambda s: (-o[s], s))
+            cell[*row, best] += sum(o.values())
+            pure[k[0]].append(o[best] / sum(o.values()))
+        off[row] += max(0.0, time[k] - sum(o.values()))
+    d = spark.createDataFrame([(*s, gids[s[:3]]) for s in seg], "meeting_id int, win int, local_label string, start_s double, end_s double, gid string")
+    t = spark.createDataFrame(ref, "meeting_id int, speaker string, start_s double, end_s double")
+    v = reports.voices_against(d, t, bucket_s=10.0)
+    cells = reports.confusion_cells(v).cache()
+    got = cells.collect()
+    assert {(c.meeting_id, c.gid, c.speaker): round(c.seconds, 6) for c in got if c.gid and c.speaker} == {k: round(x, 6) for k, x in cell.items()}
+    assert {(c.meeting_id, c.gid): round(c.off_s, 6) for c in got if c.gid and not c.speaker} == {k: round(x, 6) for k, x in off.items()}
+    for m in {k[0] for k in gids}:
+        assert [c.seconds for c in got if c.meeting_id == m and not c.gid and not c.speaker] == pytest.approx([sum(x for k, x in cell.items() if k[0] == m)])
+    for p in reports.cluster_purity(cells).collect():
+        row = {k[2]: x for k, x in cell.items() if k[:2] == (p.meeting_id, p.gid)}
+        if row:
+            assert (p.purity, p.top) == (pytest.approx(max(row.values()) / sum(row.values())), min(row, key=lambda s: (-row[s], s)))
+        else:
+            assert p.purity is None and p.top is None and p.off_s > 0
+    for s in reports.speaker_recall(cells, t).collect():
+        col = {k[1]: x for k, x in cell.items() if (k[0], k[2]) == (s.meeting_id, s.speaker)}
+        assert s.ref_s == pytest.approx(sum(y - x for m, sp, x, y in ref if (m, sp) == (s.meeting_id, s.speaker)))
+        assert s.captured == pytest.approx(sum(col.values()))
+        assert (s.best_cluster, s.best_frac) == ((min(col, key=lambda g: (-col[g], g == "UNASSIGNED", g)), pytest.approx(max(col.values()) / sum(col.values()))) if col else (None, 0.0))
+    for x in reports.local_purity(v).collect():
+        p = pure[x.meeting_id]
+        assert (x.mean, x.median, x.below) == pytest.approx((statistics.mean(p), statistics.median(p), sum(q < 0.8 for q in p) / len(p)))
