@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -41,3 +42,47 @@ def settled(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _at(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> bool:
+    """A small file in one step, unless there is one of that name: written beside and renamed without overwriting."""
+    jvm = spark._jvm
+    (final, fs), (beside, _) = _at(spark, path), _at(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    plain = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        context.rename(context.makeQualified(beside), context.makeQualified(final), plain)
+    except Py4JJavaError as e:
+        fs.delete(beside, False)
+        if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+            return False
+        raise
+    return True
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    p, fs = _at(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def names_in(spark: SparkSession, folder: str) -> list[tuple[str, float]]:
+    """Names and modification times (seconds) of what lies in a folder; none if it isn't there."""
+    p, fs = _at(spark, folder)
+    return sorted((s.getPath().getName(), s.getModificationTime() / 1000) for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p, fs = _at(spark, path)
+    fs.delete(p, True)
