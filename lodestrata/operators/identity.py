@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.operators import linking, matching, recovery, selection
 from lodestrata.operators.clustering import labels_at, linkage, similarity
-from lodestrata.operators.store import Store, near_names, pool_exemplars, upsert_clusters
+from lodestrata.operators.store import Store, upsert_clusters
 from lodestrata.params import DEFAULTS
 from lodestrata.runtime import settled, ship
 
@@ -97,36 +97,7 @@ def link_apply(store: Store, groups: DataFrame) -> Store:
     return replace(store, groups=settled(kept.unionByName(made).distinct()), clusters=settled(c))
 
 
-def name_group(store: Store, group_id: int, name: str, speaker_id: int, condition: str = "auto-1", near_ok: bool = False, centroid: DataFrame | None = None, edits: int = DEFAULTS.near_name_edits) -> Store:
-    """Gives a group's voice a name.
-
-    A name that a speaker has already attaches the group to that speaker; else
-    a speaker with ``speaker_id`` is made, unless the name is nearly another's
-    and ``near_ok`` doesn't allow that. ``centroid`` (v, seconds: one row) is
-    pooled into the speaker's exemplar of that condition.
-    """
-    spark, s = store.speakers.sparkSession, store.speakers
-    if store.groups.filter(F.col("group_id") == group_id).isEmpty():
-        raise ValueError(f"no group {group_id}")
-    found = [r["id"] for r in s.filter(F.col("name") == name).select("id").collect()]
-    if not found:
-        one = spark.createDataFrame([(name,)], "name string")
-        near = [r["b_name"] for r in near_names(one, s.select("name"), edits).orderBy("b_name").limit(5).collect()]
-        if near and not near_ok:
-            raise ValueError(f"{name} is close to {', '.join(near)}")
-        if not s.filter(F.col("id") == speaker_id).isEmpty():
-            raise ValueError(f"speaker {speaker_id} exists")
-        s = s.unionByName(spark.createDataFrame([(speaker_id, name)], "id long, name string"))
-        found = [speaker_id]
-    groups = store.groups.withColumn("speaker_id", F.when(F.col("group_id") == group_id, F.lit(found[0])).otherwise(F.col("speaker_id")).cast("long"))
-    exemplars = store.exemplars
-    if centroid is not None:
-        new = centroid.select(F.lit(found[0]).cast("long").alias("speaker_id"), F.lit(condition).alias("condition"), "v", "seconds")
-        exemplars = pool_exemplars(exemplars.select("speaker_id", "condition", "v", "seconds"), new)
-    return replace(store, speakers=s, groups=groups, exemplars=exemplars)
-
-
-def relabel(store: Store, segments: DataFrame, atoms: DataFrame, bank: DataFrame, p=DEFAULTS) -> tuple[DataFrame, Store]:
+def relabel(store: Store, segments: DataFrame, atoms: DataFrame, bank: DataFrame, p=DEFAULTS, rosters: DataFrame | None = None) -> tuple[DataFrame, Store]:
     """Whole meetings labelled anew from the bank: their segments, and the store with their clusters.
 
     segments: meeting_id, win, local_label; they get ``gid`` (G00, G01, ... by
@@ -135,8 +106,9 @@ def relabel(store: Store, segments: DataFrame, atoms: DataFrame, bank: DataFrame
     an atom whose n_segments isn't the number of its segments is an error.
     Clusters are the seconds-weighted units by meeting and gid; one that is
     in no group goes to its person's smallest group. Other meetings stay.
+    rosters: see ``recovery.label_meetings``.
     """
-    found = recovery.label_meetings(atoms, bank, p).filter("person is not null").withColumnRenamed("person", "_who")
+    found = recovery.label_meetings(atoms, bank, p, rosters=rosters).filter("person is not null").withColumnRenamed("person", "_who")
     d = atoms.join(found, ["meeting_id", "vec_id"])
     voices = d.groupBy("meeting_id", "_who").agg(F.min(F.struct("win", "vec_id")).alias("_first"), F.sum("sec").alias("seconds"))
     k = F.row_number().over(Window.partitionBy("meeting_id").orderBy("_first")) - 1

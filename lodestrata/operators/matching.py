@@ -17,15 +17,31 @@ def pool(vectors: DataFrame, *keys: str, weight: str | None = None) -> DataFrame
     return e.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_i", "_x"))).alias("_p")).select(*keys, unit(F.transform("_p", lambda p: p["_x"])).alias("v"))
 
 
-def scores(atoms: DataFrame, bank: DataFrame, most_people: int = 20_000) -> DataFrame:
-    """vec_id, person, sim: an atom's best similarity to each person. The bank is broadcast, up to ``most_people`` exemplars; a larger one must be named by roster first."""
-    if bank.limit(most_people + 1).count() > most_people:
+def small_bank(bank: DataFrame, most: int = 20_000) -> DataFrame:
+    """The bank, marked for broadcast after a check of its size; a larger one must be named by roster first."""
+    if bank.limit(most + 1).count() > most:
         raise ValueError("the bank is larger than may be broadcast; restrict it to a roster")
-    b = bank.select("person", F.col("v").alias("bv"))
-    s = atoms.crossJoin(F.broadcast(b)).withColumn("sim", blended(F.col("label") == F.col("person"), F.col("v"), F.col("bv")))
+    return F.broadcast(bank)
+
+
+def scores(atoms: DataFrame, bank: DataFrame, most_people: int = 20_000) -> DataFrame:
+    """vec_id, person, sim: an atom's best similarity to each person. The bank is broadcast, up to ``most_people`` exemplars."""
+    b = small_bank(bank.select("person", F.col("v").alias("bv")), most_people)
+    s = atoms.crossJoin(b).withColumn("sim", blended(F.col("label") == F.col("person"), F.col("v"), F.col("bv")))
     return s.groupBy(*(c for c in atoms.columns if c not in ("v",)), "person").agg(F.max("sim").alias("sim"))
 
 
+def pool_atoms(segments: DataFrame, vectors: DataFrame) -> DataFrame:
+    """meeting_id, win, local_label, v, sec, start, n: a voice of a window from its segments that have a vector: the unit of their mean, their seconds, where the first starts (by seg_idx), how many. Callers order by start.
+
+    segments: meeting_id, seg_idx, win, local_label, start_s, end_s. vectors: meeting_id, seg_idx, v.
+    """
+    key = ["meeting_id", "win", "local_label"]
+    j = segments.select(*key, "seg_idx", "start_s", "end_s").join(vectors.select("meeting_id", "seg_idx", "v"), ["meeting_id", "seg_idx"])
+    about = j.groupBy(*key).agg(F.sum(F.col("end_s") - F.col("start_s")).alias("sec"), F.min_by("start_s", "seg_idx").alias("start"), F.count("*").alias("n"))
+    return pool(j, *key).join(about, key).select(*key, "v", "sec", "start", "n")
+
+
 def named_share(scored: DataFrame, accept: float = DEFAULTS.accept) -> DataFrame:
     """meeting_id, n_atoms, named_share: share of the seconds whose best person reaches ``accept``."""
     best = scored.groupBy("meeting_id", "vec_id", "sec").agg(F.max("sim").alias("s"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.functions.text import SPACES
+from lodestrata.functions.text import SPACES, hms
 from lodestrata.operators import assembly
 from lodestrata.params import DEFAULTS
 
@@ -41,6 +41,41 @@ def transcript(segments: DataFrame) -> DataFrame:
     return segments.withColumn("line", line).groupBy("meeting_id").agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY seg_idx)").alias("text"))
 
 
+def shown_speakers(segments: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """meeting_id, gid, shown, seconds: a given name (names: meeting_id, gid, name), else Speaker 1, 2, ... by seconds among all speakers of the meeting (of equals the first to appear), else UNKNOWN. Leftover labels (G-...) and null are UNKNOWN."""
+    real = F.col("gid").isNotNull() & ~F.startswith("gid", F.lit("G-"))
+    d = segments.groupBy("meeting_id", "gid").agg(F.sum(F.col("end_s") - F.col("start_s")).alias("seconds"), F.min("seg_idx").alias("_first"))
+    w = Window.partitionBy("meeting_id", real).orderBy(F.desc("seconds"), "_first")
+    d = d.withColumn("_k", F.row_number().over(w))
+    if names is None:
+        d = d.withColumn("name", F.lit(None).cast("string"))
+    else:
+        d = d.join(names.select("meeting_id", "gid", "name"), ["meeting_id", "gid"], "left")
+    shown = F.coalesce("name", F.when(real, F.concat(F.lit("Speaker "), F.col("_k").cast("string"))), F.lit("UNKNOWN"))
+    return d.select("meeting_id", "gid", shown.alias("shown"), "seconds", F.col("name").isNotNull().alias("named"))
+
+
+def render_transcripts(segments: DataFrame, meetings: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """meeting_id, text: the transcript as people read it.
+
+    Title, minutes, turns and speakers on top; then a heading with the time
+    wherever the shown speaker changes, and every segment's text below it.
+    segments: meeting_id, seg_idx, start_s, end_s, gid, text. meetings:
+    meeting_id, title, duration.
+    """
+    who = shown_speakers(segments, names)
+    real = F.col("gid").isNotNull() & ~F.startswith("gid", F.lit("G-"))
+    count = who.groupBy("meeting_id").agg(F.count_if(real).alias("_n"), F.count_if(real & F.col("named")).alias("_named"))
+    d = segments.join(who.select("meeting_id", F.col("gid").alias("_g"), "shown"), (F.col("_g").eqNullSafe(F.col("gid"))) & (who["meeting_id"] == segments["meeting_id"])).select(segments["*"], "shown")
+    changed = ~F.col("shown").eqNullSafe(F.lag("shown").over(Window.partitionBy("meeting_id").orderBy("seg_idx")))
+    head = F.when(changed, F.concat(F.lit("\n["), hms(F.col("start_s")), F.lit("] "), "shown", F.lit("\n"))).otherwise("")
+    d = d.withColumn("_line", F.concat(head, F.lit("  "), "text"))
+    body = d.groupBy("meeting_id").agg(F.count("*").alias("_turns"), F.expr("listagg(_line, '\n') WITHIN GROUP (ORDER BY seg_idx)").alias("_body"))
+    tally = F.concat(F.col("_n").cast("string"), F.lit(" speakers"), F.when(F.col("_named") > 0, F.concat(F.lit(", "), F.col("_named").cast("string"), F.lit(" named"))).otherwise(""))
+    top = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.format_string("%.1f", F.col("duration") / 60), F.lit(" min · "), F.col("_turns").cast("string"), F.lit(" turns · "), tally, F.lit("\n" + "=" * 66 + "\n"))
+    return meetings.join(body, "meeting_id").join(count, "meeting_id").select("meeting_id", F.concat(top, "_body", F.lit("\n")).alias("text"))
+
+
 def text_samples(segments: DataFrame, chars: int = 200, least: int = 60) -> DataFrame:
     """A speaker's words in order, the first 200 characters, if over 60."""
     d = segments.groupBy("meeting_id", "gid").agg(F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY seg_idx)").alias("t"))
@@ -72,6 +107,18 @@ def inherited_names(clusters: DataFrame, groups: DataFrame, share: float = DEFAU
     return d.withColumn("k", F.row_number().over(w)).filter((F.col("k") == 1) & (F.col("share") >= share)).select("meeting_id", "speaker_id", F.round("share", 6).alias("share"))
 
 
+def inherited_groups(members: DataFrame, groups: DataFrame, share: float = DEFAULTS.name_inherit_share) -> DataFrame:
+    """link, group_id, speaker_id, share: the named group whose name a new link of clusters takes on: that of the speaker with most of the link's seconds (of equals the one with the larger group, and of a speaker's groups the first met), if ``share`` of them or more.
+
+    members: link, id, seconds, group_id (before; null: none). groups: group_id, speaker_id.
+    """
+    d = members.join(groups.filter("speaker_id IS NOT NULL"), "group_id", "left")
+    by = d.groupBy("link", "speaker_id").agg(F.sum("seconds").alias("_s"), F.min_by("group_id", "id").alias("group_id"))
+    by = by.withColumn("_all", F.sum("_s").over(Window.partitionBy("link"))).filter("speaker_id IS NOT NULL")
+    best = by.groupBy("link").agg(F.max(F.struct("_s", "group_id", "speaker_id", "_all")).alias("x")).select("link", "x.*")
+    return best.withColumn("share", F.col("_s") / F.when(F.col("_all") > 0, F.col("_all")).otherwise(1.0)).filter(F.col("share") >= share).select("link", "group_id", "speaker_id", "share")
+
+
 def channel_vote(events: DataFrame) -> DataFrame:
     """user_id, kind (majority; ties: the one that sorts first), agreement, median value of the majority's rows."""
     by = events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.percentile("value", F.lit(0.5)).alias("m"))
@@ -122,6 +169,25 @@ def speaker_recall(cells: DataFrame, reference: DataFrame) -> DataFrame:
     return d.select("meeting_id", "speaker", "ref_s", F.coalesce("captured", F.lit(0.0)).alias("captured"), F.col("x.gid").alias("best_cluster"), F.coalesce(-F.col("x.s") / F.col("captured"), F.lit(0.0)).alias("best_frac"))
 
 
+def pool_stats(pooled: DataFrame, least: float = DEFAULTS.min_core) -> DataFrame:
+    """meeting_id, n_labels, embeddable, empty, core, median_s, total_s of pooled voices (meeting_id, n, seconds): those with and without a vector, and those of ``least`` seconds."""
+    return pooled.groupBy("meeting_id").agg(F.count("*").alias("n_labels"), F.count_if(F.col("n") > 0).alias("embeddable"), F.count_if(F.col("n") == 0).alias("empty"), F.count_if(F.col("seconds") >= least).alias("core"), F.median("seconds").alias("median_s"), F.sum("seconds").alias("total_s"))
+
+
+def store_counts(clusters: DataFrame, groups: DataFrame) -> DataFrame:
+    """clusters, grouped, groups, named_groups, named_meetings: what the store holds, in one row."""
+    named = groups.filter("speaker_id IS NOT NULL").select("group_id", F.lit(True).alias("_named"))
+    c = clusters.join(named, "group_id", "left").agg(F.count("*").alias("clusters"), F.count("group_id").alias("grouped"), F.count_distinct(F.when(F.col("_named"), F.col("meeting_id"))).alias("named_meetings"))
+    g = groups.agg(F.count("*").alias("groups"), F.count("speaker_id").alias("named_groups"))
+    return c.join(F.broadcast(g), how="cross").select("clusters", "grouped", "groups", "named_groups", "named_meetings")  # one row each
+
+
+def meetings_of_names(clusters: DataFrame, groups: DataFrame, speakers: DataFrame) -> DataFrame:
+    """name, meetings: in how many meetings each speaker is heard, 0 included."""
+    heard = clusters.join(groups.filter("speaker_id IS NOT NULL"), "group_id").groupBy("speaker_id").agg(F.count_distinct("meeting_id").alias("_n"))
+    return speakers.join(heard, speakers["id"] == heard["speaker_id"], "left").select("name", F.coalesce("_n", F.lit(0)).alias("meetings"))
+
+
 def local_purity(voices: DataFrame, low: float = 0.8) -> DataFrame:
     """meeting_id, mean, median, below: how pure the voices of single windows are, and the share of those under ``low``."""
     d = voices.filter("ref_s > 0").withColumn("_p", F.col("top_s") / F.col("ref_s"))

@@ -112,10 +112,37 @@ def weak_atoms(atoms: DataFrame, core: DataFrame, min_core: float = DEFAULTS.min
     return atoms.filter(F.col("sec") < min_core).join(core.select("vec_id"), "vec_id", "left_anti")
 
 
+def weak_suspects(members: DataFrame, below: float = 0.5, least: float = DEFAULTS.min_link_sec, n: int = 10) -> DataFrame:
+    """The ``n`` members (speaker_id, id, seconds, sim to their profile) of ``least`` seconds that fit worst, if under ``below``: probably somebody else."""
+    return members.filter((F.col("sim") < below) & (F.col("seconds") >= least)).orderBy("sim", "id").limit(n)
+
+
+def of_model(vectors: DataFrame, model: str | None) -> DataFrame:
+    """The rows whose ``embed_model`` is ``model``: vectors of several models can't be compared. None: all."""
+    return vectors if model is None else vectors.filter(F.col("embed_model") == model)
+
+
+def linkable(clusters: DataFrame, model: str | None, least: float = DEFAULTS.min_link_sec) -> DataFrame:
+    """Clusters of one model with enough speech to take part in linking."""
+    return of_model(clusters, model).filter(F.col("seconds") >= least)
+
+
+def named_bank(exemplars: DataFrame, speakers: DataFrame, model: str | None = None, names: DataFrame | None = None) -> DataFrame:
+    """name, person, condition, v, seconds: one model's exemplars of the speakers who have a name; only of those in ``names`` (name), if it has any."""
+    who = in_roster(speakers.filter("name IS NOT NULL"), names, "name").select(F.col("id").alias("person"), "name")
+    return of_model(exemplars, model).withColumnRenamed("speaker_id", "person").join(who, "person").select("name", "person", "condition", "v", "seconds")
+
+
 def register_functions(spark: SparkSession) -> None:
-    """dot, unit_vector, fold_name and hms for SQL in this session; Catalyst inlines them."""
+    """dot, unit_vector, fold_name, hms and slug for SQL in this session; Catalyst inlines them."""
     d = "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION dot(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {d}")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION unit_vector(a ARRAY<DOUBLE>) RETURNS ARRAY<DOUBLE> RETURN CASE WHEN aggregate(a, 0D, (s, x) -> s + x * x) > 0 THEN transform(a, x -> x / sqrt(aggregate(a, 0D, (s, y) -> s + y * y))) ELSE a END")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION fold_name(name STRING) RETURNS STRING RETURN regexp_replace(lower(name), '[^a-z0-9]+', '')")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION hms(seconds DOUBLE) RETURNS STRING RETURN concat(cast(floor(seconds / 3600) AS STRING), ':', lpad(cast(floor(seconds % 3600 / 60) AS STRING), 2, '0'), ':', lpad(cast(floor(seconds % 60) AS STRING), 2, '0'))")
+    # slug's rule as an expression over its argument, the one of ``functions.text``
+    words = r"slice(filter(split(regexp_replace(lower(title), '(?U)[^\\w\\s-]+', ' '), '(?U)[\\s_-]+'), w -> w <> ''), 1, 5)"
+    longer = "CASE WHEN acc.s = '' THEN w ELSE concat(acc.s, '-', w) END"
+    full = f"acc.full OR (acc.s <> '' AND length({longer}) > 40)"
+    cut = f"aggregate({words}, named_struct('s', '', 'full', false), (acc, w) -> named_struct('s', CASE WHEN {full} THEN acc.s ELSE {longer} END, 'full', {full}), acc -> CASE WHEN acc.s = '' THEN 'meeting' ELSE acc.s END)"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION slug(title STRING) RETURNS STRING RETURN {cut}")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import text as T
 from lodestrata.operators import assembly, clustering, identity, linking, matching, profiles, recovery, reports, selection, store
 from lodestrata.params import DEFAULTS
-from lodestrata.plans import timeline  # noqa: F401  its queries
+from lodestrata.plans import people, timeline  # noqa: F401  their queries
 from lodestrata.plans.registry import ATOM as _ATOM
 from lodestrata.plans.registry import LINES as _LINES
 from lodestrata.plans.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -373,12 +373,12 @@ def _(spark, d):
     return store.insert_speakers(_store(spark, d), new).speakers
 
 
-@query("upsert_clusters", f"WITH {_ATOM}, {_STORE} SELECT n.meeting_id, n.cluster, n.seconds, CASE WHEN n.n_atoms = o.n_atoms THEN o.group_id END AS group_id FROM (SELECT meeting_id, 'G0' || label AS cluster, sum(sec) AS seconds, count(*) AS n_atoms FROM atom WHERE win <> 1 AND meeting_id < 20 GROUP BY ALL) n LEFT JOIN clu o ON n.meeting_id = o.meeting_id AND n.cluster = o.cluster")
+# two meetings in five are decoded anew; the others stay in the store as they are
+@query("upsert_clusters", f"WITH {_ATOM}, {_STORE}, n AS (SELECT meeting_id, 'G0' || label AS cluster, sum(sec) AS seconds, count(*) AS n_atoms FROM atom WHERE win <> 1 AND meeting_id % 5 < 2 GROUP BY ALL) SELECT n.meeting_id, n.cluster, n.seconds, CASE WHEN n.n_atoms = o.n_atoms THEN o.group_id END AS group_id FROM n LEFT JOIN clu o ON n.meeting_id = o.meeting_id AND n.cluster = o.cluster UNION ALL SELECT meeting_id, cluster, seconds, group_id FROM clu WHERE meeting_id % 5 >= 2")
 def _(spark, d):
-    new = S.atoms(spark, d).filter("win <> 1 and meeting_id < 20").groupBy("meeting_id", F.concat(F.lit("G0"), F.col("label").cast("string")).alias("cluster")).agg(F.sum("sec").alias("seconds"), F.count("*").alias("digest"))
+    new = S.atoms(spark, d).filter("win <> 1 and meeting_id % 5 < 2").groupBy("meeting_id", F.concat(F.lit("G0"), F.col("label").cast("string")).alias("cluster")).agg(F.sum("sec").alias("seconds"), F.count("*").alias("digest"))
     old = S.clusters(spark, d).select("meeting_id", "cluster", "seconds", F.col("n_atoms").alias("digest"), "group_id")
-    # the SQL states the decoded meetings only; the others stay in the store as they are
-    return store.upsert_clusters(old, new).filter("meeting_id < 20").select("meeting_id", "cluster", "seconds", "group_id")
+    return store.upsert_clusters(old, new).select("meeting_id", "cluster", "seconds", "group_id")
 
 
 @query("pooled_exemplars", f"WITH {_ATOM}, {_STORE}, b AS (SELECT speaker_id, condition, v, seconds FROM exe UNION ALL SELECT speaker_id, condition, list_reverse(v), 10.0 FROM exe WHERE condition = 'room'), e AS (SELECT speaker_id, condition, i, sum(v[i] * seconds) / sum(seconds) AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM b) GROUP BY ALL), n AS (SELECT speaker_id, condition, sqrt(sum(x * x)) AS nrm FROM e GROUP BY ALL) SELECT e.speaker_id, e.condition, round(x / nrm, 5) AS v0, s AS seconds FROM e JOIN n USING (speaker_id, condition) JOIN (SELECT speaker_id, condition, sum(seconds) AS s FROM b GROUP BY ALL) USING (speaker_id, condition) WHERE i = 1")
@@ -545,6 +545,13 @@ def _(spark, d):
     return spark.sql("SELECT vec_id, round(dot(v, v), 5) AS square, round(unit_vector(v)[0], 5) AS v0, hms(vec_id) AS clock, fold_name(concat('Speaker #', vec_id)) AS folded FROM lodestrata_vectors")
 
 
+@query("sql_slug", ORACLES["slug"])
+def _(spark, d):
+    selection.register_functions(spark)
+    S.table(spark, d, "documents").createOrReplaceTempView("lodestrata_documents")
+    return spark.sql("SELECT doc_id, slug(split(text, '\\n')[0]) AS slug FROM lodestrata_documents WHERE text IS NOT NULL")
+
+
 # --- profiles ---
 
 _MEMBER = f"WITH {_ATOM}, mem AS (SELECT label::BIGINT AS speaker_id, vec_id::BIGINT AS id, sec AS seconds, v FROM atom WHERE label % 2 = 0), ex AS (SELECT *, row_number() OVER (PARTITION BY speaker_id ORDER BY seconds DESC, condition) AS o FROM (SELECT label::BIGINT AS speaker_id, CASE WHEN k = 1 THEN 'room' ELSE 'phone' END AS condition, v AS ev, sec AS seconds FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM atom) WHERE k <= 2 AND label % 2 = 0))"

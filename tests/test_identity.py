@@ -60,12 +60,3 @@ def test_apply_and_name(groups, spark):
     assert at[1] == at[2] == at[10] == 10 and who[10] == 7  # the person's group is used again; a short cluster keeps it
     assert at[3] == at[4] == at[5] > 11 and who[at[3]] is None and who[at[6]] == 2 and 11 not in who
     assert all(r.n == 0 for r in S.integrity(done).collect())
-    with pytest.raises(ValueError):
-        I.name_group(done, at[3], "Alice Burg", 8)
-    named = I.name_group(done, at[3], "Carol", 8, centroid=spark.createDataFrame([([0.0, 2.0], 90.0)], "v array<double>, seconds double"))
-    assert {r.group_id: r.speaker_id for r in named.groups.collect()}[at[3]] == 8
-    assert [(r.condition, r.v, r.seconds) for r in named.exemplars.filter("speaker_id = 8").collect()] == [("auto-1", [0.0, 1.0], 90.0)]
-    again = I.name_group(done, at[3], "Bob", 9)
-    assert again.speakers.count() == 2 and {r.group_id: r.speaker_id for r in again.groups.collect()}[at[3]] == 2
-    with pytest.raises(ValueError):
-        I.name_group(done, 999, "Dora", 9)
