@@ -97,14 +97,17 @@ def quality_rules(docs: DataFrame, limit: int = 64, min_share: float = 0.3, min_
 
 
 def keep_documents(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of ``docs`` that ``quality_rules`` keeps, without their frequent lines (n_chars follows); other columns as they are."""
-    good = quality_rules(docs, **limits).filter("kept").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.col("removed_at").alias("_gone")).dropDuplicates(["_d", "_t"])
-    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")), docs["source"])
-    out = docs.join(good, docs["doc_id"].cast("long").eqNullSafe(good["_d"]) & (key == good["_t"])).drop("_d", "_t")
-    out = out.withColumn("text", F.expr("CASE WHEN _gone IS NULL THEN text ELSE array_join(filter(split(text, '\n'), (l, i) -> NOT array_contains(_gone, i)), '\n') END"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+    """The rows of ``docs`` that ``quality_rules`` keeps, without their frequent lines (n_chars follows); other columns as they are, whatever their names. Null texts and empty ones fail, so they go; rows that repeat a document are kept alike."""
+    names = docs.columns
+    good = quality_rules(docs, **limits).filter("kept").select("doc_id", "text_hash", F.col("removed_at").alias("gone")).dropDuplicates(["doc_id", "text_hash"])
+    # all columns travel as one, so none of theirs can clash with the verdicts'
+    packed = docs.select(F.struct(*(docs[c] for c in names)).alias("row"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(F.coalesce(docs["text"], F.lit("")), docs["source"]).alias("hash"))
+    out = packed.join(good, packed["id"].eqNullSafe(good["doc_id"]) & (packed["hash"] == good["text_hash"]))
+    text = F.expr("CASE WHEN gone IS NULL THEN row.text ELSE array_join(filter(split(row.text, '\n'), (l, i) -> NOT array_contains(gone, i)), '\n') END")
+    new = {"text": text}
+    if "n_chars" in names:
+        new["n_chars"] = F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+    return out.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in names))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
