@@ -13,6 +13,8 @@ each value of the item's placeholders stands for one value in the document.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,9 @@ def _windows_of(kind: str, n: int) -> str:
 def item_windows(benchmark: DataFrame, window: int = 5) -> tuple[DataFrame, list[tuple[str, int]]]:
     """item, kind, h, ipos (of the window's first place), of (the item's windows) and the kinds and lengths in use.
 
+    An item that begins with a word that may be a unit has its first window in
+    two readings, as a document's number before it makes that word a unit.
+
     An item of fewer words is one window of its length; null and empty items,
     and such as have no word of their own besides placeholders, have none.
     Template ``p`` is used for items with a name and at least ``window`` other
@@ -70,17 +75,17 @@ def item_windows(benchmark: DataFrame, window: int = 5) -> tuple[DataFrame, list
     items = benchmark.select(F.col("item_id").cast("long").alias("item"), "text").filter("text is not null and item_id is not null")
     own = {k: f"size(filter({k}, e -> NOT startswith(e.w, '_')))" for k in "ap"}
     t = _templates(items.withColumn("raw", F.col("text")), "item", "raw").filter(F.expr(f"{own['a']} > 0"))
-    t = t.select("item", F.col("raw").alias("text"), F.expr("size(a)").alias("na"), F.expr(f"CASE WHEN exists(p, e -> e.w = '_p') AND {own['p']} >= {window} THEN size(p) ELSE 0 END").alias("np"))
+    t = t.select("item", F.col("raw").alias("text"), F.expr("size(a)").alias("na"), F.expr(f"CASE WHEN exists(p, e -> e.w = '_p') AND {own['p']} >= {window} THEN size(p) ELSE 0 END").alias("np"), F.expr(f"a[0].v IN ({_LIST(UNITS)})").alias("u"))
     lengths = sorted(r["n"] for r in t.select(F.least("na", F.lit(window)).alias("n")).distinct().collect())
     used = [("a", n) for n in lengths] + ([] if t.filter("np > 0").isEmpty() else [("p", window)])
-    hashed = _hashed(t, "item", "na", "np")
-    parts = [hashed.filter(F.least("na", F.lit(window)) == n).select("item", F.lit("a").alias("kind"), F.posexplode(F.expr(_windows_of("a", n))).alias("ipos", "h")) for n in lengths]
-    parts.append(hashed.filter(F.col("np") > 0).select("item", F.lit("p").alias("kind"), F.posexplode(F.expr(_windows_of("p", window))).alias("ipos", "h")))
-    found = parts[0]  # at least that of template p
-    for more in parts[1:]:
-        found = found.unionByName(more)
-    found = found.groupBy("item", "kind", "h").agg(F.min("ipos").alias("ipos"))
-    return found.join(found.groupBy("item", "kind").agg(F.count("*").alias("of")), ["item", "kind"]), used
+    hashed = _hashed(t, "item", "na", "np", "u")
+    sizes = [("a", n, F.least("na", F.lit(window)) == n) for n in lengths] + [("p", window, F.col("np") > 0)]
+    parts = [hashed.filter(held).select("item", F.lit(k).alias("kind"), F.posexplode(F.expr(_windows_of(k, n))).alias("ipos", "h")) for k, n, held in sizes]
+    as_unit = [hashed.filter(held & F.col("u")).select("item", F.lit(k).alias("kind"), F.lit(0).alias("ipos"), F.expr(f"xxhash64('{k}', concat(array(xxhash64('1')), slice({k}, 2, {n - 1})))").alias("h")) for k, n, held in sizes]
+    found = reduce(DataFrame.unionByName, parts).groupBy("item", "kind", "h").agg(F.min("ipos").alias("ipos"))
+    of = found.groupBy("item", "kind").agg(F.count("*").alias("of"))
+    other = reduce(DataFrame.unionByName, as_unit).distinct().join(found, ["item", "kind", "h"], "left_anti")
+    return found.unionByName(other).join(of, ["item", "kind"]), used
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = 5, share: float = 0.8, broadcast_rows: int = 500_000) -> DataFrame:
@@ -103,7 +108,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = 5, s
     n_items = items.count()
     every = ", ".join(_windows_of(k, n) for k, n in used)
     held = _hashed(known, "doc_id", "th").select("doc_id", "th", F.explode(F.expr(f"array_distinct(concat({every}))")).alias("h"))
-    had = held.join(few(n_items, items.select("item", "kind", "h", "of")), "h").groupBy(*pair).agg(F.max("of").alias("of"), F.count_distinct("h").alias("had"))
+    had = held.join(few(n_items, items.select("item", "kind", "h", "ipos", "of")), "h").groupBy(*pair).agg(F.max("of").alias("of"), F.count_distinct("ipos").alias("had"))
     pairs = space.table(had.filter(F.col("had") >= share * F.col("of")).select(*pair, "of"), "pairs")
     n_pairs = pairs.count()
     again = known.join(few(n_pairs, pairs.select("doc_id", "th").distinct()), ["doc_id", "th"], "left_semi")

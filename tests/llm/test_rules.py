@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
-from helpers import EDGE, by_id, table
+from helpers import EDGE, SCHEMA, by_id, table
 
 from lodestrata.llm import decontamination, langid, quality, secrets, toxicity
 
@@ -280,3 +280,95 @@ def test_decontamination_of_changed_copies(spark):
     for r in decontamination.decontaminate(table(spark, rows), bench).collect():
         got.setdefault(r.doc_id, set()).add(tuple(r["items"]))
     assert got == {1: {(1,)}, 2: {(1,)}, 3: {(1,)}, 4: {(1,)}, 5: {()}, 6: {(1,)}, 7: {()}, 8: {(3,)}, 9: {(3,)}, 10: {()}}
+
+
+def plain_templates(text):
+    """Words and values of both templates, token by token."""
+    toks = re.findall(r"[0-9](?:[0-9.,:/]*[0-9])?|[^\W\d_]+|[%€£$]|[.!?]", text)
+    a, p, before = [], [], False
+    for i, t in enumerate(toks):
+        unit = i > 0 and toks[i - 1][0].isdigit() and t.lower() in [*decontamination.UNITS, *"%€£$"]
+        w = "_n" if t[0].isdigit() else "_u" if unit else "" if t in "%€£$.!?" else t.lower()
+        name = not unit and t[0].isupper()
+        if w:
+            a.append((w, t.lower()))
+        if name and before:
+            p[-1] = ("_p", p[-1][1] + " " + t.lower())
+        elif name:
+            p.append(("_p", t.lower()))
+        elif w:
+            p.append((w, t.lower()))
+        before = name
+    return a, p
+
+
+def holds_item(doc, item, window=5, share=0.8):
+    """The rule on one document and one item, window by window."""
+    da, ia = plain_templates(doc), plain_templates(item)
+    if not any(w[0] != "_" for w, _ in ia[0]):
+        return False
+    for k in (0, 1):
+        d, q = da[k], ia[k]
+        n = min(window, len(q))
+        if k and not (any(w == "_p" for w, _ in q) and sum(w[0] != "_" for w, _ in q) >= window):
+            continue
+        grams = lambda s: [tuple(w for w, _ in s[i : i + n]) for i in range(len(s) - n + 1)]  # noqa: E731, B023
+        first = {}
+        for i, g in enumerate(grams(q)):
+            first.setdefault(g, i)
+        known = dict(first)
+        if ia[0][0][1] in decontamination.UNITS:
+            known.setdefault(("_u", *grams(q)[0][1:]), 0)
+        hits = [(pos, known[g]) for pos, g in enumerate(grams(d)) if g in known]
+        if len({i for _, i in hits}) < share * len(first):
+            continue
+        lines = Counter(pos - i for pos, i in hits)
+        least = min(max(lines.values()), share * len(first) / 2)
+        for shift, count in lines.items():
+            if count < least:
+                continue
+            values = {}
+            ok = True
+            for i, (w, v) in enumerate(q):
+                at = i + shift
+                if w in ("_n", "_p") and 0 <= at < len(d) and d[at][0] in ("_n", "_p"):
+                    ok &= values.setdefault((w, v), d[at]) == d[at]
+            if ok:
+                return True
+    return False
+
+
+@pytest.mark.parametrize("before", ["Quiz. 3) ", "Quiz. 2) ", "7 ", "on page 12: ", "3", "1.", "Only words ", "5 In 6 "])
+def test_numbered_copies_are_found(spark, before):
+    items = ["A farmer sold many brown eggs", "In which city did they meet", "Hours of work are long in the old mill by the river", "in which town did Anna Smith meet the old miller again", "M is a letter that stands for a thousand in old numbers", "G G G G G", "L and M are two letters of the many that we have here"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = table(spark, [(i, before + t + " and then some more") for i, t in enumerate(items)] + [(100 + i, f"{before} clean words that no item has, however one reads them {i}") for i in range(3)])
+    got = by_id(decontamination.decontaminate(docs, bench), "items")
+    assert all(i in got[i][0] for i in range(len(items))) and all(got[100 + i] == ([],) for i in range(3))
+
+
+def test_decontamination_against_plain_python(spark):
+    r = random.Random(11)
+    words = ["a", "in", "m", "s", "the", "farm", "eggs", "sold", "Anna", "Tom Lee", "Berg", "12", "3.5", "7", "km", "hours", "red", "box", "and", "%", "which", "In", "A", "L"]
+    some = lambda n: " ".join(r.choice(words) + r.choice(["", "", "", ".", ",", ")"]) for _ in range(n))
+    items = [some(r.randint(1, 22)) for _ in range(25)]
+    change = lambda t: " ".join(r.choice(["Max", "40", "blue", w]) if r.random() < 0.12 else w for w in t.split())
+    docs = []
+    for _ in range(160):
+        item = r.choice(items)
+        docs.append(some(r.randint(0, 6)) + r.choice(["", " 3) ", " 2 ", "\n9. ", " "]) + r.choice([item, change(item), change(change(item)), item.lower(), some(14)]) + r.choice(["", " "]) + some(r.randint(0, 8)))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = by_id(decontamination.decontaminate(table(spark, list(enumerate(docs))), bench), "items")
+    want = {i: ([k for k, q in enumerate(items) if holds_item(d, q)],) for i, d in enumerate(docs)}
+    assert got == want and 40 < sum(bool(w[0]) for w in want.values()) < 160
+
+
+def test_kept_documents_carry_any_columns(spark):
+    rows = [(i, f"{'good words that differ ' * 3}{' '.join(f'w{i}x{k}' for k in range(60))}\nall have this line", "en", "s", 9) for i in range(8)] + EDGE
+    d = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS _gone", "2 AS _d", "3 AS _t", "4 AS gone", "5 AS text_hash", "'r' AS row", "6 AS id", "7 AS hash", "8 AS removed_at", "true AS kept")
+    got = quality.keep_documents(d, limit=3)
+    assert got.columns == d.columns
+    left = {x.doc_id: x for x in got.collect()}
+    assert set(left) == set(range(8)) and {tuple(x)[5:] for x in left.values()} == {(1, 2, 3, 4, 5, "r", 6, 7, 8, True)}
+    assert left[0].text.endswith("\nall have this line") and not left[1].text.endswith("line") and left[1].n_chars == len(left[1].text)
+    assert quality.keep_documents(d.limit(0)).collect() == []
