@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions.vectors import norm
+from lodestrata.operators.matching import pool
 from lodestrata.params import DEFAULTS
 from lodestrata.runtime import ship
 
@@ -211,7 +213,7 @@ def cluster(s: np.ndarray, win: np.ndarray, local: np.ndarray, sec: np.ndarray,
     labels[core] = got
     labels = attach_weak(labels, np.setdiff1d(np.flatnonzero(sec < p.min_core), core), s, win, local, p.weak_min)
     durable = {}
-    for w, name in zip(wc[dc >= p.durable_s].tolist(), lc[dc >= p.durable_s].tolist(), strict=True):
+    for w, name in zip(win[sec >= p.durable_s].tolist(), local[sec >= p.durable_s].tolist(), strict=True):
         durable.setdefault(w, set()).add(name)
     floor = max([len(x) for x in durable.values() if len(x) <= p.guard], default=1)
     k = len(np.unique(got))
@@ -283,3 +285,102 @@ def violations(labelled: DataFrame, apart: DataFrame) -> DataFrame:
     x = labelled.select("meeting_id", F.col("vec_id").alias("a"), F.col("cluster").alias("ca"))
     y = labelled.select("meeting_id", F.col("vec_id").alias("b"), F.col("cluster").alias("cb"))
     return apart.join(x, ["meeting_id", "a"]).join(y, ["meeting_id", "b"]).filter("ca = cb").select("meeting_id", "a", "b")
+
+
+def final_centroids(atoms: DataFrame, labelled: DataFrame) -> DataFrame:
+    """meeting_id, cluster, v, seconds, n: the unit of each cluster's atoms weighted by seconds; atoms that are nobody's (-1) or have a zero vector don't count."""
+    d = atoms.join(labelled.filter("cluster >= 0").select("meeting_id", "vec_id", "cluster"), ["meeting_id", "vec_id"]).filter(norm(F.col("v")) > 0)
+    about = d.groupBy("meeting_id", "cluster").agg(F.sum("sec").alias("seconds"), F.count("*").alias("n"))
+    return pool(d, "meeting_id", "cluster", weight="sec").join(about, ["meeting_id", "cluster"])
+
+
+def plain_cluster(v: np.ndarray, sec: np.ndarray, least: float, p=DEFAULTS, sweeps: int = 3) -> np.ndarray:
+    """The arm without constraints, for comparison: average linkage of the core at a fixed height, all of it reassigned to the nearest centroid ``sweeps`` times, weak atoms to the nearest centroid however far; zero vectors are nobody's (-1)."""
+    core = np.flatnonzero(sec >= p.min_core)
+    labels = np.full(len(v), -1)
+    if not len(core):
+        return labels
+    x = v[core]
+    got = labels_at(len(core), linkage(x @ x.T, np.zeros((len(core), len(core)), bool)), least)
+    k = got.max() + 1
+
+    def centres() -> np.ndarray:
+        c = np.stack([x[got == n].mean(axis=0) if (got == n).any() else np.zeros(v.shape[1]) for n in range(k)])
+        return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
+
+    c = centres()
+    for _ in range(sweeps):
+        got = (x @ c.T).argmax(axis=1)
+        c = centres()
+    labels[core] = got
+    for i in np.flatnonzero(sec < p.min_core):
+        labels[i] = int((c @ v[i]).argmax()) if np.linalg.norm(v[i]) > 0 else -1
+    return labels
+
+
+def eigengap(s: np.ndarray, most: int = 15) -> int:
+    """How many clusters the largest gap between the smallest eigenvalues of the affinity's normalised Laplacian tells (the first of equals)."""
+    a = np.clip(s, 0, None)
+    np.fill_diagonal(a, 0.0)
+    d = a.sum(axis=1)
+    d[d <= 0] = 1e-9
+    w = np.linalg.eigvalsh(np.eye(len(a)) - a / np.sqrt(np.outer(d, d)))[: most + 1]
+    return int(np.diff(w).argmax()) + 1 if len(w) > 1 else 1
+
+
+def silhouette(distance: np.ndarray, labels: np.ndarray) -> float:
+    """Mean of (b - a) / max(a, b): a to the own cluster's others, b to the nearest other cluster; single members count 0."""
+    ids = np.unique(labels)
+    to = np.stack([distance[:, labels == c].sum(axis=1) for c in ids], axis=1)
+    size = np.array([(labels == c).sum() for c in ids])
+    own = np.searchsorted(ids, labels)
+    row = np.arange(len(labels))
+    a = to[row, own] / np.maximum(size[own] - 1, 1)
+    mean = to / size
+    mean[row, own] = np.inf
+    b = mean.min(axis=1)
+    return float(np.where(size[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0).mean())
+
+
+def silhouette_k(s: np.ndarray, most: int = 15) -> int | None:
+    """The number of clusters, 2 to ``most``, whose cut of the average linkage has the best silhouette (the smallest of equals); None under three rows. Merges of one height go together."""
+    n = len(s)
+    d = np.clip(1.0 - s, 0, 2)
+    np.fill_diagonal(d, 0.0)
+    merges = linkage(1.0 - d, np.zeros((n, n), bool))
+    heights = [h for *_, h in merges]
+    best: tuple[float, int] | None = None
+    for k in range(2, min(most, n - 1) + 1):
+        labels = labels_at(n, merges, heights[n - k - 1] if n - k > 0 else np.inf)
+        if len(np.unique(labels)) < 2:
+            continue
+        score = silhouette(d, labels)
+        if best is None or score > best[0]:
+            best = (score, k)
+    return best[1] if best else None
+
+
+def estimate_k(atoms: DataFrame, p=DEFAULTS, most: int = 15) -> DataFrame:
+    """meeting_id, n, by_gap, by_silhouette: two estimates of how many voices a meeting's core atoms hold."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("vec_id")
+        core = core_rows(g.sec.to_numpy(), p.min_core)
+        s = similarity(g.label.to_numpy()[core], np.stack(g.v.to_numpy())[core])
+        return pd.DataFrame({"meeting_id": [g.meeting_id.iloc[0]], "n": [len(core)], "by_gap": [eigengap(s.copy(), most)], "by_silhouette": pd.array([silhouette_k(s, most)], "Int64")})
+
+    ship(atoms.sparkSession)
+    return atoms.groupBy("meeting_id").applyInPandas(run, f"meeting_id {dict(atoms.dtypes)['meeting_id']}, n long, by_gap long, by_silhouette long")
+
+
+def plain_clusters(atoms: DataFrame, least: float = DEFAULTS.fallback_thr, p=DEFAULTS) -> DataFrame:
+    """meeting_id, vec_id, cluster by ``plain_cluster``."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("vec_id")
+        labels = g.label.to_numpy()
+        v = np.concatenate([np.sqrt(0.65) * (labels[:, None] == np.unique(labels)[None, :]), np.sqrt(0.35) * np.stack(g.v.to_numpy())], axis=1)
+        return pd.DataFrame({"meeting_id": g.meeting_id, "vec_id": g.vec_id, "cluster": plain_cluster(v, g.sec.to_numpy(), least, p)})
+
+    ship(atoms.sparkSession)
+    return atoms.groupBy("meeting_id").applyInPandas(run, f"meeting_id {dict(atoms.dtypes)['meeting_id']}, vec_id long, cluster long")

@@ -23,14 +23,16 @@ def linked(clusters: DataFrame, p=DEFAULTS, most: int = 5000) -> DataFrame:
     similar pairs is linked by itself, over all its pairs. A component of more
     than ``most`` clusters is an error: its matrix would outgrow a task.
     """
-    near = linking.connected(linking.similar_pairs(clusters.select("id", "label", "v"), p.link_accept)).select(F.col("node").alias("id"), F.col("label").alias("comp"))
-    d = clusters.select("id", "meeting_id", "label", "v").join(near, "id")
+    label = [c for c in ("label",) if c in clusters.columns]
+    near = linking.similar_groups(clusters.select("id", *label, "v"), p.link_accept).select(F.col("node").alias("id"), F.col("label").alias("comp"))
+    d = clusters.select("id", "meeting_id", *label, "v").join(near, "id")
     if not d.groupBy("comp").count().filter(F.col("count") > most).isEmpty():
         raise ValueError(f"more than {most} clusters hang together; raise link_accept")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("id")
-        s, meeting = similarity(g.label.to_numpy(), np.stack(g.v.to_numpy())), g.meeting_id.to_numpy()
+        v, meeting = np.stack(g.v.to_numpy()), g.meeting_id.to_numpy()
+        s = similarity(g.label.to_numpy(), v) if label else v @ v.T
         labels = labels_at(len(g), linkage(s, (meeting[:, None] == meeting[None, :]) & ~np.eye(len(g), dtype=bool)), p.link_accept)
         ids = g.id.to_numpy()
         return pd.DataFrame({"id": ids, "link": [ids[labels == x].min() for x in labels]})
@@ -43,9 +45,9 @@ def linked(clusters: DataFrame, p=DEFAULTS, most: int = 5000) -> DataFrame:
 def link_groups(clusters: DataFrame, bank: DataFrame, p=DEFAULTS) -> DataFrame:
     """id, meeting_id, seconds, grp (the identity's smallest cluster id), speaker_id (null: unknown), how (named, claimed, inherited, linked).
 
-    clusters: id, meeting_id, label, v, seconds, speaker_id (of its present
-    group); those under ``min_link_sec`` seconds take no part. bank: person (a
-    speaker's id), v.
+    clusters: id, meeting_id, v (unit), seconds, speaker_id (of its present
+    group), and label where similarity is blended with one; those under
+    ``min_link_sec`` seconds take no part. bank: person (a speaker's id), v.
 
     * named: what was named together stays together.
     * claimed: bank and clusters are matched at ``accept``, strongest first,
@@ -57,7 +59,7 @@ def link_groups(clusters: DataFrame, bank: DataFrame, p=DEFAULTS) -> DataFrame:
     * linked: all others are groups by linkage alone.
     """
     c = settled(clusters.filter(F.col("seconds") >= p.min_link_sec))
-    scored = matching.scores(c.select(F.col("id").alias("vec_id"), "meeting_id", F.lit(0).alias("win"), "label", "v"), bank)
+    scored = matching.scores(c.select(F.col("id").alias("vec_id"), "meeting_id", F.lit(0).alias("win"), *(x for x in ("label",) if x in c.columns), "v"), bank)
     held = c.filter("speaker_id is not null").select("meeting_id", F.col("speaker_id").alias("person")).distinct()
     free = scored.join(c.filter("speaker_id is null").select(F.col("id").alias("vec_id")), "vec_id", "left_semi").withColumn("person", F.col("person").cast("long")).join(held, ["meeting_id", "person"], "left_anti")
     claims = matching.one_to_one(free, p.accept).select(F.col("vec_id").alias("id"), F.col("person").alias("claimed"))

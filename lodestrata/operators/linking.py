@@ -7,15 +7,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.runtime import settled
+from lodestrata.runtime import settled, ship
 
 
-def similar_pairs(vectors: DataFrame, least: float, block: int = 2048) -> DataFrame:
-    """a, b (a < b), sim: pairs of ``id``, ``label``, ``v`` whose blended similarity reaches ``least``.
-
-    Vectors are packed into blocks; each pair of blocks is one matrix product
-    in a task of its own. Nothing is broadcast and no pair of rows is listed.
-    """
+def _in_block_pairs(vectors: DataFrame, block: int, kernel, schema: str) -> DataFrame:
+    """``kernel`` (ids and similarities of two blocks, whether they are one) on each pair of blocks of vectors, in tasks of their own. Nothing is broadcast. Vectors without a label are compared by themselves."""
+    blended = "label" in vectors.columns
+    vectors = vectors.select("id", "v", (F.col("label") if blended else F.lit(0)).alias("label"))
     n = vectors.count()
     k = max(1, -(-n // block))
     cell = vectors.select("id", "label", "v", F.pmod(F.xxhash64("id"), F.lit(k)).cast("int").alias("cell"))
@@ -26,14 +24,65 @@ def similar_pairs(vectors: DataFrame, least: float, block: int = 2048) -> DataFr
     def product(g: pd.DataFrame) -> pd.DataFrame:
         x, y = g[g.side == 0], g[g.side == 1]
         a, b = np.stack(x.v.to_numpy()), np.stack(y.v.to_numpy())
-        s = 0.35 * (a @ b.T) + 0.65 * (x.label.to_numpy()[:, None] == y.label.to_numpy()[None, :])
-        same = int(x.i.iloc[0]) == int(x.j.iloc[0])
+        s = a @ b.T
+        if blended:
+            s = 0.35 * s + 0.65 * (x.label.to_numpy()[:, None] == y.label.to_numpy()[None, :])
+        return kernel(x.id.to_numpy(), y.id.to_numpy(), s, int(x.i.iloc[0]) == int(x.j.iloc[0]))
+
+    ship(vectors.sparkSession)
+    return left.unionByName(right).groupBy("i", "j").applyInPandas(product, schema)
+
+
+def similar_pairs(vectors: DataFrame, least: float, block: int = 2048) -> DataFrame:
+    """a, b (a < b), sim: pairs of ``id``, ``label``, ``v`` whose blended similarity reaches ``least``.
+
+    Vectors are packed into blocks; each pair of blocks is one matrix product
+    in a task of its own, and no pair of rows is listed but those found.
+    """
+
+    def found(x: np.ndarray, y: np.ndarray, s: np.ndarray, same: bool) -> pd.DataFrame:
         p, q = np.nonzero(s >= least)
-        u, w = x.id.to_numpy()[p], y.id.to_numpy()[q]
+        u, w = x[p], y[q]
         keep = u < w if same else u != w
         return pd.DataFrame({"a": np.minimum(u, w)[keep], "b": np.maximum(u, w)[keep], "sim": s[p, q][keep]})
 
-    return left.unionByName(right).groupBy("i", "j").applyInPandas(product, "a long, b long, sim double")
+    return _in_block_pairs(vectors, block, found, "a long, b long, sim double")
+
+
+def _forest(x: np.ndarray, y: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its group) for all nodes of two sets that ``near`` ties together, smallest ones but left out. Minima go back and forth between the sets until none changes."""
+    lx, ly = x.copy(), y.copy()
+    on = near.any(axis=1)
+    x, lx, near = x[on], lx[on], near[on]
+    also = near.any(axis=0)
+    y, ly, near = y[also], ly[also], near[:, also]
+    if not len(x):
+        return x, x
+    far = np.iinfo(np.int64).max
+    while True:
+        nx = np.minimum(lx, np.where(near, ly[None, :], far).min(axis=1))
+        ny = np.minimum(ly, np.where(near, nx[:, None], far).min(axis=0))
+        if (nx == lx).all() and (ny == ly).all():
+            break
+        lx, ly = nx, ny
+    node, label = np.concatenate([x, y]), np.concatenate([lx, ly])
+    keep = node != label
+    return node[keep], label[keep]
+
+
+def similar_groups(vectors: DataFrame, least: float, block: int = 2048) -> DataFrame:
+    """node, label: components of the similar pairs, as ``connected(similar_pairs(...))``; nodes without a partner have no row.
+
+    A pair of blocks gives a row for each vector at most, not one for each
+    pair: of a dense group only what ties it together is listed.
+    """
+
+    def ties(x: np.ndarray, y: np.ndarray, s: np.ndarray, same: bool) -> pd.DataFrame:
+        near = (s >= least) & (x[:, None] != y[None, :])
+        node, label = _forest(x, y, near)
+        return pd.DataFrame({"a": label, "b": node}).drop_duplicates()
+
+    return connected(_in_block_pairs(vectors, block, ties, "a long, b long"))
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.functions.vectors import blended, unit
+from lodestrata.functions.vectors import blended, dot, unit
 from lodestrata.params import DEFAULTS
-from lodestrata.runtime import settled
+from lodestrata.runtime import ship
 
 
 def pool(vectors: DataFrame, *keys: str, weight: str | None = None) -> DataFrame:
@@ -25,9 +26,9 @@ def small_bank(bank: DataFrame, most: int = 20_000) -> DataFrame:
 
 
 def scores(atoms: DataFrame, bank: DataFrame, most_people: int = 20_000) -> DataFrame:
-    """vec_id, person, sim: an atom's best similarity to each person. The bank is broadcast, up to ``most_people`` exemplars."""
+    """vec_id, person, sim: an atom's best similarity to each person; by the vectors alone if atoms have no label. The bank is broadcast, up to ``most_people`` exemplars."""
     b = small_bank(bank.select("person", F.col("v").alias("bv")), most_people)
-    s = atoms.crossJoin(b).withColumn("sim", blended(F.col("label") == F.col("person"), F.col("v"), F.col("bv")))
+    s = atoms.crossJoin(b).withColumn("sim", blended(F.col("label") == F.col("person"), F.col("v"), F.col("bv")) if "label" in atoms.columns else dot(F.col("v"), F.col("bv")))
     return s.groupBy(*(c for c in atoms.columns if c not in ("v",)), "person").agg(F.max("sim").alias("sim"))
 
 
@@ -49,24 +50,27 @@ def named_share(scored: DataFrame, accept: float = DEFAULTS.accept) -> DataFrame
 
 
 def one_to_one(scored: DataFrame, accept: float = DEFAULTS.accept) -> DataFrame:
-    """vec_id, person, sim: within a window no person twice, strongest claims first.
+    """meeting_id, vec_id, person, sim: within a window no person twice, strongest claims first (ties: the smaller vec_id, then person).
 
-    Both sides rank by one score, so the stable matching is that of repeated
-    rounds in which every pair that is best for its atom and for its person
-    is taken. Rounds end when no eligible pair is left; each takes at least
-    one in every open window.
+    Both sides rank by one score, so taking the strongest claim whose sides
+    are both free, again and again, gives the stable matching. A window's
+    claims are few: those of its own voices on people they resemble.
     """
-    window = ["meeting_id", "win"]
-    left = settled(scored.filter(F.col("sim") >= accept).select(*window, "vec_id", "person", "sim"))
-    taken = None
-    while True:
-        order = [F.desc("sim"), "vec_id", "person"]
-        d = left.withColumn("a", F.row_number().over(Window.partitionBy(*window, "vec_id").orderBy(*order))).withColumn("p", F.row_number().over(Window.partitionBy(*window, "person").orderBy(*order)))
-        new = settled(d.filter("a = 1 and p = 1").select(*window, "vec_id", "person", "sim"))
-        if new.isEmpty():
-            return (taken if taken is not None else left).select("meeting_id", "vec_id", "person", "sim")
-        taken = new if taken is None else taken.unionByName(new)
-        left = settled(left.join(new.select(*window, "vec_id"), [*window, "vec_id"], "left_anti").join(new.select(*window, "person"), [*window, "person"], "left_anti"))
+
+    def claim(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["sim", "vec_id", "person"], ascending=[False, True, True])
+        atoms, people, take = set(), set(), []
+        for at, (v, p) in enumerate(zip(g.vec_id, g.person, strict=True)):
+            if v not in atoms and p not in people:
+                atoms.add(v)
+                people.add(p)
+                take.append(at)
+        return g.iloc[take][["meeting_id", "vec_id", "person", "sim"]]
+
+    ship(scored.sparkSession)
+    kinds = dict(scored.dtypes)
+    claims = scored.filter(F.col("sim") >= accept).select("meeting_id", "win", "vec_id", "person", "sim")
+    return claims.groupBy("meeting_id", "win").applyInPandas(claim, ", ".join(f"{c} {kinds[c]}" for c in ("meeting_id", "vec_id", "person", "sim")))
 
 
 def margins(scored: DataFrame) -> DataFrame:

@@ -90,11 +90,13 @@ def review_queue(clusters: DataFrame, groups: DataFrame, least: float = DEFAULTS
 
 
 def group_report(groups: DataFrame, clusters: DataFrame, speakers: DataFrame) -> DataFrame:
+    """group_id, name, n_clusters, meetings, seconds of every group, empty ones too; callers order by meetings and n_clusters, most first."""
     d = groups.join(clusters, "group_id", "left").join(speakers, groups["speaker_id"] == speakers["id"], "left")
     return d.groupBy("group_id", "name").agg(F.count("cluster").alias("n_clusters"), F.count_distinct("meeting_id").alias("meetings"), F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("seconds"))
 
 
 def speaker_list(speakers: DataFrame, exemplars: DataFrame) -> DataFrame:
+    """id, name, conditions, seconds of every speaker's exemplars; callers order by name."""
     d = speakers.join(exemplars, speakers["id"] == exemplars["speaker_id"], "left")
     return d.groupBy("id", "name").agg(F.count("condition").alias("conditions"), F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("seconds"))
 

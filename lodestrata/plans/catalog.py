@@ -96,10 +96,15 @@ f AS (SELECT meeting_id, win, list_transform(words, lambda x: lower(regexp_repla
 SELECT meeting_id, win, CASE WHEN a IS NULL THEN 0 ELSE coalesce(list_max(list_filter(range(3, 11), lambda n: n <= least(len(a), len(b) - 1) AND a[len(a) - n + 1:len(a)] = b[1:n])), 0) END::INT AS overlap FROM p""",
 )
 def _(spark, d):
-    ws = S.table(spark, d, "documents").select(F.col("doc_id").alias("meeting_id"), F.split(F.trim("text"), r"\s+").alias("ws"))
-    top = F.greatest(F.floor((F.size("ws") - 6) / 20), F.lit(0)).cast("long")
-    c = ws.withColumn("win", F.explode(F.sequence(F.lit(0).cast("long"), top))).withColumn("words", F.slice("ws", (F.col("win") * 20 + 1).cast("int"), F.lit(25)))
-    return assembly.seams(c.drop("ws")).select("meeting_id", "win", F.col("overlap").cast("int").alias("overlap"))
+    c = _chunks(S.table(spark, d, "documents"))
+    return assembly.seams(c).select("meeting_id", "win", F.col("overlap").cast("int").alias("overlap"))
+
+
+def _chunks(docs: DataFrame) -> DataFrame:
+    """meeting_id, win, words: 25 words every 20. Each window's words are cut out before rows are made, so no row carries a whole text."""
+    ws = docs.select(F.col("doc_id").cast("long").alias("meeting_id"), F.split(F.trim("text"), r"\s+").alias("ws"))
+    cut = F.expr("transform(sequence(0, greatest(cast(floor((size(ws) - 6) / 20) AS int), 0)), k -> slice(ws, k * 20 + 1, 25))")
+    return ws.select("meeting_id", F.posexplode(cut).alias("win", "words")).withColumn("win", F.col("win").cast("long"))
 
 
 @query("scalar_text", r"""SELECT s_suppkey, regexp_replace(lower(s_name), '[^a-z0-9]+', '', 'g') AS folded, regexp_replace(s_name, '[^\p{L}\p{N}._-]', '_', 'g') AS safe, (s_suppkey * 37 // 3600) || ':' || lpad(((s_suppkey * 37 % 3600) // 60)::VARCHAR, 2, '0') || ':' || lpad((s_suppkey * 37 % 60)::VARCHAR, 2, '0') AS hms, 'G' || lpad(s_suppkey::VARCHAR, greatest(2, length(s_suppkey::VARCHAR))::INT, '0') AS tag FROM supplier""")
@@ -234,7 +239,7 @@ def _(spark, d):
 
 @query("linked_groups", f"WITH RECURSIVE {_ATOM}, {_PAIRS}, e AS (SELECT a, b FROM pair WHERE sim >= 0.75 UNION SELECT b, a FROM pair WHERE sim >= 0.75), r AS (SELECT a AS node, a AS cur FROM e UNION SELECT r.node, e.b AS cur FROM r JOIN e ON r.cur = e.a) SELECT node, min(cur) AS label FROM r GROUP BY node")
 def _(spark, d):
-    return linking.connected(linking.similar_pairs(_vectors(spark, d), DEFAULTS.link_accept))
+    return linking.similar_groups(_vectors(spark, d), DEFAULTS.link_accept)
 
 
 @query("weakest_link", f"WITH {_ATOM}, {_PAIRS} SELECT count(*) AS n, round(min(sim), 6) AS weakest FROM pair WHERE sim >= 0.75")
@@ -654,9 +659,7 @@ def _(spark, d):
 
 @query("trimmed_seams")
 def _(spark, d):
-    ws = S.table(spark, d, "documents").filter("text is not null").select(F.col("doc_id").cast("long").alias("meeting_id"), F.split(F.trim("text"), r"\s+").alias("ws"))
-    top = F.greatest(F.floor((F.size("ws") - 6) / 20), F.lit(0)).cast("long")
-    c = ws.withColumn("win", F.explode(F.sequence(F.lit(0).cast("long"), top))).select("meeting_id", "win", F.array_join(F.slice("ws", (F.col("win") * 20 + 1).cast("int"), F.lit(25)), " ").alias("text"))
+    c = _chunks(S.table(spark, d, "documents").filter("text is not null")).withColumn("text", F.array_join("words", " "))
     return recovery.trim_seams_of(c)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
-from lodestrata.operators import identity, matching, naming, packing, profiles, reports, selection, store
+from lodestrata.operators import clustering, identity, matching, naming, packing, profiles, reports, selection, store
 from lodestrata.plans.registry import ATOM, SEG, STORE, query
 from lodestrata.sources import tables as S
 
@@ -199,3 +199,28 @@ def _(spark, d):
 @query("event_seconds", "SELECT event_id, round(epoch_us(ts) / 1e6, 3) AS at FROM events")
 def _(spark, d):
     return S.table(spark, d, "events").select("event_id", F.round(T.since_epoch(F.col("ts")), 3).alias("at"))
+
+
+# --- clusters by given labels, and the arms for comparison ---
+
+
+@query("final_centroids", f"WITH {ATOM}, l AS (SELECT *, label % 4 - 1 AS cluster FROM atom), e AS (SELECT meeting_id, cluster, i, sum(v[i] * sec) AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM l WHERE cluster >= 0) GROUP BY ALL), n AS (SELECT meeting_id, cluster, sqrt(sum(x * x)) AS nrm FROM e GROUP BY ALL), c AS (SELECT meeting_id, cluster, sum(sec) AS seconds, count(*) AS n FROM l GROUP BY ALL) SELECT meeting_id, cluster::BIGINT AS cluster, list(round(x / nrm, 5) + 0.0 ORDER BY i) AS v, any_value(seconds) AS seconds, any_value(c.n) AS n FROM e JOIN n USING (meeting_id, cluster) JOIN c USING (meeting_id, cluster) GROUP BY ALL")
+def _(spark, d):
+    a = S.atoms(spark, d)
+    c = clustering.final_centroids(a, a.select("meeting_id", "vec_id", (F.col("label") % 4 - 1).cast("long").alias("cluster")))
+    return c.select("meeting_id", "cluster", F.transform("v", lambda x: F.round(x, 5) + 0.0).alias("v"), "seconds", "n")
+
+
+@query("estimated_k")
+def _(spark, d):
+    return clustering.estimate_k(S.atoms(spark, d))
+
+
+@query("plain_clusters")
+def _(spark, d):
+    return clustering.plain_clusters(S.atoms(spark, d))
+
+
+@query("one_to_one_claims", f"WITH RECURSIVE {ATOM}, s AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, win ORDER BY sim DESC, vec_id, person) AS k FROM score WHERE sim >= 0.62), r AS (SELECT DISTINCT meeting_id, win, 0::BIGINT AS k, []::BIGINT[] AS a, []::BIGINT[] AS p FROM s UNION ALL SELECT r.meeting_id, r.win, s.k, CASE WHEN list_contains(a, vec_id) OR list_contains(p, person) THEN a ELSE list_append(a, vec_id) END, CASE WHEN list_contains(a, vec_id) OR list_contains(p, person) THEN p ELSE list_append(p, person) END FROM r JOIN s ON s.meeting_id = r.meeting_id AND s.win = r.win AND s.k = r.k + 1), e AS (SELECT meeting_id, unnest(arg_max(a, k)) AS vec_id, unnest(arg_max(p, k)) AS person FROM r GROUP BY meeting_id, win) SELECT e.meeting_id, e.vec_id, e.person, round(sim, 6) AS sim FROM e JOIN score ON score.vec_id = e.vec_id AND score.person = e.person")
+def _(spark, d):
+    return _round(matching.one_to_one(matching.scores(S.atoms(spark, d), S.bank(spark, d))).select("meeting_id", "vec_id", F.col("person").cast("long").alias("person"), "sim"), 6, "sim")

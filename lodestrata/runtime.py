@@ -37,9 +37,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/lodestrata"
 
 
+def own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read again: lineage ends here, and a lost executor costs no earlier round."""
-    path = f"{shared_folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
+    """Written to the shared folder and read again: lineage ends here, and a lost executor costs no earlier round. The table stays until ``clear``."""
+    path = f"{own_folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -86,3 +90,36 @@ def names_in(spark: SparkSession, folder: str) -> list[tuple[str, float]]:
 def remove(spark: SparkSession, path: str) -> None:
     p, fs = _at(spark, path)
     fs.delete(p, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application's operators have settled; results that were not written elsewhere can't be read after."""
+    remove(spark, own_folder(spark))
+
+
+def write_over(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in one step, over the one there is."""
+    jvm = spark._jvm
+    (final, fs), (beside, _) = _at(spark, path), _at(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    kinds = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(kinds, 1)
+    over[0] = kinds.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(context.makeQualified(beside), context.makeQualified(final), over)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _at(spark, path)
+    return fs.exists(p)
+
+
+def copy_into(spark: SparkSession, path: str, folder: str) -> None:
+    """A file copied to a folder under its own name, in one step."""
+    (source, fs), (to, there) = _at(spark, path), _at(spark, folder)
+    there.mkdirs(to)
+    beside, _ = _at(spark, f"{folder}/.{source.getName()}.copying")
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, source, there, beside, False, True, spark._jsc.hadoopConfiguration())
+    there.rename(beside, _at(spark, f"{folder}/{source.getName()}")[0])

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import io
+import json
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.functions.text import safe, slug
+from lodestrata.functions.text import SPACES, safe, slug
 from lodestrata.functions.vectors import norm, unit
+from lodestrata.runtime import copy_into, exists, read_small, ship, write_over
 
 SEGMENT = "struct<start:double,end:double,window:int,local_speaker:string,speaker:string,text:string,global:string,speaker_name:string>"
 DOCUMENT = f"audio string, duration_s double, window_s double, n_windows int, coverage double, segments array<{SEGMENT}>"
@@ -47,7 +52,7 @@ def read_centroids(clusters: DataFrame) -> DataFrame:
 
 def read_meetings(spark: SparkSession, library: str) -> DataFrame:
     """folder, meeting_id, fields (map): each meeting.json, by folder; a broken one has no fields."""
-    raw = spark.read.option("wholetext", True).text(f"{library}/*/meeting.json").select(F.col("_metadata.file_path").alias("path"), "value")
+    raw = spark.read.text(f"{library}/*/meeting.json", wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     fields = F.coalesce(F.from_json("value", "map<string,string>"), F.create_map().cast("map<string,string>"))
     return raw.select(F.element_at(F.split("path", "/"), -2).alias("folder"), meeting_id(F.col("path")).alias("meeting_id"), fields.alias("fields")).orderBy("folder")
 
@@ -80,7 +85,7 @@ def new_folders(titles: DataFrame, taken: DataFrame, alphabet: str = "abcdefghjk
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """key, glossary, roster of a manifest {file: "terms" or {glossary, roster}}; an entry counts for the file's name and its stem."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "entry"))
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "entry"))
     e = F.from_json("entry", "struct<glossary:string,roster:array<string>>")
     is_struct = F.col("entry").startswith("{")
     d = raw.select("key", F.when(is_struct, e["glossary"]).otherwise(F.col("entry")).alias("glossary"), F.when(is_struct, e["roster"]).alias("roster"))
@@ -90,16 +95,25 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def read_roster(spark: SparkSession, path: str) -> DataFrame:
     """key (a meeting's id or title), name."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("key", "names"))
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("key", "names"))
     return raw.select("key", F.explode("names").alias("name"))
 
 
 def read_glossary(spark: SparkSession, path: str, comments: bool = False) -> str:
-    """The file's terms in one line: blank lines go, and lines behind # unless ``comments``."""
-    t = spark.read.text(path).select(F.trim("value").alias("t")).filter("t <> ''")
-    if not comments:
-        t = t.filter(~F.col("t").startswith("#"))
-    return t.agg(F.coalesce(F.expr("listagg(t, ', ')"), F.lit("")).alias("g")).first().g
+    """The file's terms in one line, in its order. As a glossary of its own: without blank lines and lines behind #, joined by commas. ``comments``, as in a manifest: only blank lines go, ends are trimmed, and a space follows each comma."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("i", "line")).withColumn("t", F.btrim("line", F.lit(SPACES))).filter("t <> ''")
+    kept = lines.withColumn("x", F.col("t")) if comments else lines.filter(~F.col("t").startswith("#")).withColumn("x", F.col("line"))
+    joined = F.expr(f"listagg(x, '{', ' if comments else ','}') WITHIN GROUP (ORDER BY i)")
+    return kept.agg(F.coalesce(joined, F.lit("")).alias("g")).first().g
+
+
+def glossary_of(spark: SparkSession, given: str) -> str:
+    """Terms as given, or those of the file that is meant; what looks like a path (a slash, .txt or .list) but isn't there is an error, as it would be taken for a term."""
+    if given and exists(spark, given):
+        return read_glossary(spark, given)
+    if "/" in given or given.endswith((".txt", ".list")):
+        raise FileNotFoundError(f"no glossary file at {given}")
+    return given
 
 
 def glossary_union(*terms: Column) -> Column:
@@ -110,7 +124,7 @@ def glossary_union(*terms: Column) -> Column:
 def read_titles(spark: SparkSession, path: str) -> DataFrame:
     """stem, title of a JSON object."""
     m = F.from_json("value", "map<string,string>")
-    return spark.read.option("wholetext", True).text(path).select(F.explode(m).alias("stem", "title"))
+    return spark.read.text(path, wholetext=True).select(F.explode(m).alias("stem", "title"))
 
 
 def titled(files: DataFrame, titles: DataFrame) -> DataFrame:
@@ -148,15 +162,90 @@ def write_listing(meetings: DataFrame, path: str) -> None:
     meetings.select("folder", "meeting_id", F.coalesce(F.col("fields")["title"], F.lit("")).alias("title")).write.csv(path, sep="\t")
 
 
-def inbox(spark: SparkSession, folder: str, archive: str, schema: str = DOCUMENT) -> DataFrame:
-    """A stream of arriving transcript documents; files that a finished batch has read move to ``archive``."""
-    return spark.readStream.schema(schema).option("multiLine", True).option("cleanSource", "archive").option("sourceArchiveDir", archive).json(folder)
+def inbox(spark: SparkSession, folder: str, archive: str | None, schema: str = DOCUMENT) -> DataFrame:
+    """A stream of arriving transcript documents; files that a finished batch has read move to ``archive``. Without an archive they stay, and the stream's checkpoint knows them."""
+    d = spark.readStream.schema(schema).option("multiLine", True)
+    if archive is not None:
+        d = d.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    return d.json(folder)
+
+
+def stage(spark: SparkSession, paths: list[str], folder: str) -> list[str]:
+    """Puts files on a worklist folder and gives their names: those of another folder are copied, so the originals stay; those that lie in it already are not. Two files of one name are an error."""
+    here = folder.rstrip("/")
+    names = [p.rsplit("/", 1)[-1] for p in paths]
+    if len(set(names)) < len(names):
+        raise ValueError("two files of one name")
+    for p in paths:
+        if p.rsplit("/", 1)[0] != here:
+            copy_into(spark, p, here)
+    return names
 
 
 def status(recordings_: DataFrame, coverage_min: float = 0.95) -> DataFrame:
-    """path, status: unreadable, empty, short or ok, from duration_s, n_segments and coverage."""
-    s = F.when(F.col("duration_s").isNull(), "unreadable").when(F.coalesce("n_segments", F.lit(0)) == 0, "empty").when(F.col("coverage") < coverage_min, "short").otherwise("ok")
-    return recordings_.select("path", s.alias("status"))
+    """path, status, short: what became of each recording.
+
+    By duration_s (null: unreadable), n_segments (none: empty), embedded
+    (false: failed), rendered (false: broken) and coverage (under
+    ``coverage_min``: short); else ok. The first of these that holds is the
+    status; ``short`` is told beside it, as a short transcript goes on. The
+    columns embedded and rendered may be missing.
+    """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(True)) if c in recordings_.columns else F.lit(True)
+    none = F.coalesce("n_segments", F.lit(0)) == 0
+    short = F.coalesce(F.col("coverage") < coverage_min, F.lit(False)) & F.col("duration_s").isNotNull() & ~none
+    s = F.when(F.col("duration_s").isNull(), "unreadable").when(none, "empty").when(~flag("embedded"), "failed").when(~flag("rendered"), "broken").when(short, "short").otherwise("ok")
+    return recordings_.select("path", s.alias("status"), short.alias("short"))
+
+
+def status_counts(told: DataFrame) -> DataFrame:
+    """status, n, short: how many recordings ended how, and how many of them are short."""
+    return told.groupBy("status").agg(F.count("*").alias("n"), F.count_if("short").alias("short"))
+
+
+def _arrays(content: bytes) -> dict[str, np.ndarray]:
+    with np.load(io.BytesIO(content), allow_pickle=False) as z:
+        return {k: z[k] for k in z.files}
+
+
+def read_vectors(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """meeting_id, seg_idx, v of legacy vector files (emb: n x d, seg_idx: n), one a meeting. Files are opened where they are read; rows of objects are refused."""
+
+    def run(batches):
+        for b in batches:
+            for meeting, content in zip(b["meeting_id"], b["content"], strict=True):
+                z = _arrays(content)
+                yield pd.DataFrame({"meeting_id": meeting, "seg_idx": z["seg_idx"].astype(np.int64), "v": pd.Series(list(z["emb"].astype(np.float32)), dtype=object)}, columns=["meeting_id", "seg_idx", "v"])
+
+    ship(spark)
+    files = spark.read.format("binaryFile").load(paths).select(meeting_id(F.col("path")).alias("meeting_id"), "content")
+    return files.mapInPandas(run, "meeting_id string, seg_idx long, v array<float>")
+
+
+def read_cluster_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """meeting_id, cluster, v, seconds of legacy cluster files (centroid, cluster, secs), fit for the store: see ``read_centroids``."""
+
+    def run(batches):
+        for b in batches:
+            for meeting, content in zip(b["meeting_id"], b["content"], strict=True):
+                z = _arrays(content)
+                yield pd.DataFrame({"meeting_id": meeting, "cluster": z["cluster"].astype(str), "v": pd.Series(list(z["centroid"].astype(np.float64)), dtype=object), "seconds": z["secs"].astype(np.float64)}, columns=["meeting_id", "cluster", "v", "seconds"])
+
+    ship(spark)
+    files = spark.read.format("binaryFile").load(paths).select(meeting_id(F.col("path")).alias("meeting_id"), "content")
+    return read_centroids(files.mapInPandas(run, "meeting_id string, cluster string, v array<double>, seconds double"))
+
+
+def update_meeting(spark: SparkSession, folder: str, **fields) -> dict:
+    """Merges fields into a meeting's own document and gives it; a broken or missing one counts as empty, what isn't named stays."""
+    path = f"{folder.rstrip('/')}/meeting.json"
+    try:
+        old = json.loads(read_small(spark, path)) if exists(spark, path) else {}
+    except ValueError:
+        old = {}
+    new = (old if isinstance(old, dict) else {}) | fields
+    write_over(spark, path, json.dumps(new, ensure_ascii=False, indent=1))
+    return new
 
 
 def digest(raw: bytes) -> str:

@@ -11,7 +11,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from lodestrata.operators import clustering as C
-from lodestrata.operators import cuts, recovery, reports, selection
+from lodestrata.operators import cuts, linking, matching, recovery, reports, selection
 from lodestrata.sources import tables as S
 
 DATA = "/root/testdata/sf0.001"
@@ -188,3 +188,94 @@ def test_confusion(spark):
     for x in reports.local_purity(v).collect():
         p = pure[x.meeting_id]
         assert (x.mean, x.median, x.below) == pytest.approx((statistics.mean(p), statistics.median(p), sum(q < 0.8 for q in p) / len(p)))
+
+
+@pytest.mark.parametrize(("n", "block", "least"), [(120, 16, 0.75), (120, 1000, 0.6), (60, 7, 0.2), (40, 9, 2.0)])
+def test_similar_groups_are_the_components_of_the_pairs(spark, n, block, least):
+    r = np.random.default_rng(n)
+    v = r.normal(size=(n, 6))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    d = spark.createDataFrame([(i * 3, int(r.integers(4)), x.tolist()) for i, x in enumerate(v)], "id long, label int, v array<double>")
+    pairs = linking.similar_pairs(d, least, block)
+    want = {x.node: x.label for x in linking.connected(pairs).collect()}
+    assert {x.node: x.label for x in linking.similar_groups(d, least, block).collect()} == want
+
+
+def test_a_dense_group_is_not_listed_in_pairs():
+    """Of 300 rows that are all alike at most one row each is told."""
+    x = np.arange(300)
+    node, label = linking._forest(x, x.copy(), np.ones((300, 300), bool) & (x[:, None] != x[None, :]))
+    assert len(set(zip(node.tolist(), label.tolist(), strict=True))) == 299 and set(label.tolist()) == {0}
+    chain = np.abs(x[:, None] - x[None, :]) == 1
+    node, label = linking._forest(x, x.copy(), chain)
+    assert set(label.tolist()) == {0} and len(node) == 598
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_claims_are_stable(spark, seed):
+    r = random.Random(seed)
+    rows = [(0, i // 4, i, p, round(r.uniform(0.5, 0.9), 1 + seed)) for i in range(40) for p in range(5)]
+    d = spark.createDataFrame(rows, "meeting_id long, win long, vec_id long, person int, sim double")
+    want, atoms, people = set(), set(), set()
+    for m, w, v, p, s in sorted(rows, key=lambda x: (-x[4], x[2], x[3])):
+        if s >= 0.62 and v not in atoms and (w, p) not in people:
+            atoms.add(v)
+            people.add((w, p))
+            want.add((m, v, p, s))
+    assert {tuple(x) for x in matching.one_to_one(d).collect()} == want
+
+
+# --- the arms without constraints ---
+
+
+def voices(k, each, spread, seed=0, dim=12):
+    r = np.random.default_rng(seed)
+    mid = np.eye(dim)[:k]
+    v = np.repeat(mid, each, 0) + r.normal(scale=spread, size=(k * each, dim))
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("k", [2, 4, 7])
+def test_estimates_of_k(k):
+    v = voices(k, 9, 0.12)
+    assert C.eigengap(v @ v.T) == k and C.silhouette_k(v @ v.T) == k
+    d = np.clip(1 - v @ v.T, 0, 2)
+    labels = np.repeat(np.arange(k), 9)
+    labels[0] = k  # one on its own
+    want = []
+    for i in range(len(v)):
+        own = [d[i, j] for j in range(len(v)) if j != i and labels[j] == labels[i]]
+        other = [np.mean(d[i, labels == c]) for c in set(labels.tolist()) - {labels[i]}]
+        want.append((min(other) - np.mean(own)) / max(min(other), np.mean(own)) if own else 0.0)
+    np.fill_diagonal(d, 0)
+    assert C.silhouette(d, labels) == pytest.approx(np.mean(want))
+
+
+def test_estimates_of_little():
+    assert C.eigengap(np.ones((1, 1))) == 1 and C.silhouette_k(np.ones((2, 2))) is None
+    assert C.silhouette_k(np.ones((5, 5))) is None  # all merges at one height: never two clusters
+
+
+def test_plain_cluster():
+    v = np.concatenate([voices(3, 6, 0.1), [voices(3, 1, 0.0)[2], np.zeros(12)]])
+    sec = np.array([5.0] * 18 + [1.0, 1.0])
+    assert C.plain_cluster(v, sec, 0.4).tolist() == [0] * 6 + [1] * 6 + [2] * 6 + [2, -1]
+    assert C.plain_cluster(v, np.zeros(20), 0.4).tolist() == [-1] * 20
+    moved = v.copy()
+    moved[0] = [0.4, 0.6] + [0.0] * 10
+    moved[0] /= np.linalg.norm(moved[0])
+    assert C.plain_cluster(moved, sec, 0.75)[0] == C.plain_cluster(moved, sec, 0.75)[6]  # reassigned to the nearer centroid
+
+
+def test_arms_over_meetings(spark):
+    a = S.atoms(spark, DATA).filter("meeting_id < 3")
+    est = {r.meeting_id: r for r in C.estimate_k(a).collect()}
+    assert set(est) == {0, 1, 2} and all(1 <= e.by_gap <= 15 and 2 <= e.by_silhouette <= 15 and 18 <= e.n <= 20 for e in est.values())
+    got = C.plain_clusters(a, 0.3)
+    assert got.count() == 60 and got.filter("cluster < 0").isEmpty()
+    cents = C.final_centroids(a, C.cluster_meetings(a))
+    sure = {(r.meeting_id, r.vec_id): r.cluster for r in C.cluster_meetings(a).filter("cluster >= 0").collect()}
+    for c in cents.collect():
+        own = [r for r in a.collect() if sure.get((r.meeting_id, r.vec_id)) == c.cluster and r.meeting_id == c.meeting_id]
+        v = sum(r.sec * np.array(r.v) for r in own)
+        assert (c.n, c.seconds) == (len(own), sum(r.sec for r in own)) and c.v == pytest.approx(v / np.linalg.norm(v))
