@@ -108,6 +108,13 @@ def cannot_link(atoms: DataFrame, durable: float, guard: int) -> DataFrame:
     return d.withColumnRenamed("vec_id", "a").join(o, ["meeting_id", "win"]).filter((F.col("a") < F.col("b")) & (F.col("local_label") != F.col("ol"))).select("meeting_id", "win", "a", "b")
 
 
+def lifted(apart: DataFrame, labelled: DataFrame) -> DataFrame:
+    """meeting_id, ca, cb (ca < cb): clusters that hold atoms of a parted pair (meeting_id, a, b), so may not become one. labelled: meeting_id, vec_id, cluster (-1: nobody's)."""
+    c = labelled.filter("cluster >= 0")
+    d = apart.join(c.select("meeting_id", F.col("vec_id").alias("a"), F.col("cluster").alias("x")), ["meeting_id", "a"]).join(c.select("meeting_id", F.col("vec_id").alias("b"), F.col("cluster").alias("y")), ["meeting_id", "b"])
+    return d.filter("x <> y").select("meeting_id", F.least("x", "y").alias("ca"), F.greatest("x", "y").alias("cb")).distinct()
+
+
 def min_k(atoms: DataFrame, durable: float, guard: int) -> DataFrame:
     """meeting_id, min_k: the most durable labels in one window; windows of more than ``guard`` don't count; 1 at least."""
     k = atoms.filter(F.col("sec") >= durable).groupBy("meeting_id", "win").agg(F.count_distinct("local_label").alias("k")).filter(F.col("k") <= guard)

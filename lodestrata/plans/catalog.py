@@ -208,11 +208,11 @@ def _(spark, d):
     return matching.top_people(matching.scores(S.atoms(spark, d), S.bank(spark, d))).select("vec_id", F.col("rank").cast("int").alias("rank"), "person", F.round("sim", 6).alias("sim"))
 
 
-_POOLED = f"WITH {_ATOM}, e AS (SELECT meeting_id, label, i, sum(v[i] * w) / sum(w) AS x FROM (SELECT meeting_id, label, v, WEIGHT AS w, unnest(range(1, 65)) AS i FROM atom) GROUP BY ALL), n AS (SELECT meeting_id, label, sqrt(sum(x * x)) AS nrm FROM e GROUP BY ALL) SELECT meeting_id, label, i::INT - 1 AS i, round(x / nrm, 5) AS x FROM e JOIN n USING (meeting_id, label) WHERE i <= 4"
+_POOLED = f"WITH {_ATOM}, e AS (SELECT meeting_id, label, i, sum(v[i] * w) / sum(w) AS x FROM (SELECT meeting_id, label, v, WEIGHT AS w, unnest(range(1, 65)) AS i FROM atom) GROUP BY ALL), n AS (SELECT meeting_id, label, sqrt(sum(x * x)) AS nrm FROM e GROUP BY ALL) SELECT meeting_id, label, i::INT - 1 AS i, round(x / nrm, 5) + 0.0 AS x FROM e JOIN n USING (meeting_id, label)"
 
 
 def _flat(p: DataFrame) -> DataFrame:
-    return p.select("meeting_id", "label", F.posexplode(F.slice("v", 1, 4)).alias("i", "x")).withColumn("x", F.round("x", 5))
+    return p.select("meeting_id", "label", F.posexplode("v").alias("i", "x")).withColumn("x", F.round("x", 5) + 0.0)
 
 
 @query("pooled_atoms", _POOLED.replace("WEIGHT", "1"))
@@ -259,6 +259,13 @@ def _(spark, d):
     return linking.cannot_link(S.atoms(spark, d), DEFAULTS.durable_s, DEFAULTS.guard)
 
 
+@query("cluster_cannot_link", f"WITH {_ATOM}, w AS (SELECT meeting_id, win FROM atom GROUP BY ALL HAVING count(DISTINCT local_label) <= 10), x AS (SELECT * FROM atom JOIN w USING (meeting_id, win) WHERE sec >= 6) SELECT DISTINCT x.meeting_id, least(x.label, y.label)::BIGINT AS ca, greatest(x.label, y.label)::BIGINT AS cb FROM x JOIN x y ON x.meeting_id = y.meeting_id AND x.win = y.win AND x.vec_id < y.vec_id AND x.local_label <> y.local_label WHERE x.label <> y.label AND x.label > 0 AND y.label > 0")
+def _(spark, d):
+    a = S.atoms(spark, d)
+    labelled = a.select("meeting_id", "vec_id", F.when(F.col("label") > 0, F.col("label")).otherwise(-1).cast("long").alias("cluster"))
+    return linking.lifted(linking.cannot_link(a, DEFAULTS.durable_s, DEFAULTS.guard), labelled)
+
+
 @query("min_k", f"WITH {_ATOM}, k AS (SELECT meeting_id, win, count(DISTINCT local_label) AS k FROM atom WHERE sec >= 6 GROUP BY ALL HAVING count(DISTINCT local_label) <= 10) SELECT meeting_id, coalesce(max(k), 1) AS min_k FROM (SELECT DISTINCT meeting_id FROM atom) LEFT JOIN k USING (meeting_id) GROUP BY meeting_id")
 def _(spark, d):
     return linking.min_k(S.atoms(spark, d), DEFAULTS.durable_s, DEFAULTS.guard)
@@ -276,7 +283,7 @@ def _(spark, d):
     return matching.nearest(a, c).withColumn("sim", F.round("sim", 6))
 
 
-@query("window_assignment")
+@query("window_assignment", f"WITH RECURSIVE {_ATOM}, s AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, win ORDER BY sim DESC, vec_id, person) AS k FROM score WHERE sim >= 0.62), r AS (SELECT DISTINCT meeting_id, win, 0::BIGINT AS k, []::BIGINT[] AS a, []::BIGINT[] AS p FROM s UNION ALL SELECT r.meeting_id, r.win, s.k, CASE WHEN list_contains(a, vec_id) OR list_contains(p, person) THEN a ELSE list_append(a, vec_id) END, CASE WHEN list_contains(a, vec_id) OR list_contains(p, person) THEN p ELSE list_append(p, person) END FROM r JOIN s ON s.meeting_id = r.meeting_id AND s.win = r.win AND s.k = r.k + 1), e AS (SELECT meeting_id, unnest(arg_max(a, k)) AS vec_id, unnest(arg_max(p, k)) AS person FROM r GROUP BY meeting_id, win) SELECT e.meeting_id, e.vec_id, e.person::INT AS person, round(sim, 6) AS sim FROM e JOIN score ON score.vec_id = e.vec_id AND score.person = e.person")
 def _(spark, d):
     return matching.one_to_one(matching.scores(S.atoms(spark, d), S.bank(spark, d))).withColumn("sim", F.round("sim", 6))
 
@@ -322,11 +329,11 @@ def _(spark, d):
     return reports.speaker_list(S.speakers(spark, d), S.exemplars(spark, d))
 
 
-@query("named_bank", f"WITH {_ATOM}, {_STORE} SELECT name, condition, seconds, round(v[1], 6) AS v0 FROM exe JOIN spk ON speaker_id = id WHERE name <> 'Speaker_4'")
+@query("named_bank", f"WITH {_ATOM}, {_STORE} SELECT name, condition, seconds, list_transform(v, lambda x: round(x, 6) + 0.0) AS v FROM exe JOIN spk ON speaker_id = id WHERE name <> 'Speaker_4'")
 def _(spark, d):
     s = S.speakers(spark, d).filter("name <> 'Speaker_4'")
     e = S.exemplars(spark, d)
-    return e.join(s, e["speaker_id"] == s["id"]).select("name", "condition", "seconds", F.round(F.col("v")[0], 6).alias("v0"))
+    return e.join(s, e["speaker_id"] == s["id"]).select("name", "condition", "seconds", F.transform("v", lambda x: F.round(x, 6) + 0.0).alias("v"))
 
 
 @query("inherited_names", f"WITH {_ATOM}, {_STORE}, a AS (SELECT meeting_id, speaker_id, sum(seconds) AS s FROM clu JOIN grp USING (group_id) GROUP BY ALL), b AS (SELECT *, s / sum(s) OVER (PARTITION BY meeting_id) AS share FROM a), c AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY s DESC, speaker_id DESC) AS k FROM b WHERE speaker_id IS NOT NULL) SELECT meeting_id, speaker_id, round(share, 6) AS share FROM c WHERE k = 1 AND share >= 0.15")
@@ -386,11 +393,11 @@ def _(spark, d):
     return store.upsert_clusters(old, new).select("meeting_id", "cluster", "seconds", "group_id")
 
 
-@query("pooled_exemplars", f"WITH {_ATOM}, {_STORE}, b AS (SELECT speaker_id, condition, v, seconds FROM exe UNION ALL SELECT speaker_id, condition, list_reverse(v), 10.0 FROM exe WHERE condition = 'room'), e AS (SELECT speaker_id, condition, i, sum(v[i] * seconds) / sum(seconds) AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM b) GROUP BY ALL), n AS (SELECT speaker_id, condition, sqrt(sum(x * x)) AS nrm FROM e GROUP BY ALL) SELECT e.speaker_id, e.condition, round(x / nrm, 5) AS v0, s AS seconds FROM e JOIN n USING (speaker_id, condition) JOIN (SELECT speaker_id, condition, sum(seconds) AS s FROM b GROUP BY ALL) USING (speaker_id, condition) WHERE i = 1")
+@query("pooled_exemplars", f"WITH {_ATOM}, {_STORE}, b AS (SELECT speaker_id, condition, v, seconds FROM exe UNION ALL SELECT speaker_id, condition, list_reverse(v), 10.0 FROM exe WHERE condition = 'room'), e AS (SELECT speaker_id, condition, i, sum(v[i] * seconds) / sum(seconds) AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM b) GROUP BY ALL), n AS (SELECT speaker_id, condition, sqrt(sum(x * x)) AS nrm FROM e GROUP BY ALL) SELECT e.speaker_id, e.condition, list(round(x / nrm, 5) + 0.0 ORDER BY i) AS v, any_value(s) AS seconds FROM e JOIN n USING (speaker_id, condition) JOIN (SELECT speaker_id, condition, sum(seconds) AS s FROM b GROUP BY ALL) USING (speaker_id, condition) GROUP BY ALL")
 def _(spark, d):
     e = S.exemplars(spark, d)
     new = e.filter("condition = 'room'").select("speaker_id", "condition", F.reverse("v").alias("v"), F.lit(10.0).alias("seconds"))
-    return store.pool_exemplars(e, new).select("speaker_id", "condition", F.round(F.col("v")[0], 5).alias("v0"), "seconds")
+    return store.pool_exemplars(e, new).select("speaker_id", "condition", F.transform("v", lambda x: F.round(x, 5) + 0.0).alias("v"), "seconds")
 
 
 @query("store_integrity", "SELECT unnest(['groups.speaker', 'exemplars.speaker', 'clusters.group', 'speakers.name', 'clusters.key', 'exemplars.key']) AS problem, 0::BIGINT AS n")
@@ -493,14 +500,14 @@ def _segment_vectors(spark, d):
     return s, s.filter("seg_idx % 2 = 1").select("meeting_id", "seg_idx", (F.col("n_words") * 0.4).alias("dur_used"), F.array(F.col("n_words").cast("double"), (F.col("seg_idx") + 1).cast("double")).alias("v"))
 
 
-@query("segment_vectors", f"WITH {_SEGVEC} SELECT meeting_id, seg_idx, gid, round(dur_used, 3) AS dur_used, v[1] AS v0 FROM seg JOIN vec USING (meeting_id, seg_idx)")
+@query("segment_vectors", f"WITH {_SEGVEC} SELECT meeting_id, seg_idx, gid, round(dur_used, 3) AS dur_used, v FROM seg JOIN vec USING (meeting_id, seg_idx)")
 def _(spark, d):
-    return selection.vectors_to_segments(*_segment_vectors(spark, d)).select("meeting_id", "seg_idx", "gid", F.round("dur_used", 3).alias("dur_used"), F.col("v")[0].alias("v0"))
+    return selection.vectors_to_segments(*_segment_vectors(spark, d)).select("meeting_id", "seg_idx", "gid", F.round("dur_used", 3).alias("dur_used"), "v")
 
 
-@query("pooled_keys", f"WITH {_SEGVEC}, a AS (SELECT meeting_id, win, local_label, sum(dur_used) AS s, count(dur_used) AS n, avg(v[1]) AS x, avg(v[2]) AS y FROM seg LEFT JOIN vec USING (meeting_id, seg_idx) GROUP BY ALL) SELECT meeting_id, win, local_label, round(coalesce(s, 0), 3) AS seconds, n, round(coalesce(x / sqrt(x * x + y * y), 0), 5) AS v0 FROM a")
+@query("pooled_keys", f"WITH {_SEGVEC}, a AS (SELECT meeting_id, win, local_label, sum(dur_used) AS s, count(dur_used) AS n, avg(v[1]) AS x, avg(v[2]) AS y FROM seg LEFT JOIN vec USING (meeting_id, seg_idx) GROUP BY ALL) SELECT meeting_id, win, local_label, round(coalesce(s, 0), 3) AS seconds, n, round(coalesce(x / sqrt(x * x + y * y), 0), 5) AS v0, round(coalesce(y / sqrt(x * x + y * y), 0), 5) AS v1 FROM a")
 def _(spark, d):
-    return selection.pool_all(*_segment_vectors(spark, d), "meeting_id", "win", "local_label").select("meeting_id", "win", "local_label", F.round("seconds", 3).alias("seconds"), "n", F.round(F.col("v")[0], 5).alias("v0"))
+    return selection.pool_all(*_segment_vectors(spark, d), "meeting_id", "win", "local_label").select("meeting_id", "win", "local_label", F.round("seconds", 3).alias("seconds"), "n", F.round(F.col("v")[0], 5).alias("v0"), F.round(F.col("v")[1], 5).alias("v1"))
 
 
 _LEVEL = "lv AS (SELECT user_id AS meeting_id, frame, greatest(10 * log10(greatest(avg(value * value), 1e-12)), -120.0) AS db FROM (SELECT *, floor(event_id / 50)::BIGINT AS frame FROM events) GROUP BY ALL)"
@@ -598,9 +605,9 @@ def _(spark, d):
     return new.filter(F.startswith("condition", F.lit("auto-"))).groupBy("speaker_id").agg(F.sum("seconds").alias("seconds"))
 
 
-@query("merged_profile", f"{_MEMBER}, w AS (SELECT speaker_id, condition, seconds, unnest(ev) AS x, generate_subscripts(ev, 1) AS i FROM ex WHERE speaker_id = 2), s AS (SELECT speaker_id, i, sum(x * seconds) AS x, sum(seconds) AS seconds FROM w GROUP BY ALL) SELECT speaker_id, 'study' AS condition, max(seconds) AS seconds, round(max(x) FILTER (WHERE i = 1) / sqrt(sum(x * x)), 5) AS v0 FROM s GROUP BY speaker_id UNION ALL SELECT speaker_id, condition, seconds, round(ev[1], 5) FROM ex WHERE speaker_id <> 2")
+@query("merged_profile", f"{_MEMBER}, w AS (SELECT speaker_id, condition, seconds, unnest(ev) AS x, generate_subscripts(ev, 1) AS i FROM ex WHERE speaker_id = 2), s AS (SELECT speaker_id, i, sum(x * seconds) AS x, sum(seconds) AS seconds FROM w GROUP BY ALL), q AS (SELECT speaker_id, sqrt(sum(x * x)) AS l FROM s GROUP BY 1) SELECT speaker_id, 'study' AS condition, max(seconds) AS seconds, list(round(x / l, 5) + 0.0 ORDER BY i) AS v FROM s JOIN q USING (speaker_id) GROUP BY speaker_id UNION ALL SELECT speaker_id, condition, seconds, list_transform(ev, lambda x: round(x, 5) + 0.0) FROM ex WHERE speaker_id <> 2")
 def _(spark, d):
-    return profiles.merge_profiles(S.exemplars(spark, d), 2, "room", "phone", "study").select("speaker_id", "condition", "seconds", F.round(F.col("v")[0], 5).alias("v0"))
+    return profiles.merge_profiles(S.exemplars(spark, d), 2, "room", "phone", "study").select("speaker_id", "condition", "seconds", F.transform("v", lambda x: F.round(x, 5) + 0.0).alias("v"))
 
 
 @query("split_profile", f"{_MEMBER}, {_NEAR}, own AS (SELECT id, seconds, arg_max(condition, (sim, -o)) AS condition FROM sims WHERE speaker_id = 2 GROUP BY ALL) SELECT condition, seconds FROM ex WHERE speaker_id = 2 AND condition <> 'room' UNION ALL SELECT 'auto', sum(seconds) FROM own WHERE condition = 'room'")

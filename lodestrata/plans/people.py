@@ -219,8 +219,3 @@ def _(spark, d):
 @query("plain_clusters")
 def _(spark, d):
     return clustering.plain_clusters(S.atoms(spark, d))
-
-
-@query("one_to_one_claims", f"WITH RECURSIVE {ATOM}, s AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, win ORDER BY sim DESC, vec_id, person) AS k FROM score WHERE sim >= 0.62), r AS (SELECT DISTINCT meeting_id, win, 0::BIGINT AS k, []::BIGINT[] AS a, []::BIGINT[] AS p FROM s UNION ALL SELECT r.meeting_id, r.win, s.k, CASE WHEN list_contains(a, vec_id) OR list_contains(p, person) THEN a ELSE list_append(a, vec_id) END, CASE WHEN list_contains(a, vec_id) OR list_contains(p, person) THEN p ELSE list_append(p, person) END FROM r JOIN s ON s.meeting_id = r.meeting_id AND s.win = r.win AND s.k = r.k + 1), e AS (SELECT meeting_id, unnest(arg_max(a, k)) AS vec_id, unnest(arg_max(p, k)) AS person FROM r GROUP BY meeting_id, win) SELECT e.meeting_id, e.vec_id, e.person, round(sim, 6) AS sim FROM e JOIN score ON score.vec_id = e.vec_id AND score.person = e.person")
-def _(spark, d):
-    return _round(matching.one_to_one(matching.scores(S.atoms(spark, d), S.bank(spark, d))).select("meeting_id", "vec_id", F.col("person").cast("long").alias("person"), "sim"), 6, "sim")
