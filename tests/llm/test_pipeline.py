@@ -59,3 +59,24 @@ def test_pipeline_equals_plain_python(spark, tmp_path):
         ids = lib.encode_ordinary(t)
         want[d] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
     assert got == want and 20 < len(want) < 60
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null, empty, white, very long and repeated rows, columns of clashing names, and tables without rows."""
+    r = random.Random(9)
+    words = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    good = [(i, "\n".join(words(15) for _ in range(6)), "en", "s", 0) for i in range(4)]
+    huge = (50, "\n".join(words(20) for _ in range(3000)), "en", None, 0)
+    rows = [*good, good[2], huge, (60, None, None, None, None), (61, "", "en", "s", 0), (62, " \n\t", "en", "s", 3), (None, words(80), "en", "s", 1), (63, "word " * 3000, "en", "s", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    d = d.selectExpr("*", "1 AS h", "'x' AS gone", "2 AS block", "3 AS part", "4 AS item", "5 AS kept", "6 AS _other", "7 AS _bad", "8 AS row", "9 AS ids", "'y' AS class_id")
+    bench = spark.createDataFrame([(1, words(20)), (2, None), (3, "")], "item_id long, text string")
+    for name, docs, items in (("all", d, bench), ("none", d.filter("doc_id = -1"), bench), ("no items", d, bench.filter("item_id = -1"))):
+        folder = str(tmp_path / name)
+        docs.repartition(3).write.parquet(f"{folder}/documents.parquet")
+        items.write.parquet(f"{folder}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        # a row without an id is no duplicate of anything and stays; rows that repeat a document go the same way
+        assert sorted((x.doc_id for x in got), key=str) == ([] if name == "none" else sorted([None, 0, 1, 2, 2, 3, 50], key=str))
+        texts = {x[0]: x[1] for x in rows}
+        assert all(x.decoded_sha256 == hashlib.sha256(texts[x.doc_id].encode()).hexdigest() for x in got)
