@@ -1,4 +1,4 @@
-"""Length-sorted batches, packed greedily by a fold that runs in range partitions.
+"""Batches: length-sorted ones, packed greedily by a fold that runs in range partitions, and windows pooled over the recordings of a queue.
 
 Whether an item opens a batch depends on all before it, but only through where
 the last batch began. A part of the sorted items therefore needs to be told
@@ -92,3 +92,41 @@ def pack(items: DataFrame, most: int = 32, spread: float = 1.15, part_rows: int
         return pd.DataFrame({"id": g.id, "length": g.length, "batch": batch + np.cumsum(opens) - 1})
 
     return rows.groupBy("to").applyInPandas(walk, f"id {dict(items.dtypes)['id']}, length double, batch long")
+
+
+def pool_windows(recordings: DataFrame, target: int = 128, most_s: float = 4 * 3600.0) -> DataFrame:
+    """queue, batch, recording, first, last, completes: which windows of which recordings are decoded together.
+
+    recordings: queue, recording, place (their order in it), n_windows,
+    duration. Windows are pooled in order over recordings; a pool of
+    ``target`` windows is a batch, also within a recording. After a recording
+    the pool is a batch too if the recordings in flight hold ``most_s``
+    seconds, as their audio waits in memory: a recording is in flight until
+    the batch of its last window, which ``completes`` it. Recordings without
+    windows take no part. A queue's recordings, not their windows, are one
+    task's rows.
+    """
+    if target < 1:
+        raise ValueError("a batch holds a window at least")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        out, batch, pooled, waiting = [], 0, 0, 0.0
+        for r in g[g.n_windows > 0].sort_values(["place", "recording"]).itertuples():
+            at = 0
+            while at < r.n_windows:
+                take = int(min(target - pooled, r.n_windows - at))
+                out.append((batch, r.recording, at, at + take - 1, at + take == r.n_windows))
+                at, pooled = at + take, pooled + take
+                if pooled == target:
+                    batch, pooled, waiting = batch + 1, 0, 0.0  # all but this recording are complete
+            if pooled:  # its last windows, or those of others, are still to be decoded
+                waiting += r.duration
+            if waiting >= most_s:
+                batch, pooled, waiting = batch + 1, 0, 0.0
+        d = pd.DataFrame(out, columns=["batch", "recording", "first", "last", "completes"])
+        return d.assign(queue=g["queue"].iloc[0])[["queue", "batch", "recording", "first", "last", "completes"]]
+
+    ship(recordings.sparkSession)
+    kinds = dict(recordings.dtypes)
+    d = recordings.select("queue", "recording", "place", "n_windows", "duration")
+    return d.groupBy("queue").applyInPandas(run, f"queue {kinds['queue']}, batch long, recording {kinds['recording']}, first long, last long, completes boolean")

@@ -185,6 +185,12 @@ def _(spark, d):
     return packing.pack(S.table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("value").alias("length")), part_rows=1000)
 
 
+@query("pooled_windows", f"WITH {SEG}, m AS (SELECT meeting_id % 4 AS queue, meeting_id, max(win) + 1 AS n FROM seg GROUP BY ALL), w AS (SELECT queue, meeting_id, n, unnest(range(0, n)) AS win FROM m), p AS (SELECT *, (row_number() OVER (PARTITION BY queue ORDER BY meeting_id, win) - 1) // 16 AS batch FROM w) SELECT queue, batch, meeting_id AS recording, min(win) AS first, max(win) AS last, max(win) = n - 1 AS completes FROM p GROUP BY queue, batch, meeting_id, n")
+def _(spark, d):
+    m = S.segments(spark, d).groupBy((F.col("meeting_id") % 4).alias("queue"), F.col("meeting_id").alias("recording")).agg((F.max("win") + 1).alias("n_windows"), F.max("end_s").alias("duration"))
+    return packing.pool_windows(m.withColumn("place", F.col("recording")), 16, 1e9)
+
+
 @query("scalar_formats", r"""SELECT c_custkey, regexp_replace(regexp_replace('  ' || c_name || '//x', '[^\p{L}\p{N}._-]+', '-', 'g'), '^-+|-+$', '', 'g') AS squeezed, regexp_replace('[' || c_name || ']*?', '([\[\]?*])', '[\1]', 'g') AS escaped, regexp_replace(replace(c_name, '#', '-'), '-[^-]*$', '') AS stem, 'w' || lpad((c_custkey % 1200)::VARCHAR, greatest(3, length((c_custkey % 1200)::VARCHAR))::INT, '0') || '_S0' || (c_custkey % 3) AS tag, repeat('#', greatest(round_even((c_custkey % 64 - 8) / 40.0::DOUBLE * 20, 0), 0)::INT) AS bar,
 CASE WHEN c_custkey % 5 = 0 THEN 'Listen.' ELSE 'Listen.' || chr(10) || 'Spell: ' || c_name || ', ' || c_nationkey || '.' END AS prompt, round(c_custkey * 37 / 3600.0::DOUBLE, 6) AS hours FROM customer""")
 def _(spark, d):

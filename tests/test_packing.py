@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lodestrata.operators.packing import pack
+from lodestrata.operators.packing import pack, pool_windows
 from lodestrata.operators.recovery import pack_batches
 
 
@@ -21,3 +21,54 @@ def test_pack(spark, n, part_rows, most, spread, kind):
 def test_limits(spark):
     with pytest.raises(ValueError):
         pack(spark.createDataFrame([], "id long, length double"), most=0)
+
+
+def flushed(recordings, target, most_s):
+    """One window after another, as a queue is worked on."""
+    out, pool, left, audio, held, n = [], [], {}, 0.0, {}, 0
+
+    def flush():
+        nonlocal pool, audio, n
+        if not pool:
+            return
+        for r, _ in pool:
+            left[r] -= 1
+        done = [r for r in left if left[r] == 0]
+        for r in done:
+            audio -= held.pop(r, 0.0)
+            del left[r]
+        out.append((n, pool, done))
+        pool, n = [], n + 1
+
+    for r, windows, seconds in recordings:
+        if not windows:
+            continue
+        left[r] = windows
+        for w in range(windows):
+            pool.append((r, w))
+            if len(pool) >= target:
+                flush()
+        if r in left:
+            audio += seconds
+            held[r] = seconds
+        if audio >= most_s:
+            flush()
+    flush()
+    return out
+
+
+@pytest.mark.parametrize(("target", "most_s"), [(8, 1e9), (32, 300.0), (5, 120.0), (1, 10.0), (1000, 1e9)])
+def test_pool_windows(spark, target, most_s):
+    r = random.Random(target)
+    queues = {q: [(i, r.choice([0, 1, 2, 7, 30]), r.uniform(1, 200)) for i in range(25)] for q in range(3)}
+    rows = [(q, i, k, n, s) for q, rec in queues.items() for k, (i, n, s) in enumerate(rec)]
+    got = {}
+    for x in pool_windows(spark.createDataFrame(rows, "queue int, recording long, place int, n_windows long, duration double"), target, most_s).collect():
+        got.setdefault((x.queue, x.batch), []).append(x)
+    for q, rec in queues.items():
+        want = flushed(rec, target, most_s)
+        assert sorted(b for k, b in got if k == q) == [n for n, _, _ in want]
+        for n, pool, done in want:
+            have = got[q, n]
+            assert sorted((x.recording, w) for x in have for w in range(x.first, x.last + 1)) == sorted(pool)
+            assert sorted(x.recording for x in have if x.completes) == sorted(done)
