@@ -1,6 +1,11 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept.
+Columns of any names are carried, but for the last stage. Null and empty texts
+are rejected by the first. A row without a doc_id is judged by the rules, holds
+no line first, is no duplicate and no leak. Rows that repeat a doc_id and its
+text go the same way. Texts are read whole. Without documents there are no
+rows; without benchmark items no document is a leak.
 """
 
 from __future__ import annotations
