@@ -279,3 +279,28 @@ def test_arms_over_meetings(spark):
         own = [r for r in a.collect() if sure.get((r.meeting_id, r.vec_id)) == c.cluster and r.meeting_id == c.meeting_id]
         v = sum(r.sec * np.array(r.v) for r in own)
         assert (c.n, c.seconds) == (len(own), sum(r.sec for r in own)) and c.v == pytest.approx(v / np.linalg.norm(v))
+
+
+def test_seams_of_a_relation(spark):
+    """Word by word: what a text repeats from the end of the trimmed one before it, 3 to 10 words, goes."""
+    r = random.Random(8)
+    rows, want = [], {}
+    for m in range(6):
+        before = None
+        for w in range(12):
+            words = [r.choice(["a", "B", "c.", "d,"]) for _ in range(r.randrange(0, 14))]
+            if before and r.random() < 0.6:
+                words = [x.upper() if r.random() < 0.3 else x for x in before[-r.randrange(1, 12) :]] + words
+            rows.append((m, w, " ".join(words)))
+            kept = words
+            if before is not None:
+                plain = lambda x: x.lower().strip(".,?!")
+                for n in range(10, 2, -1):
+                    if n <= len(before) and n < len(words) and all(plain(x) == plain(y) for x, y in zip(before[-n:], words[:n], strict=True)):
+                        kept = words[n:]
+                        break
+            want[m, w] = " ".join(kept)
+            before = kept
+    r.shuffle(rows)
+    got = recovery.trim_seams_of(spark.createDataFrame(rows, "meeting_id long, win long, text string"))
+    assert {(x.meeting_id, x.win): x.text for x in got.collect()} == want and sum(len(t.split()) for _, _, t in rows) > sum(len(t.split()) for t in want.values())
