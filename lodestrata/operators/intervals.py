@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.params import DEFAULTS
-from lodestrata.runtime import ship
+from lodestrata.runtime import settled, ship
 
 
 def overlapping(a: DataFrame, b: DataFrame, bucket_s: float | None = None) -> DataFrame:
@@ -133,7 +133,7 @@ def recover_orphans(segments: DataFrame, durations: DataFrame | None = None, p=D
     another and are decided by sums alone; only islands of several are folded
     in order, each by itself.
     """
-    cover, touched = orphan_cover(segments, durations, bucket_s)
+    cover, touched = (settled(d) for d in orphan_cover(segments, durations, bucket_s))  # each is read several times
     full = F.col("seconds") >= p.covered_enough * (F.col("end_s") - F.col("start_s"))
     told = full & (F.col("words") >= p.words_enough * F.col("n_words"))
     single = cover.filter("alone").select("meeting_id", "seg_idx", (~told).alias("back"), (full & ~told).alias("replaces"))
@@ -150,7 +150,7 @@ def recover_orphans(segments: DataFrame, durations: DataFrame | None = None, p=D
 
     ship(segments.sparkSession)
     kinds = dict(segments.dtypes)
-    folded = several.groupBy("meeting_id", "island").applyInPandas(fold, f"meeting_id {kinds['meeting_id']}, seg_idx {kinds['seg_idx']}, back boolean")
+    folded = settled(several.groupBy("meeting_id", "island").applyInPandas(fold, f"meeting_id {kinds['meeting_id']}, seg_idx {kinds['seg_idx']}, back boolean"))
     back = single.filter("back").select("meeting_id", "seg_idx").unionByName(folded.filter("back").select("meeting_id", "seg_idx"))
     gone = gone.unionByName(folded.filter("NOT back").select("meeting_id", "seg_idx"))
     s = segments.select("meeting_id", "seg_idx", "start_s", "end_s", "owned")
