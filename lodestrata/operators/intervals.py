@@ -6,6 +6,8 @@ meeting and time bucket or block, so the length of a meeting bounds no task.
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,15 +144,22 @@ def recover_orphans(segments: DataFrame, durations: DataFrame | None = None, p=D
     several = cover.filter("NOT alone").join(lists, ["meeting_id", "seg_idx"], "left").select("meeting_id", "island", "seg_idx", "start_s", "end_s", "n_words", "near")
 
     def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["start_s", "seg_idx"])
+        g = g.sort_values(["meeting_id", "island", "start_s", "seg_idx"])
         near = [[] if n is None else sorted((t["kept_idx"], t["k_lo"], t["k_hi"], t["k_words"]) for t in n) for n in g.near]
-        back, lost = settle(list(zip(g.start_s, g.end_s, g.n_words, near, strict=True)), p)
-        ids = [*g.seg_idx[back], *sorted(lost)]
-        return pd.DataFrame({"meeting_id": [g.meeting_id.iloc[0]] * len(ids), "seg_idx": ids, "back": [True] * sum(back) + [False] * len(lost)}, columns=["meeting_id", "seg_idx", "back"])
+        rows = list(zip(g.meeting_id, g.island, g.seg_idx, g.start_s, g.end_s, g.n_words, near, strict=True))
+        out = []
+        for (meeting, _), part in groupby(rows, key=lambda r: r[:2]):
+            part = list(part)
+            back, lost = settle([r[3:] for r in part], p)
+            out += [(meeting, r[2], True) for r, ok in zip(part, back, strict=True) if ok] + [(meeting, k, False) for k in sorted(lost)]
+        return pd.DataFrame(out, columns=["meeting_id", "seg_idx", "back"])
 
     ship(segments.sparkSession)
     kinds = dict(segments.dtypes)
-    folded = settled(several.groupBy("meeting_id", "island").applyInPandas(fold, f"meeting_id {kinds['meeting_id']}, seg_idx {kinds['seg_idx']}, back boolean"))
+    # many islands a group, as each group has a cost of its own
+    parts = max(1, -(-cover.filter("NOT alone").count() // 20_000))
+    dealt = several.withColumn("part", F.pmod(F.xxhash64("meeting_id", "island"), F.lit(parts)))
+    folded = settled(dealt.groupBy("part").applyInPandas(fold, f"meeting_id {kinds['meeting_id']}, seg_idx {kinds['seg_idx']}, back boolean"))
     back = single.filter("back").select("meeting_id", "seg_idx").unionByName(folded.filter("back").select("meeting_id", "seg_idx"))
     gone = gone.unionByName(folded.filter("NOT back").select("meeting_id", "seg_idx"))
     s = segments.select("meeting_id", "seg_idx", "start_s", "end_s", "owned")
