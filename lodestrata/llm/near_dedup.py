@@ -19,7 +19,8 @@ never listed:
    which documents may have a link into which larger component. Each such
    document is probed against all members of that component at once, through an
    index from shingles to members; big components are probed by chunks. First
-   each asks the largest and the most similar one, then all that remain.
+   each asks the largest and the most similar one, then all that remain and
+   that lengths and shingles of one component only don't rule out.
 
 A candidate pair is in one component after round 1, or its smaller side is
 probed in round 2, so no candidate link between components goes unverified.
@@ -40,6 +41,8 @@ from lodestrata.llm import _common as C
 SHINGLE = 5
 #: Members of one chunk of a probed component (shingles), documents of one block of a bucket, and probing documents of one task's share.
 CHUNK, BLOCK, SHARE = 500_000, 512, 1024
+#: Members of a component whose own shingles are told apart.
+SLOTS = 60
 _WORDS = re.compile("[^ \t-\r]+")
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -270,6 +273,51 @@ class Probe:
         return int(self.docs[ok].min()) if ok.any() else None
 
 
+def _bounds(bags: DataFrame, comps: DataFrame) -> DataFrame:
+    """doc, n, c (its shingles that another component of ``comps`` (doc, comp) has): no overlap with a document of another component is larger than c.
+
+    Members of components of up to ``SLOTS`` are bits of a number, so that one
+    aggregate tells whose shingles lie in one component; in larger ones c is n.
+    """
+    small = comps.groupBy("comp").agg(F.count("*").alias("k")).filter(F.col("k") <= SLOTS).select("comp")
+    slots = comps.join(small, "comp").withColumn("slot", F.row_number().over(Window.partitionBy("comp").orderBy("doc")) - 1)
+    named = bags.join(comps, "doc").join(slots.select("doc", "slot"), "doc", "left").select("bag", "comp", F.coalesce(F.expr("shiftleft(1L, slot)"), F.lit(0)).alias("bit"))
+
+    def make():
+        def work(batch: pa.RecordBatch):
+            bags_, at, size = [], [], 0
+            for i, b in enumerate(batch.column("bag")):
+                bags_.append(np.frombuffer(b.as_buffer(), np.int64))
+                at.append(np.full(len(bags_[-1]), i))
+                size += len(bags_[-1])
+                if bags_ and (size > 250_000 or i + 1 == batch.num_rows):
+                    x = np.concatenate(at)
+                    yield {"shingle": pa.array(np.concatenate(bags_))} | {c: pa.array(batch.column(c).to_numpy()[x]) for c in ("comp", "bit")}
+                    bags_, at, size = [], [], 0
+
+        return work
+
+    every = C.map_rows(named, "shingle long, comp long, bit long", make)
+    alone = every.groupBy("shingle").agg(F.min("comp").alias("comp"), F.max("comp").alias("other"), F.bit_or("bit").alias("bits")).filter("comp = other and bits <> 0")
+    alone = alone.groupBy("comp", "bits").agg(F.count("*").alias("k")).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
+    alone = alone.filter("(shiftright(bits, slot) & 1) = 1").groupBy("comp", "slot").agg(F.sum("k").alias("u"))
+    alone = slots.join(alone, ["comp", "slot"]).select("doc", "u")
+    return bags.join(comps, "doc").select("doc", "n").join(alone, "doc", "left").select("doc", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"))
+
+
+def _possible(rows: DataFrame, similarity: float) -> DataFrame:
+    """The rows (bucket, n, c, ...) that may have a partner in their bucket: a pair needs an overlap of ``share`` of both lengths, and neither c is less.
+
+    The shortest of a bucket, and the one with the most of c beyond its own
+    part of that, stand for all its documents.
+    """
+    share = similarity / (1 + similarity)
+    room = F.col("c") - share * F.col("n")
+    best = rows.groupBy("bucket").agg(F.min("n").alias("n_least"), F.max(room).alias("most_room"))
+    fits = (room >= share * F.col("n_least") - 1e-6) & (F.col("most_room") >= share * F.col("n") - 1e-6)
+    return rows.join(best, "bucket").filter(fits).drop("n_least", "most_room")
+
+
 def _linked(members: DataFrame, asks: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     """a, b: for each ask (g, q) and chunk of the group's ``members`` (g, m) a member similar to q, if there is one.
 
@@ -323,23 +371,24 @@ def _linked(members: DataFrame, asks: DataFrame, bags: DataFrame, similarity: fl
     return C.map_rows(both, "a long, b long", make)
 
 
-def _seams(rows: DataFrame, m: int, least: int, best: bool) -> DataFrame:
-    """q, g, same (most equal prints), size (of g): documents that may be similar to a member of the larger component g, of rows (bucket, doc, comp, size, prints) of buckets that have several components.
+def _seams(rows: DataFrame, m: int, least: int, best: bool, similarity: float = 0.0) -> DataFrame:
+    """q, g, same (most equal prints), size (of g): documents that may be similar to a member of the larger component g, of rows (bucket, doc, comp, size, prints, n, c) of buckets that have several components.
 
     A bucket's documents are dealt to blocks of about ``BLOCK``; each two
     blocks meet in a task. Rows of a task lie by component size, and row r is
-    compared with row r + k, for all r at once. With ``best`` a task tells of
-    each document the largest and the most similar component only.
+    compared with row r + k, for all r at once. Pairs whose overlap, at most the
+    smaller c, can't reach ``similarity`` aren't told. With ``best`` a task tells
+    of each document the largest and the most similar component only.
     """
     wide = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("bucket", "blocks")
     dealt = rows.join(wide, "bucket").withColumn("own", F.pmod(F.xxhash64("doc"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "size", "comp", "doc", "prints").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "size", "comp")
+    dealt = dealt.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "size", "comp", "doc", "prints", "n", "c").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "size", "comp")
 
     def make():
         held: list[pa.RecordBatch] = []
 
         def compare(batch: pa.RecordBatch):
-            col = {c: batch.column(c).to_numpy() for c in ("bucket", "lo", "hi", "own", "comp", "doc", "size")}
+            col = {c: batch.column(c).to_numpy() for c in ("bucket", "lo", "hi", "own", "comp", "doc", "size", "n", "c")}
             p = _rows(batch, "prints", m)
             new = np.zeros(len(p), bool)
             for c in ("bucket", "lo", "hi"):
@@ -357,6 +406,7 @@ def _seams(rows: DataFrame, m: int, least: int, best: bool) -> DataFrame:
                 if not len(live):
                     break
                 r = live[(col["comp"][live] != col["comp"][live + k]) & ~(across[live] & (col["own"][live] == col["own"][live + k]))]
+                r = r[(1 + similarity) * np.minimum(col["c"][r], col["c"][r + k]) >= similarity * (col["n"][r] + col["n"][r + k]) - 1e-6]
                 for a in range(0, len(r), 1 << 16):
                     x = r[a : a + (1 << 16)]
                     same = (p[x] == p[x + k]).sum(axis=1)
@@ -453,7 +503,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 24, r
     comps = marks.join(buckets.select("doc").distinct(), "doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "prints", F.coalesce("label", "doc").alias("comp"))
     comps = space.table(comps, "comps")
     sized = lambda d: d.join(d.groupBy("comp").agg(F.count("*").alias("size")), "comp")
-    seams = space.table(_seams(buckets.join(sized(comps), "doc").select("bucket", "doc", "comp", "size", "prints"), m, least, True), "seams")
+    unknown = (F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("c"))
+    seams = space.table(_seams(buckets.join(sized(comps), "doc").select("bucket", "doc", "comp", "size", "prints", *unknown), m, least, True), "seams")
     now = comps.select("doc", F.col("comp").alias("now"))
     # most links show at the largest and at the most similar component; what is left asks the components that these make
     best = seams.groupBy("q").agg(F.max(F.struct("size", "g")).alias("x"), F.max(F.struct("same", "g")).alias("y"))
@@ -474,11 +525,17 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 24, r
             new_comps = space.table(new_comps, "comps-1")
             now = new_comps.select("doc", F.col("comp").alias("now"))
             after = now.groupBy("now").agg(F.count("*").alias("k"))
-            rest = _seams(buckets.join(sized(new_comps), "doc").select("bucket", "doc", "comp", "size", "prints"), m, least, False).select("q", "g")
+            parted = buckets.join(now, "doc").groupBy("bucket").agg(F.min("now").alias("c1"), F.max("now").alias("c2")).filter("c1 <> c2").select("bucket")
+            parted = space.table(buckets.join(parted, "bucket").select("bucket", "doc"), "parted")
+            open_ = parted.select("doc").distinct()
+            bags = bags.unionByName(space.table(_bags(docs, near(open_.join(bags.select("doc"), "doc", "left_anti"))), "bags-open"))
+            bounds = space.table(_bounds(bags, now.join(open_, "doc", "left_semi").withColumnRenamed("now", "comp")), "bounds")
+            may = space.table(_possible(parted.join(bounds, "doc"), similarity), "may")
+            rest = _seams(may.join(sized(new_comps), "doc").select("bucket", "doc", "comp", "size", "prints", "n", "c"), m, least, False, similarity).select("q", "g")
             # a component that hasn't grown since it was asked has no more to tell
             rest = rest.join(after.withColumnRenamed("now", "g"), "g").join(tried, ["q", "g", "k"], "left_anti").select("q", "g")
             asks = space.table(rest, "asks-2")
-    for name in ("bags", "bags-1", "bags-2", "links", "links-1", "links-2", "asks-1", "asks-2", "comps", "comps-1", "buckets", "seams", "reps"):
+    for name in ("bags", "bags-1", "bags-open", "bags-2", "links", "links-1", "links-2", "asks-1", "asks-2", "comps", "comps-1", "parted", "bounds", "may", "buckets", "seams", "reps"):
         space.drop(name)
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))

@@ -176,6 +176,58 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_family_below_the_limit(spark, monkeypatch):
+    """Pages of one template, alike but for their own words, are never listed as pairs; links among them are found."""
+    n = 240
+    template = [f"t{i}" for i in range(100)]
+    rows = [(i, " ".join(template + [f"own{i}x{j}" for j in range(15)])) for i in range(n)]
+    rows += [(n + i, rows[7 * i][1].replace(f"own{7 * i}x14", "changed")) for i in range(20)]
+    asked = {}
+    table_ = near_dedup.C.Workspace.table
+
+    def noted(self, df, name):
+        t = table_(self, df, name)
+        asked[name] = t.count() if name.startswith("asks") else 0
+        return t
+
+    monkeypatch.setattr(near_dedup.C.Workspace, "table", noted)
+    got = by_id(near_dedup.near_duplicates(table(spark, rows)), "group_id")
+    assert got == {d: (g,) for d, g in groups_brute(rows).items()}
+    assert asked["asks-1"] <= 2 * len(rows) and asked["asks-2"] <= n // 10
+
+
+def test_bounds(spark, monkeypatch):
+    """Shingles that no other component has, in components of one, of some, of more than ``SLOTS`` members."""
+    monkeypatch.setattr(near_dedup, "SLOTS", 5)
+    r = np.random.default_rng(5)
+    bags = {i: np.unique(r.integers(-60, 60, r.integers(1, 40))) for i in range(30)} | {99: np.array([], np.int64)}
+    comp = {i: i if i < 8 else 8 + i % 4 if i < 20 else 20 for i in bags}
+    d = spark.createDataFrame([(i, bytearray(b.tobytes()), len(b)) for i, b in bags.items()], "doc long, bag binary, n long")
+    held = {}
+    for i, b in bags.items():
+        for x in b:
+            held.setdefault(int(x), set()).add(comp[i])
+    got = by_id(near_dedup._bounds(d, spark.createDataFrame(list(comp.items()), "doc long, comp long")).withColumnRenamed("doc", "doc_id"), "n", "c")
+    assert got == {i: (len(b), len(b) if comp[i] == 20 else sum(len(held[int(x)]) > 1 for x in b)) for i, b in bags.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_possible_keeps_all_partners(spark, seed):
+    """A row whose document has a partner at 0.8 in its bucket stays."""
+    r = np.random.default_rng(seed)
+    rows = []
+    for bucket in range(40):
+        base = np.arange(r.integers(5, 60))
+        for doc in range(r.integers(1, 7)):
+            own = 1000 * (doc + 1) + np.arange(r.integers(0, 12))
+            rows.append((bucket, doc, set(np.concatenate([r.permutation(base)[: len(base) - r.integers(0, 4)], own]).tolist())))
+    c = {(b, d): sum(any(x in s for e, f, s in rows if e == b and f != d) for x in t) for b, d, t in rows}
+    alike = {(b, d) for b, d, t in rows for e, f, s in rows if b == e and d != f and len(t & s) >= 0.8 * len(t | s)}
+    df = spark.createDataFrame([(b, d, len(t), c[b, d]) for b, d, t in rows], "bucket long, doc long, n long, c long")
+    kept = {(x.bucket, x.doc) for x in near_dedup._possible(df, 0.8).collect()}
+    assert alike and alike <= kept and len(kept) < len(rows)
+
+
 def test_signatures_are_unbiased():
     r = np.random.default_rng(3)
     items = r.integers(0, 2**63, 60, dtype=np.uint64)
