@@ -53,6 +53,13 @@ def test_upsert_leaves_other_meetings(spark):
     assert set(map(tuple, S.upsert_clusters(old, new.limit(0)).select(old.columns).collect())) == set(map(tuple, old.collect()))
 
 
+def test_near_names_of_one_beginning(spark):
+    """Of 400 names with one beginning only near ones are compared, not all 160,000 pairs."""
+    names = spark.range(400).selectExpr("format_string('supplier%09d', id * 7919) AS f")
+    near = S.near_candidates(names, names, 1).distinct().collect()
+    assert 400 <= len(near) < 4000 and len({r.a_f for r in near if r.a_f == r.b_f}) == 400
+
+
 @pytest.mark.parametrize("edits", [1, 2])
 def test_near_names_finds_all(spark, edits):
     names = ["Anna Berg", "Ana Berg", "AnnaBerg", "Hanna Bergh", "Anna Burg", "Otto", "Oto", "O", "Karl-Heinz", "Karlheinz", "Karl Hein"]
