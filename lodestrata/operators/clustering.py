@@ -6,6 +6,8 @@ fits one task; groups never depend on each other.
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,59 +19,132 @@ from lodestrata.params import DEFAULTS
 from lodestrata.runtime import ship
 
 
+#: Averages this near are equal, so that the order of a sum decides nothing.
+_TIE = 1e-12
+#: Rows whose similarities with all others are held at once.
+_ROWS = 256
+
+
+def factors(label: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Rows whose dot products are the similarity blended from label and vector, so that no matrix of all pairs is held."""
+    hot = label[:, None] == np.unique(label)[None, :]
+    return np.concatenate([np.sqrt(0.65) * hot, np.sqrt(0.35) * v], axis=1)
+
+
 def similarity(label: np.ndarray, v: np.ndarray) -> np.ndarray:
     return 0.65 * (label[:, None] == label[None, :]) + 0.35 * (v @ v.T)
 
 
-def cannot(win: np.ndarray, local: np.ndarray, sec: np.ndarray, durable: float, guard: int) -> np.ndarray:
-    """Pairs of one window, of different labels, both durable, where the window has at most ``guard`` labels."""
-    n = {w: len(set(local[win == w])) for w in set(win.tolist())}
-    few = np.array([n[w] <= guard for w in win.tolist()], bool)
-    ok = few & (sec >= durable)
-    return (win[:, None] == win[None, :]) & (local[:, None] != local[None, :]) & ok[:, None] & ok[None, :]
+def sides(s: np.ndarray | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(p, q) with similarities p @ q.T: such a pair is taken as it is, a matrix with the unit matrix."""
+    return s if isinstance(s, tuple) else (np.asarray(s, float), np.eye(len(s)))
+
+
+def part_of(s: np.ndarray | tuple, rows: np.ndarray) -> np.ndarray | tuple:
+    return tuple(x[rows] for x in s) if isinstance(s, tuple) else s[np.ix_(rows, rows)]
+
+
+def sums(x: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    out = np.zeros((k, x.shape[1]))
+    np.add.at(out, own, x)
+    return out
+
+
+def cannot(win: np.ndarray, local: np.ndarray, sec: np.ndarray, durable: float, guard: int) -> list[list[int]]:
+    """Each row's parted rows: those of its window, of another label, both durable, where the window has at most ``guard`` labels."""
+    labels: dict = {}
+    rows: dict = {}
+    for i, (w, name) in enumerate(zip(win.tolist(), local.tolist(), strict=True)):
+        labels.setdefault(w, set()).add(name)
+        if sec[i] >= durable:
+            rows.setdefault(w, []).append(i)
+    out: list[list[int]] = [[] for _ in range(len(win))]
+    for w, here in rows.items():
+        if len(labels[w]) <= guard:
+            for i in here:
+                out[i] = [j for j in here if local[j] != local[i]]
+    return out
 
 
-def linkage(s: np.ndarray, block: np.ndarray) -> list[tuple[int, int, float]]:
+def parted(block: np.ndarray | list) -> list[list[int]]:
+    """Parted rows by row, from a matrix or as they are."""
+    return [np.flatnonzero(r).tolist() for r in block] if isinstance(block, np.ndarray) else block
+
+
+def linkage(s: np.ndarray | tuple, block: np.ndarray | list) -> list[tuple[int, int, float]]:
     """Average linkage to completion, never joining what ``block`` parts (and what its members are parted from).
 
     Merges (i, j, height) with i < j; i takes j in. Of equal averages the
-    first pair in row order wins. Each row's best partner is kept and looked
-    for again only if a merge may have changed it.
+    first pair in row order wins. Clusters are sums of rows, so memory grows
+    with the rows. Each row keeps its best later partner; where a merge took
+    that one, its average stays as a bound (a merged cluster is no nearer than
+    the nearer of the two) and is looked for again when it comes first.
     """
-    n = len(s)
-    total = s.astype(float).copy()
-    size = np.ones(n)
-    alive = np.ones(n, bool)
-    apart = block.copy()
-    upper = np.triu(np.ones((n, n), bool), 1)
-
-    def row(i: int) -> tuple[float, int]:
-        ok = alive & ~apart[i] & upper[i]
-        if not alive[i] or not ok.any():
-            return -np.inf, -1
-        mean = np.where(ok, total[i] / (size[i] * size), -np.inf)
-        j = int(mean.argmax())
-        return float(mean[j]), j
-
-    best = [row(i) for i in range(n)]
-    merges = []
-    while True:
-        heights = np.array([b[0] for b in best])
-        if not n or not np.isfinite(heights.max()):
-            return merges
-        i = int(heights.argmax())
-        h, j = best[i]
-        merges.append((i, j, h))
-        total[i] += total[j]
-        total[:, i] = total[i]
-        size[i] += size[j]
-        alive[j] = False
+    p, q = (x.astype(float) for x in sides(s))
+    n = len(p)
+    apart = [set(x) for x in parted(block)]
+    size, alive, sure = np.ones(n), np.ones(n, bool), np.ones(n, bool)
+    best, to = np.full(n, -np.inf), np.full(n, -1)
+    live, place = np.arange(n), np.arange(n)  # cluster at a place, place of a cluster
+    merges: list[tuple[int, int, float]] = []
+
+    def closed(mean: np.ndarray, at: int) -> np.ndarray:
+        mean[~alive[-len(mean) :]] = -np.inf
+        far = place[list(apart[live[at]])] - (len(alive) - len(mean)) if apart[live[at]] else np.zeros(0, int)
+        mean[far[far >= 0]] = -np.inf
+        return mean
+
+    def first(mean: np.ndarray, offset: int) -> tuple[float, int]:
+        top = mean.max(initial=-np.inf)
+        return (float(top), offset + int((mean >= top - _TIE).argmax())) if top > -np.inf else (-np.inf, -1)
+
+    for lo in range(0, n, _ROWS):
+        near = p[lo : lo + _ROWS] @ q[lo:].T
+        for r, mean in enumerate(near):
+            best[lo + r], to[lo + r] = first(closed(mean[r + 1 :], lo + r), lo + r + 1) if lo + r + 1 < n else (-np.inf, -1)
+    while n:
+        top = best.max()
+        if top == -np.inf:
+            break
+        a = int((best >= top - _TIE).argmax())
+        if not sure[a]:
+            rest = slice(a + 1, None)
+            best[a], to[a] = first(closed(p[rest] @ q[a] / (size[a] * size[rest]), a), a + 1) if a + 1 < len(p) else (-np.inf, -1)
+            sure[a] = True
+            continue
+        b = int(to[a])
+        i, j = int(live[a]), int(live[b])
+        merges.append((i, j, float(best[a])))
+        p[a] += p[b]
+        q[a] += q[b]
+        size[a] += size[b]
+        alive[b] = False
+        best[b], to[b] = -np.inf, -1
+        for c in apart[j]:
+            apart[c].discard(j)
+            apart[c].add(i)
         apart[i] |= apart[j]
-        apart[:, i] = apart[i]
-        for r in range(n):
-            if r == i or (alive[r] and (r < i or best[r][1] in (i, j))):
-                best[r] = row(r)
-        best[j] = (-np.inf, -1)
+        apart[j] = set()
+        mean = closed(p @ q[a] / (size * size[a]), a)
+        lost = (to == a) | (to == b)
+        cand, was = mean[:a], best[:a]
+        better = cand > was + _TIE
+        same = ~better & (cand >= was - _TIE) & (was > -np.inf)
+        take = better | (same & (lost[:a] | (sure[:a] & (to[:a] > a))))
+        to[lost] = -1
+        sure[lost] = False
+        was[better] = cand[better]
+        to[:a][take] = a
+        sure[:a][take] = True
+        best[a], to[a] = first(mean[a + 1 :], a + 1)
+        sure[a] = True
+        if len(alive) > 64 and 2 * alive.sum() < len(alive):
+            moved = np.cumsum(alive) - 1
+            to = np.where(to >= 0, moved[to], -1)[alive]
+            p, q, size, sure, best, live = (x[alive] for x in (p, q, size, sure, best, live))
+            alive = np.ones(len(live), bool)
+            place[live] = np.arange(len(live))
+    return merges
 
 
 def labels_at(n: int, merges: list[tuple[int, int, float]], least: float) -> np.ndarray:
@@ -82,6 +157,7 @@ def labels_at(n: int, merges: list[tuple[int, int, float]], least: float) -> np.
 
     def root(x: int) -> int:
         while parent[x] != x:
+            parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
@@ -105,64 +181,104 @@ def low_separation(span: float, dominance: float, p=DEFAULTS) -> bool:
     return span < p.low_span or dominance < p.low_dominance
 
 
-def towards(s: np.ndarray, rows: np.ndarray, cluster: np.ndarray) -> float:
-    """Cosine of the unit centroids of two sets of unit vectors, from the vectors' dot products ``s``."""
-    inner, a, b = s[np.ix_(rows, cluster)].sum(), s[np.ix_(rows, rows)].sum(), s[np.ix_(cluster, cluster)].sum()
-    return float(inner / np.sqrt(a * b)) if a > 1e-18 and b > 1e-18 else -np.inf
+def cosines(inner: np.ndarray, a: float, b: np.ndarray) -> np.ndarray:
+    """Cosines of the unit centroids of sets of unit vectors, from the sums of dot products between them and within each."""
+    ok = (b > 1e-18) & (a > 1e-18)
+    return np.where(ok, inner / np.sqrt(np.where(ok, a * b, 1.0)), -np.inf)
 
 
-def absorb(labels: np.ndarray, s: np.ndarray, sec: np.ndarray, block: np.ndarray, least: float) -> np.ndarray:
+def absorb(labels: np.ndarray, s: np.ndarray | tuple, sec: np.ndarray, block: np.ndarray | list, least: float) -> np.ndarray:
     """Clusters under ``least`` seconds join the legal cluster whose unit centroid is nearest (ties: the first), the smallest that can first, until none can."""
-    labels = labels.copy()
-    while True:
-        ids = np.unique(labels)
-        weight = {c: sec[labels == c].sum() for c in ids}
-        for c in sorted((c for c in ids if weight[c] < least), key=lambda c: (weight[c], c)):
-            own = np.flatnonzero(labels == c)
-            near = [(towards(s, own, np.flatnonzero(labels == o)), -o) for o in ids if o != c and not block[np.ix_(own, labels == o)].any()]
-            if near:
-                labels[own] = -max(near)[1]
-                break
-        else:
-            return labels
-
-
-def refine(labels: np.ndarray, s: np.ndarray, block: np.ndarray, sweeps: int = 3) -> np.ndarray:
+    p, q = sides(s)
+    ids, own = np.unique(labels, return_inverse=True)
+    k = len(ids)
+    p, q, weight = sums(p, own, k), sums(q, own, k), np.bincount(own, sec, k)
+    length, alive = (p * q).sum(axis=1), np.ones(k, bool)
+    far: list[set[int]] = [set() for _ in range(k)]
+    for i, others in enumerate(parted(block)):
+        far[own[i]].update(own[others].tolist())
+    into = list(range(k))
+    queue = [(float(weight[c]), c) for c in range(k) if weight[c] < least]
+    heapify(queue)
+    while queue:
+        w, c = heappop(queue)
+        if not alive[c] or w != weight[c]:
+            continue
+        legal = alive.copy()
+        legal[[c, *far[c]]] = False
+        near = np.flatnonzero(legal)
+        if not len(near):  # nor later: what is legal only shrinks
+            continue
+        score = cosines(p[near] @ q[c], length[c], length[near])
+        o = int(near[(score >= score.max() - _TIE).argmax()])
+        p[o] += p[c]
+        q[o] += q[c]
+        length[o], weight[o] = p[o] @ q[o], weight[o] + weight[c]
+        alive[c] = False
+        for x in far[c]:
+            far[x].discard(c)
+            far[x].add(o)
+        far[o] |= far[c]
+        into[c] = o
+        if weight[o] < least:
+            heappush(queue, (float(weight[o]), o))
+    for c in range(k):
+        while into[into[c]] != into[c]:
+            into[c] = into[into[c]]
+    return ids[np.array(into, int)[own]] if k else labels.copy()
+
+
+def refine(labels: np.ndarray, s: np.ndarray | tuple, block: np.ndarray | list, sweeps: int = 3) -> np.ndarray:
     """Each atom moves to the cluster whose unit centroid, the atom itself left out, it is nearest to.
 
     Members of single clusters stay. What is legal is told at the start of a
     sweep; a move that has become illegal meanwhile isn't made, nor another.
     """
-    labels = labels.copy()
+    p, q = sides(s)
+    apart = parted(block)
+    ids, own = np.unique(labels, return_inverse=True)
+    k = len(ids)
+    alone = (p * q).sum(axis=1)
     for _ in range(sweeps):
-        start, moved = labels.copy(), False
-        for i in range(len(labels)):
-            own = labels[i]
-            if (labels == own).sum() == 1:
+        start, moved = own.copy(), False
+        ps, qs, size = sums(p, own, k), sums(q, own, k), np.bincount(own, minlength=k)
+        length = (ps * qs).sum(axis=1)
+        for i in range(len(own)):
+            c = own[i]
+            if size[c] == 1:
                 continue
-            best, at = -np.inf, own
-            for c in np.unique(labels):
-                if c != own and block[i, start == c].any():
-                    continue
-                m = np.flatnonzero(labels == c)
-                m = m[m != i]
-                length = s[np.ix_(m, m)].sum()
-                if length > 1e-18 and s[i, m].sum() / np.sqrt(length) > best:
-                    best, at = s[i, m].sum() / np.sqrt(length), c
-            if at != own and not block[i, labels == at].any():
-                labels[i] = at
+            inner = ps @ q[i]
+            within = length.copy()
+            within[c] += alone[i] - 2 * inner[c]
+            rest = inner.copy()
+            rest[c] -= alone[i]
+            score = cosines(rest, 1.0, np.where(size > 0, within, 0.0))
+            illegal = start[apart[i]]
+            score[illegal[illegal != c]] = -np.inf
+            top = score.max()
+            at = int((score >= top - _TIE).argmax()) if top > -np.inf else c
+            if at != c and not (own[apart[i]] == at).any():
+                length[c], length[at] = within[c], length[at] + alone[i] + 2 * inner[at]
+                ps[c] -= p[i]
+                ps[at] += p[i]
+                size[c] -= 1
+                size[at] += 1
+                own[i] = at
                 moved = True
         if not moved:
             break
-    return labels
+    return ids[own]
 
 
-def repair(labels: np.ndarray, sec: np.ndarray, block: np.ndarray) -> np.ndarray:
+def repair(labels: np.ndarray, sec: np.ndarray, block: np.ndarray | list) -> np.ndarray:
     """No two parted atoms share a cluster: of such a pair, the first in row order each time, the shorter (of equals the earlier) gets a cluster of its own."""
     labels = labels.copy()
-    for i, j in np.argwhere(np.triu(block, 1)):
-        if labels[i] == labels[j]:
-            labels[i if sec[i] <= sec[j] else j] = labels.max() + 1
+    fresh = labels.max(initial=-1) + 1
+    for i, others in enumerate(parted(block)):
+        for j in sorted(others):
+            if i < j and labels[i] == labels[j]:
+                labels[i if sec[i] <= sec[j] else j] = fresh
+                fresh += 1
     return labels
 
 
@@ -174,25 +290,31 @@ def core_rows(sec: np.ndarray, least: float) -> np.ndarray:
     return np.array([int(sec.argmax())]) if len(sec) else np.zeros(0, int)
 
 
-def attach_weak(labels: np.ndarray, weak: np.ndarray, s: np.ndarray, win: np.ndarray, local: np.ndarray, least: float) -> np.ndarray:
+def attach_weak(labels: np.ndarray, weak: np.ndarray, s: np.ndarray | tuple, win: np.ndarray, local: np.ndarray, least: float) -> np.ndarray:
     """Weak atoms (label -1 so far) join the nearest centroid of the others' clusters that holds no other label of their window, if that one reaches ``least``; else they stay -1."""
     out = labels.copy()
-    sure = {int(c): np.flatnonzero(labels == c) for c in np.unique(labels[labels >= 0])}
+    sure = np.flatnonzero(labels >= 0)
+    if not len(sure):
+        return out
+    p, q = sides(s)
+    ids, own = np.unique(labels[sure], return_inverse=True)
+    ps, qs = sums(p[sure], own, len(ids)), sums(q[sure], own, len(ids))
+    length = (ps * qs).sum(axis=1)
+    held: dict = {}
+    for r, c in zip(sure.tolist(), own.tolist(), strict=True):
+        held.setdefault(win[r], []).append((c, local[r]))
     for i in weak:
-        if s[i, i] <= 0:
+        if p[i] @ q[i] <= 0:
             continue
-        near = sorted(((-towards(s, np.array([i]), m), -c) for c, m in sure.items()))
-        for score, c in near:
-            m = sure[-c]
-            if ((win[m] == win[i]) & (local[m] != local[i])).any():
-                continue
-            if -score >= least:
-                out[i] = -c
-            break
+        score = cosines(ps @ q[i], float(p[i] @ q[i]), length)
+        score[[c for c, name in held.get(win[i], []) if name != local[i]]] = -np.inf
+        top = score.max()
+        if top >= least:
+            out[i] = ids[np.flatnonzero(score >= top - _TIE)[-1]]
     return out
 
 
-def cluster(s: np.ndarray, win: np.ndarray, local: np.ndarray, sec: np.ndarray, p=DEFAULTS) -> tuple[np.ndarray, dict]:
+def cluster(s: np.ndarray | tuple, win: np.ndarray, local: np.ndarray, sec: np.ndarray, p=DEFAULTS) -> tuple[np.ndarray, dict]:
     """Labels of one meeting's atoms (-1: nobody's), and k, floor, floor_ok, threshold, low_separation.
 
     The core set is linked and cut at the largest gap of its heights (at a
@@ -200,11 +322,11 @@ def cluster(s: np.ndarray, win: np.ndarray, local: np.ndarray, sec: np.ndarray,
     atoms refined, parted pairs repaired; then weak atoms are attached.
     """
     core = core_rows(sec, p.min_core)
-    sc, wc, lc, dc = s[np.ix_(core, core)], win[core], local[core], sec[core]
+    sc, wc, lc, dc = part_of(s, core), win[core], local[core], sec[core]
     block = cannot(wc, lc, dc, p.durable_s, p.guard)
     merges = linkage(sc, block)
     thr, low = p.fallback_thr, False
-    if block.any():
+    if any(block):
         thr, span, dominance = gap_threshold([h for *_, h in merges])
         low = low_separation(span, dominance, p)
     got = absorb(labels_at(len(core), merges, thr), sc, dc, block, p.min_cluster_sec)
@@ -246,7 +368,8 @@ def cluster_meetings(atoms: DataFrame, p=DEFAULTS) -> DataFrame:
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("vec_id")
-        labels, info = cluster(similarity(g.label.to_numpy(), np.stack(g.v.to_numpy())), g.win.to_numpy(), g.local_label.to_numpy(), g.sec.to_numpy(), p)
+        x = factors(g.label.to_numpy(), np.stack(g.v.to_numpy()))
+        labels, info = cluster((x, x), g.win.to_numpy(), g.local_label.to_numpy(), g.sec.to_numpy(), p)
         return pd.DataFrame({"meeting_id": g.meeting_id, "vec_id": g.vec_id, "cluster": labels, **{k: info[k] for k in ("k", "floor", "floor_ok", "low_separation")}})
 
     ship(atoms.sparkSession)
@@ -258,8 +381,8 @@ def merge_steps(atoms: DataFrame, p=DEFAULTS) -> DataFrame:
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("vec_id")
-        s = similarity(g.label.to_numpy(), np.stack(g.v.to_numpy()))
-        m = linkage(s, cannot(g.win.to_numpy(), g.local_label.to_numpy(), g.sec.to_numpy(), p.durable_s, p.guard))
+        x = factors(g.label.to_numpy(), np.stack(g.v.to_numpy()))
+        m = linkage((x, x), cannot(g.win.to_numpy(), g.local_label.to_numpy(), g.sec.to_numpy(), p.durable_s, p.guard))
         ids = g.vec_id.to_numpy()
         return pd.DataFrame({"meeting_id": [int(g.meeting_id.iloc[0])] * len(m), "step": range(len(m)), "a": [ids[i] for i, _, _ in m], "b": [ids[j] for _, j, _ in m], "height": [round(h, 6) for *_, h in m]}, columns=["meeting_id", "step", "a", "b", "height"])
 
@@ -301,16 +424,16 @@ def plain_cluster(v: np.ndarray, sec: np.ndarray, least: float, p=DEFAULTS, swee
     if not len(core):
         return labels
     x = v[core]
-    got = labels_at(len(core), linkage(x @ x.T, np.zeros((len(core), len(core)), bool)), least)
+    got = labels_at(len(core), linkage((x, x), [[]] * len(core)), least)
     k = got.max() + 1
 
     def centres() -> np.ndarray:
-        c = np.stack([x[got == n].mean(axis=0) if (got == n).any() else np.zeros(v.shape[1]) for n in range(k)])
+        c = sums(x, got, k) / np.maximum(np.bincount(got, minlength=k), 1)[:, None]
         return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
 
     c = centres()
     for _ in range(sweeps):
-        got = (x @ c.T).argmax(axis=1)
+        got = np.concatenate([(x[lo : lo + _ROWS] @ c.T).argmax(axis=1) for lo in range(0, len(x), _ROWS)])
         c = centres()
     labels[core] = got
     for i in np.flatnonzero(sec < p.min_core):
@@ -347,7 +470,7 @@ def silhouette_k(s: np.ndarray, most: int = 15) -> int | None:
     n = len(s)
     d = np.clip(1.0 - s, 0, 2)
     np.fill_diagonal(d, 0.0)
-    merges = linkage(1.0 - d, np.zeros((n, n), bool))
+    merges = linkage(1.0 - d, [[]] * n)
     heights = [h for *_, h in merges]
     best: tuple[float, int] | None = None
     for k in range(2, min(most, n - 1) + 1):
@@ -378,8 +501,7 @@ def plain_clusters(atoms: DataFrame, least: float = DEFAULTS.fallback_thr, p=DEF
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("vec_id")
-        labels = g.label.to_numpy()
-        v = np.concatenate([np.sqrt(0.65) * (labels[:, None] == np.unique(labels)[None, :]), np.sqrt(0.35) * np.stack(g.v.to_numpy())], axis=1)
+        v = factors(g.label.to_numpy(), np.stack(g.v.to_numpy()))
         return pd.DataFrame({"meeting_id": g.meeting_id, "vec_id": g.vec_id, "cluster": plain_cluster(v, g.sec.to_numpy(), least, p)})
 
     ship(atoms.sparkSession)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators import linking, matching, recovery, selection
-from lodestrata.operators.clustering import labels_at, linkage, similarity
+from lodestrata.operators.clustering import factors, labels_at, linkage
 from lodestrata.operators.store import Store, upsert_clusters
 from lodestrata.params import DEFAULTS
 from lodestrata.runtime import settled, ship
@@ -32,8 +32,8 @@ def linked(clusters: DataFrame, p=DEFAULTS, most: int = 5000) -> DataFrame:
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("id")
         v, meeting = np.stack(g.v.to_numpy()), g.meeting_id.to_numpy()
-        s = similarity(g.label.to_numpy(), v) if label else v @ v.T
-        labels = labels_at(len(g), linkage(s, (meeting[:, None] == meeting[None, :]) & ~np.eye(len(g), dtype=bool)), p.link_accept)
+        x = factors(g.label.to_numpy(), v) if label else v
+        labels = labels_at(len(g), linkage((x, x), (meeting[:, None] == meeting[None, :]) & ~np.eye(len(g), dtype=bool)), p.link_accept)
         ids = g.id.to_numpy()
         return pd.DataFrame({"id": ids, "link": [ids[labels == x].min() for x in labels]})
 

@@ -143,3 +143,46 @@ def test_claims_are_one_to_one():
     a = R.Assigner(np.eye(3), score, np.array([0, 0, 1]), np.full(3, 5.0), np.arange(3), np.eye(3), np.eye(3)[:2], np.array([0, 1]))
     a.claims()
     assert a.name.tolist() == [1, 0, 0]
+
+
+def voices(seed, n, d=16, people=5):
+    """Labels, unit vectors (the second half copies of the first), windows of three labels, seconds."""
+    r = np.random.default_rng(seed)
+    v = r.normal(size=(n, d))
+    v[n // 2 :] = v[: n - n // 2]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    i = np.arange(n)
+    return r.integers(0, people, n), v, i // 3, np.array([f"S{k % 3}" for k in i]), r.choice([1.0, 3.0, 7.0, 20.0], n)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_linkage_of_copies_goes_by_row_order(seed):
+    """Averages that are equal but for rounding are equal: of them the first pair wins."""
+    label, v, win, local, sec = voices(seed, 21, 4, 1)
+    x = C.factors(label, v)
+    apart = C.cannot(win, local, sec, 6.0, 10)
+    block = np.array([[j in row for j in range(21)] for row in apart])
+    assert [m[:2] for m in C.linkage((x, x), apart)] == [m[:2] for m in naive_linkage(x @ x.T, block)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_factors_and_matrix_give_one_result(seed):
+    label, v, win, local, sec = voices(seed, 90)
+    x = C.factors(label, v)
+    s = x @ x.T
+    assert C.cluster((x, x), win, local, sec)[0].tolist() == C.cluster(s, win, local, sec)[0].tolist()
+    assert C.linkage((x, x), [[]] * 90)[-1][:2] == C.linkage(s, [[]] * 90)[-1][:2]
+
+
+def test_a_long_meeting_takes_memory_by_its_rows():
+    """3,000 atoms: a matrix of their pairs alone would be 72 MB."""
+    import tracemalloc
+
+    label, v, win, local, sec = voices(0, 3000)
+    x = C.factors(label, v)
+    tracemalloc.start()
+    labels, _ = C.cluster((x, x), win, local, sec)
+    C.plain_cluster(x, sec, 0.2656)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(labels) == 3000 and most < 45e6
