@@ -23,6 +23,8 @@ from lodestrata.runtime import ship
 _TIE = 1e-12
 #: Rows whose similarities with all others are held at once.
 _ROWS = 256
+#: Rows up to which all eigenvalues are computed.
+_DENSE = 2000
 
 
 def factors(label: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -441,44 +443,106 @@ def plain_cluster(v: np.ndarray, sec: np.ndarray, least: float, p=DEFAULTS, swee
     return labels
 
 
-def eigengap(s: np.ndarray, most: int = 15) -> int:
-    """How many clusters the largest gap between the smallest eigenvalues of the affinity's normalised Laplacian tells (the first of equals)."""
-    a = np.clip(s, 0, None)
-    np.fill_diagonal(a, 0.0)
-    d = a.sum(axis=1)
-    d[d <= 0] = 1e-9
-    w = np.linalg.eigvalsh(np.eye(len(a)) - a / np.sqrt(np.outer(d, d)))[: most + 1]
-    return int(np.diff(w).argmax()) + 1 if len(w) > 1 else 1
+def eigengap(s: np.ndarray | tuple, most: int = 15) -> int:
+    """How many clusters the largest gap between the smallest eigenvalues of the affinity's normalised Laplacian tells (the first of equals).
 
+    Beyond ``_DENSE`` rows no matrix is held: a block Krylov space, restarted
+    from its best vectors, grows until the residuals leave no doubt which gap
+    is the largest.
+    """
+    p, q = sides(s)
+    n = len(p)
 
-def silhouette(distance: np.ndarray, labels: np.ndarray) -> float:
-    """Mean of (b - a) / max(a, b): a to the own cluster's others, b to the nearest other cluster; single members count 0."""
-    ids = np.unique(labels)
-    to = np.stack([distance[:, labels == c].sum(axis=1) for c in ids], axis=1)
-    size = np.array([(labels == c).sum() for c in ids])
-    own = np.searchsorted(ids, labels)
+    def rows(lo: int) -> np.ndarray:
+        a = np.clip(p[lo : lo + _ROWS] @ q.T, 0, None)
+        at = np.arange(len(a))
+        a[at, lo + at] = 0.0
+        return a
+
+    d = np.concatenate([rows(lo).sum(axis=1) for lo in range(0, n, _ROWS)])
+    d[d <= 0] = 1e-9
+    if n <= _DENSE:
+        a = np.concatenate([rows(lo) for lo in range(0, n, _ROWS)])
+        w = np.linalg.eigvalsh(np.eye(n) - a / np.sqrt(np.outer(d, d)))[: most + 1]
+        return int(np.diff(w).argmax()) + 1 if len(w) > 1 else 1
+    scale, k = 1 / np.sqrt(d)[:, None], most + 1
+
+    def image_of(x: np.ndarray) -> np.ndarray:
+        return scale * np.concatenate([rows(lo) @ (scale * x) for lo in range(0, n, _ROWS)])
+
+    basis = np.linalg.qr(np.random.default_rng(0).normal(size=(n, 2 * k)))[0]
+    image = image_of(basis)
+    while True:
+        value, y = np.linalg.eigh(basis.T @ image)
+        value, y = value[::-1], y[:, ::-1]
+        rest = image @ y[:, :k] - basis @ y[:, :k] * value[:k]
+        err = np.linalg.norm(rest, axis=0)
+        gaps, doubt = -np.diff(value[:k]), err[1:] + err[:-1]
+        g = int(gaps.argmax())
+        others = np.arange(k - 1) != g
+        if (gaps[g] - doubt[g] > (gaps + doubt)[others]).all() or err.max() < 1e-10:
+            return g + 1
+        if basis.shape[1] >= 12 * k:
+            basis, image = basis @ y[:, : 4 * k], image @ y[:, : 4 * k]
+        for _ in range(2):
+            rest = rest - basis @ (basis.T @ rest)
+            rest /= np.maximum(np.linalg.norm(rest, axis=0), 1e-300)
+        new = np.linalg.qr(rest)[0]
+        new = np.linalg.qr(new - basis @ (basis.T @ new))[0]
+        basis, image = np.concatenate([basis, new], axis=1), np.concatenate([image, image_of(new)], axis=1)
+
+
+def clipped(s: np.ndarray | tuple) -> np.ndarray | tuple:
+    """Similarities of -1 to 1. Rows of length 1 have no others, so stay factors."""
+    if isinstance(s, tuple):
+        if ((s[0] * s[1]).sum(axis=1) <= 1 + 1e-6).all():
+            return s
+        s = s[0] @ s[1].T
+    return np.clip(s, -1.0, 1.0)
+
+
+def silhouette_of(to: np.ndarray, labels: np.ndarray) -> float:
+    """Mean of (b - a) / max(a, b): a to the own cluster's others, b to the nearest other cluster; single members count 0. to: summed distances of each row to each cluster."""
+    size = np.bincount(labels)
     row = np.arange(len(labels))
-    a = to[row, own] / np.maximum(size[own] - 1, 1)
+    a = to[row, labels] / np.maximum(size[labels] - 1, 1)
     mean = to / size
-    mean[row, own] = np.inf
+    mean[row, labels] = np.inf
     b = mean.min(axis=1)
-    return float(np.where(size[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0).mean())
+    return float(np.where(size[labels] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0).mean())
 
 
-def silhouette_k(s: np.ndarray, most: int = 15) -> int | None:
+def silhouette(distance: np.ndarray, labels: np.ndarray) -> float:
+    """``silhouette_of`` a matrix of distances."""
+    return silhouette_of(distance @ np.eye(labels.max() + 1)[labels], labels)
+
+
+def silhouette_k(s: np.ndarray | tuple, most: int = 15) -> int | None:
     """The number of clusters, 2 to ``most``, whose cut of the average linkage has the best silhouette (the smallest of equals); None under three rows. Merges of one height go together."""
-    n = len(s)
-    d = np.clip(1.0 - s, 0, 2)
-    np.fill_diagonal(d, 0.0)
-    merges = linkage(1.0 - d, [[]] * n)
+    s = clipped(s)
+    p, q = sides(s)
+    n = len(p)
+    merges = linkage(s, [[]] * n)
     heights = [h for *_, h in merges]
+    cuts = [labels_at(n, merges, heights[n - k - 1] - _TIE if n - k > 0 else np.inf) for k in range(2, min(most, n - 1) + 1)]
+    if not cuts:
+        return None
+    # cuts are nested, so distances are summed once, by the clusters of the finest
+    finest = np.eye(cuts[-1].max() + 1)[cuts[-1]]
+    to = np.zeros(finest.shape)
+    for lo in range(0, n, _ROWS):
+        d = np.clip(1.0 - p[lo : lo + _ROWS] @ q.T, 0, 2)
+        at = np.arange(len(d))
+        d[at, lo + at] = 0.0
+        to[lo : lo + _ROWS] = d @ finest
     best: tuple[float, int] | None = None
-    for k in range(2, min(most, n - 1) + 1):
-        labels = labels_at(n, merges, heights[n - k - 1] if n - k > 0 else np.inf)
-        if len(np.unique(labels)) < 2:
+    for k, labels in enumerate(cuts, 2):
+        if labels.max() == 0:
             continue
-        score = silhouette(d, labels)
-        if best is None or score > best[0]:
+        whole = np.zeros((finest.shape[1], labels.max() + 1))
+        whole[cuts[-1], labels] = 1.0
+        score = silhouette_of(to @ whole, labels)
+        if best is None or score > best[0] + _TIE:
             best = (score, k)
     return best[1] if best else None
 
@@ -489,8 +553,8 @@ def estimate_k(atoms: DataFrame, p=DEFAULTS, most: int = 15) -> DataFrame:
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("vec_id")
         core = core_rows(g.sec.to_numpy(), p.min_core)
-        s = similarity(g.label.to_numpy()[core], np.stack(g.v.to_numpy())[core])
-        return pd.DataFrame({"meeting_id": [g.meeting_id.iloc[0]], "n": [len(core)], "by_gap": [eigengap(s.copy(), most)], "by_silhouette": pd.array([silhouette_k(s, most)], "Int64")})
+        x = factors(g.label.to_numpy()[core], np.stack(g.v.to_numpy())[core])
+        return pd.DataFrame({"meeting_id": [g.meeting_id.iloc[0]], "n": [len(core)], "by_gap": [eigengap((x, x), most)], "by_silhouette": pd.array([silhouette_k((x, x), most)], "Int64")})
 
     ship(atoms.sparkSession)
     return atoms.groupBy("meeting_id").applyInPandas(run, f"meeting_id {dict(atoms.dtypes)['meeting_id']}, n long, by_gap long, by_silhouette long")

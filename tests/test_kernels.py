@@ -186,3 +186,19 @@ def test_a_long_meeting_takes_memory_by_its_rows():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(labels) == 3000 and most < 45e6
+
+
+def test_estimates_hold_no_matrix(monkeypatch):
+    """The largest gap found from a Krylov space is that of all eigenvalues, and memory grows with the rows."""
+    import tracemalloc
+
+    label, v, *_ = voices(1, 2500)
+    x = C.factors(label, v)
+    want = C.eigengap(x[:700] @ x[:700].T), C.silhouette_k(x[:700] @ x[:700].T)
+    tracemalloc.start()
+    C.eigengap((x, x)), C.silhouette_k((x, x))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6  # a matrix: 50 MB
+    monkeypatch.setattr(C, "_DENSE", 100)
+    assert (C.eigengap((x[:700], x[:700])), C.silhouette_k((x[:700], x[:700]))) == want
