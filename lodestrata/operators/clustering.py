@@ -33,10 +33,6 @@ def factors(label: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.concatenate([np.sqrt(0.65) * hot, np.sqrt(0.35) * v], axis=1)
 
 
-def similarity(label: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return 0.65 * (label[:, None] == label[None, :]) + 0.35 * (v @ v.T)
-
-
 def sides(s: np.ndarray | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(p, q) with similarities p @ q.T: such a pair is taken as it is, a matrix with the unit matrix."""
     return s if isinstance(s, tuple) else (np.asarray(s, float), np.eye(len(s)))
@@ -353,15 +349,16 @@ def cover(v: np.ndarray, label: np.ndarray, sec: np.ndarray, reach: float = DEFA
     """Farthest first: the longest member, then always the one least covered, until all are covered to ``reach`` or ``most`` are chosen."""
     if not len(v):
         return []
-    s = similarity(label, v)
+    x = factors(label, v)
     chosen = [int(np.argmax(sec))]
+    near = x @ x[chosen[0]]
     while len(chosen) < min(most, len(v)):
-        near = s[:, chosen].max(axis=1)
         near[chosen] = np.inf
-        i = int(near.argmin())
+        i = int((near <= near.min() + _TIE).argmax())
         if near[i] >= reach:
             break
         chosen.append(i)
+        near = np.maximum(near, x @ x[i])
     return chosen
 
 

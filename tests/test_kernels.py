@@ -202,3 +202,14 @@ def test_estimates_hold_no_matrix(monkeypatch):
     assert most < 40e6  # a matrix: 50 MB
     monkeypatch.setattr(C, "_DENSE", 100)
     assert (C.eigengap((x[:700], x[:700])), C.silhouette_k((x[:700], x[:700]))) == want
+
+
+def test_cover_of_many_members_holds_no_matrix():
+    import tracemalloc
+
+    label, v, _, _, sec = voices(2, 3000)
+    tracemalloc.start()
+    got = C.cover(v, label, sec)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == len(set(got)) == 24 and most < 10e6  # a matrix: 72 MB
