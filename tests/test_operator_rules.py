@@ -304,3 +304,11 @@ def test_seams_of_a_relation(spark):
     r.shuffle(rows)
     got = recovery.trim_seams_of(spark.createDataFrame(rows, "meeting_id long, win long, text string"))
     assert {(x.meeting_id, x.win): x.text for x in got.collect()} == want and sum(len(t.split()) for _, _, t in rows) > sum(len(t.split()) for t in want.values())
+
+
+def test_seams_of_many_meetings_in_one_task(spark):
+    """Meetings pass through a task in order; each begins anew, and none is a group of its own."""
+    rows = [(m, w, t) for m in range(60) for w, t in enumerate(["a b c d", "b c d e f g", "e f g h"])]
+    d = recovery.trim_seams_of(spark.createDataFrame(rows, "meeting_id long, win long, text string"))
+    assert sorted(map(tuple, d.collect())) == [(m, w, t) for m in range(60) for w, t in enumerate(["a b c d", "e f g", "h"])]
+    assert "FlatMapGroups" not in d._jdf.queryExecution().toString()
