@@ -312,3 +312,25 @@ def test_seams_of_many_meetings_in_one_task(spark):
     d = recovery.trim_seams_of(spark.createDataFrame(rows, "meeting_id long, win long, text string"))
     assert sorted(map(tuple, d.collect())) == [(m, w, t) for m in range(60) for w, t in enumerate(["a b c d", "e f g", "h"])]
     assert "FlatMapGroups" not in d._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("size, snap, hop", [(30.0, 5.0, 2.0), (30.0, 5.0, 0.02), (30.0, 0.0, 2.0), (7.3, 2.1, 0.5), (3.0, 7.0, 0.25)])
+def test_snapped_windows_equal_the_plan(spark, size, snap, hop):
+    r = np.random.default_rng(7)
+    rows, want = [], []
+    for m in range(6):
+        at = np.sort(r.choice(2000, 40 * m + 1, replace=False))
+        db = np.round(r.choice([-120.0, -60.0, 3.0], len(at)) + r.random(len(at)), 3)
+        rows += [(m, int(f), float(x)) for f, x in zip(at, db, strict=True)]
+        levels = np.full(int(at[-1]) + 1, -120.0)
+        levels[at] = db
+        want += [(m, k, *w) for k, w in enumerate(recovery.plan_windows(len(levels) * hop, size, levels=levels, snap=snap, hop=hop))]
+    got = recovery.snapped_windows(spark.createDataFrame(rows, "meeting_id long, frame long, db double"), size, snap, hop)
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_silence_takes_no_memory(spark):
+    """An hour's frame far behind the others: what lies between is not laid out frame by frame."""
+    d = spark.createDataFrame([(1, 3, 5.0), (1, 10**12, 5.0)], "meeting_id long, frame long, db double")
+    got = recovery.snapped_windows(d, size=1e9, snap=5.0, hop=2.0).count()
+    assert 2000 <= got <= 2001
