@@ -213,3 +213,12 @@ def test_cover_of_many_members_holds_no_matrix():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(got) == len(set(got)) == 24 and most < 10e6  # a matrix: 72 MB
+
+
+def test_naming_from_factors_equals_that_from_a_matrix():
+    for seed in range(6):
+        r = np.random.default_rng(seed)
+        _, v, win, _, sec = voices(seed, 80, 4)
+        bank, owner = v[:3], np.arange(3)
+        args = v @ bank.T, win, sec, np.arange(80), v, bank, owner
+        assert R.Assigner((v, v), *args).run() == R.Assigner(v @ v.T, *args).run()
