@@ -105,19 +105,28 @@ def turns(segments: DataFrame) -> DataFrame:
     return d.groupBy("meeting_id", "turn", "local_label").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count("*").alias("n"))
 
 
-def other_speakers(spans: DataFrame, bucket_s: float = 3600.0) -> DataFrame:
-    """Overlaps of each span with spans of other speakers in its meeting: meeting_id, seg_idx, other_idx, seconds.
+def speaker_overlaps(spans: DataFrame, bucket_s: float | None = None) -> DataFrame:
+    """Overlaps of each span with spans of other speakers in its meeting: meeting_id, seg_idx, local_label, dur, other_idx, reference (the other's label), seconds.
 
     Half-open intervals. Both sides are dealt by meeting and time bucket, so
     that a long meeting is no single join group; an overlap is taken in the
-    bucket of its begin.
+    bucket of its begin. A bucket is as long as the mean span if its length
+    isn't given, so a span makes two rows on average.
     """
-    cells = F.sequence(F.floor(F.col("start_s") / bucket_s), F.floor(F.col("end_s") / bucket_s))
-    a = spans.withColumn("cell", F.explode(cells)).select("meeting_id", "cell", "seg_idx", "start_s", "end_s", "local_label")
+    if bucket_s is None:
+        length = F.abs(F.col("end_s") - F.col("start_s"))
+        bucket_s = max(spans.filter(length > 0).agg(F.avg(length)).first()[0] or 0.0, 0.01)
+    cells = F.sequence(*(F.floor(end("start_s", "end_s") / bucket_s).cast("long") for end in (F.least, F.greatest)))
+    a = spans.filter("start_s is not null and end_s is not null").withColumn("cell", F.explode(cells)).select("meeting_id", "cell", "seg_idx", "start_s", "end_s", "local_label")
     b = a.select("meeting_id", "cell", *(F.col(c).alias(f"o_{c}") for c in ("seg_idx", "start_s", "end_s", "local_label")))
     begin = F.greatest("start_s", "o_start_s")
     j = a.join(b, ["meeting_id", "cell"]).filter((F.col("local_label") != F.col("o_local_label")) & (F.col("start_s") < F.col("o_end_s")) & (F.col("o_start_s") < F.col("end_s")) & (F.floor(begin / bucket_s) == F.col("cell")))
-    return j.select("meeting_id", "seg_idx", F.col("o_seg_idx").alias("other_idx"), (F.least("end_s", "o_end_s") - begin).alias("seconds"))
+    return j.select("meeting_id", "seg_idx", "local_label", (F.col("end_s") - F.col("start_s")).alias("dur"), F.col("o_seg_idx").alias("other_idx"), F.col("o_local_label").alias("reference"), (F.least("end_s", "o_end_s") - begin).alias("seconds"))
+
+
+def other_speakers(spans: DataFrame, bucket_s: float | None = None) -> DataFrame:
+    """meeting_id, seg_idx, other_idx, seconds of ``speaker_overlaps``."""
+    return speaker_overlaps(spans, bucket_s).select("meeting_id", "seg_idx", "other_idx", "seconds")
 
 
 def free_run(spans: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from lodestrata.operators import clustering as C
+from lodestrata.operators import assembly, clustering as C
 from lodestrata.operators import cuts, linking, matching, recovery, reports, selection
 from lodestrata.sources import tables as S
 
@@ -334,3 +334,13 @@ def test_silence_takes_no_memory(spark):
     d = spark.createDataFrame([(1, 3, 5.0), (1, 10**12, 5.0)], "meeting_id long, frame long, db double")
     got = recovery.snapped_windows(d, size=1e9, snap=5.0, hop=2.0).count()
     assert 2000 <= got <= 2001
+
+
+def test_overlaps_of_long_spans_make_few_rows(spark):
+    """Spans of a day: a row for each hour of them would be 25 a span. A reversed span counts as the comparison says."""
+    rows = [(1, i, 86400.0 * i / 7, 86400.0 * (i / 7 + 1), "ab"[i % 2]) for i in range(30)] + [(1, 99, 90000.0, 80000.0, "c")]
+    d = assembly.speaker_overlaps(spark.createDataFrame(rows, "meeting_id long, seg_idx long, start_s double, end_s double, local_label string"))
+    want = [(a[1], b[1], round(min(a[3], b[3]) - max(a[2], b[2]), 6)) for a in rows for b in rows if a[4] != b[4] and a[2] < b[3] and b[2] < a[3]]
+    assert sorted((r.seg_idx, r.other_idx, round(r.seconds, 6)) for r in d.collect()) == sorted(want)
+    plan = d._jdf.queryExecution().optimizedPlan()
+    assert "3600" not in plan.toString()
