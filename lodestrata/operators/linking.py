@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from lodestrata.runtime import settled, ship
 
 
+#: Blocks that vectors are dealt to, and vectors in one at most.
+_BLOCKS, _LARGEST = 16, 65_536
+
+
 def _in_block_pairs(vectors: DataFrame, block: int, kernel, schema: str) -> DataFrame:
     """``kernel`` (ids and similarities of two blocks, whether they are one) on each pair of blocks of vectors, in tasks of their own. Nothing is broadcast. Vectors without a label are compared by themselves."""
     blended = "label" in vectors.columns
     vectors = vectors.select("id", "v", (F.col("label") if blended else F.lit(0)).alias("label"))
     n = vectors.count()
-    k = max(1, -(-n // block))
+    # a vector is sent to each of k blocks: as few as keep cores busy, until a block would outgrow a task
+    k = max(min(-(-n // block), _BLOCKS), -(-n // _LARGEST), 1)
     cell = vectors.select("id", "label", "v", F.pmod(F.xxhash64("id"), F.lit(k)).cast("int").alias("cell"))
     # a block meets each block not before it; the pair (i, j) is the group's key
     left = cell.withColumn("other", F.explode(F.sequence(F.col("cell"), F.lit(k - 1)))).select("id", "label", "v", F.col("cell").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"))
@@ -24,10 +29,17 @@ def _in_block_pairs(vectors: DataFrame, block: int, kernel, schema: str) -> Data
     def product(g: pd.DataFrame) -> pd.DataFrame:
         x, y = g[g.side == 0], g[g.side == 1]
         a, b = np.stack(x.v.to_numpy()), np.stack(y.v.to_numpy())
-        s = a @ b.T
-        if blended:
-            s = 0.35 * s + 0.65 * (x.label.to_numpy()[:, None] == y.label.to_numpy()[None, :])
-        return kernel(x.id.to_numpy(), y.id.to_numpy(), s, int(x.i.iloc[0]) == int(x.j.iloc[0]))
+        p, q, xs, ys = x.id.to_numpy(), y.id.to_numpy(), x.label.to_numpy(), y.label.to_numpy()
+        same = int(x.i.iloc[0]) == int(x.j.iloc[0])
+        found = []
+        for u in range(0, len(a), block):  # a tile of similarities at a time
+            for w in range(0, len(b), block):
+                r, c = slice(u, u + block), slice(w, w + block)
+                s = a[r] @ b[c].T
+                if blended:
+                    s = 0.35 * s + 0.65 * (xs[r, None] == ys[None, c])
+                found.append(kernel(p[r], q[c], s, same))
+        return pd.concat(found, ignore_index=True)
 
     ship(vectors.sparkSession)
     return left.unionByName(right).groupBy("i", "j").applyInPandas(product, schema)
@@ -50,7 +62,7 @@ def similar_pairs(vectors: DataFrame, least: float, block: int = 2048) -> DataFr
 
 
 def _forest(x: np.ndarray, y: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, smallest node of its group) for all nodes of two sets that ``near`` ties together, smallest ones but left out. Minima go back and forth between the sets until none changes."""
+    """(node, smallest node of its group) for all nodes of two sets that ``near`` ties together, smallest ones but left out. Each row and column is looked at once."""
     lx, ly = x.copy(), y.copy()
     on = near.any(axis=1)
     x, lx, near = x[on], lx[on], near[on]
@@ -58,13 +70,19 @@ def _forest(x: np.ndarray, y: np.ndarray, near: np.ndarray) -> tuple[np.ndarray,
     y, ly, near = y[also], ly[also], near[:, also]
     if not len(x):
         return x, x
-    far = np.iinfo(np.int64).max
-    while True:
-        nx = np.minimum(lx, np.where(near, ly[None, :], far).min(axis=1))
-        ny = np.minimum(ly, np.where(near, nx[:, None], far).min(axis=0))
-        if (nx == lx).all() and (ny == ly).all():
-            break
-        lx, ly = nx, ny
+    # from each unseen node its group is reached, a set of rows and columns at a time
+    todo = np.ones(len(x), bool)
+    for i in range(len(x)):
+        if not todo[i]:
+            continue
+        rows, inside, cols = np.array([i]), np.zeros(len(x), bool), np.zeros(len(y), bool)
+        while len(rows):
+            inside[rows] = True
+            fresh = near[rows].any(axis=0) & ~cols
+            cols |= fresh
+            rows = np.flatnonzero(near[:, fresh].any(axis=1) & ~inside)
+        low = min(x[inside].min(), y[cols].min())
+        lx[inside], ly[cols], todo[inside] = low, low, False
     node, label = np.concatenate([x, y]), np.concatenate([lx, ly])
     keep = node != label
     return node[keep], label[keep]

@@ -344,3 +344,22 @@ def test_overlaps_of_long_spans_make_few_rows(spark):
     assert sorted((r.seg_idx, r.other_idx, round(r.seconds, 6)) for r in d.collect()) == sorted(want)
     plan = d._jdf.queryExecution().optimizedPlan()
     assert "3600" not in plan.toString()
+
+
+def test_vectors_are_sent_to_few_blocks(spark, monkeypatch):
+    """Few blocks, in tiles, give the pairs and groups that all pairs do."""
+    monkeypatch.setattr(linking, "_BLOCKS", 3)
+    r = np.random.default_rng(3)
+    v = r.normal(size=(200, 6))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    d = spark.createDataFrame([(i, i % 3, v[i].tolist()) for i in range(200)], "id long, label long, v array<double>")
+    s = 0.35 * (v @ v.T) + 0.65 * (np.arange(200)[:, None] % 3 == np.arange(200)[None, :] % 3)
+    want = {(i, j) for i in range(200) for j in range(i + 1, 200) if s[i, j] >= 0.95}
+    pairs = linking.similar_pairs(d, 0.95, block=9).collect()
+    assert {(x.a, x.b) for x in pairs} == want and len(pairs) == len(want)
+    low = {i: i for i in range(200)}
+    for _ in range(200):
+        for i, j in want:
+            low[i] = low[j] = min(low[i], low[j])
+    near = {n for p in want for n in p}
+    assert set(map(tuple, linking.similar_groups(d, 0.95, block=9).select("node", "label").collect())) == {(n, low[n]) for n in near}
