@@ -168,19 +168,15 @@ def recover_orphans(segments: DataFrame, durations: DataFrame | None = None, p=D
     return kept.unionByName(found).drop("owned")
 
 
-#: Blocks of the loudness index: 1, 16, 256, ... frames.
+#: Runs of blocks: 1, 16, 256, ... frames.
 _BASE, _LEVELS = 16, 7
 
 
-def loud_blocks(frames: DataFrame, floor: float) -> DataFrame:
-    """meeting_id, level, block: the blocks of 16^level frames whose loudest frame (meeting_id, frame, level) reaches ``floor``."""
-    loud = frames.filter(F.col("level") >= floor).select("meeting_id", "frame")
-    size = F.transform(F.sequence(F.lit(0), F.lit(_LEVELS - 1)), lambda n: F.struct(n.alias("level"), F.floor(F.col("frame") / F.pow(F.lit(float(_BASE)), n)).cast("long").alias("block")))
-    return loud.select("meeting_id", F.explode(size).alias("x")).select("meeting_id", "x.level", "x.block").distinct()
-
-
 def blocks_of(first: Column, last: Column) -> Column:
-    """array<struct<level, block>>: the largest blocks that make up the frames first <= f < last, at most 30 of a size but the largest."""
+    """array<struct<level, block>>: the largest blocks that make up the frames first <= f < last, at most 30 of a size but the largest.
+
+    The silence gate needs one block a segment and no longer uses these runs.
+    """
     out, a, b, open_ = [], first, last, first < last
     empty = F.array().cast("array<struct<level:int,block:bigint>>")
 
@@ -199,14 +195,39 @@ def blocks_of(first: Column, last: Column) -> Column:
     return F.concat(*out)
 
 
+#: Bits of a level of the loudness index: a part is 1, 256, 65536, ... frames, a block 256 parts.
+_BITS = 8
+
+
+def _part(frame: Column, level: Column) -> Column:
+    """A frame's part, numbered from the least long, so the last level is one block."""
+    return F.call_function("shiftrightunsigned", frame.bitwiseXOR(F.lit(-(2**63))), level * _BITS)
+
+
+def loud_parts(frames: DataFrame, floor: float, levels: list[int]) -> DataFrame:
+    """_meeting, _size, _in_block, _first, _last: the first and last frame (meeting_id, frame, level) of at least ``floor`` in each part of these levels that has one."""
+    loud = frames.filter(F.col("level") >= floor).select(F.col("meeting_id").alias("_meeting"), "frame", F.explode(F.array(*map(F.lit, levels))).alias("_size"))
+    parts = loud.groupBy("_meeting", "_size", _part(F.col("frame"), F.col("_size")).alias("_part")).agg(F.min("frame").alias("_first"), F.max("frame").alias("_last"))
+    return parts.select("_meeting", "_size", F.shiftrightunsigned("_part", _BITS).alias("_in_block"), "_first", "_last")
+
+
 def silence_gate(segments: DataFrame, frames: DataFrame, floor: float, hop: float) -> DataFrame:
     """Segments (meeting_id, seg_idx, start_s, end_s) that span a frame of at least ``floor``. frames: meeting_id, frame, level.
 
-    A segment is a few dozen blocks, however long it is, and a block is a key
-    of an equi-join with the index of loud ones.
+    A segment is one key, however long it is: the smallest block that holds
+    it. Its first and last frame lie in different parts of that block (or are
+    one), so the parts' first and last loud frames tell exactly. An end that
+    is no number is behind all frames, a start that is none too.
     """
-    first, last = F.floor(F.col("start_s") / hop).cast("long"), F.floor(F.col("end_s") / hop).cast("long")
-    s = segments.select("meeting_id", "seg_idx", first.alias("_a"), last.alias("_b")).filter("_a < _b")
-    parts = s.select("meeting_id", "seg_idx", F.explode(blocks_of(F.greatest("_a", F.lit(0)), F.col("_b"))).alias("x")).select("meeting_id", "seg_idx", "x.level", "x.block")
-    heard = parts.join(loud_blocks(frames, floor), ["meeting_id", "level", "block"], "left_semi").select("meeting_id", "seg_idx").distinct()
-    return segments.join(heard, ["meeting_id", "seg_idx"], "left_semi")
+    frame = lambda c: F.floor(F.nanvl(c, F.lit(float("inf"))) / hop).cast("long")
+    s = segments.withColumn("_a", frame("start_s")).withColumn("_b", frame("end_s")).filter("_a < _b")
+    last = F.greatest("_b", F.lit(-(2**63) + 1)) - 1  # rows that the filter drops may get here too
+    differ = F.length(F.hex(F.col("_a").bitwiseXOR(last)))  # two digits a level
+    s = s.withColumn("_level", F.floor((differ - 1) / 2).cast("int"))
+    s = s.withColumn("_block", F.shiftrightunsigned(_part(F.col("_a"), F.col("_level")), _BITS))
+    levels = sorted(r[0] for r in s.select("_level").distinct().collect())  # at most eight; those of no segment need no index
+    if not levels:
+        return segments.filter(F.lit(False))
+    same = (F.col("meeting_id") == F.col("_meeting")) & (F.col("_level") == F.col("_size")) & (F.col("_block") == F.col("_in_block"))
+    heard = (F.col("_last") >= F.col("_a")) & (F.col("_first") < F.col("_b"))
+    return s.join(loud_parts(frames, floor, levels), same & heard, "left_semi").select(*segments.columns)

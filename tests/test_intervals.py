@@ -134,3 +134,23 @@ def test_a_day_is_a_few_blocks(spark):
     assert sorted(x.seg_idx for x in gate.collect()) == [0, 1, 2]
     plan = gate._jdf.queryExecution().optimizedPlan().toString()
     assert all("block" in line or "seg_idx" in line for line in plan.splitlines() if "Join" in line)
+
+
+def test_gate_has_one_key_a_segment(spark):
+    """Only the loud frames are repeated, once for each level that a segment needs; no segment is, and none is joined a second time."""
+    d = spark.createDataFrame([(0, i, 97.0 * i, 97.0 * i + 29_000.0, "A") for i in range(50)], SPAN)
+    gate = I.silence_gate(d, spark.createDataFrame([(0, 100_000 // 20, 1.0)], "meeting_id long, frame long, level double"), 0.5, 20.0)
+    assert gate.count() == 0
+    plan = gate._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and plan.count("Join") == 1
+
+
+def test_gate_at_the_ends_of_time(spark):
+    """Spans over frame 0, of no end, and over borders of blocks; a repeated seg_idx stands for itself."""
+    inf, nan = float("inf"), float("nan")
+    rows = [(0, 0, -500.0, -100.0), (0, 1, -99.0, 1.0), (0, 2, -300.0, 70_000.0), (0, 3, -inf, -302.0), (0, 4, 256.0, 257.0), (0, 4, 257.0, 258.0), (0, 5, 65_535.0, 65_537.0)]
+    rows += [(0, 6, 65_537.0, inf), (0, 7, 5.0, nan), (0, 8, nan, 9.0), (0, 9, -inf, inf), (0, 10, 3.0, -inf), (1, 11, -inf, inf), (None, 12, -inf, inf), (0, 13, 70_001.0, inf), (0, 14, None, 9.0)]
+    d = spark.createDataFrame([(*r, "A") for r in rows], SPAN)
+    frames = spark.createDataFrame([(0, f, 1.0) for f in (-301, 256, 65_536, 70_000)] + [(0, 0, 0.0), (1, 0, 0.0), (None, 0, 1.0)], "meeting_id long, frame long, level double")
+    got = sorted((r.seg_idx, r.start_s, r.end_s) for r in I.silence_gate(d, frames, 0.5, 1.0).select("seg_idx", "start_s", "end_s").fillna(-1.0).collect())
+    assert [r[0] for r in got] == [0, 2, 4, 5, 6, 7, 9] and got[2][1] == 256.0
