@@ -336,6 +336,23 @@ def test_silence_takes_no_memory(spark):
     assert 2000 <= got <= 2001
 
 
+def test_windows_of_silence_take_little_disk(spark, tmp_path):
+    """Meetings that are silent for thousands of windows: the windows are the plan's, and files of them take less than two bytes each."""
+    r = np.random.default_rng(5)
+    rows, want = [], []
+    for m in range(300):
+        at = [int(x) for x in sorted({*r.integers(9, 60, 2 * (m % 30 == 1)), *r.integers(16_000, 18_000, 2)})]
+        rows += [(m, f, 5.0) for f in at]
+        if m % 20 < 3:
+            levels = np.full(at[-1] + 1, -120.0)
+            levels[at] = 5.0
+            want += [(m, k, *w) for k, w in enumerate(recovery.plan_windows(len(levels) * 2.0, 30.0, levels=levels, snap=5.0, hop=2.0))]
+    recovery.snapped_windows(spark.createDataFrame(rows, "meeting_id long, frame long, db double").coalesce(1), 30.0, 5.0, 2.0).write.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, got.filter("meeting_id % 20 < 3").collect())) == want and len(want) > 45 * 1024
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 2 * got.count()
+
+
 def test_overlaps_of_long_spans_make_few_rows(spark):
     """Spans of a day: a row for each hour of them would be 25 a span. A reversed span counts as the comparison says."""
     rows = [(1, i, 86400.0 * i / 7, 86400.0 * (i / 7 + 1), "ab"[i % 2]) for i in range(30)] + [(1, 99, 90000.0, 80000.0, "c")]
